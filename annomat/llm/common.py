@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -9,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Characters outside blocks whose letters and digits have long been settled; Unicode versions may class these differently.
+RARE = re.compile("[^\x00-\u024f\u0370-\u052f\u0590-\u06ff\u0900-\u0dff\u0e00-\u0e7f\u1e00-\u206f\u20a0-\u20bf\u2100-\u23ff\u2500-\u27bf\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f64f]")
 #: UTF-8 bytes of text that one numpy pass works on at a time.
 BLOCK_BYTES = 2 << 20
 
