@@ -31,7 +31,7 @@ class WordBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], spec["model"]["vocab"]
-        self.path, self.split, self.classes = path, None, {}
+        self.path, self.whole, self.classes = path, None, {}
         self.end = model["end_of_word_suffix"] or ""
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
@@ -54,25 +54,30 @@ class WordBPE:
         self.final = np.array([vocab[c + self.end] for c in chars], np.int64)
 
     def words(self, text: str) -> list[str]:
+        if RARE.search(text):
+            library = self.library()
+            text = library.normalizer.normalize_str(text)
+            plain = RARE.sub(lambda m: self.like(m[0]), text)
+            return [text[m.start() : m.end()] for m in self.pattern.finditer(plain)]
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Letter by letter, as a final sigma has no form of its own there.
-        text = text.replace("Σ", "σ").lower()
-        if not RARE.search(text):
-            return self.pattern.findall(text)
-        plain = RARE.sub(lambda m: self.like(m[0]), text)
-        return [text[m.start() : m.end()] for m in self.pattern.finditer(plain)]
+        return self.pattern.findall(text.replace("Σ", "σ").lower())
+
+    def library(self):
+        """The file in the tokenizers library, for what Unicode versions may class differently."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole
 
     def like(self, char: str) -> str:
         """A common character of the class that the file's own splitter gives a rare one."""
         if char not in self.classes:
-            if self.split is None:
-                from tokenizers import Tokenizer
-
-                self.split = Tokenizer.from_file(self.path).pre_tokenizer.pre_tokenize_str
-            letter, other = len(self.split(f"a{char}")) == 1, len(self.split(f"!{char}")) == 1
-            alone = len(self.split(char))
-            self.classes[char] = " " if not alone else "a" if letter else "!" if other else "1"
+            pieces = self.library().pre_tokenizer.pre_tokenize_str
+            letter, other = len(pieces(f"a{char}")) == 1, len(pieces(f"!{char}")) == 1
+            self.classes[char] = " " if not pieces(char) else "a" if letter else "!" if other else "1"
         return self.classes[char]
 
     def merge(self, words: list[str]) -> list[np.ndarray]:
