@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash, substring, topk
+from . import bpe, langid, packing, simhash, substring, topk
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op7_substring": op7_substring, "op8_topk": op8_topk, "op10_packing": op10_packing}
+    return {"op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op7_substring": op7_substring, "op8_topk": op8_topk, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
