@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, packing, simhash, substring, topk
+from . import bpe, langid, packing, quality, simhash, substring, topk
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op7_substring": op7_substring, "op8_topk": op8_topk, "op10_packing": op10_packing}
+    return {"op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_substring": op7_substring, "op8_topk": op8_topk, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
