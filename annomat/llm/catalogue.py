@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, packing, quality, simhash, substring, topk
+from . import bpe, html, langid, packing, quality, simhash, substring, topk, urls
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_substring": op7_substring, "op8_topk": op8_topk, "op10_packing": op10_packing}
+    return {"op1_html": op1_html, "op2_urls": op2_urls, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_substring": op7_substring, "op8_topk": op8_topk, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
