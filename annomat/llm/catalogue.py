@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, packing, quality, simhash, substring, topk, urls
+from . import bpe, html, langid, packing, parsing, quality, simhash, substring, topk, urls
 from .common import table
 
 
@@ -48,12 +48,16 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op2_urls": op2_urls, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_substring": op7_substring, "op8_topk": op8_topk, "op10_packing": op10_packing}
+    return {"op1_html": op1_html, "op2_urls": op2_urls, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_substring": op7_substring, "op8_topk": op8_topk, "op9_fingerprints": op9_fingerprints, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
