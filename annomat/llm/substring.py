@@ -320,15 +320,20 @@ def remove_repeats(docs: DataFrame, window: int = 20, mini: int = 5, id_col: str
 def cut_repeats(docs: DataFrame, window: int = 20, mini: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated words cut from the text; untouched texts stay as they are, others are joined by one space.
 
-    A text that loses all its words becomes empty; the row stays.
+    A text that loses all its words becomes empty; the row stays. A column n_chars follows the text where it changes.
     """
     schema = docs.schema
+    chars = schema.names.index("n_chars") if "n_chars" in schema.names and schema["n_chars"].dataType.typeName() in ("long", "integer") else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
-            texts = [text if not cut else b" ".join(_kept(text, cut)[0]) for text, cut in zip(as_bytes(batch.column(k)), batch.column("_cut").to_pylist(), strict=True)]
+            cuts = batch.column(batch.schema.get_field_index("_cut")).to_pylist()
+            texts = [text if not cut else b" ".join(_kept(text, cut)[0]) for text, cut in zip(as_bytes(batch.column(k)), cuts, strict=True)]
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == k else batch.column(i) for i in range(len(schema))]
+            if chars >= 0:
+                now = batch.column(chars).to_pylist()
+                columns[chars] = pa.array([n if not cut else len(t.decode()) for n, cut, t in zip(now, cuts, texts, strict=True)], batch.column(chars).type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     keyed = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_key"))
