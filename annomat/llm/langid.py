@@ -155,9 +155,9 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN) -> Filters:
     most = share.withColumn("most", F.max("rate").over(Window.partitionBy("h"))).where(F.col("rate") >= SHARE * F.col("most")).where("count > 1 or whole < 100000")
     first = Window.partitionBy("n", "lang").orderBy(F.desc("count"), "h")
     kept = most.withColumn("r", F.row_number().over(first)).where(F.col("r") <= MAX_GRAMS)
-    table = kept.groupBy("h").agg(F.expr("bit_or(shiftleft(1L, lang))").alias("mask")).toPandas()
+    table = kept.groupBy("h").agg(F.expr("bit_or(shiftleft(1L, lang))").alias("mask")).toArrow()
     default = max(languages, key=lambda x: (sizes[x], x), default=None)
-    return Filters(languages, table["h"].to_numpy(np.int64).view(_U), table["mask"].to_numpy(np.int64).view(_U), default)
+    return Filters(languages, table["h"].to_numpy().view(_U), table["mask"].to_numpy().view(_U), default)
 
 
 def held_out(id_col: str):

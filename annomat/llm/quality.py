@@ -103,9 +103,10 @@ class KneserNey:
 
     def log_probabilities(self, asked: DataFrame) -> DataFrame:
         """(gram, logp) of the distinct highest-order n-grams ``asked`` (gram)."""
+        asked = checkpoint(asked)
         wanted = {self.order: asked}
         for k in range(self.order - 1, 0, -1):
-            wanted[k] = wanted[k + 1].select(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).distinct()
+            wanted[k] = checkpoint(wanted[k + 1].select(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).distinct())
         lower = None
         for k in range(1, self.order + 1):
             q = wanted[k].withColumn("history", F.shiftright("gram", 8)).withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)))
@@ -144,8 +145,9 @@ def scored(docs: DataFrame, logp: DataFrame, order: int = ORDER, local_rows: int
         return pa.RecordBatch.from_arrays([*own, pa.array(total), pa.array(n.astype(np.int64))], names=schema.names)
 
     if logp.count() <= local_rows:
-        found = logp.toPandas().sort_values("gram")
-        shared = docs.sparkSession.sparkContext.broadcast((found["gram"].to_numpy(np.int64), found["logp"].to_numpy(np.float64)))
+        found = logp.sort("gram").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast((found["gram"].to_numpy(), found["logp"].to_numpy()))
+        del found
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, texts in blocks(batches, "text"):
