@@ -1 +1 @@
-
+"""Column functions: saturating casts, index codecs, missing-value policies."""

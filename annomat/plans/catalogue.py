@@ -1,11 +1,440 @@
-"""Named queries of the engine with the SQL that states the same result."""
+"""Named queries of the engine with the SQL that states the same result over the same tables."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from annomat import sources
+from annomat.functions import casts, codecs
+from annomat.operators import columns, layout, profile, provenance, slots, uns, validate
+from annomat.plans import fixtures
+from annomat.plans.fixtures import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+#: The canonical dataset in SQL.
+COO = """
+x AS (SELECT l_orderkey AS o, l_partkey AS p, CAST(sum(l_quantity) AS BIGINT) AS v, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS c FROM lineitem GROUP BY 1, 2),
+ob AS (SELECT o_orderkey AS o, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS i FROM orders),
+va AS (SELECT p_partkey AS p, CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS j FROM part),
+coo AS (SELECT i, j, v, c FROM x JOIN ob USING (o) JOIN va USING (p))"""
+#: Its index and value streams in row order, cut into chunks of 128.
+STREAM = COO + """,
+s0 AS (SELECT CAST(row_number() OVER (ORDER BY i, j) - 1 AS BIGINT) AS k, j, v FROM coo),
+s1 AS (SELECT k, k // 128 AS c, CAST(k % 128 AS INTEGER) AS r, j, v, j - coalesce(lag(j) OVER (ORDER BY k), 0) AS d, coalesce(lag(j) OVER (ORDER BY k), 0) AS prev FROM s0),
+s AS (SELECT k, c, r, j, v, prev, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS z, (v - 1) & 4294967295 AS f FROM s1)"""
+
+
+def _pack_sql(u: str) -> str:
+    return f"""WITH {STREAM},
+w AS (SELECT c, CASE WHEN max({u}) = 0 THEN 0 ELSE length(ltrim(bin(max({u})), '0')) END AS b FROM s GROUP BY c),
+t AS (SELECT c, b, {u} AS u, r % 4 AS lane, ((r // 4) * b) % 32 AS off, ((r // 4) * b) // 32 AS wd FROM s JOIN w USING (c) WHERE b > 0),
+y AS (SELECT c, b, wd * 4 + lane AS pos, (u << off) & 4294967295 AS word FROM t
+      UNION ALL SELECT c, b, (wd + 1) * 4 + lane, u >> (32 - off) FROM t WHERE off + b > 32
+      UNION ALL SELECT c, b, unnest(range(4 * b)), 0 FROM w WHERE b > 0)
+SELECT CAST(c AS BIGINT) AS c, CAST(b AS INTEGER) AS b, CAST(pos AS INTEGER) AS pos, CAST(bit_or(CAST(word AS BIGINT)) AS BIGINT) AS word FROM y GROUP BY c, b, pos"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL if there is one."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+# Layouts
+
+
+@query(f"WITH {COO} SELECT i AS obs_idx, j AS var_idx, v AS value FROM coo")
+def x_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.counts(spark, sf_dir)
+
+
+@query(f"WITH {COO}, n AS (SELECT ob.i, count(coo.j) AS n FROM ob LEFT JOIN coo ON ob.i = coo.i GROUP BY ob.i) SELECT i + 1 AS pos, CAST(sum(n) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ptr FROM n UNION ALL SELECT 0, 0")
+def csr_indptr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.indptr(fixtures.counts(spark, sf_dir), fixtures.observations(spark, sf_dir), "obs_idx")
+
+
+@query(f"WITH {COO}, n AS (SELECT va.j, count(coo.i) AS n FROM va LEFT JOIN coo ON va.j = coo.j GROUP BY va.j) SELECT j + 1 AS pos, CAST(sum(n) OVER (ORDER BY j ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ptr FROM n UNION ALL SELECT 0, 0")
+def csc_indptr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.indptr(fixtures.counts(spark, sf_dir), fixtures.variables(spark, sf_dir), "var_idx")
+
+
+@query(f"WITH {COO} SELECT i AS obs_idx, list(j ORDER BY j) AS indices, list(v ORDER BY j) AS values FROM coo GROUP BY i")
+def csr_rows_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.packed_rows(fixtures.counts(spark, sf_dir))
+
+
+@query(f"WITH {COO} SELECT j AS var_idx, list(i ORDER BY i) AS indices, list(v ORDER BY i) AS values FROM coo GROUP BY j")
+def csc_cols_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.packed_rows(fixtures.counts(spark, sf_dir), "var_idx", "obs_idx")
+
+
+@query(f"WITH {COO} SELECT i AS obs_idx, j AS var_idx, v AS value FROM coo")
+def csc_to_csr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_column = layout.packed_rows(fixtures.counts(spark, sf_dir), "var_idx", "obs_idx")
+    return layout.ordered(layout.unpacked(by_column, "var_idx", "obs_idx").select("obs_idx", "var_idx", "value"))
+
+
+@query(f"WITH {COO} SELECT i - 100 AS obs_idx, j AS var_idx, v AS value FROM coo WHERE i >= 100 AND i < 900")
+def csr_slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.slice_rows(fixtures.counts(spark, sf_dir), 100, 900)
+
+
+@query(f"WITH {COO} SELECT ob.i // 1000 * 1000 AS row_offset, count(DISTINCT ob.i) AS nrows, count(coo.j) AS nnz, CAST(coalesce(sum(v), 0) AS BIGINT) AS total FROM ob LEFT JOIN coo ON ob.i = coo.i GROUP BY 1")
+def chunk_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.chunk_profile(fixtures.counts(spark, sf_dir), fixtures.observations(spark, sf_dir), 1000)
+
+
+@query("WITH e AS (SELECT vec_id, unnest(embedding) AS value, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS var_idx FROM embeddings) SELECT vec_id AS obs_idx, var_idx, value FROM e WHERE value <> 0")
+def dense_to_csr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.dense_to_triples(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query("SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, vec_id AS idx, unnest(embedding) AS value FROM embeddings")
+def obsm_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.transposed(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query("WITH e AS (SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, vec_id, unnest(embedding) AS value FROM embeddings) SELECT pos, list(value ORDER BY vec_id) AS vec FROM e GROUP BY pos")
+def obsm_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.dense_columns(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query(f"WITH {COO} SELECT ob.i AS idx, CAST(coalesce(sum(v), 0) AS BIGINT) AS total FROM ob LEFT JOIN coo ON ob.i = coo.i GROUP BY ob.i")
+def row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.sums(fixtures.counts(spark, sf_dir), fixtures.observations(spark, sf_dir), "obs_idx")
+
+
+@query(f"WITH {COO} SELECT va.j AS idx, CAST(coalesce(sum(v), 0) AS BIGINT) AS total FROM va LEFT JOIN coo ON va.j = coo.j GROUP BY va.j")
+def col_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.sums(fixtures.counts(spark, sf_dir), fixtures.variables(spark, sf_dir), "var_idx")
+
+
+@query(f"WITH {COO} SELECT count(*) AS nnz FROM coo")
+def x_nnz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.counts(spark, sf_dir).agg(F.count("*").alias("nnz"))
+
+
+@query(f"WITH {COO}, g AS (SELECT a.i, b.j FROM range(100) AS a(i), range(100) AS b(j)) SELECT g.i AS obs_idx, g.j AS var_idx, coalesce(v, 0) AS value FROM g LEFT JOIN coo ON g.i = coo.i AND g.j = coo.j")
+def submatrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.submatrix(fixtures.counts(spark, sf_dir), 100, 100)
+
+
+@query(f"WITH {COO} SELECT i AS obs_idx, j AS var_idx, c AS value FROM coo")
+def layer_price_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.cents(spark, sf_dir)
+
+
+@query(f"""WITH {COO} SELECT 'X' AS slot, '' AS key, (SELECT count(*) FROM ob) AS n_rows, (SELECT count(*) FROM va) AS n_cols, (SELECT count(*) FROM coo) AS nnz, 'u32' AS dtype
+UNION ALL SELECT 'layers', 'price_cents', (SELECT count(*) FROM ob), (SELECT count(*) FROM va), (SELECT count(*) FROM coo), 'f64'""")
+def slot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.dataset(spark, sf_dir).manifest()
+
+
+# Casts: totals in cents run past both integer types.
+
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.cents(spark, sf_dir).withColumn("value", ((F.col("value") - 1000000) * F.lit(1000.5)).cast("double"))
+
+
+@query(f"WITH {COO} SELECT i AS obs_idx, j AS var_idx, CAST(c AS FLOAT) AS value FROM coo")
+def cast_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.converted(fixtures.cents(spark, sf_dir), "f32")
+
+
+@query(f"WITH {COO} SELECT i AS obs_idx, j AS var_idx, CAST(c AS DOUBLE) AS value FROM coo")
+def cast_f64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.converted(fixtures.cents(spark, sf_dir), "f64")
+
+
+@query(f"WITH {COO}, w AS (SELECT i, j, (c - 1000000) * CAST(1000.5 AS DOUBLE) AS v FROM coo) SELECT i AS obs_idx, j AS var_idx, CAST(trunc(greatest(least(v, 2147483647), -2147483648)) AS INTEGER) AS value FROM w")
+def cast_i32_sat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.converted(_wide(spark, sf_dir), "i32")
+
+
+@query(f"WITH {COO}, w AS (SELECT i, j, (c - 1000000) * CAST(1000.5 AS DOUBLE) AS v FROM coo) SELECT i AS obs_idx, j AS var_idx, CAST(trunc(greatest(least(v, 4294967295), 0)) AS BIGINT) AS value FROM w")
+def cast_u32_sat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.converted(_wide(spark, sf_dir), "u32")
+
+
+# Codecs
+
+
+def _stream(spark: SparkSession, sf_dir: str, of: str) -> DataFrame:
+    """(k, v): indices or values of X in row order, numbered from row pointers and ranks inside rows."""
+    x = fixtures.counts(spark, sf_dir)
+    start = layout.indptr(x, fixtures.observations(spark, sf_dir), "obs_idx").select(F.col("pos").alias("obs_idx"), "ptr")
+    rows = layout.packed_rows(x).join(start, "obs_idx")
+    return rows.select("ptr", F.posexplode({"var_idx": "indices", "value": "values"}[of]).alias("at", "v")).select((F.col("ptr") + F.col("at")).alias("k"), "v")
+
+
+@query(f"WITH {STREAM} SELECT k, c, r, CAST(z AS BIGINT) AS u FROM s")
+def d1z_zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.d1z(_stream(spark, sf_dir, "var_idx"))
+
+
+@query(f"WITH {STREAM} SELECT c, CAST(prev AS BIGINT) AS start FROM s WHERE r = 0")
+def d1z_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.d1z_starts(_stream(spark, sf_dir, "var_idx"))
+
+
+@query(f"WITH {STREAM} SELECT k, c, r, CAST(f AS BIGINT) AS u FROM s")
+def for_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.frame(_stream(spark, sf_dir, "value"))
+
+
+@query(f"WITH {STREAM} SELECT c, CAST(CASE WHEN max(z) = 0 THEN 0 ELSE length(ltrim(bin(max(z)), '0')) END AS INTEGER) AS b FROM s GROUP BY c")
+def bp128_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.widths(codecs.d1z(_stream(spark, sf_dir, "var_idx")))
+
+
+@query(f"WITH {STREAM}, w AS (SELECT c, 4 * CASE WHEN max(z) = 0 THEN 0 ELSE length(ltrim(bin(max(z)), '0')) END AS n FROM s GROUP BY c) SELECT c + 1 AS c, CAST(sum(n) OVER (ORDER BY c ROWS UNBOUNDED PRECEDING) AS BIGINT) AS idx FROM w UNION ALL SELECT 0, 0")
+def bp128_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.word_offsets(codecs.d1z(_stream(spark, sf_dir, "var_idx")))
+
+
+@query(_pack_sql("z"))
+def bp128_d1z_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.pack(codecs.d1z(_stream(spark, sf_dir, "var_idx")))
+
+
+@query(_pack_sql("f"))
+def bp128_for_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.pack(codecs.frame(_stream(spark, sf_dir, "value")))
+
+
+@query(f"WITH {STREAM} SELECT k, CAST(j AS BIGINT) AS v FROM s")
+def bp128_d1z_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = _stream(spark, sf_dir, "var_idx")
+    coded = codecs.d1z(stream)
+    return codecs.undo_d1z(codecs.unpack(codecs.pack(coded), codecs.chunk_table(coded)), codecs.d1z_starts(stream))
+
+
+@query(f"WITH {STREAM} SELECT k, CAST(v AS BIGINT) AS v FROM s")
+def bp128_for_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = codecs.frame(_stream(spark, sf_dir, "value"))
+    return codecs.undo_frame(codecs.unpack(codecs.pack(coded), codecs.chunk_table(coded)))
+
+
+# Columns
+
+
+@query("WITH l AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)) SELECT doc_id, lang, code FROM documents LEFT JOIN l USING (lang)")
+def cat_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.encoded(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang").select("doc_id", "lang", "code")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS code, source AS level FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
+def cat_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.levels(table(spark, sf_dir, "documents"), "source")
+
+
+@query("SELECT doc_id, source AS label FROM documents")
+def cat_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    known = columns.levels(docs, "source")
+    return columns.decoded(columns.encoded(docs, "source", known).select("doc_id", "code"), "code", known, "label").select("doc_id", "label")
+
+
+@query("WITH l AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) AS INTEGER) AS factor FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)) SELECT doc_id, factor, lang AS label FROM documents LEFT JOIN l USING (lang)")
+def factor_1based(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    known = columns.levels(docs, "lang")
+    coded = columns.encoded(docs, "lang", known).select("doc_id", columns.factor(F.col("code")).alias("factor"))
+    return columns.decoded(coded, "factor", known, "label", base=1).select("doc_id", "factor", "label")
+
+
+@query("SELECT doc_id, coalesce(CAST(quality AS DOUBLE), -1) AS quality, quality IS NULL AS missing, coalesce(toxic = 1, false) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def nullable_to_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fixtures.cell_table(spark, sf_dir).select("doc_id", casts.nan_for_null(F.col("quality")).alias("q"), casts.false_for_null(F.col("toxic") == 1).alias("toxic"))
+    return cells.select("doc_id", F.nanvl("q", F.lit(-1.0)).alias("quality"), F.isnan("q").alias("missing"), "toxic")
+
+
+@query("SELECT doc_id, coalesce(toxic, 2) = 1 AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def logical_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.cell_table(spark, sf_dir).select("doc_id", casts.logical(F.coalesce("toxic", F.lit(2))).alias("toxic"))
+
+
+@query("SELECT doc_id, CAST(n_chars AS INTEGER) AS n_chars FROM documents")
+def widen_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", casts.widened(F.col("n_chars"), "bigint").alias("n_chars"))
+
+
+# Slots
+
+_SLOTS = ("X", "obs:status", "obs:total", "obs:urgent", "var:brand", "var:size", "layers:price_cents", "obsm:X_pca", "obsp:knn", "uns")
+_VALUES = ", ".join(f"('{x}')" for x in _SLOTS)
+
+
+def _slots(spark: SparkSession, keep: slots.SlotFilter) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in _SLOTS], "slot string").where(keep.condition(F.col("slot")))
+
+
+@query(f"SELECT slot FROM (VALUES {_VALUES}) AS t(slot) WHERE slot = 'X' OR slot = 'obs' OR slot LIKE 'obs:%' OR slot = 'var:size'")
+def slot_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _slots(spark, slots.SlotFilter.parse(only="X, obs,var:size"))
+
+
+@query(f"SELECT slot FROM (VALUES {_VALUES}) AS t(slot) WHERE NOT (slot = 'uns' OR slot = 'obs' OR slot LIKE 'obs:%' OR slot = 'layers:price_cents')")
+def slot_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _slots(spark, slots.SlotFilter.parse(exclude="uns, obs, layers:price_cents"))
+
+
+@query("SELECT o_orderkey AS orderkey, CASE WHEN o_orderstatus = 'F' THEN 'data' ELSE o_orderpriority END AS slot FROM orders")
+def x_slot_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("orderkey"), slots.x_slot_column(F.lit("auto"), F.col("o_orderpriority"), F.col("o_orderstatus") == "F").alias("slot"))
+
+
+@query("SELECT p_partkey AS partkey, 'X_' || lower(p_brand) AS key, lower(p_brand) AS name FROM part")
+def reduction_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey"), slots.reduction_key(F.col("p_brand")).alias("key"))
+    return p.withColumn("name", slots.reduction_name(F.col("key")))
+
+
+# Profiles and validation
+
+
+@query("""SELECT 'lang' AS "column", count(lang) AS n, count(*) - count(lang) AS n_null, count(DISTINCT lang) AS n_distinct FROM documents LEFT JOIN labels USING (doc_id)
+UNION ALL SELECT 'source', count(source), count(*) - count(source), count(DISTINCT source) FROM documents LEFT JOIN labels USING (doc_id)
+UNION ALL SELECT 'n_chars', count(n_chars), count(*) - count(n_chars), count(DISTINCT n_chars) FROM documents LEFT JOIN labels USING (doc_id)
+UNION ALL SELECT 'quality', count(quality), count(*) - count(quality), count(DISTINCT quality) FROM documents LEFT JOIN labels USING (doc_id)
+UNION ALL SELECT 'toxic', count(toxic), count(*) - count(toxic), count(DISTINCT toxic) FROM documents LEFT JOIN labels USING (doc_id)""")
+def inspect_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.column_profile(fixtures.cell_table(spark, sf_dir), ["lang", "source", "n_chars", "quality", "toxic"])
+
+
+@query("SELECT 'orders' AS name, count(*) = count(DISTINCT o_orderkey) AS ok, 'unique' AS detail FROM orders UNION ALL SELECT 'lines', count(*) = count(DISTINCT (l_orderkey, l_linenumber)), CAST(count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS VARCHAR) || ' duplicates' FROM lineitem")
+def index_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("id"))
+    return validate.unique(table(spark, sf_dir, "orders"), "o_orderkey", "orders").unionByName(validate.unique(lines, "id", "lines"))
+
+
+@query("SELECT p_partkey AS partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1993-01-01'")
+def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    early = table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp '1993-01-01'").select(F.col("l_partkey").alias("partkey"))
+    return validate.missing_rows(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey")), early, "partkey")
+
+
+@query(f"WITH {COO} SELECT ob.i // 1000 * 1000 AS row_offset, count(coo.j) >= 3900 AS enough FROM ob LEFT JOIN coo ON ob.i = coo.i GROUP BY 1")
+def qualifier_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = layout.chunk_profile(fixtures.counts(spark, sf_dir), fixtures.observations(spark, sf_dir), 1000)
+    return chunks.select("row_offset", validate.Qualifier.parse(">= 3900").condition(F.col("nnz")).alias("enough"))
+
+
+@query(f"""WITH {COO}, n AS (SELECT (SELECT count(*) FROM orders) AS o, (SELECT count(*) FROM part) AS p)
+SELECT 'obs' AS name, o >= 1000 AS ok, CAST(o AS VARCHAR) || ', expected >= 1000' AS detail FROM n
+UNION ALL SELECT 'vars', p < 100, CAST(p AS VARCHAR) || ', expected < 100' FROM n
+UNION ALL SELECT 'x_dtype', true, 'u32, expected u32'
+UNION ALL SELECT 'layers', false, 'missing: spliced'
+UNION ALL SELECT 'obs_columns', true, 'all 2 present'
+UNION ALL SELECT 'obs_index_unique', (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders), 'unique'
+UNION ALL SELECT 'check_finite', true, '0 values not finite'
+UNION ALL SELECT 'check_sorted_indices', true, '0 cells stored twice'""")
+def validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = validate.Schema.of({"obs": ">= 1000", "vars": "< 100", "x_dtype": "u32", "layers": ["price_cents", "spliced"], "obs_columns": ["status", "total"], "obs_index_unique": True, "check_finite": True, "check_sorted_indices": True})
+    report = validate.run(fixtures.dataset(spark, sf_dir), schema)
+    return spark.createDataFrame([(c.name, c.ok, c.detail) for c in report.checks], "name string, ok boolean, detail string")
+
+
+@query("SELECT 'check_finite' AS name, count(*) = 0 AS ok, CAST(count(*) AS VARCHAR) || ' values not finite' AS detail FROM (SELECT unnest(embedding) AS v FROM embeddings) WHERE v IS NULL OR NOT isfinite(v)")
+def check_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.finite(layout.dense_to_triples(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "check_finite")
+
+
+@query("SELECT 'sorted_indices' AS name, true AS ok, '0 rows not sorted' AS detail")
+def check_sorted_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.sorted_indices(layout.packed_rows(fixtures.counts(spark, sf_dir)))
+
+
+# Unstructured metadata and provenance
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.absent') AS absent FROM events")
+def uns_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uns.extracted(table(spark, sf_dir, "events").select("event_id", "props"), "props", {"k": "$.k", "absent": "$.absent"}).drop("props")
+
+
+@query("SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def uns_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uns.exploded(table(spark, sf_dir, "events"), "event_id", "props").where("value is not null")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def prov_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", provenance.sha256(F.col("text")).alias("sha256"))
+
+
+@query("""SELECT source, count(*) AS n_docs, '{"source":"' || source || '","n_obs":' || count(*) || ',"n_vars":' || max(n_chars) || ',"source_sha256":"' || sha256(source) || '"}' AS record FROM documents GROUP BY source""")
+def prov_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.max("n_chars").alias("most"))
+    return docs.select("source", "n_docs", provenance.record_column(F.col("source"), F.col("n_docs"), F.col("most"), provenance.sha256(F.col("source"))).alias("record"))
+
+
+# Graphs, sinks and sources, merging
+
+
+@query("WITH s AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey <= 200) SELECT a.l_suppkey AS i, b.l_suppkey AS j, count(*) AS value FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
+def obsp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers that share one of the first 200 parts; a stored graph for the tests, not a matrix operator."""
+    s = table(spark, sf_dir, "lineitem").where("l_partkey <= 200").select("l_partkey", "l_suppkey").distinct()
+    both = s.withColumnRenamed("l_suppkey", "i").join(s.withColumnRenamed("l_suppkey", "j"), "l_partkey").where("i < j")
+    return both.groupBy("i", "j").agg(F.count("*").alias("value"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new path that driver and executors share; a local one only where no shared folder is set."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annomat-")
+    return f"{top.removeprefix('file://')}/roundtrip-{uuid.uuid4().hex}"
+
+
+def _roundtrip(spark: SparkSession, sf_dir: str, format: str) -> DataFrame:
+    path = fixtures.dataset(spark, sf_dir).write(_scratch(spark), format)
+    return sources.read(spark, path, format).x
+
+
+@query(_ORACLES["x_coo"])
+def roundtrip_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _roundtrip(spark, sf_dir, "bundle")
+
+
+@query(_ORACLES["x_coo"])
+def roundtrip_npy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _roundtrip(spark, sf_dir, "npy")
+
+
+@query(_ORACLES["x_coo"])
+def roundtrip_bpcells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _roundtrip(spark, sf_dir, "bpcells")
+
+
+@query("SELECT doc_id, lang, quality, coalesce(toxic = 1, false) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def merge_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annomat.operators.merge import merged_columns
+
+    base = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    patch = table(spark, sf_dir, "labels").select("doc_id", "quality", (F.col("toxic") == 1).alias("toxic"))
+    return merged_columns(base, patch, "doc_id")
