@@ -134,7 +134,7 @@ class _Reader(RangeReader):
         self.found, self.slot = Directory(path), slot
         super().__init__(self.found.n_vars if slot == "var" else self.found.n_obs, chunk, "var_idx" if slot == "var" else "obs_idx")
 
-    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+    def rows_of(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         if self.slot == "X":
             yield self.found.rows(partition.start, partition.stop)
         else:

@@ -31,7 +31,10 @@ class RangeReader(DataSourceReader):
         self.start, self.stop, self.chunk, self.column = 0, n, chunk, column
 
     def partitions(self) -> list[InputPartition]:
-        return [Rows(a, min(a + self.chunk, self.stop)) for a in range(self.start, self.stop, self.chunk)]
+        return [Rows(a, min(a + self.chunk, self.stop)) for a in range(self.start, self.stop, self.chunk)] or [Rows(0, 0)]
+
+    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+        return self.rows_of(partition) if partition.start < partition.stop else iter(())
 
     def pushing(self) -> DataSourceReader:
         """The same reader taking filters; Spark allows that only where ``spark.sql.python.filterPushdown.enabled`` is set."""

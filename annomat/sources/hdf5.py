@@ -133,7 +133,7 @@ class _Reader(RangeReader):
         super().__init__(spot.shape[0], chunk, names[0])
         self.spot, self.names = spot, names
 
-    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+    def rows_of(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         yield self.spot.rows(partition.start, partition.stop, self.names)
 
 

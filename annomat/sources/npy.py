@@ -96,7 +96,7 @@ class _Reader(RangeReader):
         column = {"X": "obs_idx", "layers": "obs_idx", "obs": "obs_idx", "var": "var_idx", "obsp": "i", "varp": "i"}.get(slot, "idx")
         super().__init__(0 if slot == "X" and not self.meta.get("X") else n, chunk, column)
 
-    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+    def rows_of(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         a, b, at = partition.start, partition.stop, f"{self.path}/{self.slot}"
         if self.slot == "X" or self.slot in _SPARSE:
             own = self.meta["X"] if self.slot == "X" else self.meta[self.slot][self.key]
