@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RARE, blocks, starts_of_runs
+from .common import RARE, blocks, frugal, starts_of_runs
 
 #: Words whose ids a worker keeps, and UTF-8 bytes of text encoded together.
 KEPT_WORDS, ENCODE_BYTES = 200_000, 4 << 20
@@ -183,7 +183,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             ids = [list(map(int, x[1].split())) for x in got]
             yield pa.record_batch({"doc_id": part.column(0).cast(pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([x[2] for x in got], pa.string())})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), "doc_id long, ids array<int>, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,4 +200,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield pa.record_batch({"doc_id": part.column(0).cast(pa.int64()), "n_tokens": pa.array([x[0] for x in got], pa.int64()), "ids_sha256": pa.array(sha[0]), "decoded_sha256": pa.array(sha[1])})
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), schema)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters outside blocks whose letters and digits have long been settled; Unicode versions may class these differently.
 RARE = re.compile("[^\x00-\u024f\u0370-\u052f\u0590-\u06ff\u0900-\u0dff\u0e00-\u0e7f\u1e00-\u206f\u20a0-\u20bf\u2100-\u23ff\u2500-\u27bf\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f64f]")
 #: UTF-8 bytes of text that one numpy pass works on at a time.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,16 +45,30 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = as_bytes(batch.column(batch.schema.get_field_index(text)))
-        sizes = np.cumsum([len(v or b"") for v in values])
+        column = batch.column(batch.schema.get_field_index(text))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
         at = 0
-        while at < len(values):
+        while at < len(sizes):
             before = sizes[at - 1] if at else 0
             end = max(at + 1, int(np.searchsorted(sizes, before + limit, "right")))
-            yield batch.slice(at, end - at), values[at:end]
+            yield batch.slice(at, end - at), as_bytes(column.slice(at, end - at))
             at = end
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task ``run``, giving free memory back at its end: workers are used again and their heaps would add up."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return wrapped
+
+
 def longs(column: pa.Array, null: int = (1 << 63) - 1) -> np.ndarray:
     """An integer column as int64 with nulls replaced."""
     return column.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)

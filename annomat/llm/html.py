@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpoint
+from .common import as_bytes, checkpoint, frugal
 
 #: A subtree is template if it is on at least so many different pages of the host, and on this share of them.
 MIN_PAGES, SHARE = 5, 0.3
@@ -201,7 +201,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
                 marks += [mark] * (len(own) + 1)
             yield pa.record_batch({"host": pa.array(hosts, pa.string()), "hash": pa.array(hashes, pa.int64()), "mark": pa.array(marks, pa.int64())})
 
-    seen = pages.select("host", "html").mapInArrow(run, "host string, hash long, mark long").distinct()
+    seen = pages.select("host", "html").mapInArrow(frugal(run), "host string, hash long, mark long").distinct()
     counts = checkpoint(seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("hash").isNull()))
     whole = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     many = counts.where("hash is not null").join(whole, "host").where(F.col("n") >= share * F.col("pages"))
@@ -230,4 +230,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts.append(Page(raw.decode()).text(sets[host]))
             yield pa.record_batch({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return joined.select("page_id", "url", "host", "html", "hashes").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "host", "html", "hashes").mapInArrow(frugal(run), "page_id long, url string, text string, n_chars long")

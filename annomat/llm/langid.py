@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, starts_of_runs
+from .common import blocks, frugal, starts_of_runs
 
 #: Lengths of the n-grams; labelled rows that training reads at most; n-grams kept of each language and length; cells of
 #: the filter and hashes for an n-gram.
@@ -149,7 +149,7 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN) -> Filters:
                     key, count = np.unique(h[own == i], return_counts=True)
                     yield pa.record_batch({"h": key.view(np.int64), "n": np.full(len(key), n, np.int32), "lang": np.full(len(key), i, np.int32), "count": count.astype(np.int64)})
 
-    found = labelled.select("text", "lang").mapInArrow(run, "h long, n int, lang int, count long").groupBy("h", "n", "lang").agg(F.sum("count").alias("count"))
+    found = labelled.select("text", "lang").mapInArrow(frugal(run), "h long, n int, lang int, count long").groupBy("h", "n", "lang").agg(F.sum("count").alias("count"))
     whole = found.groupBy("n", "lang").agg(F.sum("count").alias("whole"))
     share = found.join(F.broadcast(whole), ["n", "lang"]).withColumn("rate", F.col("count") / F.col("whole"))
     most = share.withColumn("most", F.max("rate").over(Window.partitionBy("h"))).where(F.col("rate") >= SHARE * F.col("most")).where("count > 1 or whole < 100000")
@@ -176,7 +176,7 @@ def predictions(docs: DataFrame, filters: Filters, keep: list[str], text_col: st
             lang, score, cover = shared.value.decide(texts)
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(cover)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RARE, as_bytes
+from .common import RARE, as_bytes, frugal
 
 #: Ids in a piece of a left-over, and documents in a group on average.
 PIECE, GROUP_DOCS = 128, 1024
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, piece: int = PIECE,
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), PIECES)
 
 
 def difference(sizes: np.ndarray, ways: int) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, longs, partitions
+from .common import as_bytes, blocks, frugal, longs, partitions
 
 #: Least names kept of each level, the levels, and UTF-8 bytes parsed in one go (its arrays stay in the cache).
 KEEP, LEVELS, PARSE_BYTES = 32, (2, 3), 256 << 10
@@ -116,7 +116,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for part, texts in blocks(batches, "text", PARSE_BYTES):
             yield pa.record_batch({"doc_id": part.column(0), "fingerprint": pa.array([written(s) for s in sketches([t or b"" for t in texts])], pa.string())})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), "doc_id long, fingerprint string")
 
 
 def _bucket(key: Column, bounds: list[int], low: int = 0) -> Column:
@@ -189,4 +189,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield emit(held)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(frugal(run), schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpoint, longs, partitions, starts_of_runs
+from .common import blocks, checkpoint, frugal, longs, partitions, starts_of_runs
 
 #: Members of a posting, or of a block of a large one, that are compared with each other in one go.
 TILE = 1024
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int = 3, bits: int = 64, id_col: str =
         for part, texts in blocks(batches, "text"):
             yield pa.record_batch({"id": part.column(0).cast(pa.int64()), "fp": pa.array(fingerprints_of(texts, width, bits), pa.binary())})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), "id long, fp binary")
 
 
 def half_triples() -> list[tuple[int, ...]]:
@@ -205,10 +205,10 @@ def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, le
             yield pa.record_batch({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     n = partitions(spark)
-    posted = prints.mapInArrow(post, "key long, id long").repartition(n, "key").sortWithinPartitions("key")
-    tiled = posted.mapInArrow(tiles, "key long, tile long, side int, id long")
+    posted = prints.mapInArrow(frugal(post), "key long, id long").repartition(n, "key").sortWithinPartitions("key")
+    tiled = posted.mapInArrow(frugal(tiles), "key long, tile long, side int, id long")
     full = tiled.join(prints, "id").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
-    return full.select("key", "tile", "side", "id", "fp").mapInArrow(verify, "a long, b long").where("a <> b").distinct()
+    return full.select("key", "tile", "side", "id", "fp").mapInArrow(frugal(verify), "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import frugal, partitions
 
 #: Rows in a block of the index, queries in a query block, bits that a slice index keeps of a component and of a weight.
 ROWS, QUERIES, KEEP, WEIGHT = 8192, 128, 6, 4
@@ -179,7 +179,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
                 a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.record_batch({"query_id": a, "vec_id": b, "score": c})
 
-    best = met.select("dims", "q_ids", "q_data", "r_ids", "r_data").mapInArrow(run, "query_id long, vec_id long, score long")
+    best = met.select("dims", "q_ids", "q_data", "r_ids", "r_data").mapInArrow(frugal(run), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
