@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": topk.ORACLE}
+    return {"op7_substring": substring.ORACLE, "op8_topk": topk.ORACLE}

@@ -340,3 +340,18 @@ def cut_repeats(docs: DataFrame, window: int = 20, mini: int = 5, id_col: str =
     found = repeated_stretches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), window, mini)
     lists = found.groupBy(F.col("id").alias("_key")).agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("words"))).alias("_cut"))
     return keyed.join(lists, "_key", "left").select(*[F.col(f"`{c}`") for c in schema.names], "_cut").mapInArrow(run, schema)
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20)
+),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS n FROM g) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
