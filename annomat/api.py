@@ -48,7 +48,7 @@ def output_format(path: str, default: str = "bundle") -> str:
 
 def convert(
     spark: SparkSession, input: str, output: str, chunk_size: int = CHUNK_SIZE, dtype: str = "f32", assay: str = "RNA", layer: str = "counts", x_slot: str = "auto",
-    project: str = "SeuratProject", compat: bool = False, source_url: str | None = None, format: str | None = None,
+    project: str = "SeuratProject", compat: bool = False, source_url: str | None = None, format: str | None = None, packed: bool = True,
 ) -> str:
     """Rewrites a dataset in the output's format with X in ``dtype``, and records where it came from beside it."""
     spark_type(dtype)
@@ -59,7 +59,7 @@ def convert(
     slot = slots.x_slot(x_slot, layer, set(data.layers))
     layers = slots.without_collision(data.layers, slot) if target == "h5seurat" else data.layers
     data = replace(data, layers=layers, uns=uns.merged(data.uns, {provenance.UNS_KEY: found}))
-    data.write(output, target, **({"assay": assay, "x_slot": slot, "project": project, "compat": compat} if target == "h5seurat" else {}))
+    data.write(output, target, **({"assay": assay, "x_slot": slot, "project": project, "compat": compat, "packed": packed} if target == "h5seurat" else {}))
     if os.path.exists(output):  # not in stores that only Spark reaches
         provenance.write_sidecar(output, found | ({"output_sha256": provenance.sha256_file(output)} if os.path.isfile(output) else {}))
     return output

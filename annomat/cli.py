@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--x-slot", default="auto")
     c.add_argument("--project", default="SeuratProject")
     c.add_argument("--seuratdisk-compat", action="store_true", dest="compat")
+    c.add_argument("--dgcmatrix", action="store_false", dest="packed")
     c.add_argument("--source-url")
     c.add_argument("--format", choices=("bundle", "npy", "bpcells", "h5ad", "h5seurat"))
     verb("inspect", "input")
@@ -54,7 +55,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     """0 if all is well, 1 for a dataset that fails its validation."""
     where = {"assay": args.assay, "layer": args.layer, "chunk_size": args.chunk_size}
     if args.verb == "convert":
-        print(api.convert(spark, args.input, args.output, dtype=args.dtype, x_slot=args.x_slot, project=args.project, compat=args.compat, source_url=args.source_url, format=args.format, **where))
+        print(api.convert(spark, args.input, args.output, dtype=args.dtype, x_slot=args.x_slot, project=args.project, compat=args.compat, source_url=args.source_url, format=args.format, packed=args.packed, **where))
     elif args.verb == "inspect":
         print(api.inspect(spark, args.input, **where))
     elif args.verb == "snapshot":

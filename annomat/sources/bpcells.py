@@ -11,7 +11,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
@@ -150,19 +150,20 @@ def read(spark: SparkSession, path: str, chunk_size: int = CHUNK_SIZE, **_: Any)
     return AnnotatedMatrix(spark, head.n_obs, head.n_vars, head.dtype, load("X"), load("obs"), load("var"), format="bpcells")
 
 
-def write(data: AnnotatedMatrix, path: str, packed: bool = True, **_: Any) -> str:
-    """X as a directory in column order. Chunks are packed by executors and arrive here one partition at a time, in order.
+def stored_dtype(dtype: str) -> str:
+    """The layout has no signed integers; they are cast to unsigned ones, saturating."""
+    return "u32" if dtype == "i32" else dtype
+
+
+def encoded(x: DataFrame, n_obs: int, dtype: str, packed: bool) -> tuple[DataFrame, DataFrame]:
+    """(c, index, n_index, start, val, n_val) of each chunk of 128 entries in row order, encoded by executors, and the row pointers.
 
-    Signed integers are cast to unsigned (saturating); only ids of obs and var are kept of the tables.
+    Both are range-partitioned and sorted, so that reading one partition after the other gives the stream.
     """
-    dtype = "u32" if data.dtype == "i32" else data.dtype
-    os.makedirs(path, exist_ok=True)
-    axis = data.obs.select(F.col("obs_idx").alias("idx"))
-    pointers = indptr(data.x, axis, "obs_idx")
+    pointers = indptr(x, x.sparkSession.range(n_obs).withColumnRenamed("id", "idx"), "obs_idx")
     rank = F.row_number().over(Window.partitionBy("obs_idx").orderBy("var_idx")) - 1
     start = pointers.select(F.col("pos").alias("obs_idx"), "ptr")
-    value = to_dtype(F.col("value"), dtype)
-    cells = data.x.withColumn("value", value).withColumn("k", rank).join(start, "obs_idx").select((F.col("ptr") + F.col("k")).alias("k"), "var_idx", "value")
+    cells = x.withColumn("value", to_dtype(F.col("value"), dtype)).withColumn("k", rank).join(start, "obs_idx").select((F.col("ptr") + F.col("k")).alias("k"), "var_idx", "value")
     chunks = cells.groupBy(F.shiftright("k", 7).alias("c")).agg(F.array_sort(F.collect_list(F.struct("k", "var_idx", "value"))).alias("e"))
     chunks = chunks.select("c", F.col("e.var_idx").alias("index"), F.col("e.value").alias("value"))
     carried = chunks.select((F.col("c") + 1).alias("c"), F.element_at("index", -1).alias("before"))
@@ -188,7 +189,16 @@ def write(data: AnnotatedMatrix, path: str, packed: bool = True, **_: Any) -> st
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["c", "index", "n_index", "start", "val", "n_val"])
 
-    done = ordered(chunks.mapInArrow(run, "c long, index binary, n_index long, start long, val binary, n_val long"), "c", "c")
+    schema = "c long, index binary, n_index long, start long, val binary, n_val long"
+    return ordered(chunks.mapInArrow(run, schema), "c", "c"), ordered(pointers, "pos", "pos")
+
+
+def write(data: AnnotatedMatrix, path: str, packed: bool = True, **_: Any) -> str:
+    """X as a directory in column order; of the tables only the ids are kept. Chunks arrive one partition at a time."""
+    dtype = stored_dtype(data.dtype)
+    integers = dtype == "u32"
+    os.makedirs(path, exist_ok=True)
+    done, pointers = encoded(data.x, data.n_obs, dtype, packed)
     index_name, val_name = ("index_data" if packed else "index"), ("val_data" if packed and integers else "val")
     sizes: dict[str, list[int]] = {"index": [0], "val": [0]}
     starts: list[int] = []
@@ -213,7 +223,7 @@ def write(data: AnnotatedMatrix, path: str, packed: bool = True, **_: Any) -> st
             turns = np.searchsorted(total, np.arange(1, (int(total[-1]) >> 32) + 1) << 32)
             put(f"{name}_idx", total & 0xFFFFFFFF, "<u4")
             put(f"{name}_idx_offsets", [0, *turns.tolist(), len(total)], "<u8")
-    put("idxptr", [r["ptr"] for r in ordered(pointers, "pos", "pos").toLocalIterator()], "<u8")
+    put("idxptr", [r["ptr"] for r in pointers.toLocalIterator()], "<u8")
     put("shape", [data.n_vars, data.n_obs], "<u4")
     for file, df, axis_name in (("col_names", data.obs, "obs"), ("row_names", data.var, "var")):
         with open(f"{path}/{file}", "w", encoding="utf-8") as f:

@@ -25,6 +25,7 @@ from annomat.operators.columns import code_width
 from annomat.operators.layout import indptr, ordered, stored_transposed
 from annomat.operators.profile import column_kinds
 from annomat.operators.uns import strict
+from annomat.sources import bpcells
 from annomat.sources.chunks import CHUNK_SIZE, RangeReader, Rows, chosen, option, pushdown, triples
 
 
@@ -376,6 +377,33 @@ def _put_sparse(g: Any, x: DataFrame, n: int, dtype: str, names: tuple[str, str]
     _grow(pointers, [r["ptr"] for r in ordered(indptr(x, axis, names[0]), "pos", "pos").toLocalIterator()])
 
 
+def _put_packed(g: Any, x: DataFrame, n: int, m: int, dtype: str, ids: tuple[list[str], list[str]] | None) -> None:
+    """Rows of x as a packed group: one stream of 128-value chunks over all rows, as its readers expect."""
+    dtype = bpcells.stored_dtype(dtype)
+    kind, integers = {"u32": "<u4", "f32": "<f4", "f64": "<f8"}[dtype], dtype == "u32"
+    done, pointers = bpcells.encoded(x, n, dtype, True)
+    index, val = _append(g, "index_data", "<u4"), _append(g, "val_data" if integers else "val", kind)
+    begin, starts = {"index": [0], "val": [0]}, []
+    for row in done.toLocalIterator(prefetchPartitions=True):
+        _grow(index, np.frombuffer(row["index"], "<u4"))
+        _grow(val, np.frombuffer(row["val"], kind))
+        begin["index"].append(begin["index"][-1] + row["n_index"])
+        begin["val"].append(begin["val"][-1] + row["n_val"])
+        starts.append(row["start"])
+    g.create_dataset("index_starts", data=np.asarray(starts, "<u4"))
+    for name in ("index", *(("val",) if integers else ())):
+        total = np.asarray(begin[name], np.int64)
+        turns = np.searchsorted(total, np.arange(1, (int(total[-1]) >> 32) + 1) << 32)
+        g.create_dataset(f"{name}_idx", data=(total & 0xFFFFFFFF).astype("<u4"))
+        g.create_dataset(f"{name}_idx_offsets", data=np.asarray([0, *turns.tolist(), len(total)], "<u8"))
+    _grow(_append(g, "idxptr", "<u8"), [r["ptr"] for r in pointers.toLocalIterator()])
+    g.create_dataset("shape", data=np.asarray([m, n], "<u4"))
+    g.create_dataset("storage_order", data=np.asarray(["col"], object))
+    for name, own in zip(("row_names", "col_names"), ids or ([], []), strict=True):
+        g.create_dataset(name, data=np.asarray(own, object))
+    g.attrs["version"] = np.asarray([f"packed-{ {'u32': 'uint', 'f32': 'float', 'f64': 'double'}[dtype]}-matrix-v2"], object)
+
+
 def _rows(df: DataFrame, idx: str) -> list:
     return list(ordered(df, idx, idx).toLocalIterator())
 
@@ -435,7 +463,8 @@ def _write_h5ad(data: AnnotatedMatrix, path: str, dtype: str) -> None:
             _put_sparse(g, df, shape[0], kind, names)
 
 
-def _write_h5seurat(data: AnnotatedMatrix, path: str, assay: str, x_slot: str, project: str, compat: bool) -> None:
+def _write_h5seurat(data: AnnotatedMatrix, path: str, assay: str, x_slot: str, project: str, compat: bool, packed: bool) -> None:
+    names_of: dict[str, list[str]] = {}
     with _h5().File(path, "w") as f:
         if compat:
             f.attrs["project"], f.attrs["active.assay"], f.attrs["version"] = project, assay, "3.1.5.9900"
@@ -447,6 +476,7 @@ def _write_h5seurat(data: AnnotatedMatrix, path: str, assay: str, x_slot: str, p
         for slot, at in (("obs", "meta.data"), ("var", f"assays/{assay}/meta.features")):
             known = data.levels.get(slot, {})
             ids, columns = _columns(getattr(data, slot), slot, known)
+            names_of[slot] = ids
             (f if slot == "obs" else base).create_dataset("cell.names" if slot == "obs" else "features", data=np.asarray(ids, object))
             g = f.create_group(at)
             g.attrs["colnames"] = np.asarray([c for c, _, _ in columns], object)
@@ -464,19 +494,23 @@ def _write_h5seurat(data: AnnotatedMatrix, path: str, assay: str, x_slot: str, p
                 g = f.require_group(f"reductions/{key.removeprefix('X_')}")
                 g.create_dataset(name, data=np.asarray([r["vec"] for r in _rows(getattr(data, slot)[key], "idx")], "<f8").T)
         _put_json(f.create_group("misc"), data.uns)
-        entries = [(f"assays/{assay}/{x_slot}", data.x, data.n_vars, ("obs_idx", "var_idx"))]
-        entries += [(f"assays/{assay}/{k}", d, data.n_vars, ("obs_idx", "var_idx")) for k, d in data.layers.items() if k != x_slot]
-        entries += [(f"graphs/{k}", d, data.n_obs, ("i", "j")) for k, d in data.obsp.items()]
-        for name, df, m, names in entries:
+        entries = [(f"assays/{assay}/{x_slot}", data.x, data.n_vars, ("obs_idx", "var_idx"), data.dtype)]
+        entries += [(f"assays/{assay}/{k}", d, data.n_vars, ("obs_idx", "var_idx"), data.layer_dtypes.get(k, "f32")) for k, d in data.layers.items() if k != x_slot]
+        entries += [(f"graphs/{k}", d, data.n_obs, ("i", "j"), "f32") for k, d in data.obsp.items()]
+        for name, df, m, names, dtype in entries:
             g = f.create_group(name)
+            if packed:
+                ids = (names_of["obs"] if name.startswith("graphs/") else names_of["var"], names_of["obs"])
+                _put_packed(g, df.select(F.col(names[0]).alias("obs_idx"), F.col(names[1]).alias("var_idx"), "value"), data.n_obs, m, dtype, ids)
+                continue
             g.attrs["dims"] = np.asarray([m, data.n_obs], "<i8")
             _put_sparse(g, df, data.n_obs, "f64", names)
 
 
-def write(data: AnnotatedMatrix, path: str, format: str = "h5ad", dtype: str | None = None, assay: str = "RNA", x_slot: str = "counts", project: str = "SeuratProject", compat: bool = False, **_: Any) -> str:
-    """One file; ``varp`` has no place in either layout. JSON that a layout can't hold is dropped."""
+def write(data: AnnotatedMatrix, path: str, format: str = "h5ad", dtype: str | None = None, assay: str = "RNA", x_slot: str = "counts", project: str = "SeuratProject", compat: bool = False, packed: bool = False, **_: Any) -> str:
+    """One file, with bit-packed matrices if ``packed`` (Seurat-style files only); ``varp`` has no place in either layout. JSON that a layout can't hold is dropped."""
     if format == "h5ad":
         _write_h5ad(data, path, dtype or data.dtype)
     else:
-        _write_h5seurat(replace(data, x=data.x), path, assay, x_slot, project, compat)
+        _write_h5seurat(replace(data, x=data.x), path, assay, x_slot, project, compat, packed)
     return path

@@ -1,0 +1,98 @@
+"""As much of the h5py interface as the adapters use, kept in a pickle; stands in where the real package is missing."""
+
+import os
+import pickle
+
+import numpy as np
+
+
+class Dataset:
+    def __init__(self, data):
+        self.data, self.attrs = data, {}
+
+    shape = property(lambda self: self.data.shape)
+    dtype = property(lambda self: self.data.dtype)
+
+    def __len__(self):
+        return len(self.data)
+
+    def __getitem__(self, at):
+        if isinstance(at, tuple) and at == ():
+            return self.data[()] if self.data.shape else self.data.item()
+        return self.data[at]
+
+    def __setitem__(self, at, values):
+        self.data[at] = values
+
+    def resize(self, shape):
+        grown = np.zeros(shape, self.data.dtype)
+        grown[: min(len(self.data), shape[0])] = self.data[: shape[0]]
+        self.data = grown
+
+
+class Group:
+    def __init__(self):
+        self.items_, self.attrs = {}, {}
+
+    def keys(self):
+        return self.items_.keys()
+
+    def __iter__(self):
+        return iter(sorted(self.items_))
+
+    def _find(self, path):
+        now = self
+        for part in path.strip("/").split("/"):
+            if not isinstance(now, Group) or part not in now.items_:
+                return None
+            now = now.items_[part]
+        return now
+
+    def __contains__(self, path):
+        return self._find(path) is not None
+
+    def __getitem__(self, path):
+        if (found := self._find(path)) is None:
+            raise KeyError(path)
+        return found
+
+    def get(self, path, default=None):
+        found = self._find(path)
+        return default if found is None else found
+
+    def require_group(self, path):
+        now = self
+        for part in path.split("/"):
+            now = now.items_.setdefault(part, Group())
+        return now
+
+    def create_group(self, path):
+        if path in self and self[path].items_:
+            raise ValueError(f"{path} exists")
+        return self.require_group(path)
+
+    def create_dataset(self, path, data=None, shape=None, dtype=None, maxshape=None, chunks=None):
+        top, _, name = path.rpartition("/")
+        value = np.zeros(shape, dtype) if data is None else np.asarray(data.encode() if isinstance(data, str) else data, dtype)
+        if value.dtype == object:
+            value = np.array([x.encode() if isinstance(x, str) else x for x in value.tolist()], object)
+        (self.require_group(top) if top else self).items_[name] = made = Dataset(value)
+        return made
+
+
+class File(Group):
+    def __init__(self, path, mode="r"):
+        super().__init__()
+        self.path, self.mode = path, mode
+        if mode == "r":
+            with open(path, "rb") as f:
+                self.items_, self.attrs = pickle.load(f)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        if self.mode != "r":
+            with open(f"{self.path}.part", "wb") as f:
+                pickle.dump((self.items_, self.attrs), f)
+            os.replace(f"{self.path}.part", self.path)
