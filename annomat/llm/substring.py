@@ -25,10 +25,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, checkpoint, longs, partitions
+from .common import as_bytes, blocks, checkpoint, frugal, longs, partitions
 
-#: Buckets for each shuffle partition; UTF-8 bytes of text that one map block covers.
-BUCKETS_EACH, MAP_BYTES = 16, 6 << 20
+#: Buckets for each shuffle partition; UTF-8 bytes of text that one map block covers; level of compression on the way.
+BUCKETS_EACH, MAP_BYTES, LEVEL = 16, 4 << 20, 5
 _U = np.uint64
 
 
@@ -40,7 +40,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class _Windows:
     """Windows of a block of documents with their minimisers."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes | None], window: int, mini: int):
+    def __init__(self, ids: np.ndarray, texts: list[bytes | None], window: int):
         words, doc, start = [], [], []
         for k, text in enumerate(texts):
             own = (text or b"").split()
@@ -59,42 +59,43 @@ class _Windows:
         self.begins = self.ends - size
         h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), "<u8")
         at = self.n - window + 1
-        gram = np.zeros(self.n - mini + 1, _U)
-        for j in range(mini):
-            gram = gram * _U(0x9E3779B97F4A7C15) + h[j : j + len(gram)]
-        self.gram = _mix(gram)
         self.valid = self.doc[:at] == self.doc[window - 1 :]
-        self.window, self.reach = window, window - mini + 1
-        self.hash = h
+        self.window, self.hash = window, h
 
-    def minimisers(self) -> np.ndarray:
-        """The least gram of each window."""
-        low, span = self.gram, 1
-        while span * 2 <= self.reach:
+    def minimisers(self, mini: int) -> np.ndarray:
+        """The least hash of ``mini``-word grams of each window."""
+        low = np.zeros(self.n - mini + 1, _U)
+        for j in range(mini):
+            low = low * _U(0x9E3779B97F4A7C15) + self.hash[j : j + len(low)]
+        low, span, reach = _mix(low), 1, self.window - mini + 1
+        while span * 2 <= reach:
             low = np.minimum(low[:-span], low[span:])
             span *= 2
-        rest = self.reach - span
+        rest = reach - span
         return np.minimum(low[:-rest], low[rest:]) if rest else low
 
-    def window_hash(self) -> np.ndarray:
-        out = np.zeros(self.n - self.window + 1, _U)
-        for j in range(self.window):
-            out = out * _U(0xC2B2AE3D27D4EB4F) + self.hash[j : j + len(out)]
-        return _mix(out)
-
-    def runs(self, minimiser: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First window and number of windows of each super-k-mer; windows in ``single`` stay alone."""
-        cut = np.ones(len(minimiser), bool)
-        cut[1:] = (minimiser[1:] != minimiser[:-1]) | single[1:] | single[:-1] | (self.doc[1 : len(minimiser)] != self.doc[: len(minimiser) - 1])
-        cut[1:] |= self.valid[1:] != self.valid[:-1]
+    def keys(self, mini: int, heavy: np.ndarray) -> np.ndarray:
+        """What each window is dealt by: its minimiser, or that of longer grams where the first is heavy."""
+        key = self.minimisers(mini)
+        if len(heavy):
+            common = np.isin(key, heavy)
+            if common.any():
+                key = np.where(common, self.minimisers(max(mini, self.window * 3 // 5)) ^ _U(0xC2B2AE3D27D4EB4F), key)
+        return key
+
+    def runs(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First window and number of windows of each super-k-mer."""
+        cut = np.ones(len(key), bool)
+        cut[1:] = (key[1:] != key[:-1]) | (self.doc[1 : len(key)] != self.doc[: len(key) - 1]) | (self.valid[1:] != self.valid[:-1])
         first = np.flatnonzero(cut)
-        size = np.diff(np.append(first, len(minimiser)))
+        size = np.diff(np.append(first, len(key)))
         return first[self.valid[first]], size[self.valid[first]]
 
 
 def _pack(parts: list[np.ndarray], text: bytes) -> bytes:
+    parts = [np.diff(p, prepend=0) if k in (0, 2) else p for k, p in enumerate(parts)]  # documents rise, so steps are small
     raw = b"".join([struct.pack("<3q", len(parts[0]), len(parts[2]), len(text)), *(p.astype("<i8").tobytes() for p in parts), text])
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(raw)
 
 
 def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -104,7 +105,7 @@ def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
     for k in (n, n, m, m, m):
         parts.append(np.frombuffer(raw, "<i8", k, at))
         at += 8 * k
-    return parts, raw[at : at + size]
+    return [np.cumsum(p) if k in (0, 2) else p for k, p in enumerate(parts)], raw[at : at + size]
 
 
 def _repeats(doc: np.ndarray, start: np.ndarray, text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,10 +182,10 @@ def heavy_minimisers(docs: DataFrame, window: int, mini: int, buckets: int) -> n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mins, total = [], 0
         for part, texts in blocks(batches, "text"):
-            w = _Windows(longs(part.column(0)), texts, window, mini)
+            w = _Windows(longs(part.column(0)), texts, window)
             if w.n:
-                low = w.minimisers()
-                first, _ = w.runs(low, np.zeros(len(low), bool))
+                low = w.minimisers(mini)
+                first, _ = w.runs(low)
                 mins.append(low[first])
                 total += len(first)
             if sum(map(len, mins)) > 4_000_000:
@@ -199,7 +200,7 @@ def heavy_minimisers(docs: DataFrame, window: int, mini: int, buckets: int) -> n
             keys, counts = np.append(key[much].view(np.int64), 0), np.append(n[much], total).astype(np.int64)
             yield pa.record_batch({"key": keys, "n": counts, "total": np.append(np.zeros(much.sum(), bool), True)})
 
-    found = checkpoint(docs.select("id", "text").mapInArrow(run, "key long, n long, total boolean").groupBy("key", "total").agg(F.sum("n").alias("n")))
+    found = checkpoint(docs.select("id", "text").mapInArrow(frugal(run), "key long, n long, total boolean").groupBy("key", "total").agg(F.sum("n").alias("n")))
     whole = found.where("total").agg(F.sum("n")).first()[0] or 0
     rows = found.where(~F.col("total") & (F.col("n") >= whole / (2 * buckets))).select("key").collect()
     return np.sort(np.array([r["key"] for r in rows], np.int64).view(_U))
@@ -210,24 +211,18 @@ def repeated_stretches(docs: DataFrame, window: int = 20, mini: int = 5) -> Data
     spark = docs.sparkSession
     n = partitions(spark)
     buckets = n * BUCKETS_EACH
-    hot = heavy_minimisers(docs, window, mini, buckets)
+    heavy = heavy_minimisers(docs, window, mini, buckets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text", MAP_BYTES):
-            w = _Windows(longs(part.column(0)), texts, window, mini)
+            w = _Windows(longs(part.column(0)), texts, window)
             if not w.n:
                 continue
-            low = w.minimisers()
-            single = np.isin(low, hot) if len(hot) else np.zeros(len(low), bool)
-            first, size = w.runs(low, single)
+            key = w.keys(mini, heavy)
+            first, size = w.runs(key)
             if not len(first):
                 continue
-            alone = single[first]
-            key = low[first]
-            if alone.any():
-                key = key.copy()
-                key[alone] = w.window_hash()[first[alone]]
-            bucket = (_mix(key) % _U(buckets)).astype(np.int64)
+            bucket = (_mix(key[first]) % _U(buckets)).astype(np.int64)
             doc, start = w.ids[first], w.start[first]
             order = np.lexsort((start, doc, bucket))
             s, e = w.begins[first], w.ends[first + size + window - 2]
@@ -268,8 +263,8 @@ def repeated_stretches(docs: DataFrame, window: int = 20, mini: int = 5) -> Data
         if held and (out := join(held)) is not None:
             yield out
 
-    sent = docs.select("id", "text").mapInArrow(cut, "bucket long, packed binary")
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id long, start long, words long")
+    sent = docs.select("id", "text").mapInArrow(frugal(cut), "bucket long, packed binary")
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(meet), "id long, start long, words long")
 
 
 def removed_mask(n: int, stretches: np.ndarray) -> np.ndarray:
@@ -314,7 +309,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, mini: int = 5, id_col: str
             yield pa.record_batch({"doc_id": batch.column(0).cast(pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
 
     rows = _with_stretches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), window, mini)
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(frugal(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, window: int = 20, mini: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,7 +334,7 @@ def cut_repeats(docs: DataFrame, window: int = 20, mini: int = 5, id_col: str =
     keyed = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_key"))
     found = repeated_stretches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), window, mini)
     lists = found.groupBy(F.col("id").alias("_key")).agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("words"))).alias("_cut"))
-    return keyed.join(lists, "_key", "left").select(*[F.col(f"`{c}`") for c in schema.names], "_cut").mapInArrow(run, schema)
+    return keyed.join(lists, "_key", "left").select(*[F.col(f"`{c}`") for c in schema.names], "_cut").mapInArrow(frugal(run), schema)
 
 
 ORACLE = r"""
