@@ -19,13 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, checkpoint, frugal, longs, partitions
+from .common import blocks, checkpoint, frugal, longs, partitions, picked
 
 #: Order of the model, rows of log probabilities that are copied to executors at most, and symbols' worth of the language's
 #: mean that a text's own mean is drawn towards.
 ORDER, LOCAL_ROWS, PRIOR = 5, 4_000_000, 40
-#: Bits of the filter through which trusted texts are picked before they are joined with their labels: 8 MB at every size.
-SIFT_BITS = 1 << 26
 #: A text is kept up to this quantile of its language's trusted texts that were not trained on, and this much above (nats
 #: for each symbol). One in ``CALIBRATE`` trusted texts is kept from training for that.
 QUANTILE, MARGIN, CALIBRATE = 0.99, 0.15, 5
@@ -148,7 +146,7 @@ def scored(docs: DataFrame, logp: DataFrame, order: int = ORDER, local_rows: int
 
     if logp.count() <= local_rows:
         found = logp.sort("gram").toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((found["gram"].to_numpy(), found["logp"].to_numpy()))
+        shared = docs.sparkSession.sparkContext.broadcast((found["gram"].to_numpy(), found["logp"].to_numpy().astype(np.float64)))
         del found
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,46 +178,6 @@ def scored(docs: DataFrame, logp: DataFrame, order: int = ORDER, local_rows: int
     return dealt.groupBy("_batch").cogroup(answers.groupBy("_batch")).applyInArrow(far, schema)
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    """Two bits of the filter for each id."""
-    h = ids.astype(np.uint64)
-    out = []
-    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        x = (h ^ np.uint64(seed)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        out.append((x ^ (x >> np.uint64(29))) & np.uint64(SIFT_BITS - 1))
-    return np.stack(out).astype(np.int64)
-
-
-def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text) whose doc_id is in ``ids`` (doc_id).
-
-    Only texts that pass a Bloom filter of the ids are shuffled for the join. The filter has a fixed size; with more ids than
-    it is made for it lets more texts pass, and the join still decides.
-    """
-
-    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(_places(longs(batch.column(0))))
-            word = at >> 6
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(at) else np.empty(0, np.int64)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.empty(0, np.uint64)
-            yield pa.record_batch({"word": word[first], "bits": bits.view(np.int64)})
-
-    words = ids.select("doc_id").mapInArrow(frugal(set_bits), "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    table = np.zeros(SIFT_BITS >> 6, np.uint64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _places(longs(batch.column(0)))
-            hit = ((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
-            yield batch.filter(pa.array(hit))
-
-    return docs.select("doc_id", "text").mapInArrow(frugal(sift), "doc_id long, text string").join(ids, "doc_id", "left_semi")
-
-
 def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(doc_id, lang, symbols, perplexity, threshold, keep) of every row of ``docs`` (doc_id, text, lang).
 

@@ -11,7 +11,7 @@ cut into pairs of blocks, each a task's worth of work of fixed size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -20,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpoint, frugal, longs, partitions, starts_of_runs
+from .common import as_bytes, blocks, checkpoint, frugal, longs, partitions, picked, starts_of_runs
 
 #: Members of a posting, or of a block of a large one, that are compared with each other in one go.
 TILE = 1024
+#: Members up to which all links are returned and not only a spanning forest.
+ALL_LINKS = 16
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -88,42 +90,49 @@ def spread_triples(n_bytes: int, count: int, seed: int = 7) -> list[tuple[int, .
     return out[:count]
 
 
-def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, max_bits: int, least: int, same: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the verified links between two blocks of row numbers (one block if ``same``)."""
-    lanes = fp.view(np.uint64) if fp.shape[1] % 8 == 0 else None
-    parent = {i: i for i in {*left.tolist(), *right.tolist()}}
+def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, max_bits: int, least: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Verified links (i, j, bits) between two blocks of row numbers (one block if ``same``).
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
+    All of them for a few members, else those of a least spanning forest by differing bits.
+    """
+    lanes = fp.view(np.uint64)
+    found = []
     for k, i in enumerate(left.tolist()):
         others = right[k + 1 :] if same else right
-        if not len(others):
-            continue
-        if lanes is not None and lanes.shape[1] == 1:
-            x = lanes[others, 0] ^ lanes[i, 0]
-            near = others[np.bitwise_count(x) <= max_bits]
-        else:
-            x = fp[others] ^ fp[i]
-            shared = (x == 0).sum(axis=1)  # the tally of positional bytes
-            likely = np.flatnonzero(shared >= least)
-            near = others[likely[np.bitwise_count(x[likely]).sum(axis=1) <= max_bits]]
-        if lanes is not None and lanes.shape[1] == 1 and least > 0 and len(near):
-            near = near[(fp[near] == fp[i]).sum(axis=1) >= least]
-        for j in near.tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[b] = a
-                out.append((i, j))
-    return out
+        if len(others):
+            bits = np.bitwise_count(lanes[others] ^ lanes[i]).sum(axis=1)
+            near = np.flatnonzero(bits <= max_bits)
+            if len(near):  # the tally of positional bytes
+                near = near[(fp[others[near]] == fp[i]).sum(axis=1) >= least]
+                found.append((np.full(len(near), i), others[near], bits[near].astype(np.int64)))
+    if not found:
+        none = np.empty(0, np.int64)
+        return none, none, none
+    i, j, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+    members = len(left) + (0 if same else len(right))
+    if members <= ALL_LINKS or len(i) < members:
+        return i, j, bits
+    parent = {x: x for x in {*i.tolist(), *j.tolist()}}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    order, keep = np.argsort(bits, kind="stable"), []
+    for k, x, y in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
+        a, b = root(x), root(y)
+        if a != b:
+            parent[b] = a
+            keep.append(k)
+            if len(keep) == len(parent) - 1:
+                break
+    return i[keep], j[keep], bits[keep]
 
 
 def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, least: int) -> DataFrame:
-    """Edges (a, b) between ids of distinct fingerprints ``(id, fp)`` that make the same components as all links do."""
+    """Edges (a, b, bits) between ids of distinct fingerprints ``(id, fp)`` that make the same components as all links do."""
     spark = prints.sparkSession
     sets = np.array(positions)
 
@@ -190,25 +199,24 @@ def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, le
             first, ends = first[keep], ends[keep]
             two = first[ends - first == 2]
             x = fp[two] ^ fp[two + 1]
-            good = two[((x == 0).sum(axis=1) >= least) & (np.bitwise_count(x).sum(axis=1) <= max_bits)]
-            pairs = [(ids[good], ids[good + 1])]
+            apart = np.bitwise_count(x).sum(axis=1).astype(np.int64)
+            ok = ((x == 0).sum(axis=1) >= least) & (apart <= max_bits)
+            pairs = [(ids[two[ok]], ids[two[ok] + 1], apart[ok])]
             for s, e in zip(first.tolist(), ends.tolist(), strict=True):
                 if e - s > 2:
                     own = np.arange(s, e)
                     split = side[s:e] == 1
                     a, b = (own[~split], own[split]) if split.any() else (own, own)
-                    found = _forest(fp, a, b, max_bits, least, not split.any())
-                    if found:
-                        i, j = np.array(found).T
-                        pairs.append((ids[i], ids[j]))
-            a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
-            yield pa.record_batch({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                    i, j, bits = _forest(fp, a, b, max_bits, least, not split.any())
+                    pairs.append((ids[i], ids[j], bits))
+            a, b, bits = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            yield pa.record_batch({"a": np.minimum(a, b), "b": np.maximum(a, b), "bits": bits})
 
     n = partitions(spark)
     posted = prints.mapInArrow(frugal(post), "key long, id long").repartition(n, "key").sortWithinPartitions("key")
     tiled = posted.mapInArrow(frugal(tiles), "key long, tile long, side int, id long")
     full = tiled.join(prints, "id").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
-    return full.select("key", "tile", "side", "id", "fp").mapInArrow(frugal(verify), "a long, b long").where("a <> b").distinct()
+    return full.select("key", "tile", "side", "id", "fp").mapInArrow(frugal(verify), "a long, b long, bits long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,15 +241,16 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def grouped(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, least: int) -> DataFrame:
+def grouped(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, least: int, sure: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, fp, component_id) for every row of ``prints``; equal fingerprints are always linked.
 
-    A null id keeps its fingerprint and takes its component from the other rows; it is null if there is none.
+    ``sure`` may drop edges (a, b, bits) after a closer look. A null id keeps its fingerprint and takes its component from
+    the other rows; it is null if there is none.
     """
     prints = checkpoint(prints)
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("id")).where("id is not null").select("id", "fp")
-    distinct = checkpoint(distinct)
-    found = components(links(distinct, positions, max_bits, least))
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("id")).where("id is not null").select("id", "fp"))
+    edges = links(distinct, positions, max_bits, least)
+    found = components(sure(checkpoint(edges)) if sure else edges)
     owner = distinct.join(found, distinct.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(owner, "fp", "left").select("id", "fp", "component_id")
 
@@ -256,14 +265,46 @@ def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id",
     return out.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: For similarity 0.8: the share of differing bits is arccos(2s / (1 + s)) / pi = 0.152 on average, of 512 bits 78, and the
-#: deviation is 8; the limit leaves most of a deviation above it.
-WIDE_BITS, WIDE_TABLES, WIDE_MAX, WIDE_LEAST = 512, 96, 84, 3
+#: At a similarity s of shingles, two fingerprints differ in a share of arccos(2s / (1 + s)) / pi of their bits on average:
+#: 0.152 at 0.8, which is 78 of 512 bits with a deviation of 8. Pairs up to ``WIDE_SURE`` bits (similarity 0.86 on average)
+#: are links, those up to ``WIDE_MAX`` are decided by their shingles.
+WIDE_BITS, WIDE_TABLES, WIDE_MAX, WIDE_LEAST, WIDE_SURE = 512, 160, 100, 3, 52
+
+
+def similarity(a: bytes | None, b: bytes | None, width: int) -> float:
+    """Jaccard similarity of the sets of word shingles; two wordless texts are alike."""
+    sets = []
+    for text in (a, b):
+        words = (text or b"").lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    both = len(sets[0] | sets[1])
+    return len(sets[0] & sets[1]) / both if both else 1.0
+
+
+def similar(edges: DataFrame, docs: DataFrame, width: int, least: float, sure: int) -> DataFrame:
+    """Edges (a, b) of at most ``sure`` bits, and others whose texts (doc_id, text) have the similarity ``least``.
+
+    Only texts that a doubtful edge names are shuffled.
+    """
+    doubt = edges.where(F.col("bits") > sure).select("a", "b")
+    named = doubt.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = checkpoint(picked(docs.select("doc_id", "text"), named).groupBy("doc_id").agg(F.min("text").alias("text")))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, left in blocks(batches, "left"):
+            right = as_bytes(part.column(part.schema.get_field_index("right")))
+            ok = np.array([similarity(x, y, width) >= least for x, y in zip(left, right, strict=True)], bool)
+            yield part.select(["a", "b"]).filter(pa.array(ok))
+
+    pairs = doubt.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
+    return edges.where(F.col("bits") <= sure).select("a", "b").unionByName(pairs.select("a", "b", "left", "right").mapInArrow(frugal(look), "a long, b long"))
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) by 512-bit fingerprints over five-word shingles, for a shingle similarity of 0.8 or more."""
-    out = grouped(fingerprints(docs, width, WIDE_BITS, id_col, text_col), spread_triples(WIDE_BITS // 8, WIDE_TABLES), WIDE_MAX, WIDE_LEAST)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    look = lambda edges: similar(edges, rows, width, least, WIDE_SURE)
+    out = grouped(fingerprints(docs, width, WIDE_BITS, id_col, text_col), spread_triples(WIDE_BITS // 8, WIDE_TABLES), WIDE_MAX, WIDE_LEAST, look)
     return out.select(F.col("id").alias("doc_id"), "component_id")
 
 
