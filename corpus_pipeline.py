@@ -14,31 +14,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from annomat.llm import langid, packing, quality, simhash, substring
 from annomat.llm.catalogue import vocabulary
-from annomat.llm.common import table
+from annomat.llm.common import small_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no known language: without letters, or with next to no n-gram of any learned language."""
+    small_batches(spark)
     return langid.keep_identified(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose perplexity under the model of trusted text is above their language's threshold."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    small_batches(spark)
     return simhash.deduplicate(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts windows of 20 words that occur earlier in the corpus; documents stay, n_chars follows the text."""
+    small_batches(spark)
     return substring.cut_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 1024 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
