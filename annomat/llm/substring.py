@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, blocks, checkpoint, frugal, longs, partitions
 
 #: Buckets for each shuffle partition; UTF-8 bytes of text that one map block covers; level of compression on the way.
-BUCKETS_EACH, MAP_BYTES, LEVEL = 16, 4 << 20, 5
+BUCKETS_EACH, MAP_BYTES, LEVEL = 8, 4 << 20, 5
 _U = np.uint64
 
 
@@ -188,7 +188,7 @@ def heavy_minimisers(docs: DataFrame, window: int, mini: int, buckets: int) -> n
                 first, _ = w.runs(low)
                 mins.append(low[first])
                 total += len(first)
-            if sum(map(len, mins)) > 4_000_000:
+            if sum(map(len, mins)) > 1_000_000:
                 yield from share(mins, total)
                 mins, total = [], 0
         yield from share(mins, total)
