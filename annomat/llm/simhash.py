@@ -7,11 +7,14 @@ half). Postings hold distinct fingerprints only. Inside a posting the shared pos
 pairs below the guaranteed count are dropped and the rest are verified by Hamming distance; what leaves a posting is a
 spanning forest of its verified links, so the output is linear in the posting's size. Postings over ``TILE`` members are
 cut into pairs of blocks, each a task's worth of work of fixed size.
+
+Where shingles decide (``near_duplicate_groups``), such links are only candidates: their components are blocks, and inside a
+block all pairs of different texts are compared by their sets of shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, checkpoint, frugal, longs, partitions, picked, starts_of_runs
+from .common import blocks, checkpoint, frugal, longs, partitions, picked, starts_of_runs
 
 #: Members of a posting, or of a block of a large one, that are compared with each other in one go.
 TILE = 1024
@@ -35,20 +38,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints_of(texts: list[bytes | None], width: int, bits: int) -> list[bytes]:
-    """SimHash of each text over its word shingles, big-endian; zero where there is no word."""
-    digest, digests, counts = xxhash.xxh64_digest, [], []
+def shingles(text: bytes | None, width: int) -> list[bytes]:
+    """Digests of a text's word shingles in order; a shorter text is one shingle, a wordless one none."""
+    digest, words = xxhash.xxh64_digest, (text or b"").lower().split()
+    n = max(1, len(words) - width + 1) if words else 0
+    if n < 2:
+        return [digest(b" ".join(words), 42)] * n
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begin = np.concatenate([[0], ends[:-1] + 1])
+    return [digest(joined[s:e], 42) for s, e in zip(begin[:n].tolist(), ends[width - 1 :].tolist(), strict=True)]
+
+
+def fingerprints_of(texts: list[bytes | None], width: int, bits: int, distinct: bool = False) -> list[bytes]:
+    """SimHash of each text over its word shingles (each counted once if ``distinct``), big-endian; zero where there is no word."""
+    digests, counts = [], []
     for text in texts:
-        words = (text or b"").lower().split()
-        n = max(1, len(words) - width + 1) if words else 0
-        counts.append(n)
-        if n == 1:
-            digests.append(digest(b" ".join(words), 42))
-        elif n:
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            begin = np.concatenate([[0], ends[:-1] + 1])
-            digests.extend([digest(joined[s:e], 42) for s, e in zip(begin[:n].tolist(), ends[width - 1 :].tolist(), strict=True)])
+        own = shingles(text, width)
+        if distinct:
+            own = dict.fromkeys(own)
+        counts.append(len(own))
+        digests.extend(own)
     n = np.array(counts, np.int64)
     out = np.zeros((len(texts), bits), np.int64)
     if digests:
@@ -81,13 +91,11 @@ def half_triples() -> list[tuple[int, ...]]:
     return [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 
 
-def spread_triples(n_bytes: int, count: int, seed: int = 7) -> list[tuple[int, ...]]:
-    """``count`` sets of three positions that use every position about equally often."""
-    rng, out = np.random.default_rng(seed), []
-    while len(out) < count:
-        order = rng.permutation(n_bytes)
-        out += [tuple(sorted(order[i : i + 3].tolist())) for i in range(0, n_bytes - 2, 3)]
-    return out[:count]
+def spread_triples(n_bits: int, rounds: int, seed: int = 7) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """An order of bits that lays out a fingerprint ``rounds`` times, and triples of bytes of that; those of a round share no bit."""
+    rng, size = np.random.default_rng(seed), n_bits // 8
+    order = np.concatenate([rng.permutation(n_bits) for _ in range(rounds)])
+    return order, [(k, k + 1, k + 2) for r in range(rounds) for k in range(r * size, (r + 1) * size - 2, 3)]
 
 
 def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, max_bits: int, least: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,10 +139,14 @@ def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, max_bits: int,
     return i[keep], j[keep], bits[keep]
 
 
-def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, least: int) -> DataFrame:
-    """Edges (a, b, bits) between ids of distinct fingerprints ``(id, fp)`` that make the same components as all links do."""
+def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, least: int, order: np.ndarray | None = None) -> DataFrame:
+    """Edges (a, b, bits) between ids of distinct fingerprints ``(id, fp)`` that make the same components as all links do.
+
+    With ``order``, the positions are those of the fingerprint's bits in that order.
+    """
     spark = prints.sparkSession
     sets = np.array(positions)
+    n = partitions(spark)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,12 +154,44 @@ def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, le
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                if order is not None:
+                    fp = np.packbits(np.unpackbits(fp, axis=1)[:, order], axis=1)
                 key = np.zeros((part.num_rows, len(sets)), np.int64)
                 for k in range(sets.shape[1]):
                     key = (key << 8) | fp[:, sets[:, k]]
                 key |= np.arange(len(sets)) << (8 * sets.shape[1])
                 yield pa.record_batch({"key": key.ravel(), "id": np.repeat(longs(part.column(0)), len(sets))})
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Postings dealt to ranges of keys, as byte planes that the shuffle compresses well."""
+        for batch in post(batches):
+            key, ids = longs(batch.column(0)), longs(batch.column(1))
+            bucket = key * (4 * n) // (len(sets) << (8 * sets.shape[1]))
+            by = np.argsort(bucket, kind="stable")
+            rows, bucket = np.stack([key[by], ids[by]], axis=1), bucket[by]
+            first = starts_of_runs(bucket)
+            blobs = [np.ascontiguousarray(x.view(np.uint8).T).tobytes() for x in np.split(rows, first[1:])]
+            yield pa.record_batch({"bucket": bucket[first], "blob": pa.array(blobs, pa.binary())})
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted postings of one range of keys after the other."""
+        held, now = [], None
+
+        def emit() -> pa.RecordBatch:
+            rows = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(16, -1).T).view(np.int64) for x in held])
+            by = np.argsort(rows[:, 0])
+            return pa.record_batch({"key": rows[by, 0], "id": rows[by, 1]})
+
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and bucket != now:
+                    yield emit()
+                    held = []
+                held.append(blob)
+                now = bucket
+        if held:
+            yield emit()
+
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Postings with two members or more; a large one as pairs of blocks (part 0, 1 of a tile)."""
         held_key, held = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -212,9 +256,12 @@ def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, le
             a, b, bits = (np.concatenate(p) for p in zip(*pairs, strict=True))
             yield pa.record_batch({"a": np.minimum(a, b), "b": np.maximum(a, b), "bits": bits})
 
-    n = partitions(spark)
-    posted = prints.mapInArrow(frugal(post), "key long, id long").repartition(n, "key").sortWithinPartitions("key")
-    tiled = posted.mapInArrow(frugal(tiles), "key long, tile long, side int, id long")
+    if order is None:
+        posted = prints.mapInArrow(frugal(post), "key long, id long").repartition(n, "key").sortWithinPartitions("key")
+        tiled = posted.mapInArrow(frugal(tiles), "key long, tile long, side int, id long")
+    else:
+        posted = prints.mapInArrow(frugal(pack), "bucket long, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+        tiled = posted.mapInArrow(frugal(lambda batches: tiles(unpack(batches))), "key long, tile long, side int, id long")
     full = tiled.join(prints, "id").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
     return full.select("key", "tile", "side", "id", "fp").mapInArrow(frugal(verify), "a long, b long, bits long").where("a <> b").distinct()
 
@@ -241,16 +288,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def grouped(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, least: int, sure: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def grouped(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, least: int) -> DataFrame:
     """(id, fp, component_id) for every row of ``prints``; equal fingerprints are always linked.
 
-    ``sure`` may drop edges (a, b, bits) after a closer look. A null id keeps its fingerprint and takes its component from
-    the other rows; it is null if there is none.
+    A null id keeps its fingerprint and takes its component from the other rows; it is null if there is none.
     """
     prints = checkpoint(prints)
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("id")).where("id is not null").select("id", "fp"))
-    edges = links(distinct, positions, max_bits, least)
-    found = components(sure(checkpoint(edges)) if sure else edges)
+    found = components(links(distinct, positions, max_bits, least))
     owner = distinct.join(found, distinct.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(owner, "fp", "left").select("id", "fp", "component_id")
 
@@ -266,46 +311,94 @@ def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id",
 
 
 #: At a similarity s of shingles, two fingerprints differ in a share of arccos(2s / (1 + s)) / pi of their bits on average:
-#: 0.152 at 0.8, which is 78 of 512 bits with a deviation of 8. Pairs up to ``WIDE_SURE`` bits (similarity 0.86 on average)
-#: are links, those up to ``WIDE_MAX`` are decided by their shingles.
-WIDE_BITS, WIDE_TABLES, WIDE_MAX, WIDE_LEAST, WIDE_SURE = 512, 160, 100, 3, 52
-
-
-def similarity(a: bytes | None, b: bytes | None, width: int) -> float:
-    """Jaccard similarity of the sets of word shingles; two wordless texts are alike."""
-    sets = []
-    for text in (a, b):
-        words = (text or b"").lower().split()
-        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
-    both = len(sets[0] | sets[1])
-    return len(sets[0] & sets[1]) / both if both else 1.0
-
-
-def similar(edges: DataFrame, docs: DataFrame, width: int, least: float, sure: int) -> DataFrame:
-    """Edges (a, b) of at most ``sure`` bits, and others whose texts (doc_id, text) have the similarity ``least``.
-
-    Only texts that a doubtful edge names are shuffled.
+#: 0.152 at 0.8, which is 78 of 512 bits with a deviation of 8. Pairs that agree in a table and differ in ``WIDE_MAX`` bits or
+#: less are candidates, and their shingles decide. ``WIDE_ROUNDS``
+#: have 21 tables each.
+WIDE_BITS, WIDE_ROUNDS, WIDE_MAX = 512, 8, 100
+#: Texts, and bytes of text, that are compared with each other in one go.
+BLOCK_TEXTS, BLOCK_SIZE = 512, 8 << 20
+
+
+def alike(texts: list[bytes | None], width: int, least: float) -> list[tuple[int, int]]:
+    """Links (i, j) that make the same components as all pairs of texts whose sets of shingles have the similarity ``least``."""
+    sets = [np.unique(np.frombuffer(b"".join(shingles(t, width)), np.uint64)) for t in texts]
+    size = np.array([len(x) for x in sets])
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    holders = owner[np.argsort(shingle, kind="stable")]
+    many = np.bincount(shingle)
+    start = np.cumsum(many) - many
+    parent, out = np.arange(len(sets)), []
+    for i, own in enumerate(np.split(shingle, np.cumsum(size)[:-1])):
+        n = many[own]
+        at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(holders[at], minlength=len(sets))[:i]
+        near = np.flatnonzero(both >= least * (size[:i] + size[i] - both)) if size[i] else np.flatnonzero(size[:i] == 0)
+        if len(near):
+            roots, first = np.unique(parent[near], return_index=True)
+            out += [(i, j) for j in near[first].tolist()]
+            parent[np.isin(parent, roots)] = roots[0]
+            parent[i] = roots[0]
+    return out
+
+
+def alike_in_blocks(members: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """Edges (a, b) between the nodes of ``members`` (node, component) whose texts in ``docs`` (doc_id, text) are alike.
+
+    All pairs of a component are compared. A large one is cut into parts that meet in pairs, each of a bounded size.
     """
-    doubt = edges.where(F.col("bits") > sure).select("a", "b")
-    named = doubt.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = checkpoint(picked(docs.select("doc_id", "text"), named).groupBy("doc_id").agg(F.min("text").alias("text")))
+    n = partitions(members.sparkSession)
+    texts = picked(docs, members.select(F.col("node").alias("doc_id"))).distinct()
+    rows = checkpoint(texts.join(members.withColumnRenamed("node", "doc_id"), "doc_id"))
+    sizes = rows.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_SIZE), F.lit(1)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.col("parts")).cast("int")
+    dealt = rows.join(sizes, "component").withColumn("part", part)
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("part")))
+    met = dealt.withColumn("other", F.explode(others)).select("component", (F.shiftleft(low.cast("long"), 32) + high).alias("tile"), "doc_id", "text")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, left in blocks(batches, "left"):
-            right = as_bytes(part.column(part.schema.get_field_index("right")))
-            ok = np.array([similarity(x, y, width) >= least for x, y in zip(left, right, strict=True)], bool)
-            yield part.select(["a", "b"]).filter(pa.array(ok))
+        now, ids, held = None, [], []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1:
+                found = alike(held, width, least)
+                yield pa.record_batch({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+
+        for rows, own in blocks(batches, "text"):
+            for key, doc, text in zip(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True), rows.column(2).to_pylist(), own, strict=True):
+                if key != now:
+                    yield from emit()
+                    now, ids, held = key, [], []
+                ids.append(doc)
+                held.append(text)
+        yield from emit()
 
-    pairs = doubt.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-    return edges.where(F.col("bits") <= sure).select("a", "b").unionByName(pairs.select("a", "b", "left", "right").mapInArrow(frugal(look), "a long, b long"))
+    return met.repartition(n, "component", "tile").sortWithinPartitions("component", "tile").mapInArrow(frugal(look), "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) by 512-bit fingerprints over five-word shingles, for a shingle similarity of 0.8 or more."""
+    """(doc_id, component_id) for a similarity of at least ``least`` of the sets of word shingles.
+
+    Equal sequences of words are one node. Candidates are equal 512-bit fingerprints and near ones; a fingerprint counts
+    every repeat of a shingle.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    look = lambda edges: similar(edges, rows, width, least, WIDE_SURE)
-    out = grouped(fingerprints(docs, width, WIDE_BITS, id_col, text_col), spread_triples(WIDE_BITS // 8, WIDE_TABLES), WIDE_MAX, WIDE_LEAST, look)
-    return out.select(F.col("id").alias("doc_id"), "component_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks(batches, "text"):
+            words = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
+            yield pa.record_batch({"id": part.column(0), "words": pa.array(words, pa.binary()), "fp": pa.array(fingerprints_of(texts, width, WIDE_BITS), pa.binary())})
+
+    prints = checkpoint(rows.mapInArrow(frugal(run), "id long, words binary, fp binary"))
+    nodes = checkpoint(prints.groupBy("words").agg(F.min("id").alias("id"), F.first("fp").alias("fp")).where("id is not null"))
+    distinct = checkpoint(nodes.groupBy("fp").agg(F.min("id").alias("id")).select("id", "fp"))
+    order, triples = spread_triples(WIDE_BITS, WIDE_ROUNDS)
+    near = links(distinct, triples, WIDE_MAX, 0, order).select("a", "b")
+    equal = nodes.join(distinct.withColumnRenamed("id", "a"), "fp").select("a", F.col("id").alias("b")).where("a <> b")
+    found = components(alike_in_blocks(checkpoint(components(near.unionByName(equal))), rows, width, least))
+    owner = nodes.join(found, nodes.id == found.node, "left").select("words", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(owner, "words", "left").select(F.col("id").alias("doc_id"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -225,6 +225,40 @@ def test_near_duplicates(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in found.items() if i == c} and "component_id" in kept.columns
 
 
+def shingle_sets(texts, width=5):
+    return [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in map(str.split, texts)]
+
+
+def near_groups(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(df).collect()}
+
+
+def test_near_duplicates_in_a_crowd(spark):
+    """Variants around the threshold without a common original: every pair of similarity 0.8 is linked, whatever else is near."""
+    rng = random.Random(5)
+    base, texts = [f"w{k}" for k in range(300)], []
+    for k in range(400):
+        words = list(base)
+        for at in rng.sample(range(300), 8):
+            words[at] = f"c{k}x{at}"
+        texts.append(" ".join(words))
+    sets, parent = shingle_sets(texts), list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    want = {i: root(i) for i in range(len(texts))}
+    assert len(set(want.values())) > 20 and near_groups(spark, texts) == want
+
+
 # 4 BPE
 
 
