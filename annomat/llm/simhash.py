@@ -312,9 +312,9 @@ def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id",
 
 #: At a similarity s of shingles, two fingerprints differ in a share of arccos(2s / (1 + s)) / pi of their bits on average:
 #: 0.152 at 0.8, which is 78 of 512 bits with a deviation of 8. Pairs that agree in a table and differ in ``WIDE_MAX`` bits or
-#: less are candidates, and their shingles decide. ``WIDE_ROUNDS``
-#: have 21 tables each.
-WIDE_BITS, WIDE_ROUNDS, WIDE_MAX = 512, 8, 100
+#: less (five deviations more; a similarity of 0.59 on average) are candidates, and their shingles decide. ``WIDE_ROUNDS`` of
+#: 21 tables each find 0.99 of the pairs at 0.8.
+WIDE_BITS, WIDE_ROUNDS, WIDE_MAX = 512, 20, 120
 #: Texts, and bytes of text, that are compared with each other in one go.
 BLOCK_TEXTS, BLOCK_SIZE = 512, 8 << 20
 

@@ -259,6 +259,20 @@ def test_near_duplicates_in_a_crowd(spark):
     assert len(set(want.values())) > 20 and near_groups(spark, texts) == want
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Of 600 pairs of a similarity from 0.8 to 0.81, 0.98 at least are found."""
+    rng, texts = random.Random(6), []
+    while len(texts) < 1200:
+        k = len(texts)
+        words = [f"w{k}x{i}" for i in range(rng.randint(200, 500))]
+        copy = words[: round(len(words) * 0.895)] + [f"v{k}x{i}" for i in range(round(len(words) * 0.105))]
+        a, b = shingle_sets([" ".join(words), " ".join(copy)])
+        if 0.8 <= len(a & b) / len(a | b) <= 0.81:
+            texts += [" ".join(words), " ".join(copy)]
+    got = near_groups(spark, texts)
+    assert sum(got[k] == got[k + 1] for k in range(0, 1200, 2)) >= 0.98 * 600
+
+
 # 4 BPE
 
 
