@@ -380,15 +380,15 @@ def alike_in_blocks(members: DataFrame, docs: DataFrame, width: int, least: floa
 def near_duplicate_groups(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for a similarity of at least ``least`` of the sets of word shingles.
 
-    Equal sequences of words are one node. Candidates are equal 512-bit fingerprints and near ones; a fingerprint counts
-    every repeat of a shingle.
+    Equal sequences of words are one node. Candidates are equal 512-bit fingerprints and near ones; a fingerprint counts each
+    shingle once.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text"):
             words = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
-            yield pa.record_batch({"id": part.column(0), "words": pa.array(words, pa.binary()), "fp": pa.array(fingerprints_of(texts, width, WIDE_BITS), pa.binary())})
+            yield pa.record_batch({"id": part.column(0), "words": pa.array(words, pa.binary()), "fp": pa.array(fingerprints_of(texts, width, WIDE_BITS, True), pa.binary())})
 
     prints = checkpoint(rows.mapInArrow(frugal(run), "id long, words binary, fp binary"))
     nodes = checkpoint(prints.groupBy("words").agg(F.min("id").alias("id"), F.first("fp").alias("fp")).where("id is not null"))

@@ -273,6 +273,15 @@ def test_near_duplicates_at_the_threshold(spark):
     assert sum(got[k] == got[k + 1] for k in range(0, 1200, 2)) >= 0.98 * 600
 
 
+def test_near_duplicates_count_a_shingle_once(spark):
+    """Repeats in a text neither make unlike texts alike nor hide like ones."""
+    loop = " ".join(f"s{i}" for i in range(20))
+    own = [" ".join(f"{x}{i}" for i in range(40)) for x in "ab"]
+    words = [f"w{i}" for i in range(250)]
+    texts = [f"{loop} " * 60 + own[0], f"{loop} " * 60 + own[1], " ".join(words), " ".join(words + words[:50] * 5)]
+    assert near_groups(spark, texts) == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
 # 4 BPE
 
 
