@@ -70,7 +70,7 @@ def grown(paths: DataFrame, levels: int = LEVELS, branch: float = BRANCH) -> Dat
         # At most 1 / branch segments of a node are left to be merged.
         open_ = fixed.where("_b is null").withColumn("_b", F.lit(None).cast("string"))
         by = Window.partitionBy("host", "template").orderBy(F.col("_b").isNotNull(), F.desc("n"), "_s")
-        for _ in range(2):  # each round names the largest branch left and those like it
+        for _ in range(round(1 / branch)):  # each round names the largest branch left and those like it
             first = {c: F.first(c).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in ("n", "block", "allow", "leaf", "number", "_s")}
             open_ = open_.withColumns({f"_1{c}": x for c, x in first.items()})
             alike = F.lit(True)

@@ -157,6 +157,16 @@ def test_url_templates(spark):
     assert got[0]["template"] != got[42]["template"]
 
 
+def test_url_templates_merge_every_kind(spark):
+    """Five kinds of sections, two sections each: those of the smaller kinds are merged as well."""
+    tails = {"a": "{k}", "b": "x/{k}", "c": "{k}/x/y", "d": "x/y", "e": "x"}
+    urls_ = [f"http://h.example/{kind}{i}/{tail.format(k=k)}" for size, (kind, tail) in enumerate(tails.items()) for i in (1, 2) for k in range(200 - 20 * size)]
+    rules = [("block", f"h.example/{x}/") for x in ("b1", "b2")] + [("allow", f"h.example/{x}/") for x in ("d1", "d2")]
+    got = urls.judged(spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string"), rules).collect()
+    first = {r["path"].split("/")[1]: r["template"].split("/")[1] for r in got}
+    assert all(first[f"{kind}1"] == first[f"{kind}2"] for kind in tails) and len(set(first.values())) >= 4
+
+
 # 3 SimHash
 
 
