@@ -1,9 +1,10 @@
 """URL filters: fixed host and path rules, and for the rest a path-template tree learned for each host.
 
-The tree is grown level by level with DataFrame operations on counts of distinct paths. At a node, segments that look like
-numbers or ids, and segments too rare to be a branch of their own, become wildcards. Of the branches left, those that are
-statistically like a larger sibling (in the labelled block and allow shares and in how many urls end or go on with a
-number, each within 1.96 standard errors) are merged with it. The rules' verdicts are the labels. A template is rejected if
+The tree is grown level by level, until all paths end, with DataFrame operations on counts of distinct paths. At a node,
+segments that look like numbers or ids, and segments of fewer urls than a verdict needs labels, become wildcards. All others
+are branches, however many; the largest takes those that are statistically like it (in the labelled block and allow shares
+and in how many urls end or go on with a number, each within 1.96 standard errors), then the largest left does, until each
+is merged or leads. Branches of equal counts are merged first, so a node is as large as its number of different counts. The rules' verdicts are the labels. A template is rejected if
 most of its urls are labelled and the smoothed purity of its labels reaches the limit.
 """
 
@@ -11,16 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 
 #: (verdict, rule): a rule is a host, and a path that starts at its first slash.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Levels of the tree; deeper segments join the last. The share of a node's urls from which a segment is a branch.
-LEVELS, BRANCH = 4, 0.05
-#: Purity from which a template is rejected, weight of the even prior, labels and labelled share needed.
+#: Purity from which a template is rejected, weight of the even prior, labels (and urls of a branch) and labelled share needed.
 PURITY, PRIOR, LEAST, SUPPORT = 0.8, 2.0, 5, 0.5
 _VARIABLE = r"^(?:[0-9]+(?:[-_.][0-9]+)*(?:\.[A-Za-z]+)?|[0-9a-fA-F]{8,}|[0-9a-fA-F-]{32,36}|[^A-Za-z]*[0-9][^A-Za-z]*|.{33,})$"
 
@@ -43,45 +42,51 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple
     return rule, verdict
 
 
-def _like(a: str, n: Column, other: str, m: Column) -> Column:
-    """Whether two shares differ by no more than 1.96 standard errors of their pool."""
-    x, y = F.col(a), F.col(other)
-    pool = (x + y) / (n + m)
-    return F.abs(x / n - y / m) <= 1.96 * F.sqrt(pool * (1 - pool) * (1 / n + 1 / m)) + 1e-9
+_COUNTS = ("n", "block", "allow", "leaf", "number")
 
 
-def grown(paths: DataFrame, levels: int = LEVELS, branch: float = BRANCH) -> DataFrame:
+def _like(a: Column, b: Column) -> Column:
+    """Whether no share of two branches differs by more than 1.96 standard errors of their pool."""
+    n, m, alike = a["n"], b["n"], F.lit(True)
+    for c in _COUNTS[1:]:
+        pool = (a[c] + b[c]) / (n + m)
+        alike = alike & (F.abs(a[c] / n - b[c] / m) <= 1.96 * F.sqrt(pool * (1 - pool) * (1 / n + 1 / m)) + 1e-9)
+    return alike
+
+
+def merged(branches: DataFrame) -> DataFrame:
+    """``branches`` (host, template, _s and counts) with the branch ``_b`` that each is merged with, itself if none."""
+    node = ["host", "template"]
+    kinds = branches.groupBy(*node, *_COUNTS).agg(F.min("_s").alias("_s"))
+    nodes = kinds.groupBy(*node).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("order"), "_s", *_COUNTS))).alias("_kinds"))
+    lead = F.aggregate("_kinds", F.slice("_kinds", 1, 0), lambda led, k: F.when(F.exists(led, lambda x: _like(x, k)), led).otherwise(F.concat(led, F.array(k))))
+    named = F.transform("_kinds", lambda k: F.struct(*[k[c].alias(c) for c in _COUNTS], F.get(F.filter("_led", lambda x: _like(x, k)), F.lit(0))["_s"].alias("_b")))
+    found = nodes.withColumn("_led", lead).select(*node, F.inline(named))
+    return branches.join(found, [*node, *_COUNTS])
+
+
+def grown(paths: DataFrame) -> DataFrame:
     """``paths`` (host, path, n, block, allow) with the template of each."""
     cut = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = checkpoint(paths).withColumn("_segments", cut).withColumn("template", F.lit(""))
-    for level in range(1, levels + 1):
+    rows = checkpoint(paths.withColumn("_segments", cut).withColumn("template", F.lit("")))
+    depth = rows.agg(F.max(F.size("_segments"))).first()[0] or 0
+    done = rows.where(F.size("_segments") == 0)
+    for level in range(1, depth + 1):
+        rows = rows.where(F.size("_segments") >= level)
         segment = F.get("_segments", F.lit(level - 1))
         after = F.get("_segments", F.lit(level))
-        rows = rows.withColumn("_s", F.when(segment.isNull(), F.lit("")).when(segment.rlike(_VARIABLE), F.lit("*")).otherwise(segment))
+        rows = rows.withColumn("_s", F.when(segment.rlike(_VARIABLE), F.lit("*")).otherwise(segment))
         counts = rows.groupBy("host", "template", "_s").agg(
             F.sum("n").alias("n"), F.sum("block").alias("block"), F.sum("allow").alias("allow"),
             F.sum(F.when(after.isNull(), F.col("n")).otherwise(0)).alias("leaf"), F.sum(F.when(after.rlike(_VARIABLE), F.col("n")).otherwise(0)).alias("number"),
         )
         counts = checkpoint(counts)
-        whole = counts.groupBy("host", "template").agg(F.sum("n").alias("_all"))
-        counts = counts.join(whole, ["host", "template"])
-        kept = (F.col("n") >= branch * F.col("_all")) & (F.col("n") > 1) & ~F.col("_s").isin("", "*")
-        fixed = counts.withColumn("_b", F.when(F.col("_s").isin("", "*"), F.col("_s")).when(kept, F.lit(None)).otherwise(F.lit("*")))
-        # At most 1 / branch segments of a node are left to be merged.
-        open_ = fixed.where("_b is null").withColumn("_b", F.lit(None).cast("string"))
-        by = Window.partitionBy("host", "template").orderBy(F.col("_b").isNotNull(), F.desc("n"), "_s")
-        for _ in range(round(1 / branch)):  # each round names the largest branch left and those like it
-            first = {c: F.first(c).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in ("n", "block", "allow", "leaf", "number", "_s")}
-            open_ = open_.withColumns({f"_1{c}": x for c, x in first.items()})
-            alike = F.lit(True)
-            for c in ("block", "allow", "leaf", "number"):
-                alike = alike & _like(c, F.col("n"), f"_1{c}", F.col("_1n"))
-            open_ = open_.withColumn("_b", F.when(F.col("_b").isNull() & ((F.col("_s") == F.col("_1_s")) | alike), F.col("_1_s")).otherwise(F.col("_b"))).drop(*[f"_1{c}" for c in first])
-        merged = open_.withColumn("_b", F.coalesce("_b", "_s"))
-        named = fixed.where("_b is not null").unionByName(merged).select("host", "template", "_s", "_b")
-        rows = rows.join(named, ["host", "template", "_s"]).withColumn("template", F.when(F.col("_b") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "_b"))).drop("_b", "_s")
+        kept = (F.col("n") >= LEAST) & (F.col("_s") != "*")
+        named = counts.where(~kept).select("host", "template", "_s", F.lit("*").alias("_b")).unionByName(merged(counts.where(kept)).select("host", "template", "_s", "_b"))
+        rows = rows.join(named, ["host", "template", "_s"]).withColumn("template", F.concat("template", F.lit("/"), "_b")).drop("_b", "_s")
         rows = checkpoint(rows)  # each level reads it twice: without a cut the plan doubles
-    return rows.drop("_segments")
+        done = done.unionByName(rows.where(F.size("_segments") == level))
+    return done.drop("_segments")
 
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

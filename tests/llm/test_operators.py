@@ -167,6 +167,17 @@ def test_url_templates_merge_every_kind(spark):
     assert all(first[f"{kind}1"] == first[f"{kind}2"] for kind in tails) and len(set(first.values())) >= 4
 
 
+def test_url_templates_deep_and_wide(spark):
+    """Segments beyond the fourth tell templates apart, and a section of 1 % of a host's urls keeps its own verdict."""
+    deep = [f"http://d.example/a/b/c/d/{x}/p{x}{k}" for x in ("ads", "news") for k in range(20)]
+    wide = [f"http://w.example/s{chr(97 + i // 26)}{chr(97 + i % 26)}/p{k}q" for i in range(100) for k in range(20)]
+    rules = [("block", f"d.example/a/b/c/d/ads/pads{k}") for k in range(1, 10)] + [("block", f"w.example/sca/p{k}") for k in range(1, 10)]
+    got = {r["page_id"]: r for r in urls.judged(spark.createDataFrame(list(enumerate(deep + wide)), "page_id long, url string"), rules).collect()}
+    assert got[0]["rule"] is None and got[0]["verdict"] == "block" and all(got[i]["verdict"] == "allow" for i in range(20, 40))
+    own = 40 + 20 * 52
+    assert got[own]["rule"] is None and got[own]["verdict"] == "block" and got[own]["template"] != got[40]["template"]
+
+
 # 3 SimHash
 
 
