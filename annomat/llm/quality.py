@@ -24,9 +24,9 @@ from .common import blocks, checkpoint, frugal, longs, partitions, picked
 #: Order of the model, rows of log probabilities that are copied to executors at most, and symbols' worth of the language's
 #: mean that a text's own mean is drawn towards.
 ORDER, LOCAL_ROWS, PRIOR = 5, 4_000_000, 40
-#: A text is kept up to this quantile of its language's trusted texts that were not trained on, and this much above (nats
-#: for each symbol). One in ``CALIBRATE`` trusted texts is kept from training for that.
-QUANTILE, MARGIN, CALIBRATE = 0.99, 0.15, 5
+#: A text is kept up to this quantile of its language's trusted texts that were not trained on. One in ``CALIBRATE`` trusted
+#: texts is kept from training for that.
+QUANTILE, CALIBRATE = 0.99, 5
 
 
 def symbols(texts: list[bytes | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -202,9 +202,9 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, local_rows: i
     middle = every[0] / every[1] if every[1] else 0.0
     drawn = (F.col("nll") + PRIOR * F.coalesce("mean", F.lit(middle))) / (F.col("symbols") + PRIOR)
     held = held.join(F.broadcast(means), "lang", "left").withColumn("drawn", drawn)
-    limits = held.groupBy("lang").agg((F.percentile("drawn", F.lit(QUANTILE)) + MARGIN).alias("limit"))
+    limits = held.groupBy("lang").agg(F.percentile("drawn", F.lit(QUANTILE)).alias("limit"))
     whole = held.agg(F.percentile("drawn", F.lit(QUANTILE))).first()[0]
-    other = float(whole) + MARGIN if whole is not None else float("inf")
+    other = float(whole) if whole is not None else float("inf")
     out = found.join(F.broadcast(means.join(limits, "lang")), "lang", "left").withColumn("drawn", drawn).withColumn("limit", F.coalesce("limit", F.lit(other)))
     return out.select("doc_id", "lang", "symbols", F.exp("drawn").alias("perplexity"), F.exp("limit").alias("threshold"), (F.col("drawn") <= F.col("limit")).alias("keep"))
 

@@ -458,6 +458,16 @@ def test_quality_decisions(spark, small, docs, odd, none):
     assert kept.columns == docs.columns and not {r["doc_id"] for r in loud.collect()} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_quality_threshold_is_the_quantile(spark, small, docs):
+    """A language's threshold is the 0.99 quantile of its trusted texts that were not trained on."""
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    got = quality.judged(docs, labels).join(labels.where("quality = 1 and toxic = 0"), "doc_id").where("symbols > 0")
+    held = got.where(F.pmod(F.xxhash64("doc_id"), F.lit(quality.CALIBRATE)) == 0).collect()
+    for lang in {r["lang"] for r in held}:
+        own = [r for r in held if r["lang"] == lang]
+        assert math.isclose(own[0]["threshold"], math.exp(np.quantile(np.log([r["perplexity"] for r in own]), quality.QUANTILE)), rel_tol=1e-6)
+
+
 # 7 Substrings
 
 
