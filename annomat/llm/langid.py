@@ -128,14 +128,29 @@ class Filters:
         return lang, np.clip(score, 0, 1), np.clip(cover, 0, 1)
 
 
+def fair(sizes: list[int], total: int) -> float:
+    """The most that each may have so that all together have ``total``, where the small ones keep all of theirs."""
+    for k, n in enumerate(sorted(sizes)):
+        each = total / (len(sizes) - k)
+        if n > each:
+            return each
+        total -= n
+    return float("inf")
+
+
 def train(docs: DataFrame, max_rows: int = MAX_TRAIN) -> Filters:
-    """Filters from labelled rows (key, text, lang); at most about ``max_rows`` of them, by a hash of the key."""
+    """Filters from labelled rows (key, text, lang); at most about ``max_rows`` of them, by a hash of the key.
+
+    A language with few rows keeps all of them; the others share what is left evenly.
+    """
     labelled = docs.where("lang is not null")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     rows = sum(sizes.values())
     languages = sorted(sizes)
     if rows > max_rows:
-        labelled = labelled.where(F.xxhash64("key") / F.lit(float(1 << 63)) < F.lit(2 * max_rows / rows - 1))
+        most = fair(list(sizes.values()), max_rows)
+        share = F.create_map(*[F.lit(x) for lang, n in sizes.items() if n > most for x in (lang, 2 * most / n - 1)])[F.col("lang")]
+        labelled = labelled.where(share.isNull() | (F.xxhash64("key") / F.lit(float(1 << 63)) < share))
     index = {lang: i for i, lang in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -362,6 +362,13 @@ def test_language_ignores_labels_in_prediction(docs):
     assert a == b
 
 
+def test_language_sample_keeps_rare_languages(spark):
+    assert langid.fair([5, 100, 1000], 65) == 30 and langid.fair([5, 5], 20) == float("inf")
+    rows = [(i, "alpha beta gamma", "en") for i in range(6000)] + [(10_000 + i, "ørken åsgård", "no") for i in range(5)]
+    filters = langid.train(spark.createDataFrame(rows, "key long, text string, lang string"), 50)
+    assert filters.languages == ["en", "no"] and filters.decide(["ørken åsgård".encode()])[0] == ["no"]
+
+
 def test_bloom_filters():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
