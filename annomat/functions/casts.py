@@ -22,8 +22,8 @@ def to_dtype(value: Column, dtype: str) -> Column:
         return value.cast(spark_type(dtype))
     low, high = _BOUNDS[dtype]
     wide = value.cast("double")
-    bounded = F.greatest(F.least(wide, F.lit(float(high))), F.lit(float(low)))
-    return F.when(F.isnan(wide), F.lit(0)).otherwise(bounded).cast(spark_type(dtype))
+    # least and greatest would take a bound for a null.
+    return F.when(F.isnan(wide), 0.0).when(wide > high, float(high)).when(wide < low, float(low)).otherwise(wide).cast(spark_type(dtype))
 
 
 def nan_for_null(value: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from annomat.functions import casts, codecs
 from annomat.operators import columns, layout, profile, provenance, slots, uns, validate
 from annomat.plans import fixtures
 from annomat.plans.fixtures import table
+from annomat.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -180,6 +180,28 @@ def cast_u32_sat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.converted(_wide(spark, sf_dir), "u32")
 
 
+#: Values that any column may hold, by line number: null, not a number, both infinities, both zeros and plain ones.
+_ODD_SQL = "SELECT l_orderkey AS o, l_linenumber AS n, CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN 'NaN'::DOUBLE WHEN 3 THEN 'Infinity'::DOUBLE WHEN 4 THEN '-Infinity'::DOUBLE WHEN 5 THEN -0.0::DOUBLE ELSE (l_quantity - 25) * 1e8 + 0.75 END AS v FROM lineitem"
+
+
+def _odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.when(F.col("l_linenumber") == 1, None)
+    for n, value in ((2, "nan"), (3, "inf"), (4, "-inf")):
+        odd = odd.when(F.col("l_linenumber") == n, float(value))
+    odd = odd.when(F.col("l_linenumber") == 5, -0.0).otherwise((F.col("l_quantity").cast("double") - 25) * 1e8 + 0.75)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"), odd.alias("value"))
+
+
+@query(f"WITH w AS ({_ODD_SQL}) SELECT o AS orderkey, n AS line, CAST(CASE WHEN v IS NULL THEN NULL WHEN isnan(v) THEN 0 ELSE trunc(greatest(least(v, 2147483647), -2147483648)) END AS INTEGER) AS value FROM w")
+def cast_i32_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.converted(_odd(spark, sf_dir), "i32")
+
+
+@query(f"WITH w AS ({_ODD_SQL}) SELECT o AS orderkey, n AS line, CAST(CASE WHEN v IS NULL THEN NULL WHEN isnan(v) THEN 0 ELSE trunc(greatest(least(v, 4294967295), 0)) END AS BIGINT) AS value FROM w")
+def cast_u32_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.converted(_odd(spark, sf_dir), "u32")
+
+
 # Codecs
 
 
@@ -333,10 +355,10 @@ def index_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.unique(table(spark, sf_dir, "orders"), "o_orderkey", "orders").unionByName(validate.unique(lines, "id", "lines"))
 
 
-@query("SELECT p_partkey AS partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1993-01-01'")
+@query("SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
 def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    early = table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp '1993-01-01'").select(F.col("l_partkey").alias("partkey"))
-    return validate.missing_rows(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey")), early, "partkey")
+    found = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"))
+    return validate.missing_rows(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")), found, "custkey")
 
 
 @query(f"WITH {COO} SELECT ob.i // 1000 * 1000 AS row_offset, count(coo.j) >= 3900 AS enough FROM ob LEFT JOIN coo ON ob.i = coo.i GROUP BY 1")
@@ -397,18 +419,17 @@ def prov_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Graphs, sinks and sources, merging
 
 
-@query("WITH s AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey <= 200) SELECT a.l_suppkey AS i, b.l_suppkey AS j, count(*) AS value FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
+@query("WITH s AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) SELECT a.l_suppkey AS i, b.l_suppkey AS j, count(*) AS value FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2")
 def obsp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers that share one of the first 200 parts; a stored graph for the tests, not a matrix operator."""
-    s = table(spark, sf_dir, "lineitem").where("l_partkey <= 200").select("l_partkey", "l_suppkey").distinct()
+    """Suppliers that share parts, and how many; a stored graph for the tests, not a matrix operator."""
+    s = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     both = s.withColumnRenamed("l_suppkey", "i").join(s.withColumnRenamed("l_suppkey", "j"), "l_partkey").where("i < j")
     return both.groupBy("i", "j").agg(F.count("*").alias("value"))
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new path that driver and executors share; a local one only where no shared folder is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annomat-")
-    return f"{top.removeprefix('file://')}/roundtrip-{uuid.uuid4().hex}"
+    """A new path that driver and executors share."""
+    return f"{shared_folder(spark).removeprefix('file://')}/roundtrip-{uuid.uuid4().hex}"
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str, format: str) -> DataFrame:
