@@ -2,12 +2,14 @@
 
 The distinct new words of a block of texts are encoded together: all their symbols lie in one flat array, every adjacent
 pair's rank is found by binary search over the sorted pair keys, and each round merges, in every word at once, all
-occurrences of that word's lowest-ranked pair. Words met often keep their result.
+occurrences of that word's lowest-ranked pair. A word of more than ``LONG`` bytes would need a round for almost every rank it
+holds, each over its whole length, so it takes its pairs from a queue instead. Words met often keep their result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import RARE, blocks, frugal, starts_of_runs
 
-#: Words whose ids a worker keeps, and UTF-8 bytes of text encoded together.
-KEPT_WORDS, ENCODE_BYTES = 200_000, 4 << 20
+#: Words whose ids a worker keeps, and UTF-8 bytes of these; UTF-8 bytes of text encoded together; bytes of a long word.
+KEPT_WORDS, KEPT_BYTES, ENCODE_BYTES, LONG = 200_000, 8 << 20, 4 << 20, 1000
 
 
 class WordBPE:
@@ -31,7 +33,7 @@ class WordBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], spec["model"]["vocab"]
-        self.path, self.whole, self.classes = path, None, {}
+        self.path, self.whole, self.classes, self.merges = path, None, {}, None
         self.end = model["end_of_word_suffix"] or ""
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
@@ -83,6 +85,43 @@ class WordBPE:
     def merge(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word (none empty)."""
         raw = [w.encode() for w in words]
+        short = self._merge_rounds([w for w in raw if len(w) <= LONG])
+        by_round = iter(short)
+        return [next(by_round) if len(w) <= LONG else self._merge_queue(w) for w in raw]
+
+    def _merge_queue(self, raw: bytes) -> np.ndarray:
+        """The ids of one long word: the lowest-ranked pair, and of equal ones the first, leaves a queue until none is left."""
+        if self.merges is None:
+            self.merges = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.into.tolist(), strict=True), strict=True))
+        merges = self.merges
+        joined = np.frombuffer(raw, np.uint8)
+        start = self.inner[joined]
+        start[-1] = self.final[joined[-1]]
+        sym, n = start.tolist(), len(start)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def queued(i: int) -> int | None:
+            found = merges.get(sym[i] << 32 | sym[after[i]]) if after[i] < n else None
+            return None if found is None else found[0] << 32 | i
+
+        queue = [x for i in range(n - 1) if (x := queued(i)) is not None]
+        heapq.heapify(queue)
+        while queue:
+            top = heapq.heappop(queue)
+            i = top & 0xFFFFFFFF
+            if sym[i] < 0 or queued(i) != top:
+                continue  # one of the two has been merged since
+            j = after[i]
+            sym[i], sym[j] = merges[sym[i] << 32 | sym[j]][1], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (x := queued(k)) is not None:
+                    heapq.heappush(queue, x)
+        return np.array([x for x in sym if x >= 0], np.int64)
+
+    def _merge_rounds(self, raw: list[bytes]) -> list[np.ndarray]:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         joined = np.frombuffer(b"".join(raw), np.uint8)
         word = np.repeat(np.arange(len(raw)), size)
@@ -134,6 +173,7 @@ class Coder:
     def __init__(self, path: str):
         self.bpe = WordBPE(path)
         self.kept: dict[str, tuple[int, str, str]] = {}
+        self.kept_bytes = 0
 
     def learn(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.kept]
@@ -143,14 +183,16 @@ class Coder:
         for w, ids in zip(new, self.bpe.merge(new), strict=True):
             own = ids.tolist()
             self.kept[w] = (len(own), " ".join(map(str, own)), " ".join([tokens[i] for i in own]))
+            self.kept_bytes += len(w)
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: the number of ids, the ids and their decoded string, both joined by one space."""
         b = self.bpe
         parts = [[p for p in b.split_added.split(t) if p] if "<" in t else [t] for t in texts]
         found = [[p if p in b.added else b.words(p) for p in own] for own in parts]
-        if len(self.kept) > KEPT_WORDS:
+        if len(self.kept) > KEPT_WORDS or self.kept_bytes > KEPT_BYTES:
             self.kept.clear()
+            self.kept_bytes = 0
         self.learn([w for own in found for ws in own if not isinstance(ws, str) for w in ws])
         out, kept = [], self.kept
         for own in found:

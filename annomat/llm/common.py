@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,8 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters outside blocks whose letters and digits have long been settled; Unicode versions may class these differently.
-RARE = re.compile("[^\x00-\u024f\u0370-\u052f\u0590-\u06ff\u0900-\u0dff\u0e00-\u0e7f\u1e00-\u206f\u20a0-\u20bf\u2100-\u23ff\u2500-\u27bf\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f64f]")
+from annomat.shared import checkpoint as checkpoint
+from annomat.shared import shared_folder as shared_folder
+
+#: Characters outside blocks whose letters and digits have long been settled, and two inside that came late; Unicode versions
+#: may class these differently. All other characters were tried one by one against the tokenizers library.
+RARE = re.compile("[^\x00-\u024f\u0370-\u052f\u0590-\u06ff\u0900-\u0c5b\u0c5d-\u0cdb\u0cdd-\u0dff\u0e00-\u0e7f\u1e00-\u206f\u20a0-\u20bf\u2100-\u23ff\u2500-\u27bf\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f64f]")
 #: Bits of the filter through which texts are picked before a join: 8 MB at every size.
 SIFT_BITS = 1 << 26
 #: UTF-8 bytes of text that one numpy pass works on at a time.
@@ -31,18 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared folder of ``spark.checkpoint.dir``; a temporary one is set only where none is."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annomat-"))
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """UTF-8 bytes of a text column, for the number of buckets that a shuffle of it needs."""
+    return docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+
+
+def small(df: DataFrame, rows: int) -> DataFrame | None:
+    """``df``, marked to be copied to every executor, if it has at most ``rows`` rows; else None. ``df`` should be a checkpoint."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 byte strings, nulls kept."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
