@@ -1,8 +1,8 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
 Each document becomes its token ids and an end id. It is cut at multiples of ``capacity`` into full windows, and what is
-left over into pieces of at most ``piece`` ids, which keeps the differencing fine-grained. Pieces are dealt to groups by a
-hash of the document, so a group is bounded and all groups run in parallel. In a group the number of windows starts at
+left over into pieces of at most ``piece`` ids, which keeps the differencing fine-grained. Pieces are dealt to groups by their
+own hash, so neither a long document nor rows that share an id meet in one group, and all groups run in parallel. In a group the number of windows starts at
 the least that can hold its ids; partial partitions are merged with opposing imbalances, largest difference first, until
 one is left; while its fullest window exceeds the capacity, one more window is added. Only piece lengths take part, so the
 ids themselves never move.
@@ -11,6 +11,7 @@ ids themselves never move.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,14 +25,18 @@ from .common import RARE, as_bytes, frugal
 
 #: Ids in a piece of a left-over, and documents in a group on average.
 PIECE, GROUP_DOCS = 128, 1024
+#: White space on which the fast encoder's pattern, whose time grows with the square of a run, would run out of time and stack.
+LONG_RUN = re.compile(r"\s{500}")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Groups that pieces which are equal in all columns are spread over.
+SALTS = 1024
 
 
 class ByteTokenizer:
     """Ids of the byte-level vocabulary of a tokenizers file.
 
-    Texts go through the same merges held as ranks; a text that contains the string of an added token, or a character that
-    Unicode versions may class differently, goes through the tokenizers library itself.
+    Texts go through the same merges held as ranks; a text that contains the string of an added token, a character that
+    Unicode versions may class differently, or a very long run of white space goes through the tokenizers library itself.
     """
 
     def __init__(self, path: str):
@@ -55,7 +60,7 @@ class ByteTokenizer:
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if any(a in text for a in self.added) or RARE.search(text):
+        if any(a in text for a in self.added) or RARE.search(text) or len(text) > 500 and LONG_RUN.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
@@ -79,20 +84,25 @@ def cuts(n: int, capacity: int, piece: int) -> list[int]:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 1024, piece: int = PIECE, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every piece of every document: its place, length and checksum. A null text counts as empty."""
+    """Every piece of every document: its place, length and checksum. A null text counts as empty.
+
+    The salt counts a task's rows; it spreads rows without an id over groups.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).ids
+        n = 0
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 ids = np.append(encode((text or b"").decode()), np.uint32(end)).astype("<u4")
                 raw, at = ids.tobytes(), cuts(len(ids), capacity, piece)
-                rows += [(doc, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), len(ids)) for s, e in zip(at, at[1:], strict=False)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                n += 1
+                rows += [(doc, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), len(ids), n % SALTS) for s, e in zip(at, at[1:], strict=False)]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"{PIECES}, salt long")
 
 
 def difference(sizes: np.ndarray, ways: int) -> np.ndarray:
@@ -173,7 +183,8 @@ def pack(found: DataFrame, groups: int, capacity: int = 1024) -> DataFrame:
             seq[rest] = full.sum() + slot
         return pdf.assign(sequence_id=(pdf["group"].to_numpy(np.int64) << 32) + seq, offset=offset).drop(columns="group")
 
-    keyed = found.withColumn("group", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(groups)))
+    salt = F.when(F.col("doc_id").isNull(), F.col("salt")).otherwise(0)
+    keyed = found.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", salt), F.lit(groups))).drop("salt")
     return keyed.groupBy("group").applyInPandas(run, PIECES + ", sequence_id long, offset long")
 
 

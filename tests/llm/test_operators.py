@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import duckdb
@@ -340,6 +341,36 @@ def test_bpe_ids(spark, odd, none, word_file):
     assert bpe.round_trip(none, word_file).collect() == []
 
 
+#: Texts of a megabyte that pattern engines and merge rounds find hard.
+HARD = {
+    "blanks": "x" + " " * 1_000_000 + "y", "breaks": "x" + "\n" * 1_000_000 + "y", "short runs": (" " * 499 + "a") * 2000, "longer runs": (" " * 9999 + "a") * 100,
+    "one letter": "a" * 1_000_000, "signs": "!?" * 500_000, "digits": "1" * 1_000_000, "wide": "日本語" * 100_000,
+    "letters": "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)),
+}
+
+
+def seconds(f, *args):
+    began = time.process_time()
+    out = f(*args)
+    return out, time.process_time() - began
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_bpe_of_a_hard_megabyte(word_file, name):
+    whole, own = Tokenizer.from_file(word_file), bpe.Coder(word_file)
+    ((n, ids, back),), spent = seconds(own.encode, [HARD[name]])
+    want = whole.encode(HARD[name], add_special_tokens=False).ids
+    assert (n, ids, back) == (len(want), " ".join(map(str, want)), whole.decode(want, skip_special_tokens=False)) and spent < 20
+
+
+def test_bpe_classes_of_characters(word_file):
+    """All characters that the operators class by themselves; the rest goes by the library."""
+    whole, own = Tokenizer.from_file(word_file), bpe.Coder(word_file)
+    texts = [f"a{chr(c)} !{chr(c)}1" for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000] + ["\u0c5c", "a\u0cdc", "\u0cdc"]
+    for t, (_, ids, _), want in zip(texts, own.encode(texts), whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids == " ".join(map(str, want.ids)), t.encode("unicode_escape")
+
+
 # 5 Language ID
 
 
@@ -668,6 +699,23 @@ def test_packing(spark, docs, odd, none):
     assert len(again) == 2 and len({(r["sequence_id"], r["offset"]) for r in again}) == 2
 
 
+@pytest.mark.parametrize("name", HARD)
+def test_packing_of_a_hard_megabyte(name):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids, spent = seconds(packing.tokenizer(path).ids, HARD[name])
+    assert ids.tolist() == Tokenizer.from_file(path).encode(HARD[name], add_special_tokens=False).ids and spent < 20
+
+
+def test_packing_rows_without_id(spark):
+    """Rows without an id are spread over groups, equal ones too, and are packed as often as they occur."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(None, "the same text")] * 3000 + [(None, f"text {k}") for k in range(1000)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    assert len(got) == 4000 and len({(r["sequence_id"], r["offset"]) for r in got}) == 4000
+    by_group = np.bincount([r["sequence_id"] >> 32 for r in got], minlength=4)
+    assert by_group.max() < 2 * by_group.mean()
+
+
 @pytest.mark.parametrize("ways", [1, 2, 3, 7])
 def test_differencing(ways):
     sizes = np.random.default_rng(ways).integers(1, 100, 60)
