@@ -555,7 +555,7 @@ def test_substring_hot_passages(spark, none):
 def test_substring_stage(spark, docs):
     twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10_000))
     kept = substring.cut_repeats(twice)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and substring.cut_repeats(clashing(twice)).columns == clashing(twice).columns
     got = {r["doc_id"]: r for r in kept.collect()}
     for r in twice.collect():
         words = len(r["text"].encode().split())
@@ -565,6 +565,36 @@ def test_substring_stage(spark, docs):
             assert got[r["doc_id"]]["text"] == r["text"]
 
 
+def test_substring_null_and_repeated_ids(spark):
+    """Rows that share an id, or have none, are documents of their own; equal rows lose the same words."""
+    rng = random.Random(12)
+    w, u, x, y = (prose(rng, 30) for _ in range(4))
+    rows = [(1, w), (7, w), (7, u), (None, x), (None, y), (None, f"{x} {y}"), (None, x), (9, u), (3, f"own words here {w}"), (substring.LAST, y)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in substring.remove_repeats(clashing(df)).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_words"], r["n_removed"]))
+    assert got[1] == [(30, 0)] and sorted(got[7]) == [(30, 0), (30, 30)] and got[9] == [(30, 30)] and got[3] == [(33, 30)] and got[substring.LAST] == [(30, 0)]
+    # x is once before the joined text or once inside it; both rows of x fare alike, and y is gone as the last id has it.
+    lone, joined = sorted(n for size, n in got[None] if size == 30), [n for size, n in got[None] if size == 60]
+    assert len(got[None]) == 4 and (lone, joined) in (([0, 0, 30], [60]), ([30, 30, 30], [30]))
+    kept = [r["text"] for r in substring.cut_repeats(clashing(df)).collect()]
+    assert len(kept) == len(rows) and any(w in t for t in kept) and any(x in t for t in kept) and any(u in t for t in kept) and any(y in t for t in kept)
+
+
+def test_substring_blocks_and_buckets(spark, monkeypatch):
+    """Small blocks, so that super-k-mers meet their like in later blocks of a task, in rising and falling order of ids."""
+    monkeypatch.setattr(substring, "MAP_BYTES", 2000)
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 500)
+    rng = random.Random(13)
+    line, texts = prose(rng, 45), [prose(rng, rng.randrange(60)) for _ in range(60)]
+    rows = [(i, f"{rng.choice(texts)} {line if rng.random() < 0.5 else ''} {rng.choice(texts)}") for i in range(200)]
+    for ordered in (rows, rows[::-1], rng.sample(rows, len(rows))):
+        df = spark.createDataFrame(ordered, "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(df).collect()}
+        assert got == plain_repeats(rows)
+
+
 def test_substring_sql(spark, small):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
