@@ -1,10 +1,12 @@
 """Exact top-k inner products over a bit-sliced index.
 
-Vectors are quantised to integers, dealt to blocks of a fixed size and turned into bit slices: one bitmap for each dimension
+Vectors are quantised to integers, dealt to blocks of a bounded size and turned into bit slices: one bitmap for each dimension
 and bit. A query's weights are cut to a few bits; the weighted slices are added with bitmap arithmetic (carry-save full
 adders over whole bitmaps), and the sum's slices are walked from the most significant one downward to select the top rows.
 What the dropped bits can change is bounded by norms; every row within that bound of the k-th is resolved exactly.
-Query blocks meet row blocks; each meeting returns k rows for each query.
+
+Rows are shuffled once, to their block. The queries, packed, are sent to every block, where they stream past its index: a task
+holds one index and one query block. So ``rows / ROWS`` copies of the queries travel, and each meeting returns k rows a query.
 """
 
 from __future__ import annotations
@@ -12,15 +14,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, partitions
+from .common import frugal, longs, partitions, starts_of_runs
 
-#: Rows in a block of the index, queries in a query block, bits that a slice index keeps of a component and of a weight.
-ROWS, QUERIES, KEEP, WEIGHT = 8192, 128, 6, 4
+#: Rows in a block of the index, at most and where there are too few blocks for all tasks; queries in a query block; bits that a
+#: slice index keeps of a component and of a weight.
+ROWS, FEW_ROWS, QUERIES, KEEP, WEIGHT = 32_768, 8192, 1024, 6, 4
+#: Components beyond this, as integers, count as this; scores are compared as they are and returned within the bounds of a long.
+LIMIT = 1 << 56
 _ONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -58,12 +62,12 @@ def _sum(stack: np.ndarray) -> np.ndarray:
 
 
 class SlicedBlock:
-    """Bit slices of a block of integer vectors."""
+    """Bit slices of a block of integer vectors, in the order of their ids."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows, self.n = ids, rows, len(ids)
+        self.ids, self.rows, self.n, self.most = ids, rows, len(ids), int(np.abs(rows).max(initial=0))
         self.low = rows.min(axis=0)
-        width = int((rows.max(axis=0) - self.low).max()).bit_length()
+        width = int((rows.max(axis=0) - self.low).max(initial=0)).bit_length()
         self.drop = max(0, width - KEEP)
         y = (rows - self.low) >> self.drop
         self.bits = max(1, width - self.drop)
@@ -84,7 +88,7 @@ class SlicedBlock:
     def _score(self, weight: np.ndarray) -> np.ndarray:
         sign = (weight < 0).astype(int)
         size, total = np.abs(weight), None
-        for j in range(int(size.max()).bit_length()):
+        for j in range(int(size.max(initial=0)).bit_length()):
             dims = np.flatnonzero((size >> j) & 1)
             if len(dims):
                 part = _sum(np.ascontiguousarray(self.slices[sign[dims], :, dims].transpose(1, 0, 2)))
@@ -93,12 +97,16 @@ class SlicedBlock:
         return total if total is not None else np.zeros((1, len(self.all)), np.uint64)
 
     def top_k(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows, best first, ties to the smaller id; rows of id ``own`` take no part."""
+        """(ids, scores) of the k best rows, best first, ties to the smaller id; rows of id ``own`` take no part.
+
+        Scores that may not fit a long are Python integers.
+        """
         shift = max(0, int(np.abs(query).max(initial=0)).bit_length() - WEIGHT)
+        most = int(np.abs(query).max(initial=0)) * self.most * len(query)
         weight = np.sign(query) * ((np.abs(query) + (1 << shift >> 1)) >> shift)
         score = self._score(weight)
         live = self.all.copy()
-        for i in np.flatnonzero(self.ids == own).tolist():
+        for i in range(*np.searchsorted(self.ids, [own, own + 1]).tolist()):
             live[i >> 6] &= ~np.uint64(1 << (i & 63))
         count = lambda x: int(np.bitwise_count(x).sum())
         if count(live) <= k:
@@ -113,7 +121,7 @@ class SlicedBlock:
                     sure, tied = sure | more, tied & ~score[b]
             # In units of the sum: what the query's and the rows' dropped bits can change, twice.
             unit = float(self.step << shift)
-            bound = np.linalg.norm(query - (weight << shift)) * self.longest + np.linalg.norm(weight << shift) * self.off
+            bound = (np.linalg.norm(query - (weight << shift)) * self.longest + np.linalg.norm(weight << shift) * self.off) * (1 + 1e-6)
             floor = max(0, least - int(np.ceil(2 * bound / unit + 1e-6)) - 1)
             above, equal = np.zeros_like(live), live
             for b in range(len(score) - 1, -1, -1):
@@ -123,7 +131,7 @@ class SlicedBlock:
                     above, equal = above | (equal & score[b]), equal & ~score[b]
             chosen = above | equal
         at = np.flatnonzero(np.unpackbits(chosen.view(np.uint8), bitorder="little"))
-        exact = self.rows[at] @ query
+        exact = self.rows[at] @ query if most < 1 << 62 else self.rows[at].astype(object) @ query.astype(object)
         order = np.lexsort((self.ids[at], -exact))[:k]
         return self.ids[at][order], exact[order]
 
@@ -133,54 +141,89 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -
     d = F.transform(F.col("e"), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("e")).where("vec_id is not null and e is not null")
     rows = rows.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))))
-    return rows.select("vec_id", F.transform(d, lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
-
-
-def _packed(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
-    """One row for each block: its number, the vectors' length, ids and components as bytes."""
-    n = max(1, -(-rows.count() // size))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable")
-        data = np.stack(pdf["v"].to_list()).astype("<i4") if int(pdf["dims"].iloc[0]) else np.zeros((len(pdf), 0), "<i4")
-        return pd.DataFrame({name: [int(pdf["block"].iloc[0])], "dims": [int(pdf["dims"].iloc[0])], f"{name}_ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], f"{name}_data": [data.tobytes()]})
-
-    keyed = rows.withColumn("dims", F.size("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
-    schema = f"{name} long, dims int, {name}_ids binary, {name}_data binary"
-    return keyed.groupBy("block", "dims").applyInPandas(run, schema), n
+    bounded = lambda x: F.greatest(F.least(x * F.lit(float(scale)), F.lit(float(LIMIT))), F.lit(-float(LIMIT)))
+    return rows.select("vec_id", F.transform(d, lambda x: F.floor(bounded(x))).alias("v"))
+
+
+def _matrix(vectors: pa.ListArray, dims: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), dims)
+
+
+def _query_blocks(queries: DataFrame, n: int) -> DataFrame:
+    """One row for each query block: its number, the vectors' length, ids and components as bytes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("vec_id")
+        dims = table["dims"][0].as_py()
+        data = _matrix(table["v"].combine_chunks(), dims)
+        raw = data.astype("<i4" if np.abs(data).max(initial=0) < 1 << 31 else "<i8").tobytes()
+        return pa.table({"q": table["q"][:1], "dims": table["dims"][:1], "q_ids": [longs(table["vec_id"].combine_chunks()).astype("<i8").tobytes()], "q_data": [raw]})
+
+    dealt = queries.withColumn("dims", F.size("v")).withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
+    return dealt.groupBy("q", "dims").applyInArrow(run, "q long, dims int, q_ids binary, q_data binary")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of each block for each query; a block's rows come first, then the query blocks."""
+    low = (1 << 62) - 1
+    now, ids, vectors, index = None, [], [], None
+
+    def built(dims: int) -> SlicedBlock | None:
+        if not ids:
+            return None
+        at, rows = np.concatenate(ids), np.concatenate(vectors)
+        order = np.argsort(at, kind="stable")
+        return SlicedBlock(at[order], rows[order])
+
+    for batch in batches:
+        block, dims = longs(batch.column(0)), longs(batch.column(1))
+        kind = longs(batch.column(2))
+        first = starts_of_runs(block * 2 + kind) if len(np.unique(dims)) < 2 else np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (dims[1:] != dims[:-1]) | (kind[1:] != kind[:-1])]))
+        for s, e in zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
+            if (here := (int(block[s]), int(dims[s]))) != now:
+                now, ids, vectors, index = here, [], [], None
+            if not kind[s]:
+                ids.append(longs(batch.column(3)[s:e]))
+                vectors.append(_matrix(batch.column(4)[s:e], now[1]))
+                continue
+            if index is None:
+                index = built(now[1])
+                if index is None:
+                    continue  # no row of this length here
+                ids, vectors = [], []
+            for raw_ids, raw in zip(batch.column(5)[s:e].to_pylist(), batch.column(6)[s:e].to_pylist(), strict=True):
+                own = np.frombuffer(raw_ids, "<i8")
+                asked = np.frombuffer(raw, "<i8" if len(raw) == 8 * len(own) * now[1] else "<i4").reshape(len(own), now[1]).astype(np.int64)
+                out = []
+                for query_id, query in zip(own.tolist(), asked, strict=True):
+                    found, score = index.top_k(query, query_id, k)
+                    if score.dtype == object:
+                        high, rest = np.array([x >> 62 for x in score], np.int64), np.array([x & low for x in score], np.int64)
+                        score = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in score], np.int64)
+                    else:
+                        high, rest = score >> 62, score & low
+                    out.append((np.full(len(found), query_id), found, score, high, rest))
+                columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+                yield pa.record_batch(dict(zip(("query_id", "vec_id", "score", "high", "low"), columns, strict=True)))
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, its k best other rows.
 
-    Only vectors of the query's length are compared. The id is a key: rows with the query's id are its own, and of repeated
-    query rows the least vector is the query. Components are taken to fit 32 bits after scaling.
+    Only vectors of the query's length are compared; empty ones all score 0. The id is a key: rows with the query's id are its
+    own, and of repeated query rows the least vector is the query.
     """
-    spark = vectors.sparkSession
     rows = quantised(vectors, id_col, vec_col)
+    size, tasks = rows.count(), partitions(vectors.sparkSession)
+    n = max(1, -(-size // ROWS), min(tasks, -(-size // FEW_ROWS)))
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    left, n = _packed(queries, "q", QUERIES)
-    right, _ = _packed(rows, "r", ROWS)
-    met = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("q", F.col("q").cast("long")).join(left, ["q", "dims"])
-    met = met.repartition(4 * partitions(spark), "q", "r", "dims")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("dims", "q_ids", "q_data", "r_ids", "r_data")}
-                ids, q_ids = np.frombuffer(row["r_ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                block = np.frombuffer(row["r_data"], "<i4").reshape(len(ids), row["dims"]).astype(np.int64)
-                asked = np.frombuffer(row["q_data"], "<i4").reshape(len(q_ids), row["dims"]).astype(np.int64)
-                index = SlicedBlock(ids, block) if row["dims"] else None
-                out = []
-                for own, query in zip(q_ids.tolist(), asked, strict=True):
-                    found = index.top_k(query, own, k) if index else (ids[ids != own][:k], np.zeros(min(k, int((ids != own).sum())), np.int64))
-                    out.append((np.full(len(found[0]), own), *found))
-                a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.record_batch({"query_id": a, "vec_id": b, "score": c})
-
-    best = met.select("dims", "q_ids", "q_data", "r_ids", "r_data").mapInArrow(frugal(run), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    packed = _query_blocks(queries, max(1, -(-size // (every * QUERIES))))
+    left = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).alias("block"), F.size("v").alias("dims"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q_data"))
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block")
+    right = packed.select(everywhere, "dims", F.lit(1).alias("kind"), F.col("q").alias("vec_id"), F.lit(None).cast("array<long>").alias("v"), "q_ids", "q_data")
+    met = left.unionByName(right).repartition(max(tasks, 2 * n), "block", "dims").sortWithinPartitions("block", "dims", "kind")
+    best = met.mapInArrow(frugal(lambda batches: _meetings(batches, k)), "query_id long, vec_id long, score long, high long, low long")
+    w = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

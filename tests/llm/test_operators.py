@@ -628,6 +628,35 @@ def test_topk_ties_and_odd_rows(spark):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_topk_wide_components(spark):
+    """Components far beyond 32 bits, products beyond a long, vectors of several lengths, repeated ids: as with Python's integers."""
+    rng = random.Random(7)
+    big = [1.0, -3.0, 1e8, -1e8, 1e13, -2e14, 1e300, 0.004]
+    rows = [(i, [rng.choice(big) for _ in range(3)]) for i in range(150)] + [(200 + i, [rng.random() for _ in range(2)]) for i in range(60)] + [(300 + i, []) for i in range(8)]
+    rows += [(50, rows[50][1]), (7, [2.0, 2.0, 2.0])]
+    ints = [(i, [max(min(math.floor(256 * x) if abs(x) < 1e299 else 10**300, topk.LIMIT), -topk.LIMIT) for x in v]) for i, v in rows]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in {i for i, _ in ints if i % 50 == 0}:
+        own = min(v for i, v in ints if i == q)
+        best = sorted((-sum(map(int.__mul__, own, v)), i) for i, v in ints if i != q and len(v) == len(own))[:5]
+        assert sorted(got[q]) == [(k, i, max(min(-s, 2**63 - 1), -(2**63))) for k, (s, i) in enumerate(best, 1)], q
+
+
+def test_topk_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 70)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    v = np.random.default_rng(4).normal(size=(900, 5))
+    got = topk.top_k(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()
+    ints = np.floor(256 * v).astype(np.int64)
+    for q in range(0, 900, 50):
+        s = ints @ ints[q]
+        s[q] = -(1 << 60)
+        best = np.lexsort((np.arange(900), -s))[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(k, i, s[i]) for k, i in enumerate(best.tolist(), 1)]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_sliced_block_is_exact(seed):
     rng = np.random.default_rng(seed)
