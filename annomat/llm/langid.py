@@ -1,8 +1,9 @@
 """Language identification with bit-sliced Bloom filters over character n-grams.
 
-One table of bitmasks serves as a Bloom filter for every language at once: bit ``l`` of a cell belongs to language ``l``.
-The cells of an n-gram's hashes, AND-ed, give the set of all languages that contain it. For a text, the set bits of each
-language are counted over its n-grams and corrected for that filter's false positives; the largest count decides.
+One table of bitmasks serves as a Bloom filter for every language at once: bit ``l`` of a cell belongs to language ``l``, and
+a cell has as many 64-bit words as the languages need. The cells of an n-gram's hashes, AND-ed, give the set of all languages
+that contain it. For a text, the set bits of each language are counted over its n-grams and corrected for that filter's false
+positives; the largest count decides. The filter has room for all n-grams of the training sample.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import types as T
 
 from .common import blocks, frugal, starts_of_runs
 
-#: Lengths of the n-grams; labelled rows that training reads at most; n-grams kept of each language and length; cells of
-#: the filter and hashes for an n-gram.
-LENGTHS, MAX_TRAIN, MAX_GRAMS, CELLS, HASHES = (2, 3, 4), 20_000, 20_000, 1 << 20, 2
+#: Lengths of the n-grams; labelled rows that training reads at most; least cells of the filter, cells for an n-gram at least,
+#: and hashes for an n-gram.
+LENGTHS, MAX_TRAIN, CELLS, CELLS_EACH, HASHES = (2, 3, 4), 20_000, 1 << 20, 4, 2
 #: An n-gram belongs to a language in which it is at least this share as frequent as in the one where it is most frequent.
 SHARE = 0.25
 _U = np.uint64
@@ -71,28 +72,37 @@ def letters_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filters:
-    """The Bloom filters of all languages, bit-sliced."""
+    """The Bloom filters of all languages, bit-sliced.
+
+    ``masks`` has a row of 64-bit words for each n-gram, or one word each.
+    """
 
     def __init__(self, languages: list[str], hashes: np.ndarray, masks: np.ndarray, default: str | None = None):
-        if len(languages) > 64:
-            raise ValueError("a mask holds 64 languages")
         self.languages, self.default = languages, default
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= len(languages))
-        self.cells = np.zeros(CELLS, kind)
+        masks = np.asarray(masks).astype(_U).reshape(len(hashes), -1) if len(hashes) else np.empty((0, 1), _U)
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if np.dtype(k).itemsize * 8 >= len(languages)), _U)
+        cells = max(CELLS, 1 << (CELLS_EACH * len(hashes) - 1).bit_length())
+        self.cells = np.zeros((max(1, -(-len(languages) // 64)), cells), kind)
         for at in self._places(hashes):
-            np.bitwise_or.at(self.cells, at, masks.astype(kind))
-        self.false = np.array([((self.cells >> kind(i)) & kind(1)).mean() ** HASHES for i in range(len(languages))])
+            for word, own in zip(self.cells, masks.T, strict=False):
+                np.bitwise_or.at(word, at, own.astype(kind))
+        self.false = np.array([self._bit(self.cells, i).mean() ** HASHES for i in range(len(languages))])
 
     @staticmethod
-    def _places(h: np.ndarray) -> list[np.ndarray]:
-        return [((h >> _U(32 * k)) & _U(CELLS - 1)).astype(np.int64) for k in range(HASHES)]
+    def _bit(words: np.ndarray, language: int) -> np.ndarray:
+        kind = words.dtype.type
+        return (words[language >> 6] >> kind(language & 63)) & kind(1)
+
+    def _places(self, h: np.ndarray) -> list[np.ndarray]:
+        mask = _U(self.cells.shape[1] - 1)
+        return [((h >> _U(32 * k)) & mask).astype(np.int64) for k in range(HASHES)]
 
     def contain(self, h: np.ndarray) -> np.ndarray:
-        """For each n-gram the bitmask of all languages whose filter contains it."""
+        """For each n-gram the bitmask of all languages whose filter contains it, as words by n-grams."""
         first, *rest = self._places(h)
-        out = self.cells[first]
+        out = self.cells[:, first]
         for at in rest:
-            out = out & self.cells[at]
+            out = out & self.cells[:, at]
         return out
 
     def counts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +117,7 @@ class Filters:
             own = doc[first]
             total[own] += np.diff(np.append(first, len(doc)))
             for i in range(len(self.languages)):
-                bit = ((mask >> mask.dtype.type(i)) & mask.dtype.type(1)).astype(np.int64)
-                hits[own, i] += np.add.reduceat(bit, first)
+                hits[own, i] += np.add.reduceat(self._bit(mask, i).astype(np.int64), first)
         return np.maximum(0, (hits - total[:, None] * self.false) / (1 - np.minimum(self.false, 0.999))), total
 
     def decide(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -167,12 +176,12 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN) -> Filters:
     found = labelled.select("text", "lang").mapInArrow(frugal(run), "h long, n int, lang int, count long").groupBy("h", "n", "lang").agg(F.sum("count").alias("count"))
     whole = found.groupBy("n", "lang").agg(F.sum("count").alias("whole"))
     share = found.join(F.broadcast(whole), ["n", "lang"]).withColumn("rate", F.col("count") / F.col("whole"))
-    most = share.withColumn("most", F.max("rate").over(Window.partitionBy("h"))).where(F.col("rate") >= SHARE * F.col("most")).where("count > 1 or whole < 100000")
-    first = Window.partitionBy("n", "lang").orderBy(F.desc("count"), "h")
-    kept = most.withColumn("r", F.row_number().over(first)).where(F.col("r") <= MAX_GRAMS)
-    table = kept.groupBy("h").agg(F.expr("bit_or(shiftleft(1L, lang))").alias("mask")).toArrow()
+    most = share.withColumn("most", F.max("rate").over(Window.partitionBy("h"))).where(F.col("rate") >= SHARE * F.col("most"))
+    words = range(max(1, -(-len(languages) // 64)))
+    masks = [F.expr(f"bit_or(if(shiftright(lang, 6) = {w}, shiftleft(1L, lang & 63), 0L))").alias(f"mask{w}") for w in words]
+    table = most.groupBy("h").agg(*masks).toArrow()
     default = max(languages, key=lambda x: (sizes[x], x), default=None)
-    return Filters(languages, table["h"].to_numpy().view(_U), table["mask"].to_numpy().view(_U), default)
+    return Filters(languages, table["h"].to_numpy().view(_U), np.stack([table[f"mask{w}"].to_numpy().view(_U) for w in words], axis=1), default)
 
 
 def held_out(id_col: str):
@@ -182,7 +191,7 @@ def held_out(id_col: str):
 def predictions(docs: DataFrame, filters: Filters, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` with lang_pred, score and coverage (share of the text's n-grams known in that language)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(filters)  # CELLS bytes for each eight languages
+    shared = spark.sparkContext.broadcast(filters)  # eight cells at most for each n-gram of the bounded sample, a bit a language
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("coverage", T.DoubleType())])
 

@@ -405,11 +405,39 @@ def test_bloom_filters():
     h = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
     masks = rng.integers(1, 8, 4000)
     f = langid.Filters(["a", "b", "c"], h, masks, "a")
-    assert ((f.contain(h) & masks.astype(np.uint8)) == masks).all()  # no false negatives
-    assert (f.contain(rng.integers(0, 1 << 63, 4000).astype(np.uint64)) != 0).mean() < 0.02
+    assert ((f.contain(h)[0] & masks.astype(np.uint8)) == masks).all()  # no false negatives
+    assert (f.contain(rng.integers(0, 1 << 63, 4000).astype(np.uint64))[0] != 0).mean() < 0.02
     assert langid.Filters([], np.empty(0, np.uint64), np.empty(0, np.int64)).decide([b"abc"])[0] == ["und"]
 
 
+def test_language_of_a_hundred(spark):
+    """More languages than a word has bits, each of words of its own."""
+    rng = random.Random(3)
+    own = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(30)] for k in range(100)}
+    rows = [(100 * k + i, " ".join(rng.choices(words, k=40)), lang) for k, (lang, words) in enumerate(own.items()) for i in range(12)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {i: x for i, _, x in rows}
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == 1200 and len(held) > 200 and sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) > 0.98 * len(held)
+
+
+def test_language_counts_equal_plain():
+    """Corrected counts against sets of n-grams: the filters' counts are those, but for false positives."""
+    texts = {"en": ["the cat sat on the mat", "other things that matter"], "de": ["die katze sitzt auf der matte", "andere dinge"]}
+    held = {x: {g for t in ts for n in langid.LENGTHS for g in zip(*[f" {t} "[i:] for i in range(n)])} for x, ts in texts.items()}
+    h, masks = [], []
+    for k, x in enumerate(sorted(texts)):
+        for n in langid.LENGTHS:
+            own = langid.grams(t := [s.encode() for s in texts[x]], n, langid.letters_of(t))[0]
+            h.append(own)
+            masks.append(np.full(len(own), 1 << k))
+    f = langid.Filters(sorted(texts), np.concatenate(h), np.concatenate(masks), "en")
+    asked = "the matter sitzt quite well"
+    counts, total = f.counts([asked.encode()])
+    plain = [sum(g in held[x] for n in langid.LENGTHS for g in zip(*[f" {asked} "[i:] for i in range(n)])) for x in sorted(texts)]
+    assert total[0] == sum(len(asked) + 3 - n for n in langid.LENGTHS) and counts[0] == pytest.approx(plain, abs=1e-3)
+
+
 def test_language_stage(docs, odd):
     kept = langid.keep_identified(docs.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10_000)))
     ids = {r["doc_id"] for r in kept.collect()}
