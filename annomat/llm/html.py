@@ -1,9 +1,16 @@
 """Main text of web pages by removing site templates.
 
-Every element's subtree is hashed. For each host the hashes are counted over its pages in Spark, pages with the same main
-text counting once; subtrees that recur on many of a host's pages are its template and are deleted. Elements whose tag,
-class, id or role marks them as menu, header, footer, sidebar, notice, advert, form or comments go in any case. Paragraphs
-and headings inside an article stay even where they recur, as articles of one site may share passages.
+Every element's subtree is hashed from the leaves up, by its tags, attributes and text; lists of links outside an article are
+hashed by their tags and classes alone as well, as a site's menus differ from page to page. For each host the hashes are
+counted over its pages in Spark, pages with the same main text counting once, and subtrees that recur on many pages are its
+template and are deleted. A page's own content is on that page alone; a subtree counts as recurring from ``MIN_PAGES`` pages on
+and from the square root of the host's number of pages, so that a template with a dozen variants is found on a host of few pages
+and a phrase that some writers share is none on a host of many. Paragraphs and headings inside an article stay even where they
+recur, as articles of one site may share passages.
+
+What templates leave, as on hosts of few pages, is searched for elements that their tag, class, id or role marks as menu,
+header, footer, sidebar, notice, advert, form or comments; they go as well. Reading a page takes time in proportion to its size,
+however deep, broken or unclosed its markup is.
 """
 
 from __future__ import annotations
@@ -12,22 +19,30 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, checkpoint, frugal
+from .urls import parts
 
-#: A subtree is template if it is on at least so many different pages of the host, and on this share of them.
-MIN_PAGES, SHARE = 5, 0.3
-#: Rows (host, hashes) up to which the templates are copied to every executor.
-LOCAL_HOSTS = 20_000
+#: A subtree is template if it is on at least so many different pages of its host (and on the square root of all of them).
+MIN_PAGES = 5
+#: Templates up to which they are copied to every executor, at eight bytes each; parts that a host's counts are spread over.
+LOCAL_TEMPLATES, SALTS = 4_000_000, 32
+#: Share of a list's text that is in links, and links, from which on it is hashed by its structure.
+LINKED, LINKS = 0.66, 2
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_COMMENTS = r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"""
+_TAG = re.compile(_COMMENTS + r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: The same without regard to quotes, for what follows a tag whose quotes don't close.
+_LOOSE = re.compile(_COMMENTS + r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|(?!)()()()""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden|type)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _HINT = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_WORD = (1 << 64) - 1
 
 # Element names and marks, as HTML and common practice have them.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,99 +55,145 @@ _MARKS = frozenset("nav navbar navigation menu menubar masthead footer foot side
 _OUTSIDE = frozenset("header topbar top brand logo disclaimer legal".split())
 
 
+_ARTICLE = ("article", "main")
+#: Elements past which an end tag, and a start tag that ends an element of the same kind, doesn't reach.
+_WALL = ("article", "main", "body")
+_AROUND = ("article", "section", "div", "main", "body", "td", "th", "li", "blockquote", "table")
+_IMPLIED = {
+    "li": (("li", ("ul", "ol", "menu")),), "dt": (("dt", ("dl",)), ("dd", ("dl",))), "dd": (("dt", ("dl",)), ("dd", ("dl",))),
+    "tr": (("td", ("table",)), ("th", ("table",)), ("tr", ("table",))), "td": (("td", ("table",)), ("th", ("table",))), "th": (("td", ("table",)), ("th", ("table",))),
+}
+
+
+def _mixed(state: int, item: int) -> int:
+    state = (state ^ item) * 0x9E3779B97F4A7C15 & _WORD
+    return state ^ state >> 29
+
+
 class Page:
-    """Elements of a page in order: tag, parent, source span, whether inside an article, whether marked for removal."""
+    """Elements of a page in order: tag, parent, whether inside an article, whether marked for removal, hashes, links."""
 
     def __init__(self, source: str):
-        self.source = source
-        self.tag, self.parent, self.begin, self.end = ["#"], [-1], [0], [len(source)]
+        self.tag, self.parent = ["#"], [-1]
         self.inside, self.marked = [False], [False]
+        self.hash, self.shape, self.latest = [0], [0], [0]  # of the subtree, of its structure, the structure last added
+        self.chars, self.linked, self.links = [0], [0], [0]
         self.parts: list[tuple[int, int, str]] = []  # element, block number, raw text
-        self._read()
+        self.open = [0]
+        self.where: dict[str, list[int]] = {}  # places in ``open`` of the open elements of each name
+        self._read(source)
 
-    def _read(self) -> None:
-        source, tags, parents, begin, end, inside, marked, parts = self.source, self.tag, self.parent, self.begin, self.end, self.inside, self.marked, self.parts
-        open_, at, block, position = [0], 0, 0, 0
-        find = _TAG.search
+    def _read(self, source: str) -> None:
+        tags, inside, marked, open_ = self.tag, self.inside, self.marked, self.open
+        at = block = position = 0
+        pattern, last = _TAG, source.rfind(">") + 1
         while True:
-            m = find(source, position)
+            m = pattern.search(source, position, last)
             stop = m.start() if m else len(source)
             if stop > at:
-                parts.append((open_[-1], block, source[at:stop]))
+                self._text(block, source[at:stop])
             if not m:
                 break
             at = position = m.end()
             name = m[2] or m[5]
             if not name:
                 if source.startswith("<![CDATA[", stop):
-                    parts.append((open_[-1], block, source[stop + 9 : at].removesuffix("]]>").replace("&", "&amp;")))
+                    closed = source.endswith("]]>", stop, at)
+                    at = position = at if closed else len(source)
+                    self._text(block, source[stop + 9 : at].removesuffix("]]>").replace("&", "&amp;"))
+                elif source.startswith("<!--", stop) and not source.endswith("-->", stop, at):
+                    at = position = len(source)
                 continue
+            if m[5]:
+                pattern = _LOOSE
             name = name.lower()
             if m[1] or m[4]:  # a closing tag
                 if name in _BLOCK:
                     block += 1
-                for k in range(len(open_) - 1, 0, -1):
-                    if tags[open_[k]] == name:
-                        for e in open_[k + 1 :]:
-                            end[e] = stop
-                        end[open_[k]] = at
-                        del open_[k:]
-                        break
-                    if tags[open_[k]] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
-                        break
+                k = self._place(name)
+                if k and (name in _WALL or name == "html" or k > self._nearest(_WALL)):
+                    self._close(k)
                 continue
             if name in _BLOCK:
                 block += 1
             if name in _CLOSES_P:
-                self._imply(open_, "p", stop)
-            if name == "li":
-                self._imply(open_, "li", stop, ("ul", "ol", "menu"))
-            elif name in ("dt", "dd"):
-                self._imply(open_, "dt", stop, ("dl",))
-                self._imply(open_, "dd", stop, ("dl",))
-            elif name in ("tr", "td", "th"):
-                self._imply(open_, "td", stop, ("table",))
-                self._imply(open_, "th", stop, ("table",))
-                if name == "tr":
-                    self._imply(open_, "tr", stop, ("table",))
-                else:
-                    parts.append((open_[-1], block, " "))
-            elif name == "br":
-                parts.append((open_[-1], block, " "))
+                self._imply("p", _AROUND)
+            for ended, limit in _IMPLIED.get(name, ()):
+                self._imply(ended, limit)
+            if name in ("td", "th", "br"):
+                self._text(block, " ")
             above = open_[-1]
             attrs = m[3] or m[6] or ""
             gone = marked[above] or name in _GONE
             within = inside[above]
             if not gone and (attrs or name == "header"):
                 gone = self._hinted(name, attrs, within)
+            here = len(tags)
             tags.append(name)
-            parents.append(above)
-            begin.append(stop)
-            end.append(at)
+            self.parent.append(above)
             marked.append(gone)
-            inside.append(within or name in ("article", "main") or 'role="main"' in attrs)
+            inside.append(within or name in _ARTICLE or 'role="main"' in attrs)
+            self._begin(name, attrs)
             if name in _VOID or attrs.endswith("/"):
-                continue
-            here = len(tags) - 1
-            if name in _RAW:
-                close = re.compile(f"</{name}\\b[^>]*>", re.I).search(source, at)
+                self._end(here)
+            elif name in _RAW:
+                close = re.compile(f"</{name}\\b[^>]*>", re.I).search(source, at, last)
                 at = position = close.end() if close else len(source)
-                end[here] = at
-                continue
-            end[here] = len(source)
-            open_.append(here)
+                self._end(here)
+            else:
+                self.where.setdefault(name, []).append(len(open_))
+                open_.append(here)
+        self._close(1)
+
+    def _place(self, name: str) -> int:
+        """The place in the stack of the innermost open element of a name; 0 if there is none."""
+        at = self.where.get(name)
+        return at[-1] if at else 0
 
-    def _imply(self, open_: list[int], name: str, stop: int, limit: tuple[str, ...] = ("article", "section", "div", "main", "body", "td", "th", "li", "blockquote", "table")) -> None:
+    def _nearest(self, names: tuple[str, ...]) -> int:
+        return max(map(self._place, names))
+
+    def _imply(self, name: str, limit: tuple[str, ...]) -> None:
         """Close an open element whose end tag may be left out."""
-        for k in range(len(open_) - 1, 0, -1):
-            tag = self.tag[open_[k]]
-            if tag == name:
-                for e in open_[k:]:
-                    self.end[e] = stop
-                del open_[k:]
-                return
-            if tag in limit:
-                return
+        k = self._place(name)
+        if k and k >= self._nearest(limit):
+            self._close(k)
+
+    def _close(self, k: int) -> None:
+        """Close the open elements from place ``k`` on."""
+        while len(self.open) > k:
+            e = self.open.pop()
+            self.where[self.tag[e]].pop()
+            self._end(e)
+
+    def _begin(self, name: str, attrs: str) -> None:
+        kinds = sorted(w for m in _ATTR.finditer(attrs) if m[1].lower() == "class" for w in (m[2] or m[3] or m[4] or "").split()) if attrs else []
+        self.hash.append(xxhash.xxh64_intdigest(f"{name} {' '.join(attrs.split())}"))
+        self.shape.append(xxhash.xxh64_intdigest(f"{name} {' '.join(kinds)}"))
+        self.latest.append(0)
+        self.chars.append(0)
+        self.linked.append(0)
+        self.links.append(name == "a")
+
+    def _end(self, e: int) -> None:
+        """Add a complete element to the one above it."""
+        p = self.parent[e]
+        self.hash[p] = _mixed(self.hash[p], self.hash[e])
+        if self.shape[e] != self.latest[p]:  # a list's length doesn't count
+            self.shape[p], self.latest[p] = _mixed(self.shape[p], self.shape[e]), self.shape[e]
+        self.chars[p] += self.chars[e]
+        self.linked[p] += self.chars[e] if self.tag[e] == "a" else self.linked[e]
+        self.links[p] += self.links[e]
+
+    def _text(self, block: int, raw: str) -> None:
+        e = self.open[-1]
+        self.parts.append((e, block, raw))
+        if words := raw.split():
+            own = " ".join(words)
+            self.hash[e] = _mixed(self.hash[e], xxhash.xxh64_intdigest(own))
+            self.chars[e] += len(own)
+            if self.latest[e] != 1:
+                self.shape[e], self.latest[e] = _mixed(self.shape[e], 1), 1
 
     @staticmethod
     def _hinted(name: str, attrs: str, within: bool) -> bool:
@@ -151,41 +212,57 @@ class Page:
                         return True
         return False
 
-    def subtrees(self) -> dict[int, int]:
-        """The hash of each element that may be template: containers, and outside an article paragraphs as well."""
+    def subtrees(self) -> dict[int, tuple[int, ...]]:
+        """The hashes of each element that may be template: containers, and outside an article paragraphs as well."""
         out = {}
         for e in range(1, len(self.tag)):
-            name = self.tag[e]
-            if name not in _BLOCK or name in ("html", "body", "article", "main") or self.inside[e] and name in _PARAGRAPH:
+            name, inside = self.tag[e], self.inside[e]
+            if name not in _BLOCK or name in ("html", "body", "article", "main") or inside and name in _PARAGRAPH:
                 continue
-            out[e] = xxhash.xxh64_intdigest(" ".join(self.source[self.begin[e] : self.end[e]].split())) - (1 << 63)
+            out[e] = (self.hash[e],)
+            if not inside and self.links[e] >= LINKS and self.linked[e] >= LINKED * self.chars[e]:
+                out[e] = (self.hash[e], self.shape[e] ^ 1)
         return out
 
     def text(self, template: frozenset[int] | set[int]) -> str:
-        """The text left, blocks joined by an empty line; from articles only if the page has any with text."""
-        cut = list(self.marked)
-        if template:
-            hashed = self.subtrees()
-            for e in range(1, len(cut)):
-                cut[e] = cut[e] or cut[self.parent[e]] or hashed.get(e) in template
-        kept = [(b, raw) for e, b, raw in self.parts if not cut[e] and self.inside[e]]
-        if not any(raw.strip() for _, raw in kept):
-            kept = [(b, raw) for e, b, raw in self.parts if not cut[e]]
+        return self.read(template)[0]
+
+    def read(self, template: frozenset[int] | set[int]) -> tuple[str, int, int]:
+        """The text left, and the characters that went with the template and with marked elements.
+
+        Blocks are joined by an empty line; the text is that of articles if the page has any with text.
+        """
+        hashed = self.subtrees() if template else {}
+        cut = [False]
+        for e in range(1, len(self.tag)):
+            cut.append(cut[self.parent[e]] or any(h in template for h in hashed.get(e, ())))
+        size = [sum(len(raw) for e, _, raw in self.parts if cut[e]), sum(len(raw) for e, _, raw in self.parts if self.marked[e] and not cut[e])]
+        left = [(e, b, raw) for e, b, raw in self.parts if not cut[e] and not self.marked[e]]
+        kept = [x for x in left if self.inside[x[0]]]
+        if not any(not raw.isspace() for _, _, raw in kept):
+            kept = left
         blocks: dict[int, list[str]] = {}
-        for b, raw in kept:
+        for _, b, raw in kept:
             blocks.setdefault(b, []).append(raw)
         texts = (" ".join(entities.unescape("".join(x)).split()) for x in blocks.values())
-        return "\n\n".join(t for t in texts if t)
+        return "\n\n".join(t for t in texts if t), *size
 
 
-def host_of(url: F.Column) -> F.Column:
+def host_of(url: Column) -> Column:
     """The host of a url, A-Z in lower case; empty without one."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
-    return F.coalesce(F.lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.lit(""))
+    return parts(url)[0]
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hashes): the subtrees that recur on many pages of each host; ``pages`` has (host, html)."""
+def _host_hash(host: str) -> int:
+    return xxhash.xxh64_intdigest(host, 7)
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 63)
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, hash): the subtrees that recur on many pages of each host; ``pages`` has (host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,8 +271,8 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
                 if not raw:
                     continue
                 page = Page(raw.decode())
-                mark = xxhash.xxh64_intdigest(page.text(frozenset())) - (1 << 63)
-                own = {*page.subtrees().values()}
+                mark = _signed(xxhash.xxh64_intdigest(page.text(frozenset())))
+                own = {_signed(h) for hs in page.subtrees().values() for h in hs}
                 hosts += [host] * (len(own) + 1)
                 hashes += [None, *own]
                 marks += [mark] * (len(own) + 1)
@@ -203,31 +280,70 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
 
     seen = pages.select("host", "html").mapInArrow(frugal(run), "host string, hash long, mark long").distinct()
     counts = checkpoint(seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("hash").isNull()))
-    whole = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    many = counts.where("hash is not null").join(whole, "host").where(F.col("n") >= share * F.col("pages"))
-    # A page has a bounded number of elements, so at most that number / share of them can be on a share of the pages.
-    return many.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    whole = counts.where("hash is null").select("host", F.col("n").alias("pages"), salted)
+    many = counts.where("hash is not null").withColumn("salt", F.pmod(F.col("hash"), F.lit(SALTS)).cast("int"))
+    return many.join(whole, ["host", "salt"]).where(F.col("n") * F.col("n") >= F.col("pages")).select("host", "hash")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every page; a null or empty html has an empty text. Repeated rows are all returned."""
+def _with_hashes(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the template hashes that each page holds in ``hashes``, met by (host, hash) and not by host."""
+    key = {"_a": F.xxhash64("page_id", "url"), "_b": F.xxhash64("html")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, str, int]] = []
+            for a, b, host, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if raw:
+                    out += [(a, b, host, h) for h in {_signed(h) for hs in Page(raw).subtrees().values() for h in hs}]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["_a", "_b", "host", "hash"])
+
+    keyed = rows.withColumns(key)
+    own = keyed.select("_a", "_b", "host", "html").mapInArrow(frugal(run), "_a long, _b long, host string, hash long").join(found, ["host", "hash"])
+    lists = own.groupBy("_a", "_b").agg(F.collect_set("hash").alias("hashes"))  # a page's own elements bound it
+    return keyed.join(lists, ["_a", "_b"], "left")
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", local: int = LOCAL_TEMPLATES) -> DataFrame:
+    """(page_id, url, text, n_chars, n_template, n_marked) of every page.
+
+    n_template and n_marked are the characters that were deleted with the host's template, and of marked elements in what it
+    left. A null or empty html has an empty text, and a page that is nothing but template has as well. Repeated rows are all
+    returned. Above ``local`` templates, pages meet theirs by a join instead of a copied table; the results are the same.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
     found = checkpoint(templates(rows))
-    joined = rows.join(F.broadcast(found) if found.count() <= LOCAL_HOSTS else found, "host", "left")
+    known = None
+    if found.count() <= local:
+        table = found.toArrow()
+        keys = [_mixed(_host_hash(host), h + (1 << 63)) for host, h in zip(table["host"].to_pylist(), table["hash"].to_pylist(), strict=True)]
+        known = rows.sparkSession.sparkContext.broadcast(np.sort(np.array(keys, np.uint64)))
+        rows = rows.withColumn("hashes", F.lit(None).cast("array<long>"))
+    else:
+        rows = _with_hashes(rows, found)
+
+    def here(page: Page, host: str, hashes: list[int] | None) -> frozenset[int]:
+        if known is None:
+            return frozenset(h + (1 << 63) for h in hashes or ())
+        own = list({h for hs in page.subtrees().values() for h in hs})
+        if not own or not len(known.value):
+            return frozenset()
+        base = _host_hash(host)
+        asked = np.array([_mixed(base, h) for h in own], np.uint64)
+        at = np.minimum(np.searchsorted(known.value, asked), len(known.value) - 1)
+        return frozenset(own[i] for i in np.flatnonzero(known.value[at] == asked).tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, frozenset[int]] = {}
         for batch in batches:
-            texts = []
-            for host, raw, hashes in zip(batch.column(2).to_pylist(), as_bytes(batch.column(3)), batch.column(4), strict=True):
-                if not raw:
-                    texts.append("")
-                    continue
-                if host not in sets:
-                    if len(sets) > 10_000:
-                        sets.clear()
-                    sets[host] = frozenset(hashes.as_py() or ())
-                texts.append(Page(raw.decode()).text(sets[host]))
-            yield pa.record_batch({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
-
-    return joined.select("page_id", "url", "host", "html", "hashes").mapInArrow(frugal(run), "page_id long, url string, text string, n_chars long")
+            out = []
+            for host, raw, hashes in zip(batch.column(2).to_pylist(), as_bytes(batch.column(3)), batch.column(4).to_pylist(), strict=True):
+                page = Page(raw.decode()) if raw else None
+                out.append(page.read(here(page, host, hashes)) if page else ("", 0, 0))
+            texts, template, marked = zip(*out, strict=True) if out else ((), (), ())
+            columns = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64()), "n_template": pa.array(template, pa.int64()), "n_marked": pa.array(marked, pa.int64())}
+            yield pa.record_batch({"page_id": batch.column(0), "url": batch.column(1), **columns})
+
+    schema = "page_id long, url string, text string, n_chars long, n_template long, n_marked long"
+    return rows.select("page_id", "url", "host", "html", "hashes").mapInArrow(frugal(run), schema)

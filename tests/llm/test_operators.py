@@ -116,6 +116,41 @@ def test_html_articles_keep_shared_paragraphs(spark):
     assert {r["text"] for r in got} == {f"shared passage\n\nown {i}" for i in range(10)}
 
 
+def test_html_of_unmarked_sites(spark):
+    """Pages put together from a site's own blocks, without any telling name, and blocks of their own: only the latter stay.
+
+    The same by a copied table of templates and by a join; without templates the sites' blocks would stay.
+    """
+    rng = random.Random(21)
+    boxes = {site: [f"<div><span>{prose(rng, 6)}</span><p>{prose(rng, 9)}</p></div>" for _ in range(8)] for site in ("a.test", "b.test")}
+    rows, want = [], {}
+    for i in range(160):
+        site = rng.choice(("a.test", "b.test"))
+        own = [prose(rng, 30) for _ in range(3)]
+        menu = "".join(f"<li><a href=/{x}>{x}</a></li>" for x in (prose(rng, 1) for _ in range(rng.randint(3, 9))))
+        rows.append((i, f"http://{site.upper()}/{i}", f"<body><div><ul>{menu}</ul></div>{rng.choice(boxes[site])}<section>{''.join(f'<p>{x}</p>' for x in own)}</section>{rng.choice(boxes[site])}</body>"))
+        want[i] = "\n\n".join(own)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for local in (html.LOCAL_TEMPLATES, 0):
+        got = {r["page_id"]: r for r in html.main_text(clashing(pages), local=local).collect()}
+        assert {i: r["text"] for i, r in got.items()} == want
+        assert all(r["n_template"] > 0 and r["n_marked"] == 0 for r in got.values())
+    assert all(len(html.Page(src).text(frozenset())) > len(want[i]) for i, _, src in rows)
+
+
+DEEP = {
+    "open spans": "<span>" * 150_000 + "</x>" * 20_000, "unfinished": "<a " * 350_000, "unfinished to the last": "<a " * 350_000 + ">", "quotes": '<a ">" ' * 150_000 + '">', "nested": "<div>x" * 80_000 + "</div>" * 80_000,
+    "spans and divs": "<span><div>" * 90_000, "paragraphs in spans": "<span>" * 50_000 + "<p>x<span>" * 50_000, "stray ends": "<p>" * 100_000 + "</b>" * 200_000, "comments": "<!-- " * 200_000, "lists": "<ul><li>" * 100_000,
+    "raw": "<textarea></textarea " * 40_000 + ">", "signs": "<" * 1_000_000, "cells": "<td>" * 200_000, "entities": "&amp" * 200_000, "sections": "<![CDATA[" * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", DEEP)
+def test_html_of_a_hard_megabyte(name):
+    (text, *_), spent = seconds(lambda: html.Page(DEEP[name]).read(frozenset({1})))
+    assert spent < 15 and text == "\n\n".join(" ".join(x.split()) for x in text.split("\n\n"))
+
+
 # 2 URLs
 
 
