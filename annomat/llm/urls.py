@@ -1,11 +1,17 @@
 """URL filters: fixed host and path rules, and for the rest a path-template tree learned for each host.
 
-The tree is grown level by level, until all paths end, with DataFrame operations on counts of distinct paths. At a node,
-segments that look like numbers or ids, and segments of fewer urls than a verdict needs labels, become wildcards. All others
-are branches, however many; the largest takes those that are statistically like it (in the labelled block and allow shares
-and in how many urls end or go on with a number, each within 1.96 standard errors), then the largest left does, until each
-is merged or leads. Branches of equal counts are merged first, so a node is as large as its number of different counts. The rules' verdicts are the labels. A template is rejected if
-most of its urls are labelled and the smoothed purity of its labels reaches the limit.
+The tree is grown level by level with DataFrame operations, until all paths end or no node has urls enough for a branch. At a
+node, segments that look like numbers or ids, and segments of fewer than ``LEAST`` urls, become wildcards. All others are
+branches, however many; the largest takes those that are statistically like it (in the labelled block and allow shares and in how
+many urls end or go on with a number, each within 1.96 standard errors), then the largest left does, until each is merged or
+leads. Branches of equal counts are merged first, so a node is as large as its number of different counts.
+
+The rules' verdicts are the labels. A template is rejected if the smoothed purity of its labels reaches the limit: the blocked
+share, where an even prior of ``PRIOR`` urls and each unlabelled url, as a ``DOUBT`` of an allowed one, count as well. So a few
+blocked urls among many unlabelled ones reject nothing, and unlabelled urls follow a template that is blocked almost throughout.
+
+No stage is dealt by host or template but sums that are pre-aggregated: a level's branches, and the rejected templates, are
+copied to the urls if they are few, and else joined with each key dealt to ``SALTS`` parts.
 """
 
 from __future__ import annotations
@@ -15,12 +21,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small
 
 #: (verdict, rule): a rule is a host, and a path that starts at its first slash.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Purity from which a template is rejected, weight of the even prior, labels (and urls of a branch) and labelled share needed.
-PURITY, PRIOR, LEAST, SUPPORT = 0.8, 2.0, 5, 0.5
+#: Purity from which a template is rejected, weights of the even prior and of an unlabelled url, urls of a branch.
+PURITY, PRIOR, DOUBT, LEAST = 0.8, 2.0, 0.1, 5
+#: Rows of branches or templates (a few short strings each) that are copied to every executor at most; parts of a key beyond.
+LOCAL_ROWS, SALTS = 50_000, 16
 _VARIABLE = r"^(?:[0-9]+(?:[-_.][0-9]+)*(?:\.[A-Za-z]+)?|[0-9a-fA-F]{8,}|[0-9a-fA-F-]{32,36}|[^A-Za-z]*[0-9][^A-Za-z]*|.{33,})$"
 
 
@@ -65,47 +73,56 @@ def merged(branches: DataFrame) -> DataFrame:
     return branches.join(found, [*node, *_COUNTS])
 
 
-def grown(paths: DataFrame) -> DataFrame:
-    """``paths`` (host, path, n, block, allow) with the template of each."""
+def _met(rows: DataFrame, table: DataFrame, keys: list[str], local: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has each of the keys once, or nulls; a hot key is no single task's."""
+    table = checkpoint(table)
+    if (few := small(table, local)) is not None:
+        return rows.join(few, keys, "left")
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
+
+
+def grown(rows: DataFrame, local: int = LOCAL_ROWS) -> DataFrame:
+    """``rows`` (page_id, host, path, block, allow, ...) with the template of each path."""
+    names = rows.columns
     cut = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = checkpoint(paths.withColumn("_segments", cut).withColumn("template", F.lit("")))
-    depth = rows.agg(F.max(F.size("_segments"))).first()[0] or 0
-    done = rows.where(F.size("_segments") == 0)
-    for level in range(1, depth + 1):
-        rows = rows.where(F.size("_segments") >= level)
-        segment = F.get("_segments", F.lit(level - 1))
-        after = F.get("_segments", F.lit(level))
+    rows = checkpoint(rows.withColumn("_segments", cut).withColumn("template", F.lit("")))
+    done, level = rows.where(F.size("_segments") == 0), 0
+    rows = rows.where(F.size("_segments") > 0)
+    while True:
+        level += 1
+        segment, after = F.get("_segments", F.lit(level - 1)), F.get("_segments", F.lit(level))
         rows = rows.withColumn("_s", F.when(segment.rlike(_VARIABLE), F.lit("*")).otherwise(segment))
-        counts = rows.groupBy("host", "template", "_s").agg(
-            F.sum("n").alias("n"), F.sum("block").alias("block"), F.sum("allow").alias("allow"),
-            F.sum(F.when(after.isNull(), F.col("n")).otherwise(0)).alias("leaf"), F.sum(F.when(after.rlike(_VARIABLE), F.col("n")).otherwise(0)).alias("number"),
-        )
-        counts = checkpoint(counts)
-        kept = (F.col("n") >= LEAST) & (F.col("_s") != "*")
-        named = counts.where(~kept).select("host", "template", "_s", F.lit("*").alias("_b")).unionByName(merged(counts.where(kept)).select("host", "template", "_s", "_b"))
-        rows = rows.join(named, ["host", "template", "_s"]).withColumn("template", F.concat("template", F.lit("/"), "_b")).drop("_b", "_s")
-        rows = checkpoint(rows)  # each level reads it twice: without a cut the plan doubles
+        counts = checkpoint(rows.groupBy("host", "template", "_s").agg(
+            F.count("*").alias("n"), F.sum("block").alias("block"), F.sum("allow").alias("allow"),
+            F.sum(after.isNull().cast("long")).alias("leaf"), F.coalesce(F.sum(after.rlike(_VARIABLE).cast("long")), F.lit(0)).alias("number"),
+        ))
+        branches = merged(counts.where((F.col("n") >= LEAST) & (F.col("_s") != "*"))).select("host", "template", "_s", "_b")
+        named = _met(rows, branches, ["host", "template", "_s"], local)
+        rows = checkpoint(named.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("_b", F.lit("*")))).drop("_b", "_s"))
         done = done.unionByName(rows.where(F.size("_segments") == level))
-    return done.drop("_segments")
+        rows = rows.where(F.size("_segments") > level)
+        # Without a node of LEAST urls, all that follows is wildcards.
+        if not rows.groupBy("host", "template").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).take(1):
+            rest = rows.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), F.size("_segments") - level)))
+            return done.unionByName(rest).select(*names, "template")
 
 
-def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", local: int = LOCAL_ROWS) -> DataFrame:
     """(page_id, host, path, rule, verdict, template) of every row.
 
     The verdict is the longest rule's, else ``block`` for urls of a rejected template, else ``allow``. A null url or one
-    without ``://`` has empty host and path and is allowed.
+    without ``://`` has empty host and path and is allowed. Repeated rows are all returned and count as often.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
     host, path = parts(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "_verdict": verdict})
-    labelled = F.sum(F.when(F.col("_verdict") == "block", 1).otherwise(0)), F.sum(F.when(F.col("_verdict") == "allow", 1).otherwise(0))
-    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), labelled[0].alias("block"), labelled[1].alias("allow"))
-    tree = grown(paths)
+    is_ = lambda v: F.coalesce((F.col("_verdict") == v).cast("long"), F.lit(0))
+    tree = grown(rows.withColumns({"block": is_("block"), "allow": is_("allow")}), local)
     known = F.sum("block") + F.sum("allow")
-    purity = (F.sum("block") + PRIOR / 2) / (known + PRIOR)
-    verdicts = tree.groupBy("host", "template").agg(((purity >= PURITY) & (known >= LEAST) & (known >= SUPPORT * F.sum("n"))).alias("_rejected"))
-    found = tree.select("host", "path", "template").join(verdicts, ["host", "template"])
-    out = rows.join(found, ["host", "path"], "left")
+    purity = (F.sum("block") + PRIOR / 2) / (known + DOUBT * (F.count("*") - known) + PRIOR)
+    rejected = tree.groupBy("host", "template").agg((purity >= PURITY).alias("_rejected")).where("_rejected")
+    out = _met(tree, rejected, ["host", "template"], local)
     return out.select("page_id", "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("_rejected"), F.lit("block")), F.lit("allow")).alias("verdict"), "template")

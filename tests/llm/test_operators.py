@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import time
 import zlib
 
@@ -214,6 +215,62 @@ def test_url_templates_deep_and_wide(spark):
     assert got[own]["rule"] is None and got[own]["verdict"] == "block" and got[own]["template"] != got[40]["template"]
 
 
+def plain_templates(rows):
+    """The tree and its verdicts with dictionaries: (host, path, verdict of the rules or None) -> (template, rejected)."""
+    from collections import defaultdict
+
+    variable = re.compile(urls._VARIABLE)
+    state = [("", [x for x in path.split("/") if x]) for _, path, _ in rows]
+    for level in range(max((len(x) for _, x in state), default=0)):
+        counts = defaultdict(lambda: [0] * 5)
+        name = lambda s: "*" if variable.match(s) else s
+        for (host, _, label), (template, x) in zip(rows, state, strict=True):
+            if len(x) > level:
+                c = counts[host, template, name(x[level])]
+                last = len(x) == level + 1
+                for k, v in enumerate((1, label == "block", label == "allow", last, not last and bool(variable.match(x[level + 1])))):
+                    c[k] += v
+
+        def like(a, b):
+            pools = [(x + y) / (a[0] + b[0]) for x, y in zip(a[1:], b[1:], strict=True)]
+            return all(abs(x / a[0] - y / b[0]) <= 1.96 * math.sqrt(p * (1 - p) * (1 / a[0] + 1 / b[0])) + 1e-9 for x, y, p in zip(a[1:], b[1:], pools, strict=True))
+
+        into, nodes = {}, defaultdict(dict)
+        for (host, template, s), c in counts.items():
+            if c[0] >= urls.LEAST and s != "*":
+                kinds = nodes[host, template]
+                kinds[tuple(c)] = min(s, kinds.get(tuple(c), s))
+        for node, kinds in nodes.items():
+            led = []
+            for c, s in sorted(kinds.items(), key=lambda x: (-x[0][0], x[1], x[0])):
+                lead = next((x for x in led if like(x[0], c)), None)
+                led += [] if lead else [(c, s)]
+                into[node, c] = lead[1] if lead else s
+        state = [(f"{t}/{into.get(((h, t), tuple(counts[h, t, name(x[level])])), '*') if name(x[level]) != '*' else '*'}" if len(x) > level else t, x) for (h, _, _), (t, x) in zip(rows, state, strict=True)]
+    labels = defaultdict(list)
+    for (host, _, label), (template, _) in zip(rows, state, strict=True):
+        labels[host, template].append(label)
+    bad = {k for k, v in labels.items() if (v.count("block") + urls.PRIOR / 2) / (len(v) - v.count(None) + urls.DOUBT * v.count(None) + urls.PRIOR) >= urls.PURITY}
+    return [(t, (h, t) in bad) for (h, _, _), (t, _) in zip(rows, state, strict=True)]
+
+
+@pytest.mark.parametrize("local", [urls.LOCAL_ROWS, 0])
+def test_urls_equal_plain(spark, small, local):
+    """All of a small table and made-up paths of some depth, by copied branches and by joins."""
+    rng = random.Random(31)
+    words = ["news", "shop", "de", "en", "item", "tag"]
+    made = [f"http://{rng.choice(['x.example.com', 'y.example.org', 'z.test'])}/" + "/".join(rng.choice([rng.choice(words), str(rng.randrange(50)), f"s{rng.randrange(9)}x"]) for _ in range(rng.randrange(5))) for _ in range(400)]
+    made += ["http://deep.test/" + "a/" * 300, "http://q.example.com/de/1"] + [f"http://mixed.test/{'bad' if k % 3 else 'other'}{k}/x" for k in range(12)]
+    rules = [*urls.RULES, ("block", "mixed.test/bad")]
+    pages = [tuple(r) for r in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url").collect()] + [(10_000 + k, u) for k, u in enumerate(made)]
+    got = {r["page_id"]: r for r in urls.judged(spark.createDataFrame(pages, "page_id long, url string"), rules, local=local).collect()}
+    rows = [(got[i]["host"], got[i]["path"], None if got[i]["rule"] is None else next(v for v, r in rules if r == got[i]["rule"])) for i, _ in pages]
+    for (i, _), (host, path, label), (template, bad) in zip(pages, rows, plain_templates(rows), strict=True):
+        assert (got[i]["template"], got[i]["verdict"]) == (template, label or ("block" if bad else "allow")), (host, path)
+    followers = [r for r in got.values() if r["host"] == "mixed.test" and r["rule"] is None]
+    assert {r["verdict"] for r in followers} == {"block"}  # a third of a template that is otherwise blocked
+
+
 # 3 SimHash
 
 
