@@ -3,10 +3,11 @@
 A fingerprint is cut into positional bytes. Two fingerprints that differ in at most ``max_bits`` bits share at least
 ``n_bytes - max_bits`` of them, so the index is kept on small sets of positions chosen so that every pair with the
 guaranteed number of matches meets in at least one of them (for 8 bytes and 3 bits: five matches, hence three within one
-half). Postings hold distinct fingerprints only. Inside a posting the shared positional bytes of each pair are tallied,
-pairs below the guaranteed count are dropped and the rest are verified by Hamming distance; what leaves a posting is a
-spanning forest of its verified links, so the output is linear in the posting's size. Postings over ``TILE`` members are
-cut into pairs of blocks, each a task's worth of work of fixed size.
+half). With more fingerprints the sets are larger, and so are the keys, so postings stay short. Postings hold distinct
+fingerprints only. Inside a posting the shared positional bytes of each pair are tallied, pairs below the guaranteed count are
+dropped, and the rest are verified by Hamming distance; what leaves a posting is a spanning forest of its verified links, so the
+output is linear in the posting's size. Postings over ``TILE`` members are cut into pairs of blocks, each a task's worth of work
+of fixed size.
 
 Where shingles decide (``near_duplicate_groups``), such links are only candidates: their components are blocks, and inside a
 block all pairs of different texts are compared by their sets of shingles.
@@ -27,8 +28,9 @@ from .common import blocks, checkpoint, frugal, longs, partitions, picked, start
 
 #: Members of a posting, or of a block of a large one, that are compared with each other in one go.
 TILE = 1024
-#: Members up to which all links are returned and not only a spanning forest.
-ALL_LINKS = 16
+#: Members up to which all links are returned and not only a spanning forest; fingerprints up to which keys have three bytes.
+ALL_LINKS, FEW_PRINTS = 16, 1 << 28
+_LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -91,6 +93,25 @@ def half_triples() -> list[tuple[int, ...]]:
     return [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 
 
+def covering(n_bytes: int, matches: int, size: int) -> list[tuple[int, ...]]:
+    """Position sets of ``size`` bytes, one of which at least lies in every set of ``matches`` bytes; found greedily."""
+    need, out = set(combinations(range(n_bytes), matches)), []
+    inside = {t: {m for m in need if set(t) <= set(m)} for t in combinations(range(n_bytes), size)}
+    while need:
+        best = max(inside, key=lambda t: (len(inside[t] & need), t))
+        out.append(best)
+        need -= inside[best]
+    return out
+
+
+def index_positions(fingerprints: int) -> list[tuple[int, ...]]:
+    """Position sets for 8 bytes and at most 3 differing bits, with keys long enough for so many distinct fingerprints.
+
+    Up to 2**28 of them a key of three bytes has 16 on average; beyond, keys of four bytes are good for 2**36.
+    """
+    return half_triples() if fingerprints <= FEW_PRINTS else covering(8, 5, 4)
+
+
 def spread_triples(n_bits: int, rounds: int, seed: int = 7) -> tuple[np.ndarray, list[tuple[int, ...]]]:
     """An order of bits that lays out a fingerprint ``rounds`` times, and triples of bytes of that; those of a round share no bit."""
     rng, size = np.random.default_rng(seed), n_bits // 8
@@ -98,6 +119,12 @@ def spread_triples(n_bits: int, rounds: int, seed: int = 7) -> tuple[np.ndarray,
     return order, [(k, k + 1, k + 2) for r in range(rounds) for k in range(r * size, (r + 1) * size - 2, 3)]
 
 
+def _shared(x: np.ndarray) -> np.ndarray:
+    """The tally: how many positional bytes are zero in each row of differences, held as longs."""
+    differ = ((x & _LOW) + _LOW | x) & _HIGH
+    return 8 * x.shape[1] - np.bitwise_count(differ).sum(axis=1)
+
+
 def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, max_bits: int, least: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Verified links (i, j, bits) between two blocks of row numbers (one block if ``same``).
 
@@ -108,10 +135,13 @@ def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, max_bits: int,
     for k, i in enumerate(left.tolist()):
         others = right[k + 1 :] if same else right
         if len(others):
-            bits = np.bitwise_count(lanes[others] ^ lanes[i]).sum(axis=1)
+            x = lanes[others] ^ lanes[i]
+            if least:  # pairs short of the guaranteed matches go before they are verified
+                enough = _shared(x) >= least
+                others, x = others[enough], x[enough]
+            bits = np.bitwise_count(x).sum(axis=1)
             near = np.flatnonzero(bits <= max_bits)
-            if len(near):  # the tally of positional bytes
-                near = near[(fp[others[near]] == fp[i]).sum(axis=1) >= least]
+            if len(near):
                 found.append((np.full(len(near), i), others[near], bits[near].astype(np.int64)))
     if not found:
         none = np.empty(0, np.int64)
@@ -194,7 +224,7 @@ def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, le
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Postings with two members or more; a large one as pairs of blocks (part 0, 1 of a tile)."""
-        held_key, held = np.empty(0, np.int64), np.empty(0, np.int64)
+        held_key, held = None, []  # the last key's members so far
 
         def emit(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
             first = starts_of_runs(keys)
@@ -214,14 +244,24 @@ def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, le
                         yield pa.record_batch({"key": np.full(n, keys[first[k]]), "tile": np.full(n, (i << 32) | j, np.int64), "side": np.repeat(np.array([0, 1], np.int32), [len(x), n - len(x)]), "id": both})
 
         for batch in batches:
-            keys, ids = np.concatenate([held_key, longs(batch.column(0))]), np.concatenate([held, longs(batch.column(1))])
+            keys, ids = longs(batch.column(0)), longs(batch.column(1))
             if not len(keys):
                 continue
-            last = np.searchsorted(keys, keys[-1])  # the last run may go on
-            yield from emit(keys[:last], ids[:last])
-            held_key, held = keys[last:], ids[last:]
-        if len(held):
-            yield from emit(held_key, held)
+            more = int(np.searchsorted(keys, held_key, "right")) if held else 0  # members of the run that was left open
+            if more:
+                held.append(ids[:more])
+            if more == len(keys):
+                continue
+            if held:
+                own = np.concatenate(held)
+                yield from emit(np.full(len(own), held_key), own)
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last > more:
+                yield from emit(keys[more:last], ids[more:last])
+            held_key, held = int(keys[-1]), [ids[last:]]
+        if held:
+            own = np.concatenate(held)
+            yield from emit(np.full(len(own), held_key), own)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -242,9 +282,11 @@ def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, le
             keep = ends <= done
             first, ends = first[keep], ends[keep]
             two = first[ends - first == 2]
-            x = fp[two] ^ fp[two + 1]
+            x = fp.view(np.uint64)[two] ^ fp.view(np.uint64)[two + 1]
+            enough = _shared(x) >= least
+            two, x = two[enough], x[enough]
             apart = np.bitwise_count(x).sum(axis=1).astype(np.int64)
-            ok = ((x == 0).sum(axis=1) >= least) & (apart <= max_bits)
+            ok = apart <= max_bits
             pairs = [(ids[two[ok]], ids[two[ok] + 1], apart[ok])]
             for s, e in zip(first.tolist(), ends.tolist(), strict=True):
                 if e - s > 2:
@@ -288,14 +330,16 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def grouped(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, least: int) -> DataFrame:
+def grouped(prints: DataFrame, positions: list[tuple[int, ...]] | None, max_bits: int, least: int) -> DataFrame:
     """(id, fp, component_id) for every row of ``prints``; equal fingerprints are always linked.
 
+    Without positions, fingerprints are of 8 bytes and the positions are those for their number.
+
     A null id keeps its fingerprint and takes its component from the other rows; it is null if there is none.
     """
     prints = checkpoint(prints)
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("id")).where("id is not null").select("id", "fp"))
-    found = components(links(distinct, positions, max_bits, least))
+    found = components(links(distinct, positions or index_positions(distinct.count()), max_bits, least))
     owner = distinct.join(found, distinct.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(owner, "fp", "left").select("id", "fp", "component_id")
 
@@ -306,7 +350,7 @@ def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id",
     Null, empty and wordless texts have fingerprint zero and are linked like any other; repeated rows are returned as often
     as they occur.
     """
-    out = grouped(fingerprints(docs, width, 64, id_col, text_col), half_triples(), 3, 5)
+    out = grouped(fingerprints(docs, width, 64, id_col, text_col), None, 3, 5)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 

@@ -295,6 +295,7 @@ def test_simhash_chains_and_tiles(spark):
     rng.shuffle(values)
     df = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big"))) for i, v in enumerate(values)], "id long, fp binary")
     got = {r["id"]: r["component_id"] for r in simhash.grouped(df, simhash.half_triples(), 3, 5).collect()}
+    assert got == {r["id"]: r["component_id"] for r in simhash.grouped(df, simhash.covering(8, 5, 4), 3, 5).collect()}
     fp = np.array(values, np.uint64)
     parent = list(range(len(values)))
 
@@ -310,6 +311,18 @@ def test_simhash_chains_and_tiles(spark):
     assert got == {i: root(i) for i in range(len(values))}
 
 
+def test_simhash_positions_and_tally():
+    for sets in (simhash.half_triples(), simhash.index_positions(10), simhash.index_positions(1 << 40), simhash.covering(8, 5, 4)):
+        assert all(any(set(t) <= set(m) for t in sets) for m in itertools.combinations(range(8), 5))
+    assert len(simhash.covering(8, 5, 4)) < 30
+    x = np.random.default_rng(3).integers(0, 3, (500, 16)).astype(np.uint8) * np.uint8(127)
+    assert (simhash._shared(x.view(np.uint64)) == (x == 0).sum(axis=1)).all()
+    # The tally decides before the distance is looked at: pairs of three shared bytes are dropped whatever their distance.
+    fp = np.array([[0] * 8, [0, 0, 0, 1, 1, 1, 1, 1]], np.uint8)
+    at = np.arange(2)
+    assert len(simhash._forest(fp, at, at, 64, 5, True)[0]) == 0 and len(simhash._forest(fp, at, at, 64, 3, True)[0]) == 1
+
+
 def test_simhash_odd(spark, none):
     df = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "zz"), (7, None), (5, "")], "doc_id long, text string")
     got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.simhash_components(df).collect()}
