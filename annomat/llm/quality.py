@@ -7,6 +7,8 @@ corpus, pre-aggregated per block, and joins them with the count and history tabl
 the n-gram: the result is one log probability for each distinct n-gram. Documents then sum theirs: with a copy on every
 executor if the table is at most ``local_rows`` rows, and else by asking, for each batch of documents, for that batch's
 n-grams only. Both ways give the same figures.
+
+Thresholds are exact quantiles, found by counts of value ranges first and then by sorting the ranges that hold them.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, checkpoint, frugal, longs, partitions, picked
+from .common import blocks, checkpoint, frugal, longs, partitions, picked, small, text_bytes
 
 #: Order of the model, rows of log probabilities that are copied to executors at most, and symbols' worth of the language's
 #: mean that a text's own mean is drawn towards.
@@ -27,6 +29,10 @@ ORDER, LOCAL_ROWS, PRIOR = 5, 4_000_000, 40
 #: A text is kept up to this quantile of its language's trusted texts that were not trained on. One in ``CALIBRATE`` trusted
 #: texts is kept from training for that.
 QUANTILE, CALIBRATE = 0.99, 5
+#: Ranges of values that a quantile is looked for in; UTF-8 bytes of text in a batch that asks for its own n-grams.
+RANGES, ASK_BYTES = 4096, 32 << 20
+#: Groups up to which their bounds are copied to every executor.
+LOCAL_GROUPS = 10_000
 
 
 def symbols(texts: list[bytes | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +161,7 @@ def scored(docs: DataFrame, logp: DataFrame, order: int = ORDER, local_rows: int
 
         return docs.mapInArrow(frugal(near), schema)
 
-    n = partitions(docs.sparkSession) * 4
+    n = max(partitions(docs.sparkSession) * 4, -(-text_bytes(docs) // ASK_BYTES))
     dealt = docs.withColumn("_batch", F.pmod(F.xxhash64(*names, "text"), F.lit(n)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +184,32 @@ def scored(docs: DataFrame, logp: DataFrame, order: int = ORDER, local_rows: int
     return dealt.groupBy("_batch").cogroup(answers.groupBy("_batch")).applyInArrow(far, schema)
 
 
+def quantiles(values: DataFrame, q: float = QUANTILE) -> DataFrame:
+    """(group, limit): the ``q`` quantile of each group's values, between two neighbours in proportion; ``values`` is (group, v).
+
+    Values are counted by range first, ``RANGES`` of them between a group's least and largest; only those in the ranges with
+    the two neighbours are then sorted, which spills where memory is short. No group is held in one place.
+    """
+    ends = values.groupBy("group").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    span = F.col("high") - F.col("low")
+    part = F.when(span > 0, F.least(F.floor((F.col("v") - F.col("low")) / span * RANGES), F.lit(RANGES - 1))).otherwise(0).cast("int")
+    ends = checkpoint(ends)  # a row for each group
+    few = small(ends, LOCAL_GROUPS)
+    dealt = checkpoint(values.join(ends if few is None else few, "group").select("group", "v", "n", part.alias("part")))
+    sizes = dealt.groupBy("group", "part", "n").agg(F.count("*").alias("size"))
+    up_to = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # RANGES rows at most
+    place = (F.col("n") - 1) * F.lit(q)
+    at = F.floor(place)
+    sizes = sizes.withColumn("before", F.sum("size").over(up_to) - F.col("size"))
+    held = sizes.where((F.col("before") <= at + 1) & (F.col("before") + F.col("size") > at)).select("group", "part", "before")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("group", "part").orderBy("v")) - 1
+    held = checkpoint(held)  # three rows for each group at most
+    near = dealt.join(held if few is None else F.broadcast(held), ["group", "part"]).select("group", "v", rank.alias("rank"), place.alias("place"), at.alias("at"))
+    lower, upper = (F.max(F.when(F.col("rank") == F.col("at") + k, F.col("v"))) for k in (0, 1))
+    pair = near.groupBy("group", "place", "at").agg(lower.alias("lower"), upper.alias("upper"))
+    return pair.select("group", (F.col("lower") + F.coalesce((F.col("upper") - F.col("lower")) * (F.col("place") - F.col("at")), F.lit(0.0))).alias("limit"))
+
+
 def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(doc_id, lang, symbols, perplexity, threshold, keep) of every row of ``docs`` (doc_id, text, lang).
 
@@ -202,9 +234,11 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, local_rows: i
     middle = every[0] / every[1] if every[1] else 0.0
     drawn = (F.col("nll") + PRIOR * F.coalesce("mean", F.lit(middle))) / (F.col("symbols") + PRIOR)
     held = held.join(F.broadcast(means), "lang", "left").withColumn("drawn", drawn)
-    limits = held.groupBy("lang").agg(F.percentile("drawn", F.lit(QUANTILE)).alias("limit"))
-    whole = held.agg(F.percentile("drawn", F.lit(QUANTILE))).first()[0]
-    other = float(whole) if whole is not None else float("inf")
+    held = checkpoint(held.select("lang", "drawn"))
+    limits = quantiles(held.select(F.col("lang").alias("group"), F.col("drawn").alias("v"))).withColumnRenamed("group", "lang")
+    whole = quantiles(held.select(F.lit("").alias("group"), F.col("drawn").alias("v"))).first()
+    other = float(whole["limit"]) if whole is not None else float("inf")
+    limits = checkpoint(limits)
     out = found.join(F.broadcast(means.join(limits, "lang")), "lang", "left").withColumn("drawn", drawn).withColumn("limit", F.coalesce("limit", F.lit(other)))
     return out.select("doc_id", "lang", "symbols", F.exp("drawn").alias("perplexity"), F.exp("limit").alias("threshold"), (F.col("drawn") <= F.col("limit")).alias("keep"))
 

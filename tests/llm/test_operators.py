@@ -639,6 +639,16 @@ def test_quality_threshold_is_the_quantile(spark, small, docs):
         assert math.isclose(own[0]["threshold"], math.exp(np.quantile(np.log([r["perplexity"] for r in own]), quality.QUANTILE)), rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.99, 1.0])
+def test_quantiles_equal_plain(spark, q):
+    rng = np.random.default_rng(2)
+    groups = {"flat": np.ones(50), "one": np.array([3.5]), "two": np.array([1.0, 2.0]), "wide": np.append(rng.normal(size=997), [1e9, -1e6]), "ties": rng.integers(0, 3, 400).astype(float)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "group string, v double")
+    got = {r["group"]: r["limit"] for r in quality.quantiles(df, q).collect()}
+    assert got == {g: pytest.approx(np.quantile(v, q), rel=1e-12, abs=1e-12) for g, v in groups.items()}
+    assert quality.quantiles(df.limit(0), q).collect() == []
+
+
 # 7 Substrings
 
 
