@@ -22,6 +22,10 @@ from .common import as_bytes, blocks, frugal, longs, partitions
 
 #: Least names kept of each level, the levels, and UTF-8 bytes parsed in one go (its arrays stay in the cache).
 KEEP, LEVELS, PARSE_BYTES = 32, (2, 3), 256 << 10
+#: UTF-8 bytes of text for which there is a bucket of neighbours at least, and ranges that quantiles cut ids into.
+BUCKET_BYTES, RANGES = 16 << 20, 512
+#: What a null id is held as.
+FIRST = -(1 << 63)
 _U = np.uint64
 _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, _U), dtype=_U)
 
@@ -128,33 +132,48 @@ def _bucket(key: Column, bounds: list[int], low: int = 0) -> Column:
 
 
 def in_turn(docs: DataFrame) -> DataFrame:
-    """``docs`` (key, ...) dealt to buckets by range, each ending with a guest: the row that follows it in falling order.
+    """``docs`` (key, sub, text) dealt to buckets by range, each ending with a guest: the row that follows it in falling order.
 
     Adds bucket and guest. A bucket's guest is the first row of the next bucket down; the last bucket's is the first of all.
-    Bounds are quantiles, at most 512 of them, and only they and each bucket's largest key reach the driver.
+    The number of buckets follows the bytes of text. Ids are cut at quantiles into ``RANGES`` ranges at most, and each of these
+    evenly; rows without an id (key ``FIRST``) are cut by ``sub``, a hash. Only bounds and each bucket's first key reach the driver.
     """
     spark = docs.sparkSession
-    n = min(512, 4 * partitions(spark))
-    bounds = sorted({int(x) for x in docs.approxQuantile("key", [i / n for i in range(1, n)], 1 / (8 * n))})
-    dealt = docs.withColumn("bucket", _bucket(F.col("key"), bounds))
-    firsts = sorted((r["bucket"], r["key"]) for r in dealt.groupBy("bucket").agg(F.max("key").alias("key")).collect())
-    guests = [(key, firsts[(k + 1) % len(firsts)][0]) for k, (_, key) in enumerate(firsts)]
-    follow = spark.createDataFrame(guests or [(0, -1)], "key long, visits int")
+    known, size = F.col("key") != FIRST, F.coalesce(F.octet_length("text"), F.lit(0))
+    least, most, whole, without = docs.agg(F.min(F.when(known, F.col("key"))), F.max("key"), F.sum(F.when(known, size)), F.sum(F.when(~known, size + 1))).first()
+    low_buckets = 0 if without is None else -(-without // BUCKET_BYTES)
+    n = max(4 * partitions(spark), -(-(whole or 0) // BUCKET_BYTES))
+    ranges = min(n, RANGES)
+    each = -(-n // ranges)
+    found = docs.where(known).approxQuantile("key", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges)) if least is not None else []
+    bounds = sorted({int(x) for x in found} - {least})
+    bucket = _bucket(F.col("key"), bounds)
+    if each > 1:
+        edges = F.array(*[F.lit(float(x)) for x in (least, *bounds, most + 1)])
+        low, high = (F.get(edges, bucket + k) for k in (0, 1))
+        inner = F.floor((F.col("key").cast("double") - low) / (high - low) * each).cast("int")
+        bucket = bucket * each + F.greatest(F.least(inner, F.lit(each - 1)), F.lit(0))
+    share = F.col("sub").cast("double") / float(1 << 64) + 0.5
+    bucket = F.when(known, bucket + low_buckets).otherwise(F.least(F.floor(share * low_buckets), F.lit(max(0, low_buckets - 1)))).cast("int")
+    dealt = docs.withColumn("bucket", bucket)
+    firsts = sorted((r["bucket"], r["first"]["key"], r["first"]["sub"]) for r in dealt.groupBy("bucket").agg(F.max(F.struct("key", "sub")).alias("first")).collect())
+    guests = [(key, sub, firsts[(k + 1) % len(firsts)][0]) for k, (_, key, sub) in enumerate(firsts)]
+    follow = spark.createDataFrame(guests or [(0, 0, -1)], "key long, sub long, visits int")  # a row for each bucket
     own = F.struct(F.col("bucket"), F.lit(0).alias("guest"))
     both = F.when(F.col("visits").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("visits").alias("bucket"), F.lit(1).alias("guest"))))
-    rows = dealt.join(F.broadcast(follow), "key", "left").withColumn("_to", F.explode(both)).drop("bucket", "visits")
-    return rows.select("*", "_to.bucket", "_to.guest").drop("_to").repartition(partitions(spark), "bucket")
+    rows = dealt.join(F.broadcast(follow), ["key", "sub"], "left").withColumn("_to", F.explode(both)).drop("bucket", "visits")
+    return rows.select("*", "_to.bucket", "_to.guest").drop("_to").repartition(max(partitions(spark), -(-n // 4)), "bucket")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    A null text counts as empty. Rows follow each other by falling id, rows of one id by their text; null ids come last. After the
-    last row comes the first; a single row follows itself.
+    A null text counts as empty. Rows follow each other by falling id, rows of one id by their text; null ids come last, by falling
+    hash of their text. After the last row comes the first; a single row follows itself.
     """
-    least = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("key"), F.col(text_col).alias("text"))
-    dealt = in_turn(rows).sortWithinPartitions("bucket", "guest", F.desc("key"), "text").select("bucket", "guest", "key", "text")
+    ident = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(ident, F.lit(FIRST)).alias("key"), F.when(ident.isNull(), F.xxhash64(text_col)).otherwise(0).cast("long").alias("sub"), F.col(text_col).alias("text"))
+    dealt = in_turn(rows).sortWithinPartitions("bucket", "guest", F.desc("key"), F.desc("sub"), "text").select("bucket", "guest", "key", "text")
 
     def emit(held: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
         """The rows of ``held`` that have a successor in it."""
@@ -166,7 +185,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         changed = sketches(raw)
         at = [k for k, (a, b) in enumerate(zip(held, held[1:], strict=False)) if a[0] == b[0] and not a[1]]
         return pa.record_batch({
-            "doc_id": pa.array([None if a[2] == least else a[2] for a, _ in pairs], pa.int64()),
+            "doc_id": pa.array([None if a[2] == FIRST else a[2] for a, _ in pairs], pa.int64()),
             "n_chars": pa.array([len(a[3]) for a, _ in pairs], pa.int64()),
             "edited_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()),
             "fingerprint": pa.array([written(found[k]) for k in at], pa.string()),

@@ -850,6 +850,19 @@ def test_fingerprints_equal_plain(spark, docs, odd):
     assert sum(r["near_edited"] > r["near_next"] for r in long) >= 0.95 * len(long)
 
 
+def test_fingerprints_in_many_buckets(spark, monkeypatch):
+    """Buckets of a few hundred bytes, far more than ranges; half of the rows have no id; ids lie close together and far apart."""
+    monkeypatch.setattr(parsing, "BUCKET_BYTES", 300)
+    monkeypatch.setattr(parsing, "RANGES", 7)
+    rng = random.Random(17)
+    rows = [(rng.choice([k, k * 10**12, -k]), prose(rng, rng.randrange(12))) for k in range(1, 200)] + [(None, f"{k} {prose(rng, 8)}") for k in range(150)]
+    rows = [*{i if i is not None else t: (i, t) for i, t in rows}.values()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = df.orderBy(F.desc_nulls_last("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).desc()).collect()
+    want = sorted((i or 0, hashlib.sha256((t[: len(t) - len(t) // 2] + ordered[(k + 1) % len(ordered)][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(ordered))
+    assert sorted((r["doc_id"] or 0, r["edited_sha256"]) for r in parsing.edited_fingerprints(df).collect()) == want
+
+
 def test_fingerprints_odd(spark, none):
     assert parsing.edited_fingerprints(none).collect() == []
     one = parsing.edited_fingerprints(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).first()
