@@ -6,7 +6,6 @@ returns the columns of ``documents``, but for the last, which returns the packed
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from annomat.llm import langid, packing, quality, simhash, substring
 from annomat.llm.catalogue import vocabulary
-from annomat.llm.common import small_batches, table
+from annomat.llm.common import shared_folder, small_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``; stages in between are tables in the shared checkpoint folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    top = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
