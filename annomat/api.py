@@ -33,12 +33,13 @@ def read_h5seurat(spark: SparkSession, path: str, assay: str = "RNA", layer: str
     return read(spark, path, "h5seurat", assay=assay, layer=layer, **options).cast(dtype)
 
 
-def write_h5ad(data: AnnotatedMatrix, path: str) -> str:
-    return data.write(path, "h5ad")
+def write_h5ad(data: AnnotatedMatrix, path: str, compression: str | None = "gzip") -> str:
+    return data.write(path, "h5ad", compression=compression)
 
 
-def write_h5seurat(data: AnnotatedMatrix, path: str, assay: str = "RNA") -> str:
-    return data.write(path, "h5seurat", assay=assay)
+def write_h5seurat(data: AnnotatedMatrix, path: str, assay: str = "RNA", chunk_size: int = CHUNK_SIZE) -> str:
+    """``chunk_size`` is the length of the chunks in which arrays are stored."""
+    return data.write(path, "h5seurat", assay=assay, chunk_size=chunk_size)
 
 
 def output_format(path: str, default: str = "bundle") -> str:

@@ -6,21 +6,21 @@ Binary files have an 8-byte tag and a little-endian body. ``col`` order means th
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from annomat.errors import InvalidFormatError, MissingFieldError, UnsupportedVersionError
 from annomat.functions import bitpack
-from annomat.functions.casts import spark_type, to_dtype
+from annomat.functions.casts import spark_type
 from annomat.model import AnnotatedMatrix
-from annomat.operators.layout import indptr, ordered
-from annomat.sources.chunks import CHUNK_SIZE, RangeReader, Rows, chosen, option, pushdown, triples
+from annomat.operators.layout import ordered
+from annomat.sources.chunks import CHUNK_SIZE, Lines, RangeReader, Rows, chosen, lines, option, pushdown, triples
+from annomat.sources.parts import Pieces, SparseRows, offsets
 
 # Tags, version strings and file names are fixed by the format.
 _TAGS = {b"UINT32v1": "<u4", b"UINT64v1": "<u8", b"FLOATSv1": "<f4", b"DOUBLEv1": "<f8"}
@@ -46,14 +46,6 @@ def array(path: str, start: int = 0, stop: int | None = None) -> np.ndarray:
     return np.frombuffer(body, kind)
 
 
-def names(path: str) -> list[str]:
-    """Names one a line; blank lines are skipped and the file may be missing."""
-    if not os.path.exists(path):
-        return []
-    with open(path, encoding="utf-8") as f:
-        return [x for x in f.read().splitlines() if x]
-
-
 class Directory:
     """The small files of a directory: everything but the entries."""
 
@@ -75,10 +67,6 @@ class Directory:
         self.n_obs, self.n_vars = (cols, rows) if by_col else (rows, cols)
         self.obs_file, self.var_file = (f"{path}/{x}_names" for x in (("col", "row") if by_col else ("row", "col")))
 
-    def ids(self, axis: str) -> list[str]:
-        file, n = (self.obs_file, self.n_obs) if axis == "obs" else (self.var_file, self.n_vars)
-        return names(file) or [str(i) for i in range(n)]
-
     def _begins(self, name: str, a: int, b: int) -> np.ndarray:
         """Word offsets of chunks [a, b]; where the 32-bit offsets wrap is listed in the offsets file."""
         low = array(f"{self.path}/{name}_idx", a, b + 1).astype(np.int64)
@@ -133,12 +121,16 @@ class _Reader(RangeReader):
     def __init__(self, path: str, slot: str, chunk: int):
         self.found, self.slot = Directory(path), slot
         super().__init__(self.found.n_vars if slot == "var" else self.found.n_obs, chunk, "var_idx" if slot == "var" else "obs_idx")
+        file = {"obs": self.found.obs_file, "var": self.found.var_file}.get(slot)
+        self.names = Lines(file, chunk, blank=False) if file and os.path.exists(file) else None
+        if self.names and self.names.n:
+            self.stop = self.names.n
 
     def rows_of(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         if self.slot == "X":
             yield self.found.rows(partition.start, partition.stop)
         else:
-            own = self.found.ids(self.slot)[partition.start : partition.stop]
+            own = self.names.read(partition.start, partition.stop) if self.names and self.names.n else [str(i) for i in range(partition.start, partition.stop)]
             yield pa.RecordBatch.from_arrays([pa.array(range(partition.start, partition.start + len(own)), pa.int64()), pa.array(own, pa.string())], names=[f"{self.slot}_idx", f"{self.slot}_id"])
 
 
@@ -155,82 +147,37 @@ def stored_dtype(dtype: str) -> str:
     return "u32" if dtype == "i32" else dtype
 
 
-def encoded(x: DataFrame, n_obs: int, dtype: str, packed: bool) -> tuple[DataFrame, DataFrame]:
-    """(c, index, n_index, start, val, n_val) of each chunk of 128 entries in row order, encoded by executors, and the row pointers.
-
-    Both are range-partitioned and sorted, so that reading one partition after the other gives the stream.
-    """
-    pointers = indptr(x, x.sparkSession.range(n_obs).withColumnRenamed("id", "idx"), "obs_idx")
-    rank = F.row_number().over(Window.partitionBy("obs_idx").orderBy("var_idx")) - 1
-    start = pointers.select(F.col("pos").alias("obs_idx"), "ptr")
-    cells = x.withColumn("value", to_dtype(F.col("value"), dtype)).withColumn("k", rank).join(start, "obs_idx").select((F.col("ptr") + F.col("k")).alias("k"), "var_idx", "value")
-    chunks = cells.groupBy(F.shiftright("k", 7).alias("c")).agg(F.array_sort(F.collect_list(F.struct("k", "var_idx", "value"))).alias("e"))
-    chunks = chunks.select("c", F.col("e.var_idx").alias("index"), F.col("e.value").alias("value"))
-    carried = chunks.select((F.col("c") + 1).alias("c"), F.element_at("index", -1).alias("before"))
-    chunks = chunks.join(carried, "c", "left").select("c", F.coalesce("before", F.lit(0)).alias("before"), "index", "value")
-    integers = dtype == "u32"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for c, before, index, value in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                index, value = np.array(index, np.int64), np.array(value, _BODY[dtype])
-                if packed:
-                    words, begin, starts = bitpack.encode_d1z(index, before)
-                    raw = (words.astype("<u4").tobytes(), int(begin[-1]), int(starts[0]))
-                else:
-                    raw = (index.astype("<u4").tobytes(), 0, 0)
-                if packed and integers:
-                    words, begin = bitpack.encode_frame(value)
-                    out.append((c, *raw, words.astype("<u4").tobytes(), int(begin[-1])))
-                else:
-                    out.append((c, *raw, value.tobytes(), 0))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["c", "index", "n_index", "start", "val", "n_val"])
-
-    schema = "c long, index binary, n_index long, start long, val binary, n_val long"
-    return ordered(chunks.mapInArrow(run, schema), "c", "c"), ordered(pointers, "pos", "pos")
-
-
 def write(data: AnnotatedMatrix, path: str, packed: bool = True, **_: Any) -> str:
-    """X as a directory in column order; of the tables only the ids are kept. Chunks arrive one partition at a time."""
+    """X as a directory in column order; of the tables only the ids are kept. Executors sort, encode and write; files are joined here."""
     dtype = stored_dtype(data.dtype)
     integers = dtype == "u32"
     os.makedirs(path, exist_ok=True)
-    done, pointers = encoded(data.x, data.n_obs, dtype, packed)
-    index_name, val_name = ("index_data" if packed else "index"), ("val_data" if packed and integers else "val")
-    sizes: dict[str, list[int]] = {"index": [0], "val": [0]}
-    starts: list[int] = []
-    with open(f"{path}/{index_name}", "wb") as f, open(f"{path}/{val_name}", "wb") as g:
-        f.write(_TAG_OF["<u4"])
-        g.write(_TAG_OF["<u4" if packed and integers else _BODY[dtype]])
-        for row in done.toLocalIterator(prefetchPartitions=True):
-            f.write(row["index"])
-            g.write(row["val"])
-            sizes["index"].append(sizes["index"][-1] + row["n_index"])
-            sizes["val"].append(sizes["val"][-1] + row["n_val"])
-            starts.append(row["start"])
-
-    def put(name: str, values: Any, kind: str) -> None:
+
+    def put(name: str, blocks: Iterable[np.ndarray | bytes], kind: str) -> None:
         with open(f"{path}/{name}", "wb") as f:
-            f.write(_TAG_OF[kind] + np.asarray(values, np.dtype(kind)).tobytes())
-
-    if packed:
-        put("index_starts", starts, "<u4")
-        for name in ("index", *(("val",) if integers else ())):
-            total = np.array(sizes[name], np.int64)
-            turns = np.searchsorted(total, np.arange(1, (int(total[-1]) >> 32) + 1) << 32)
-            put(f"{name}_idx", total & 0xFFFFFFFF, "<u4")
-            put(f"{name}_idx_offsets", [0, *turns.tolist(), len(total)], "<u8")
-    put("idxptr", [r["ptr"] for r in pointers.toLocalIterator()], "<u8")
-    put("shape", [data.n_vars, data.n_obs], "<u4")
+            f.write(_TAG_OF[kind])
+            for block in blocks:
+                f.write(block if isinstance(block, bytes) else block.astype(kind).tobytes())
+
+    with SparseRows(data.x, data.n_obs, dtype, _BODY[dtype]) as rows:
+        put("idxptr", rows.pointers(), "<u8")
+        if not (packed and integers):
+            put("val", rows.stream("data"), _BODY[dtype])
+        if packed:
+            with rows.packed(integers) as chunks:
+                put("index_starts", chunks.stream("starts"), "<u4")
+                for stem, widths in (("index", "widths"), *((("val", "val_widths"),) if integers else ())):
+                    put(f"{stem}_data", chunks.stream(stem), "<u4")
+                    begins, turns, _ = offsets(chunks, widths)
+                    put(f"{stem}_idx", begins, "<u4")
+                    put(f"{stem}_idx_offsets", [turns], "<u8")
+        else:
+            put("index", rows.stream("index"), "<u4")
+    put("shape", [np.array([data.n_vars, data.n_obs])], "<u4")
     for file, df, axis_name in (("col_names", data.obs, "obs"), ("row_names", data.var, "var")):
-        with open(f"{path}/{file}", "w", encoding="utf-8") as f:
-            for row in ordered(df.select(f"{axis_name}_idx", f"{axis_name}_id"), f"{axis_name}_idx", f"{axis_name}_idx").toLocalIterator():
-                if "\n" in row[1] or not row[1]:
-                    raise InvalidFormatError(f"an id of {axis_name} is empty or has a line break: {row[1]!r}")
-                f.write(row[1] + "\n")
+        with Pieces(data.spark) as ids, open(f"{path}/{file}", "wb") as f:
+            for block in ids.spill(ordered(df.select(f"{axis_name}_idx", f"{axis_name}_id"), f"{axis_name}_idx", f"{axis_name}_idx"), lambda batch: {"id": lines(batch.column(1), "ids", blank=False)}).stream("id"):
+                f.write(block)
     kind = {"u32": "uint", "f32": "float", "f64": "double"}[dtype]
     for name, text in (("storage_order", "col"), ("version", f"{'packed' if packed else 'unpacked'}-{kind}-matrix-v2")):
         with open(f"{path}/{name}", "w", encoding="utf-8") as f:

@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-#: Rows in a partition unless the option ``chunk_size`` says otherwise.
-CHUNK_SIZE = 5000
+from annomat.errors import InvalidFormatError
+
+#: Rows in a partition unless the option ``chunk_size`` says otherwise; bytes of a text file looked through at once.
+CHUNK_SIZE, _BLOCK = 5000, 16 << 20
 ARROW = {"f32": pa.float32(), "f64": pa.float64(), "i32": pa.int32(), "u32": pa.int64()}
 
 
@@ -67,6 +69,65 @@ class _Pushing(DataSourceReader):
         return self.inner.read(partition)
 
 
+class Lines:
+    """A text file of names, one a line, of which ranges are read: one pass finds where every ``each``-th line begins.
+
+    Without ``blank``, empty lines don't count. Lines end with a line feed, before which a carriage return is dropped.
+    """
+
+    def __init__(self, path: str, each: int, blank: bool = True):
+        self.path, self.each, self.blank, self.n = path, each, blank, 0
+        begins, at = [], 0
+        with open(path, "rb") as f:
+            left = b""
+            while block := f.read(_BLOCK):
+                raw = np.frombuffer(left + block, np.uint8)
+                stops = np.flatnonzero(raw == 10)
+                starts = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else stops
+                if not blank and len(stops):
+                    size = stops - starts - (raw[np.maximum(stops - 1, 0)] == 13)
+                    starts = starts[size > 0]
+                first = -self.n % each
+                begins.append(at + starts[first::each])
+                self.n += len(starts)
+                cut = int(stops[-1]) + 1 if len(stops) else 0
+                left = (left + block)[cut:]
+                at += cut
+            if left.rstrip(b"\r") or blank and left:  # a last line without its end
+                if self.n % each == 0:
+                    begins.append(np.array([at]))
+                self.n += 1
+        self.begins = np.concatenate(begins).astype(np.int64) if begins else np.empty(0, np.int64)
+
+    def read(self, start: int, stop: int) -> list[str]:
+        """Lines [start, stop), as far as there are any."""
+        out: list[str] = []
+        if start >= self.n:
+            return out
+        skip = start % self.each
+        with open(self.path, "rb") as f:
+            f.seek(int(self.begins[start // self.each]))
+            for raw in f:
+                text = raw.removesuffix(b"\n").removesuffix(b"\r")
+                if not text and not self.blank:
+                    continue
+                if skip:
+                    skip -= 1
+                    continue
+                if len(out) == stop - start:
+                    break
+                out.append(text.decode())
+        return out
+
+
+def lines(column: pa.Array, what: str, blank: bool = True) -> bytes:
+    """Strings, none null, one a line; one with a line break, or an empty one where none may be, is an error."""
+    own = column.to_pylist()
+    if any("\n" in x for x in own) or not blank and not all(own):
+        raise InvalidFormatError(f"one of the {what} is empty or has a line break")
+    return "".join(f"{x}\n" for x in own).encode()
+
+
 def pushdown(spark: Any) -> str:
     """The value of the option ``pushdown`` that fits the session."""
     return spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")

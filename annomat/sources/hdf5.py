@@ -1,14 +1,16 @@
 """Adapters for HDF5 layouts: annotated-data files, Seurat-style files and the internal layout.
 
-They need the h5py package, which is imported when a file is opened. Metadata is read by the driver; X, layers and graphs are
-read by tasks, each its own rows. Layouts are resolved by attributes and then by storage type.
+Files are read and written with the h5py package where it is installed, and else with :mod:`annomat.sources.h5file`. The driver
+reads what tells where things lie, and levels; everything else is read by tasks, each its own rows. Executors write sorted pieces
+that the driver adds to the file. Layouts are resolved by attributes and then by storage type.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
-from dataclasses import replace
+from contextlib import ExitStack
 from typing import Any
 
 import numpy as np
@@ -17,23 +19,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from annomat.errors import AnnotatedMatrixError, InvalidFormatError, MissingFieldError, NotFoundError
+from annomat.errors import InvalidFormatError, MissingFieldError, NotFoundError
 from annomat.functions import bitpack
 from annomat.functions.casts import false_for_null, nan_for_null, spark_type, to_dtype
 from annomat.model import AnnotatedMatrix
 from annomat.operators.columns import code_width
-from annomat.operators.layout import indptr, ordered, stored_transposed
+from annomat.operators.layout import ordered, stored_transposed
 from annomat.operators.profile import column_kinds
 from annomat.operators.uns import strict
 from annomat.sources import bpcells
 from annomat.sources.chunks import CHUNK_SIZE, RangeReader, Rows, chosen, option, pushdown, triples
+from annomat.sources.parts import Pieces, SparseRows, counted, numbers, offsets
 
+#: Elements of a chunk of the arrays that are written.
+CHUNK = 65_536
 
-def _h5():
+
+def _h5() -> Any:
     try:
         import h5py
-    except ModuleNotFoundError as e:
-        raise AnnotatedMatrixError("this format needs the h5py package") from e
+    except ModuleNotFoundError:
+        from annomat.sources import h5file
+
+        return h5file
     return h5py
 
 
@@ -46,23 +54,18 @@ def _strings(d: Any) -> list[str]:
 
 
 def detect(path: str) -> str:
-    """By content: the root's encoding, cell names with an active assay, or X/shape; by extension if h5py is missing."""
-    extension = os.path.splitext(path)[1].lower()
+    """By content: the root's encoding, cell names with an active assay, or X/shape; else by extension."""
     try:
-        h5py = _h5()
-    except AnnotatedMatrixError:
-        found = {".h5ad": "h5ad", ".h5seurat": "h5seurat", ".h5": "h5"}.get(extension)
-        if found is None:
-            raise InvalidFormatError(f"can't tell the format of {path}") from None
-        return found
-    with h5py.File(path, "r") as f:
-        if _text(f.attrs.get("encoding-type", "")) == "anndata":
-            return "h5ad"
-        if "cell.names" in f and "active.assay" in f.attrs:
-            return "h5seurat"
-        if "X/shape" in f:
-            return "h5"
-    return {".h5ad": "h5ad", ".h5seurat": "h5seurat"}.get(extension, "h5")
+        with _h5().File(path, "r") as f:
+            if _text(f.attrs.get("encoding-type", "")) == "anndata":
+                return "h5ad"
+            if "cell.names" in f and "active.assay" in f.attrs:
+                return "h5seurat"
+            if "X/shape" in f:
+                return "h5"
+    except OSError as e:
+        raise InvalidFormatError(f"{path}: {e}") from e
+    return {".h5ad": "h5ad", ".h5seurat": "h5seurat"}.get(os.path.splitext(path)[1].lower(), "h5")
 
 
 def _dtype(kind: np.dtype) -> str:
@@ -113,47 +116,104 @@ class _Spot:
         return triples(a, ptr, index, value, self.dtype, names)
 
 
+class _Table:
+    """Where a metadata table lies: ids and columns, each a dataset of its own."""
+
+    def __init__(self, path: str, prefix: str, n: int, ids: str | None, columns: list[dict[str, Any]]):
+        self.path, self.prefix, self.shape, self.ids, self.columns = path, prefix, (n, len(columns)), ids, columns
+
+    def schema(self) -> str:
+        return ", ".join([f"{self.prefix}_idx bigint", f"{self.prefix}_id string", *(f"`{c['name']}` {c['type']}" for c in self.columns)])
+
+    def rows(self, a: int, b: int) -> pa.RecordBatch:
+        with _h5().File(self.path, "r") as f:
+            ids = [_text(x) for x in f[self.ids][a:b].tolist()] if self.ids else [str(i) for i in range(a, b)]
+            arrays = [pa.array(range(a, b), pa.int64()), pa.array(ids, pa.string()), *(self._column(f, c, a, b) for c in self.columns)]
+        return pa.RecordBatch.from_arrays(arrays, names=[f"{self.prefix}_idx", f"{self.prefix}_id", *(c["name"] for c in self.columns)])
+
+    @staticmethod
+    def _column(f: Any, c: dict[str, Any], a: int, b: int) -> pa.Array:
+        v = np.asarray(f[c["at"]][a:b])
+        kind = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[c["type"]]
+        if c["how"] == "codes":
+            levels, code = _strings(f[c["levels"]]), v.astype(np.int64) - c["base"]
+            return pa.array([levels[k] if 0 <= k < len(levels) else None for k in code.tolist()], kind)
+        if c["how"] == "logical":
+            return pa.array([None if k == 2 else k == 1 for k in v.tolist()], kind)
+        mask = np.asarray(f[c["mask"]][a:b]).astype(bool) if c["how"] == "masked" else None
+        if c["type"] == "string":
+            v = np.array([_text(x) for x in v.tolist()], object)
+        elif c["type"] == "int":
+            v = np.clip(v, -(1 << 31), (1 << 31) - 1).astype(np.int32)
+        else:
+            v = v.astype(bool if c["type"] == "boolean" else np.float64)
+        return pa.array(v, kind, mask=mask)
+
+
+class _Block:
+    """Where a dense matrix of row vectors lies, perhaps stored the other way round."""
+
+    def __init__(self, path: str, at: str, shape: tuple[int, int], turned: bool):
+        self.path, self.at, self.shape, self.turned = path, at, shape, turned
+
+    def rows(self, a: int, b: int) -> pa.RecordBatch:
+        with _h5().File(self.path, "r") as f:
+            d = f[self.at]
+            block = np.asarray(d[:, a:b]).T if self.turned else np.asarray(d[a:b])
+        flat = pa.array(np.ascontiguousarray(block, np.float64).ravel())
+        vec = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1, dtype=np.int32) * block.shape[1]), flat)
+        return pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), vec], names=["idx", "vec"])
+
+
 class Hdf5Source(DataSource):
-    """Triples of one matrix of a file; used through :func:`read`, which resolves where it lies."""
+    """One slot of a file; used through :func:`read`, which resolves where it lies."""
 
     @classmethod
     def name(cls) -> str:
         return "annomat_hdf5"
 
+    def _spot(self) -> _Spot | _Table | _Block:
+        found = json.loads(self.options["spot"])
+        kind = {"matrix": _Spot, "table": _Table, "vectors": _Block}[found.pop("slot")]
+        return kind(self.options["path"], **found)
+
     def schema(self) -> str:
+        spot = self._spot()
+        if isinstance(spot, _Table):
+            return spot.schema()
+        if isinstance(spot, _Block):
+            return "idx bigint, vec array<double>"
         i, j = option(self.options, "names", "obs_idx,var_idx").split(",")
-        return f"{i} bigint, {j} bigint, value {spark_type(self.options['dtype'])}"
+        return f"{i} bigint, {j} bigint, value {spark_type(spot.dtype)}"
 
     def reader(self, schema) -> DataSourceReader:
         o = self.options
-        return chosen(_Reader(_Spot(o["path"], o["group"], o["kind"], (int(o["n"]), int(o["m"])), o["dtype"]), option(o, "chunk_size", CHUNK_SIZE), tuple(option(o, "names", "obs_idx,var_idx").split(","))), self.options)
+        return chosen(_Reader(self._spot(), option(o, "chunk_size", CHUNK_SIZE), tuple(option(o, "names", "obs_idx,var_idx").split(","))), o)
 
 
 class _Reader(RangeReader):
-    def __init__(self, spot: _Spot, chunk: int, names: tuple[str, str]):
-        super().__init__(spot.shape[0], chunk, names[0])
+    def __init__(self, spot: _Spot | _Table | _Block, chunk: int, names: tuple[str, str]):
+        column = names[0] if isinstance(spot, _Spot) else f"{spot.prefix}_idx" if isinstance(spot, _Table) else "idx"
+        super().__init__(spot.shape[0], chunk, column)
         self.spot, self.names = spot, names
 
     def rows_of(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        yield self.spot.rows(partition.start, partition.stop, self.names)
-
-
-def _frame(spark: SparkSession, spot: _Spot, chunk: int, names: str = "obs_idx,var_idx") -> DataFrame:
-    r = spark.read.format("annomat_hdf5").option("group", spot.group).option("kind", spot.kind).option("dtype", spot.dtype)
-    return r.option("n", spot.shape[0]).option("m", spot.shape[1]).option("chunk_size", chunk).option("pushdown", pushdown(spark)).option("names", names).load(spot.path)
+        own = (self.names,) if isinstance(self.spot, _Spot) else ()
+        yield self.spot.rows(partition.start, partition.stop, *own)
 
 
-def _table(spark: SparkSession, prefix: str, ids: list[str], columns: dict[str, tuple[str, list]]) -> DataFrame:
-    schema = ", ".join([f"{prefix}_idx bigint", f"{prefix}_id string", *(f"`{c}` {t}" for c, (t, _) in columns.items())])
-    arrow = pa.table({f"{prefix}_idx": pa.array(range(len(ids)), pa.int64()), f"{prefix}_id": pa.array(ids, pa.string()), **{c: pa.array(v) for c, (_, v) in columns.items()}})
-    return spark.createDataFrame(arrow).select(*[F.col(f"`{x.name}`").cast(x.dataType).alias(x.name) for x in spark.createDataFrame([], schema).schema])
+def _frame(spark: SparkSession, spot: _Spot | _Table | _Block, chunk: int, names: str = "obs_idx,var_idx") -> DataFrame:
+    slot = {_Spot: "matrix", _Table: "table", _Block: "vectors"}[type(spot)]
+    held = {k: v for k, v in vars(spot).items() if k != "path"}
+    if slot == "table":
+        held["n"] = held.pop("shape")[0]
+    r = spark.read.format("annomat_hdf5").option("spot", json.dumps({"slot": slot, **held}))
+    return r.option("chunk_size", chunk).option("pushdown", pushdown(spark)).option("names", names).load(spot.path)
 
 
-def _vectors(spark: SparkSession, block: np.ndarray, n: int) -> DataFrame:
-    if stored_transposed(*block.shape, n):
-        block = np.ascontiguousarray(block.T)
-    arrow = pa.table({"idx": pa.array(range(len(block)), pa.int64()), "vec": pa.array(block.astype(np.float64).tolist(), pa.list_(pa.float64()))})
-    return spark.createDataFrame(arrow)
+def _block(path: str, at: str, d: Any, n: int) -> _Block:
+    turned = stored_transposed(*d.shape, n)
+    return _Block(path, at, d.shape[::-1] if turned else tuple(d.shape), turned)
 
 
 def _tree(g: Any) -> Any:
@@ -168,47 +228,39 @@ def _tree(g: Any) -> Any:
         return None
 
 
-def _typed(v: np.ndarray) -> tuple[str, list] | None:
-    """A stored column in the engine's types; None for types it doesn't know."""
-    if v.dtype.kind == "b" or v.dtype == np.uint8:
-        return "boolean", v.astype(bool).tolist()
-    if v.dtype.kind in "iu":
-        return "int", np.clip(v, -(1 << 31), (1 << 31) - 1).astype(np.int64).tolist()
-    if v.dtype.kind == "f":
-        return "double", v.astype(np.float64).tolist()
-    if v.dtype.kind == "O":
-        return "string", [_text(x) for x in v.tolist()]
-    return None
+def _type(kind: np.dtype) -> str | None:
+    """The engine's type for a stored column; None for types it doesn't know."""
+    if kind.kind == "b" or kind == np.uint8:
+        return "boolean"
+    return "int" if kind.kind in "iu" else "double" if kind.kind == "f" else "string" if kind.kind in "OS" else None
+
+
+def _plain(name: str, at: str, d: Any) -> dict[str, Any] | None:
+    found = None if hasattr(d, "keys") or len(d.shape) != 1 else _type(d.dtype)
+    return found and {"name": name, "type": found, "how": "plain", "at": at}
 
 
 # Annotated-data files
 
 
-def _h5ad_column(d: Any) -> tuple[str, list, list[str] | None] | None:
-    kind = _text(d.attrs.get("encoding-type", "")) if hasattr(d, "attrs") else ""
+def _h5ad_column(name: str, at: str, d: Any) -> dict[str, Any] | None:
+    kind = _text(d.attrs.get("encoding-type", ""))
     if kind == "categorical" or hasattr(d, "keys") and "codes" in d:
-        levels, codes = _strings(d["categories"]), np.asarray(d["codes"][()]).tolist()
-        return "string", [levels[c] if 0 <= c < len(levels) else None for c in codes], levels
+        return {"name": name, "type": "string", "how": "codes", "at": f"{at}/codes", "levels": f"{at}/categories", "base": 0}
     if kind.startswith("nullable") or hasattr(d, "keys") and "mask" in d:
-        found = _typed(np.asarray(d["values"][()]))
-        return found and (found[0], [None if m else v for v, m in zip(found[1], np.asarray(d["mask"][()]).tolist(), strict=True)], None)
-    found = None if hasattr(d, "keys") else _typed(np.asarray(d[()]))
-    return found and (*found, None)
+        found = _type(d["values"].dtype)
+        return found and {"name": name, "type": found, "how": "masked", "at": f"{at}/values", "mask": f"{at}/mask"}
+    return _plain(name, at, d)
 
 
-def _h5ad_table(spark: SparkSession, g: Any, prefix: str, skipped: list[str]) -> tuple[DataFrame, dict[str, list[str]]]:
-    index = _text(g.attrs.get("_index", "index"))
+def _h5ad_table(path: str, f: Any, prefix: str, skipped: list[str]) -> tuple[_Table, dict[str, list[str]]]:
+    g = f[prefix]
+    index = f"{prefix}/{_text(g.attrs.get('_index', 'index'))}"
     order = [_text(c) for c in np.asarray(g.attrs.get("column-order", [])).tolist()]
-    columns, levels = {}, {}
-    for c in order:
-        found = _h5ad_column(g[c]) if c in g else None
-        if found is None:
-            skipped.append(f"{prefix}:{c}")
-            continue
-        columns[c] = found[:2]
-        if found[2] is not None:
-            levels[c] = found[2]
-    return _table(spark, prefix, _strings(g[index]), columns), levels
+    found = {c: _h5ad_column(c, f"{prefix}/{c}", g[c]) if c in g else None for c in order}
+    skipped += [f"{prefix}:{c}" for c, x in found.items() if x is None]
+    columns = [x for x in found.values() if x is not None]
+    return _Table(path, prefix, len(f[index]), index, columns), {x["name"]: _strings(f[x["levels"]]) for x in columns if x["how"] == "codes"}
 
 
 def _sparse_spot(path: str, name: str, g: Any, dtype: str | None = None) -> _Spot:
@@ -232,17 +284,17 @@ def _read_h5ad(spark: SparkSession, path: str, chunk: int) -> AnnotatedMatrix:
             if need not in f:
                 raise MissingFieldError(f"{path}: {need}")
         x = _sparse_spot(path, "X", f["X"])
-        obs, obs_levels = _h5ad_table(spark, f["obs"], "obs", skipped)
-        var, var_levels = _h5ad_table(spark, f["var"], "var", skipped)
+        obs, obs_levels = _h5ad_table(path, f, "obs", skipped)
+        var, var_levels = _h5ad_table(path, f, "var", skipped)
         n, m = x.shape
         layers = {k: _sparse_spot(path, f"layers/{k}", f["layers"][k]) for k in f.get("layers", {})}
-        obsp = {k: _sparse_spot(path, f"obsp/{k}", f["obsp"][k]) for k in f.get("obsp", {})}
-        obsm = {k: _vectors(spark, np.asarray(f["obsm"][k][()]), n) for k in f.get("obsm", {}) if not hasattr(f["obsm"][k], "keys")}
-        varm = {k: _vectors(spark, np.asarray(f["varm"][k][()]), m) for k in f.get("varm", {}) if not hasattr(f["varm"][k], "keys")}
+        graphs = {slot: {k: _sparse_spot(path, f"{slot}/{k}", f[slot][k]) for k in f.get(slot, {})} for slot in ("obsp", "varp")}
+        vectors = {slot: {k: _block(path, f"{slot}/{k}", f[slot][k], size) for k in f.get(slot, {}) if not hasattr(f[slot][k], "keys") and len(f[slot][k].shape) == 2} for slot, size in (("obsm", n), ("varm", m))}
         uns = _tree(f["uns"]) if "uns" in f else {}
     return AnnotatedMatrix(
-        spark, n, m, x.dtype, _frame(spark, x, chunk), obs, var, layers={k: _frame(spark, s, chunk) for k, s in layers.items()}, layer_dtypes={k: s.dtype for k, s in layers.items()},
-        obsp={k: _frame(spark, s, chunk, "i,j") for k, s in obsp.items()}, obsm=obsm, varm=varm, uns=uns, levels={"obs": obs_levels, "var": var_levels}, skipped=tuple(skipped), format="h5ad",
+        spark, n, m, x.dtype, _frame(spark, x, chunk), _frame(spark, obs, chunk), _frame(spark, var, chunk), layers={k: _frame(spark, s, chunk) for k, s in layers.items()}, layer_dtypes={k: s.dtype for k, s in layers.items()},
+        **{slot: {k: _frame(spark, s, chunk, "i,j") for k, s in own.items()} for slot, own in graphs.items()}, **{slot: {k: _frame(spark, s, chunk) for k, s in own.items()} for slot, own in vectors.items()},
+        uns=uns, levels={"obs": obs_levels, "var": var_levels}, skipped=tuple(skipped), format="h5ad",
     )
 
 
@@ -259,43 +311,38 @@ def _seurat_spot(path: str, f: Any, name: str, n: int, m: int) -> _Spot | None:
     return _Spot(path, name, "csr", (n, m), _dtype(g["data"].dtype)) if "indptr" in g else None
 
 
-def _seurat_table(spark: SparkSession, g: Any, prefix: str, ids: list[str], skipped: list[str]) -> tuple[DataFrame, dict[str, list[str]]]:
-    columns, levels = {}, {}
+def _seurat_table(path: str, f: Any, at: str, prefix: str, ids: str, skipped: list[str]) -> tuple[_Table, dict[str, list[str]]]:
+    g, columns, levels = f.get(at), [], {}
     logicals = {_text(x) for x in np.asarray(g.attrs.get("logicals", [])).ravel().tolist()} if g is not None else set()
     for c in (list(g) if g is not None else []):
         if c in ("_index", "index"):
             continue
-        d = g[c]
+        d, place = g[c], f"{at}/{c}"
         if hasattr(d, "keys") and "levels" in d:
-            names = _strings(d["levels"])
-            columns[c] = ("string", [names[k - 1] if 1 <= k <= len(names) else None for k in np.asarray(d["values"][()]).tolist()])
-            levels[c] = names
-        elif hasattr(d, "keys"):
-            skipped.append(f"{prefix}:{c}")
-        elif c in logicals:
-            columns[c] = ("boolean", [None if k == 2 else k == 1 for k in np.asarray(d[()]).tolist()])
-        elif (found := _typed(np.asarray(d[()]))) is not None:
-            columns[c] = found
+            columns.append({"name": c, "type": "string", "how": "codes", "at": f"{place}/values", "levels": f"{place}/levels", "base": 1})
+            levels[c] = _strings(d["levels"])
+        elif not hasattr(d, "keys") and c in logicals:
+            columns.append({"name": c, "type": "boolean", "how": "logical", "at": place})
+        elif (found := _plain(c, place, d)) is not None:
+            columns.append(found)
         else:
             skipped.append(f"{prefix}:{c}")
-    return _table(spark, prefix, ids, columns), levels
+    return _Table(path, prefix, len(f[ids]), ids, columns), levels
 
 
 def _read_h5seurat(spark: SparkSession, path: str, chunk: int, assay: str, layer: str) -> AnnotatedMatrix:
     skipped: list[str] = []
     with _h5().File(path, "r") as f:
-        ids = _strings(f["cell.names"])
         base = f"assays/{assay}"
         if base not in f:
             raise MissingFieldError(f"{path}: {base}")
         a = f[base]
-        features = _strings(a["features"])
-        n, m = len(ids), len(features)
+        n, m = len(f["cell.names"]), len(a["features"])
         places = [p for p in (f"{base}/{layer}", f"{base}/layers/{layer}") if p in f]
         if not places or (x := _seurat_spot(path, f, places[0], n, m)) is None:
             raise MissingFieldError(f"{path}: layer {layer!r} of assay {assay!r}")
-        obs, obs_levels = _seurat_table(spark, f["meta.data"] if "meta.data" in f else None, "obs", ids, skipped)
-        var, var_levels = _seurat_table(spark, a["meta.features"] if "meta.features" in a else None, "var", features, skipped)
+        obs, obs_levels = _seurat_table(path, f, "meta.data", "obs", "cell.names", skipped)
+        var, var_levels = _seurat_table(path, f, f"{base}/meta.features", "var", f"{base}/features", skipped)
         layers = {}
         for at in (base, f"{base}/layers"):
             for k in f[at] if at in f else []:
@@ -309,13 +356,14 @@ def _read_h5seurat(spark: SparkSession, path: str, chunk: int, assay: str, layer
             r = f["reductions"][k]
             key = f"X_{k.lower()}"
             if "cell.embeddings" in r:
-                obsm[key] = _vectors(spark, np.asarray(r["cell.embeddings"][()]), n)
+                obsm[key] = _block(path, f"reductions/{k}/cell.embeddings", r["cell.embeddings"], n)
             if "feature.loadings" in r and m in r["feature.loadings"].shape:
-                varm[key] = _vectors(spark, np.asarray(r["feature.loadings"][()]), m)
+                varm[key] = _block(path, f"reductions/{k}/feature.loadings", r["feature.loadings"], m)
         uns = _tree(f["misc"]) if "misc" in f else {}
     return AnnotatedMatrix(
-        spark, n, m, x.dtype, _frame(spark, x, chunk), obs, var, layers={k: _frame(spark, s, chunk) for k, s in layers.items()}, layer_dtypes={k: s.dtype for k, s in layers.items()},
-        obsp={k: _frame(spark, s, chunk, "i,j") for k, s in graphs.items()}, obsm=obsm, varm=varm, uns=uns, levels={"obs": obs_levels, "var": var_levels}, skipped=tuple(skipped), format="h5seurat",
+        spark, n, m, x.dtype, _frame(spark, x, chunk), _frame(spark, obs, chunk), _frame(spark, var, chunk), layers={k: _frame(spark, s, chunk) for k, s in layers.items()}, layer_dtypes={k: s.dtype for k, s in layers.items()},
+        obsp={k: _frame(spark, s, chunk, "i,j") for k, s in graphs.items()}, obsm={k: _frame(spark, s, chunk) for k, s in obsm.items()}, varm={k: _frame(spark, s, chunk) for k, s in varm.items()},
+        uns=uns, levels={"obs": obs_levels, "var": var_levels}, skipped=tuple(skipped), format="h5seurat",
     )
 
 
@@ -328,11 +376,10 @@ def _read_h5(spark: SparkSession, path: str, chunk: int) -> AnnotatedMatrix:
         tables = []
         for prefix, size in (("obs", n), ("var", m)):
             g = f[prefix]
-            ids = _strings(g["index"]) if "index" in g else [str(i) for i in range(size)]
-            columns = {c: t for c in g if c != "index" and not hasattr(g[c], "keys") and (t := _typed(np.asarray(g[c][()]))) is not None}
-            tables.append(_table(spark, prefix, ids, columns))
-        obsm = {k: _vectors(spark, np.asarray(f["obsm"][k][()]), n) for k in f.get("obsm", {})}
-    return AnnotatedMatrix(spark, n, m, x.dtype, _frame(spark, x, chunk), *tables, obsm=obsm, format="h5")
+            columns = [found for c in g if c != "index" and (found := _plain(c, f"{prefix}/{c}", g[c])) is not None]
+            tables.append(_Table(path, prefix, size, f"{prefix}/index" if "index" in g else None, columns))
+        obsm = {k: _block(path, f"obsm/{k}", f["obsm"][k], n) for k in f.get("obsm", {})}
+    return AnnotatedMatrix(spark, n, m, x.dtype, _frame(spark, x, chunk), *(_frame(spark, t, chunk) for t in tables), obsm={k: _frame(spark, s, chunk) for k, s in obsm.items()}, format="h5")
 
 
 def read(spark: SparkSession, path: str, format: str | None = None, chunk_size: int = CHUNK_SIZE, assay: str = "RNA", layer: str = "counts", **_: Any) -> AnnotatedMatrix:
@@ -347,65 +394,65 @@ def read(spark: SparkSession, path: str, format: str | None = None, chunk_size:
     return _read_h5(spark, path, chunk_size)
 
 
-# Writers: executors sort each slot, the driver appends it in order, some rows at a time
-
-
-def _append(g: Any, name: str, kind: str) -> Any:
-    return g.create_dataset(name, shape=(0,), maxshape=(None,), dtype=kind, chunks=(65_536,))
-
-
-def _grow(d: Any, values: list) -> None:
-    at = d.shape[0]
-    d.resize((at + len(values),))
-    d[at:] = values
-
-
-def _put_sparse(g: Any, x: DataFrame, n: int, dtype: str, names: tuple[str, str]) -> None:
-    kind = {"f32": "<f4", "f64": "<f8", "i32": "<i4", "u32": "<u4"}[dtype]
-    data, indices, pointers = _append(g, "data", kind), _append(g, "indices", "<i4"), _append(g, "indptr", "<i8")
-    cast = x.select(*names, to_dtype(F.col("value"), dtype).alias("value"))
-    held: list = []
-    for row in ordered(cast, *names).toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == 65_536:
-            _grow(data, [r[2] for r in held])
-            _grow(indices, [r[1] for r in held])
-            held = []
-    _grow(data, [r[2] for r in held])
-    _grow(indices, [r[1] for r in held])
-    axis = x.sparkSession.range(n).withColumnRenamed("id", "idx")
-    _grow(pointers, [r["ptr"] for r in ordered(indptr(x, axis, names[0]), "pos", "pos").toLocalIterator()])
-
-
-def _put_packed(g: Any, x: DataFrame, n: int, m: int, dtype: str, ids: tuple[list[str], list[str]] | None) -> None:
-    """Rows of x as a packed group: one stream of 128-value chunks over all rows, as its readers expect."""
-    dtype = bpcells.stored_dtype(dtype)
-    kind, integers = {"u32": "<u4", "f32": "<f4", "f64": "<f8"}[dtype], dtype == "u32"
-    done, pointers = bpcells.encoded(x, n, dtype, True)
-    index, val = _append(g, "index_data", "<u4"), _append(g, "val_data" if integers else "val", kind)
-    begin, starts = {"index": [0], "val": [0]}, []
-    for row in done.toLocalIterator(prefetchPartitions=True):
-        _grow(index, np.frombuffer(row["index"], "<u4"))
-        _grow(val, np.frombuffer(row["val"], kind))
-        begin["index"].append(begin["index"][-1] + row["n_index"])
-        begin["val"].append(begin["val"][-1] + row["n_val"])
-        starts.append(row["start"])
-    g.create_dataset("index_starts", data=np.asarray(starts, "<u4"))
-    for name in ("index", *(("val",) if integers else ())):
-        total = np.asarray(begin[name], np.int64)
-        turns = np.searchsorted(total, np.arange(1, (int(total[-1]) >> 32) + 1) << 32)
-        g.create_dataset(f"{name}_idx", data=(total & 0xFFFFFFFF).astype("<u4"))
-        g.create_dataset(f"{name}_idx_offsets", data=np.asarray([0, *turns.tolist(), len(total)], "<u8"))
-    _grow(_append(g, "idxptr", "<u8"), [r["ptr"] for r in pointers.toLocalIterator()])
-    g.create_dataset("shape", data=np.asarray([m, n], "<u4"))
-    g.create_dataset("storage_order", data=np.asarray(["col"], object))
-    for name, own in zip(("row_names", "col_names"), ids or ([], []), strict=True):
-        g.create_dataset(name, data=np.asarray(own, object))
-    g.attrs["version"] = np.asarray([f"packed-{ {'u32': 'uint', 'f32': 'float', 'f64': 'double'}[dtype]}-matrix-v2"], object)
-
-
-def _rows(df: DataFrame, idx: str) -> list:
-    return list(ordered(df, idx, idx).toLocalIterator())
+# Writers: executors sort each slot and write its pieces, the driver adds them to the file a block at a time
+
+
+class _Sink:
+    """A file that is written, and how its growing arrays are stored."""
+
+    def __init__(self, file: Any, chunk: int = CHUNK, compression: str | None = None):
+        self.file, self.how = file, {"chunks": (chunk,), **({"compression": compression} if compression else {})}
+
+    def append(self, g: Any, name: str, kind: Any, blocks: Iterator[Any]) -> None:
+        d = g.create_dataset(name, shape=(0,), maxshape=(None,), dtype=kind, **self.how)
+        for block in blocks:
+            own = np.frombuffer(block, kind) if isinstance(block, bytes) else np.asarray(block, object if isinstance(block, list) else None)
+            if len(own):
+                at = d.shape[0]
+                d.resize((at + len(own),))
+                d[at:] = own
+
+    def texts(self, g: Any, name: str, blocks: Iterator[list[str]]) -> None:
+        self.append(g, name, _h5().string_dtype(), blocks)
+
+    def sparse(self, g: Any, x: DataFrame, n: int, dtype: str, names: tuple[str, str]) -> None:
+        kind = {"f32": "<f4", "f64": "<f8", "i32": "<i4", "u32": "<u4"}[dtype]
+        with SparseRows(x, n, dtype, kind, names) as rows:
+            self.append(g, "data", kind, rows.stream("data"))
+            self.append(g, "indices", "<i4", rows.stream("index"))
+            self.append(g, "indptr", "<i8", rows.pointers())
+
+    def packed(self, g: Any, x: DataFrame, n: int, m: int, dtype: str, names: tuple[str, str], ids: tuple[Pieces, Pieces]) -> None:
+        """Rows of x as a packed group: one stream of 128-value chunks over all rows, as its readers expect."""
+        dtype = bpcells.stored_dtype(dtype)
+        kind, integers = {"u32": "<u4", "f32": "<f4", "f64": "<f8"}[dtype], dtype == "u32"
+        with SparseRows(x, n, dtype, kind, names) as rows, rows.packed(integers) as chunks:
+            self.append(g, "idxptr", "<u8", rows.pointers())
+            if not integers:
+                self.append(g, "val", kind, rows.stream("data"))
+            self.append(g, "index_starts", "<u4", chunks.stream("starts"))
+            for stem, widths in (("index", "widths"), *((("val", "val_widths"),) if integers else ())):
+                self.append(g, f"{stem}_data", "<u4", chunks.stream(stem))
+                begins, turns, _ = offsets(chunks, widths)
+                self.append(g, f"{stem}_idx", "<u4", begins)
+                g.create_dataset(f"{stem}_idx_offsets", data=turns)
+        g.create_dataset("shape", data=np.asarray([m, n], "<u4"))
+        g.create_dataset("storage_order", data=np.asarray(["col"], object))
+        for name, own in zip(("row_names", "col_names"), ids, strict=True):
+            self.texts(g, name, own.texts("id"))
+        g.attrs["version"] = np.asarray([f"packed-{ {'u32': 'uint', 'f32': 'float', 'f64': 'double'}[dtype]}-matrix-v2"], object)
+
+
+def _vectors(df: DataFrame) -> tuple[Pieces, int]:
+    """The pieces of a table of row vectors, and how long these are."""
+    width = df.agg(F.max(F.size("vec"))).first()[0] or 0
+    rows = ordered(df.select(F.col("idx").cast("long").alias("idx"), F.col("vec").cast("array<double>").alias("vec")), "idx", "idx")
+    return Pieces(df.sparkSession).spill(rows, lambda batch: {"vec": numbers(batch.column(1).flatten(), "<f8")}), width
+
+
+def _component(rows: Pieces, width: int, k: int) -> np.ndarray:
+    """One component of all vectors."""
+    return np.concatenate([np.memmap(f"{p.stem}.vec", "<f8", "r").reshape(-1, width)[:, k] for p in rows.pieces]) if rows.pieces else np.empty(0)
 
 
 def _put_json(g: Any, tree: dict[str, Any]) -> None:
@@ -420,79 +467,118 @@ def _put_json(g: Any, tree: dict[str, Any]) -> None:
             g.create_dataset(k, data=np.asarray(v, object) if isinstance(v, list) and v and isinstance(v[0], str) else v)
 
 
-def _columns(df: DataFrame, slot: str, levels: dict[str, list[str]]) -> tuple[list[str], list[tuple[str, str, list]]]:
-    """The ids and (name, kind, values) of a metadata table, in row order."""
+def _metadata(df: DataFrame, slot: str, levels: dict[str, list[str]]) -> tuple[list[tuple[str, str]], Pieces]:
+    """(column, kind) of a metadata table, and its pieces: streams ``id`` and a number for each column; categories as codes, -1 for none."""
     kinds = column_kinds(df, (f"{slot}_idx", f"{slot}_id"), levels)
-    safe = {"int": lambda v: F.coalesce(to_dtype(v, "i32"), F.lit(0)), "float": nan_for_null, "bool": false_for_null}
-    picked = [safe.get(k, lambda v: F.coalesce(v.cast("string"), F.lit("")))(F.col(f"`{c}`")) if k != "categorical" else F.col(f"`{c}`") for c, k in kinds]
-    rows = _rows(df.select(f"{slot}_idx", f"{slot}_id", *[v.alias(f"_{k}") for k, v in enumerate(picked)]), f"{slot}_idx")
-    return [r[1] for r in rows], [(c, k, [r[i] for r in rows]) for i, (c, k) in enumerate(kinds, 2)]
+    columns = [F.col(f"{slot}_idx").cast("long").alias("_idx"), F.col(f"{slot}_id").alias("_id")]
+    for k, (c, kind) in enumerate(kinds):
+        v = F.col(f"`{c}`")
+        if kind == "categorical":
+            codes = F.create_map(*[y for i, x in enumerate(levels[c]) for y in (F.lit(x), F.lit(i))]) if levels[c] else None
+            v = F.coalesce(F.element_at(codes, v), F.lit(-1)) if codes is not None else F.lit(-1)
+        else:
+            v = {"int": lambda x: F.coalesce(to_dtype(x, "i32"), F.lit(0)), "float": nan_for_null, "bool": false_for_null}.get(kind, lambda x: F.coalesce(x.cast("string"), F.lit("")))(v)
+        columns.append(v.alias(f"_{k}"))
+
+    def encode(batch: pa.RecordBatch) -> dict[str, bytes]:
+        own = {str(k): counted(batch.column(k + 2)) if kind == "string" else numbers(batch.column(k + 2), _STORED[kind]) for k, (_, kind) in enumerate(kinds)}
+        return {"id": counted(batch.column(1)), **own}
 
+    return kinds, Pieces(df.sparkSession).spill(ordered(df.select(*columns), "_idx", "_idx"), encode)
 
-def _write_h5ad(data: AnnotatedMatrix, path: str, dtype: str) -> None:
+
+_STORED = {"int": "<i4", "float": "<f8", "bool": "u1", "categorical": "<i4"}
+
+
+def _codes(rows: Pieces, k: int, kind: str, base: int = 0) -> Iterator[np.ndarray]:
+    for block in rows.stream(str(k)):
+        yield (np.frombuffer(block, "<i4") + base).astype(kind)
+
+
+def _write_h5ad(data: AnnotatedMatrix, path: str, dtype: str, chunk: int, compression: str | None) -> None:
     with _h5().File(path, "w") as f:
+        sink = _Sink(f, chunk, compression)
         f.attrs["encoding-type"], f.attrs["encoding-version"] = "anndata", "0.1.0"
         for slot in ("obs", "var"):
             known = data.levels.get(slot, {})
-            ids, columns = _columns(getattr(data, slot), slot, known)
-            g = f.create_group(slot)
-            g.attrs["encoding-type"], g.attrs["encoding-version"], g.attrs["_index"] = "dataframe", "0.2.0", "index"
-            g.attrs["column-order"] = np.asarray([c for c, _, _ in columns], object)
-            g.create_dataset("index", data=np.asarray(ids, object))
-            for c, kind, values in columns:
-                if kind == "categorical":
-                    h = g.create_group(c)
-                    h.attrs["encoding-type"], h.attrs["encoding-version"], h.attrs["ordered"] = "categorical", "0.2.0", False
-                    at = {x: k for k, x in enumerate(known[c])}
-                    width = {"tinyint": "i1", "smallint": "<i2", "int": "<i4"}[code_width(len(known[c]))]
-                    h.create_dataset("codes", data=np.asarray([at.get(v, -1) for v in values], width))
-                    h.create_dataset("categories", data=np.asarray(known[c], object))
-                else:
-                    g.create_dataset(c, data=np.asarray(values, {"int": "<i4", "float": "<f8", "bool": "u1"}.get(kind, object)))
+            kinds, rows = _metadata(getattr(data, slot), slot, known)
+            with rows:
+                g = f.create_group(slot)
+                g.attrs["encoding-type"], g.attrs["encoding-version"], g.attrs["_index"] = "dataframe", "0.2.0", "index"
+                g.attrs["column-order"] = np.asarray([c for c, _ in kinds], object)
+                sink.texts(g, "index", rows.texts("id"))
+                for k, (c, kind) in enumerate(kinds):
+                    if kind == "categorical":
+                        h = g.create_group(c)
+                        h.attrs["encoding-type"], h.attrs["encoding-version"], h.attrs["ordered"] = "categorical", "0.2.0", False
+                        width = {"tinyint": "i1", "smallint": "<i2", "int": "<i4"}[code_width(len(known[c]))]
+                        sink.append(h, "codes", width, _codes(rows, k, width))
+                        h.create_dataset("categories", data=np.asarray(known[c], object))
+                    elif kind == "string":
+                        sink.texts(g, c, rows.texts(str(k)))
+                    else:
+                        sink.append(g, c, _STORED[kind], rows.stream(str(k)))
         for slot in ("obsm", "varm"):
             g = f.create_group(slot)
             for key in sorted(getattr(data, slot)):
-                g.create_dataset(key, data=np.asarray([r["vec"] for r in _rows(getattr(data, slot)[key], "idx")], "<f8"))
+                rows, width = _vectors(getattr(data, slot)[key])
+                with rows:
+                    d = g.create_dataset(key, shape=(0, width), maxshape=(None, width), dtype="<f8", chunks=(max(1, chunk // max(1, width)), max(1, width)))
+                    for p in rows.pieces if width else ():
+                        own = np.memmap(f"{p.stem}.vec", "<f8", "r").reshape(-1, width)
+                        at = d.shape[0]
+                        d.resize((at + len(own), width))
+                        d[at:] = own
         _put_json(f.create_group("uns"), strict(data.uns))
         entries = [("X", data.x, data.shape, dtype, ("obs_idx", "var_idx"))]
         entries += [(f"layers/{k}", d, data.shape, data.layer_dtypes.get(k, "f32"), ("obs_idx", "var_idx")) for k, d in data.layers.items()]
-        entries += [(f"obsp/{k}", d, (data.n_obs, data.n_obs), "f32", ("i", "j")) for k, d in data.obsp.items()]
+        entries += [(f"{slot}/{k}", d, (size, size), "f32", ("i", "j")) for slot, size in (("obsp", data.n_obs), ("varp", data.n_vars)) for k, d in getattr(data, slot).items()]
         for name, df, shape, kind, names in entries:
             g = f.create_group(name)
             g.attrs["encoding-type"], g.attrs["encoding-version"], g.attrs["shape"] = "csr_matrix", "0.1.0", np.asarray(shape, "<i8")
-            _put_sparse(g, df, shape[0], kind, names)
+            sink.sparse(g, df, shape[0], kind, names)
 
 
-def _write_h5seurat(data: AnnotatedMatrix, path: str, assay: str, x_slot: str, project: str, compat: bool, packed: bool) -> None:
-    names_of: dict[str, list[str]] = {}
-    with _h5().File(path, "w") as f:
+def _write_h5seurat(data: AnnotatedMatrix, path: str, assay: str, x_slot: str, project: str, compat: bool, packed: bool, chunk: int) -> None:
+    ids: dict[str, Pieces] = {}
+    with _h5().File(path, "w") as f, ExitStack() as kept:
+        sink = _Sink(f, chunk)
         if compat:
-            f.attrs["project"], f.attrs["active.assay"], f.attrs["version"] = project, assay, "3.1.5.9900"
+            f.attrs["project"], f.attrs["version"] = project, "3.1.5.9900"
             for name in ("commands", "images", "neighbors", "tools"):
                 f.create_group(name)
+        f.attrs["active.assay"] = assay
         base = f.create_group(f"assays/{assay}")
         if compat:
             base.attrs["key"] = f"{assay.lower()}_"
         for slot, at in (("obs", "meta.data"), ("var", f"assays/{assay}/meta.features")):
             known = data.levels.get(slot, {})
-            ids, columns = _columns(getattr(data, slot), slot, known)
-            names_of[slot] = ids
-            (f if slot == "obs" else base).create_dataset("cell.names" if slot == "obs" else "features", data=np.asarray(ids, object))
+            kinds, rows = _metadata(getattr(data, slot), slot, known)
+            ids[slot] = kept.enter_context(rows)
+            sink.texts(f if slot == "obs" else base, "cell.names" if slot == "obs" else "features", rows.texts("id"))
             g = f.create_group(at)
-            g.attrs["colnames"] = np.asarray([c for c, _, _ in columns], object)
-            g.attrs["logicals"] = np.asarray([c for c, k, _ in columns if k == "bool"], object)
-            for c, kind, values in columns:
+            g.attrs["colnames"] = np.asarray([c for c, _ in kinds], object)
+            g.attrs["logicals"] = np.asarray([c for c, k in kinds if k == "bool"], object)
+            for k, (c, kind) in enumerate(kinds):
                 if kind == "categorical":
-                    at_ = {x: k for k, x in enumerate(known[c], 1)}
                     h = g.create_group(c)
                     h.create_dataset("levels", data=np.asarray(known[c], object))
-                    h.create_dataset("values", data=np.asarray([at_.get(v, 0) for v in values], "<i4"))
+                    sink.append(h, "values", "<i4", _codes(rows, k, "<i4", 1))
+                elif kind == "string":
+                    sink.texts(g, c, rows.texts(str(k)))
+                elif kind == "bool":
+                    sink.append(g, c, "<i4", (np.frombuffer(x, "u1").astype("<i4") for x in rows.stream(str(k))))
                 else:
-                    g.create_dataset(c, data=np.asarray(values, {"int": "<i4", "float": "<f8", "bool": "<i4"}.get(kind, object)))
-        for slot, name in (("obsm", "cell.embeddings"), ("varm", "feature.loadings")):
+                    sink.append(g, c, _STORED[kind], rows.stream(str(k)))
+        for slot, name, size in (("obsm", "cell.embeddings", data.n_obs), ("varm", "feature.loadings", data.n_vars)):
             for key in sorted(getattr(data, slot)):
-                g = f.require_group(f"reductions/{key.removeprefix('X_')}")
-                g.create_dataset(name, data=np.asarray([r["vec"] for r in _rows(getattr(data, slot)[key], "idx")], "<f8").T)
+                rows, width = _vectors(getattr(data, slot)[key])
+                with rows:
+                    g = f.require_group(f"reductions/{key.removeprefix('X_')}")
+                    d = g.create_dataset(name, shape=(0, size), maxshape=(None, size), dtype="<f8", chunks=(1, max(1, size)))
+                    for k in range(width):  # a component at a time, as they are stored one after the other
+                        d.resize((k + 1, size))
+                        d[k:] = _component(rows, width, k)[None, :]
         _put_json(f.create_group("misc"), data.uns)
         entries = [(f"assays/{assay}/{x_slot}", data.x, data.n_vars, ("obs_idx", "var_idx"), data.dtype)]
         entries += [(f"assays/{assay}/{k}", d, data.n_vars, ("obs_idx", "var_idx"), data.layer_dtypes.get(k, "f32")) for k, d in data.layers.items() if k != x_slot]
@@ -500,17 +586,24 @@ def _write_h5seurat(data: AnnotatedMatrix, path: str, assay: str, x_slot: str, p
         for name, df, m, names, dtype in entries:
             g = f.create_group(name)
             if packed:
-                ids = (names_of["obs"] if name.startswith("graphs/") else names_of["var"], names_of["obs"])
-                _put_packed(g, df.select(F.col(names[0]).alias("obs_idx"), F.col(names[1]).alias("var_idx"), "value"), data.n_obs, m, dtype, ids)
+                sink.packed(g, df, data.n_obs, m, dtype, names, (ids["obs" if name.startswith("graphs/") else "var"], ids["obs"]))
                 continue
             g.attrs["dims"] = np.asarray([m, data.n_obs], "<i8")
-            _put_sparse(g, df, data.n_obs, "f64", names)
+            sink.sparse(g, df, data.n_obs, "f64", names)
+
 
+def write(
+    data: AnnotatedMatrix, path: str, format: str = "h5ad", dtype: str | None = None, assay: str = "RNA", x_slot: str = "counts", project: str = "SeuratProject", compat: bool = False, packed: bool = False,
+    chunk_size: int = CHUNK, compression: str | None = None, **_: Any,
+) -> str:
+    """One file, with bit-packed matrices if ``packed`` (Seurat-style files only, which have no place for ``varp``).
 
-def write(data: AnnotatedMatrix, path: str, format: str = "h5ad", dtype: str | None = None, assay: str = "RNA", x_slot: str = "counts", project: str = "SeuratProject", compat: bool = False, packed: bool = False, **_: Any) -> str:
-    """One file, with bit-packed matrices if ``packed`` (Seurat-style files only); ``varp`` has no place in either layout. JSON that a layout can't hold is dropped."""
+    JSON that a layout can't hold is dropped. ``chunk_size`` is the length of stored chunks; ``compression`` is None or ``gzip``.
+    """
+    if compression not in (None, "gzip"):
+        raise ValueError(f"unknown compression {compression!r}; expected gzip or None")
     if format == "h5ad":
-        _write_h5ad(data, path, dtype or data.dtype)
+        _write_h5ad(data, path, dtype or data.dtype, chunk_size, compression)
     else:
-        _write_h5seurat(replace(data, x=data.x), path, assay, x_slot, project, compat, packed)
+        _write_h5seurat(data, path, assay, x_slot, project, compat, packed, chunk_size)
     return path

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -16,10 +16,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from annomat.errors import DtypeMismatchError, InvalidFormatError, MissingFieldError, UnsupportedVersionError
 from annomat.functions.casts import false_for_null, nan_for_null, spark_type, to_dtype
 from annomat.model import AnnotatedMatrix
-from annomat.operators.layout import indptr, ordered
+from annomat.operators.layout import ordered
 from annomat.operators.profile import column_kinds
 from annomat.operators.slots import SlotFilter
-from annomat.sources.chunks import CHUNK_SIZE, RangeReader, Rows, chosen, option, pushdown, triples
+from annomat.sources.chunks import CHUNK_SIZE, Lines, RangeReader, Rows, chosen, lines, option, pushdown, triples
+from annomat.sources.parts import Pieces, SparseRows, numbers
 
 # The manifest's keys, file names and type names are fixed by the format.
 _DESCR = {"f32": "<f4", "f64": "<f8", "i32": "<i4", "u32": "<u4"}
@@ -95,6 +96,14 @@ class _Reader(RangeReader):
         n = self.meta["n_vars"] if slot in ("var", "varm", "varp") else self.meta["n_obs"]
         column = {"X": "obs_idx", "layers": "obs_idx", "obs": "obs_idx", "var": "var_idx", "obsp": "i", "varp": "i"}.get(slot, "idx")
         super().__init__(0 if slot == "X" and not self.meta.get("X") else n, chunk, column)
+        files = []
+        if slot in ("obs", "var"):
+            files = [f"{path}/{slot}/{c['name']}_strings.txt" for c in self.meta.get(slot, []) if c["kind"] == "string"]
+            files += [f"{path}/{slot}_index.txt"] if self.meta.get(f"{slot}_index") and os.path.exists(f"{path}/{slot}_index.txt") else []
+        for file in files:
+            if not os.path.exists(file):
+                raise MissingFieldError(file)
+        self.lines = {file: Lines(file, chunk) for file in files}
 
     def rows_of(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         a, b, at = partition.start, partition.stop, f"{self.path}/{self.slot}"
@@ -110,7 +119,7 @@ class _Reader(RangeReader):
             yield pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), vec], names=["idx", "vec"])
         else:
             index = f"{self.path}/{self.slot}_index.txt"
-            ids = _lines(index)[a:b] if self.meta.get(f"{self.slot}_index") and os.path.exists(index) else [str(i) for i in range(a, b)]
+            ids = self.lines[index].read(a, b) if index in self.lines else [str(i) for i in range(a, b)]
             names, arrays = [f"{self.slot}_idx", f"{self.slot}_id"], [pa.array(range(a, b), pa.int64()), pa.array(ids, pa.string())]
             for c in self.meta.get(self.slot, []):
                 names.append(c["name"])
@@ -118,7 +127,7 @@ class _Reader(RangeReader):
                 if c["kind"] in _KINDS:
                     arrays.append(pa.array(np.array(load(f"{stem}.npy", _KINDS[c["kind"]][0])[a:b])))
                 elif c["kind"] == "string":
-                    arrays.append(pa.array(_lines(f"{stem}_strings.txt")[a:b], pa.string()))
+                    arrays.append(pa.array(self.lines[f"{stem}_strings.txt"].read(a, b), pa.string()))
                 elif c["kind"] == "categorical":
                     codes, levels = np.array(load(f"{stem}_codes.npy", "<u4")[a:b]).astype(np.int64), _lines(f"{stem}_levels.txt")
                     arrays.append(pa.array([levels[k] if k < len(levels) else None for k in codes.tolist()], pa.string()))
@@ -144,96 +153,83 @@ def read(spark: SparkSession, path: str, chunk_size: int = CHUNK_SIZE, **_: Any)
     )
 
 
-class _Out:
-    """A .npy file written a batch at a time; its header has room for the final shape."""
-
-    def __init__(self, path: str, descr: str, tail: tuple[int, ...] = ()):
-        self.f, self.dtype, self.tail, self.n = open(path, "wb"), np.dtype(descr), tail, 0
-        self._head()
-
-    def _head(self) -> None:
-        self.f.seek(0)
-        shape = (self.n, *self.tail)
-        text = f"{{'descr': '{self.dtype.str}', 'fortran_order': False, 'shape': {shape}, }}"
-        room = 128 - 10 - 1
-        self.f.write(b"\x93NUMPY\x01\x00" + (128 - 10).to_bytes(2, "little") + text.ljust(room).encode() + b"\n")
-
-    def add(self, values: Any) -> None:
-        part = np.asarray(values, self.dtype)
-        self.n += len(part)
-        self.f.write(part.tobytes())
+def _put(path: str, descr: str, blocks: Iterable[np.ndarray | bytes], tail: tuple[int, ...] = ()) -> int:
+    """A .npy file from blocks of its rows; its header has room for the final shape. Returns the rows."""
+    kind = np.dtype(descr)
+    with open(path, "wb") as f:
+        f.write(bytes(128))
+        for block in blocks:
+            f.write(block if isinstance(block, bytes) else block.astype(kind).tobytes())
+        n = (f.tell() - 128) // (kind.itemsize * max(1, int(np.prod(tail))))
+        f.seek(0)
+        text = f"{{'descr': '{kind.str}', 'fortran_order': False, 'shape': {(n, *tail)}, }}"
+        f.write(b"\x93NUMPY\x01\x00" + (128 - 10).to_bytes(2, "little") + text.ljust(128 - 10 - 1).encode() + b"\n")
+    return n
 
-    def close(self) -> None:
-        self._head()
-        self.f.close()
 
-
-def _stream(df: DataFrame, major: str, minor: str | None = None, size: int = 65_536) -> Iterator[list]:
-    """Rows in order, some at a time; one partition is held at once."""
-    held = []
-    for row in ordered(df, major, minor or major).toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def _sparse(x: DataFrame, axis: DataFrame, n: int, m: int, dtype: str, at: str, names: tuple[str, str]) -> dict[str, Any]:
+def _sparse(x: DataFrame, n: int, m: int, dtype: str, at: str, names: tuple[str, str]) -> dict[str, Any]:
     os.makedirs(at, exist_ok=True)
-    data, index, ptr = _Out(f"{at}/data.npy", _DESCR[dtype]), _Out(f"{at}/indices.npy", "<u4"), _Out(f"{at}/indptr.npy", "<u8")
-    cast = x.select(names[0], names[1], to_dtype(F.col("value"), dtype).alias("value"))
-    for rows in _stream(cast, *names):
-        data.add([r[2] for r in rows])
-        index.add([r[1] for r in rows])
-    for rows in _stream(indptr(x, axis, names[0]), "pos"):
-        ptr.add([r["ptr"] for r in rows])
-    nnz = data.n
-    for f in (data, index, ptr):
-        f.close()
-    return {"shape": [n, m], "nnz": nnz, "dtype": dtype}
+    with SparseRows(x, n, dtype, _DESCR[dtype], names) as rows:
+        _put(f"{at}/data.npy", _DESCR[dtype], rows.stream("data"))
+        _put(f"{at}/indices.npy", "<u4", rows.stream("index"))
+        _put(f"{at}/indptr.npy", "<u8", rows.pointers())
+        return {"shape": [n, m], "nnz": rows.rows, "dtype": dtype}
+
+
+def _table(df: DataFrame, slot: str, known: dict[str, list[str]], kinds: list[tuple[str, str]], with_ids: bool, path: str) -> None:
+    """The files of a metadata table: executors write the columns of their rows, which are joined here."""
+    idx, ident = f"{slot}_idx", f"{slot}_id"
+    columns = [F.col(idx).cast("long").alias("_idx"), F.col(ident).alias("_id")]
+    for k, (c, kind) in enumerate(kinds):
+        v = F.col(f"`{c}`")
+        if kind == "categorical":
+            codes = F.create_map(*[y for k_, x in enumerate(known[c]) for y in (F.lit(x), F.lit(k_).cast("long"))]) if known[c] else None
+            v = F.coalesce(F.element_at(codes, v), F.lit(0xFFFFFFFF)) if codes is not None else F.lit(0xFFFFFFFF).cast("long")
+        elif kind == "string":
+            v = F.coalesce(v.cast("string"), F.lit(""))
+        else:
+            v = {"int": lambda x: F.coalesce(to_dtype(x, "i32"), F.lit(0)), "float": nan_for_null, "bool": false_for_null}[kind](v)
+        columns.append(v.alias(f"_{k}"))
+
+    def encode(batch: pa.RecordBatch) -> dict[str, bytes]:
+        out = {"id": lines(batch.column(1), f"ids of {slot}")} if with_ids else {}
+        for k, (c, kind) in enumerate(kinds):
+            own = batch.column(k + 2)
+            out[str(k)] = lines(own, f"values of {c}") if kind == "string" else numbers(own, "<u4" if kind == "categorical" else _KINDS[kind][0])
+        return out
+
+    with Pieces(df.sparkSession) as rows:
+        rows.spill(ordered(df.select(*columns), "_idx", "_idx"), encode)
+        for k, (c, kind) in enumerate(kinds):
+            stem = f"{path}/{slot}/{c}"
+            if kind == "categorical":
+                _put(f"{stem}_codes.npy", "<u4", rows.stream(str(k)))
+                with open(f"{stem}_levels.txt", "w", encoding="utf-8") as f:
+                    f.writelines(f"{x}\n" for x in known[c])
+            elif kind != "string":
+                _put(f"{stem}.npy", _KINDS[kind][0], rows.stream(str(k)))
+        texts = {f"{path}/{slot}/{c}_strings.txt": str(k) for k, (c, kind) in enumerate(kinds) if kind == "string"} | ({f"{path}/{slot}_index.txt": "id"} if with_ids else {})
+        for file, stream in texts.items():
+            with open(file, "wb") as f:
+                f.writelines(rows.stream(stream))
 
 
 def write(data: AnnotatedMatrix, path: str, only: str | None = None, exclude: str | None = None, filter: SlotFilter | None = None, **_: Any) -> str:
-    """A snapshot of the selected slots; the manifest comes last. Each slot is sorted by executors and streamed here in order."""
+    """A snapshot of the selected slots; the manifest comes last. Executors sort and write each slot in pieces, which are joined here."""
     keep = filter or SlotFilter.parse(only, exclude)
     os.makedirs(path, exist_ok=True)
-    spark, n, m = data.spark, data.n_obs, data.n_vars
-    axes = {"obs": spark.range(n).withColumnRenamed("id", "idx"), "var": spark.range(m).withColumnRenamed("id", "idx")}
+    n, m = data.n_obs, data.n_vars
     meta: dict[str, Any] = {"format_version": "0.1", "n_obs": n, "n_vars": m}
     if keep.includes("X"):
-        meta["X"] = _sparse(data.x, axes["obs"], n, m, data.dtype, f"{path}/X", ("obs_idx", "var_idx"))
+        meta["X"] = _sparse(data.x, n, m, data.dtype, f"{path}/X", ("obs_idx", "var_idx"))
     for slot, df, size in (("obs", data.obs, n), ("var", data.var, m)):
         os.makedirs(f"{path}/{slot}", exist_ok=True)
-        idx, ident, known = f"{slot}_idx", f"{slot}_id", data.levels.get(slot, {})
-        kinds = [(c, k) for c, k in column_kinds(df, (idx, ident), known) if keep.includes(f"{slot}:{c}")]
-        outs, columns = {}, [F.col(ident)]
-        for c, kind in kinds:
-            v = F.col(f"`{c}`")
-            stem = f"{path}/{slot}/{c}"
-            if kind == "categorical":
-                outs[c] = _Out(f"{stem}_codes.npy", "<u4")
-                codes = {x: k for k, x in enumerate(known[c])}
-                with open(f"{stem}_levels.txt", "w", encoding="utf-8") as f:
-                    f.writelines(f"{x}\n" for x in known[c])
-                columns.append(F.coalesce(F.element_at(F.create_map(*[y for x, k in codes.items() for y in (F.lit(x), F.lit(k))]), v), F.lit(0xFFFFFFFF)).cast("long") if codes else F.lit(0xFFFFFFFF))
-            elif kind == "string":
-                outs[c] = open(f"{stem}_strings.txt", "w", encoding="utf-8")
-                columns.append(F.coalesce(v.cast("string"), F.lit("")))
-            else:
-                outs[c] = _Out(f"{stem}.npy", _KINDS[kind][0])
-                columns.append({"int": F.coalesce(to_dtype(v, "i32"), F.lit(0)), "float": nan_for_null(v), "bool": false_for_null(v)}[kind])
-        index = open(f"{path}/{slot}_index.txt", "w", encoding="utf-8") if keep.includes(f"{slot}_index") else None
-        for rows in _stream(df.select(idx, *[x.alias(f"_{k}") for k, x in enumerate(columns)]), idx):
-            if index:
-                index.writelines(f"{r[1]}\n" for r in rows)
-            for k, (c, kind) in enumerate(kinds, 2):
-                own = [r[k] for r in rows]
-                outs[c].writelines(f"{x}\n" for x in own) if kind == "string" else outs[c].add(own)
-        for f in (*outs.values(), *((index,) if index else ())):
-            f.close()
-        if index:
+        known = data.levels.get(slot, {})
+        kinds = [(c, k) for c, k in column_kinds(df, (f"{slot}_idx", f"{slot}_id"), known) if keep.includes(f"{slot}:{c}")]
+        with_ids = keep.includes(f"{slot}_index")
+        if kinds or with_ids:
+            _table(df, slot, known, kinds, with_ids, path)
+        if with_ids:
             meta[f"{slot}_index"] = {"n": size}
         meta[slot] = [{"name": c, "kind": k, "shape": [size], **({"n_levels": len(known[c])} if k == "categorical" else {})} for c, k in kinds]
     for slot, size in (("obsm", n), ("varm", m)):
@@ -241,18 +237,16 @@ def write(data: AnnotatedMatrix, path: str, only: str | None = None, exclude: st
             if keep.includes(f"{slot}:{key}"):
                 os.makedirs(f"{path}/{slot}", exist_ok=True)
                 width = df.agg(F.max(F.size("vec"))).first()[0] or 0
-                out = _Out(f"{path}/{slot}/{key}.npy", "<f8", (width,))
-                for rows in _stream(df, "idx"):
-                    out.add(np.array([r["vec"] for r in rows], np.float64).reshape(len(rows), width))
-                out.close()
+                with Pieces(data.spark) as rows:
+                    rows.spill(ordered(df.select(F.col("idx").cast("long").alias("idx"), F.col("vec").cast("array<double>").alias("vec")), "idx", "idx"), lambda batch: {"vec": numbers(batch.column(1).flatten(), "<f8")})
+                    _put(f"{path}/{slot}/{key}.npy", "<f8", rows.stream("vec"), (width,))
                 meta.setdefault(slot, {})[key] = {"shape": [size, width], "dtype": "f64"}
     for slot, size, other in (("layers", n, m), ("obsp", n, n), ("varp", m, m)):
         for key, df in getattr(data, slot).items():
             if keep.includes(f"{slot}:{key}"):
-                axis = axes["var" if slot == "varp" else "obs"]
                 names = ("obs_idx", "var_idx") if slot == "layers" else ("i", "j")
                 dtype = data.layer_dtypes.get(key, "f32") if slot == "layers" else "f32"
-                meta.setdefault(slot, {})[key] = _sparse(df, axis, size, other, dtype, f"{path}/{slot}/{key}", names)
+                meta.setdefault(slot, {})[key] = _sparse(df, size, other, dtype, f"{path}/{slot}/{key}", names)
     if keep.includes("uns") and data.uns:
         with open(f"{path}/uns.json", "w", encoding="utf-8") as f:
             json.dump(data.uns, f, indent=2)

@@ -1,4 +1,3 @@
-import importlib.util
 import os
 import sys
 from pathlib import Path
@@ -7,8 +6,6 @@ import pytest
 
 HERE = Path(__file__).resolve().parent
 PATHS = [str(HERE.parent), str(HERE)]
-if importlib.util.find_spec("h5py") is None:
-    PATHS.append(str(HERE / "fakes"))
 sys.path[:0] = PATHS
 os.environ["PYTHONPATH"] = os.pathsep.join([*PATHS, os.environ.get("PYTHONPATH", "")])
 

@@ -1,6 +1,5 @@
-"""The HDF5 adapters, against h5py or a stand-in with the same interface."""
+"""The HDF5 adapters, on files of h5py where it is installed and of the repository's own writer elsewhere."""
 
-import h5py
 import numpy as np
 import pytest
 from helpers import rows
@@ -9,6 +8,9 @@ from test_dataset import data, equal  # noqa: F401
 from annomat import api, sources
 from annomat.errors import InvalidFormatError, MissingFieldError
 from annomat.functions import bitpack
+from annomat.sources.hdf5 import _h5
+
+h5py = _h5()
 
 
 def test_h5ad(spark, data, tmp_path):  # noqa: F811
