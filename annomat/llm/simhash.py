@@ -5,18 +5,19 @@ A fingerprint is cut into positional bytes. Two fingerprints that differ in at m
 guaranteed number of matches meets in at least one of them (for 8 bytes and 3 bits: five matches, hence three within one
 half). With more fingerprints the sets are larger, and so are the keys, so postings stay short. Postings hold distinct
 fingerprints only. Inside a posting the shared positional bytes of each pair are tallied, pairs below the guaranteed count are
-dropped, and the rest are verified by Hamming distance; what leaves a posting is a spanning forest of its verified links, so the
-output is linear in the posting's size. Postings over ``TILE`` members are cut into pairs of blocks, each a task's worth of work
-of fixed size.
+dropped, and the rest are verified by Hamming distance. Members that are known to be linked are not compared with each other
+again, so a group of alike ones costs a posting little more than its size, and what leaves a posting is a star for each of its
+components, so the output is linear. Postings over ``TILE`` members are cut into pairs of blocks of fixed size.
 
-Where shingles decide (``near_duplicate_groups``), such links are only candidates: their components are blocks, and inside a
-block all pairs of different texts are compared by their sets of shingles.
+Where shingles decide (``near_duplicate_groups``), such links are only candidates. Their components are found by a few position
+sets first; the other sets then only look for links between those. Inside a component of candidates texts are compared by their
+sets of shingles, each one with all others unless both are known to be alike to the same text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain, combinations
+from collections.abc import Callable, Iterator
+from itertools import chain, combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpoint, frugal, longs, partitions, picked, starts_of_runs
+from .common import blocks, checkpoint, frugal, longs, partitions, picked, small, starts_of_runs
 
 #: Members of a posting, or of a block of a large one, that are compared with each other in one go.
 TILE = 1024
-#: Members up to which all links are returned and not only a spanning forest; fingerprints up to which keys have three bytes.
-ALL_LINKS, FEW_PRINTS = 16, 1 << 28
+#: Fingerprints up to which keys have three bytes.
+FEW_PRINTS = 1 << 28
 _LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 _MIX = 0x9E3779B97F4A7C15
 
@@ -125,55 +126,59 @@ def _shared(x: np.ndarray) -> np.ndarray:
     return 8 * x.shape[1] - np.bitwise_count(differ).sum(axis=1)
 
 
-def _forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, max_bits: int, least: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Verified links (i, j, bits) between two blocks of row numbers (one block if ``same``).
+def merged_by(compare: Callable[[int], np.ndarray], group: np.ndarray) -> np.ndarray:
+    """Components of ``len(group)`` members, as numbers: members of equal group are linked, and ``compare(i)`` gives those linked with i.
 
-    All of them for a few members, else those of a least spanning forest by differing bits.
+    Members of the largest component are not compared once they are in it: links among them add nothing, and any other member
+    is compared with all.
     """
+    _, part = np.unique(group, return_inverse=True)
+    done = np.zeros(len(part), bool)
+    main = int(np.bincount(part).argmax())
+    while True:
+        todo = np.flatnonzero((part != main) & ~done)
+        if not len(todo):
+            return part
+        i = int(todo[0])
+        done[i] = True
+        met = np.unique(np.append(part[compare(i)], part[i]))
+        if len(met) > 1:
+            into = main if main in met else int(met[0])
+            part[np.isin(part, met)] = into
+            if into != main and (part == into).sum() > (part == main).sum():
+                main = into
+
+
+def _linked(fp: np.ndarray, label: np.ndarray, max_bits: int, least: int) -> list[tuple[int, int]]:
+    """Edges between labels that make the same components as all verified links between members do: a star for each component."""
+    if (label == label[0]).all():
+        return []
     lanes = fp.view(np.uint64)
-    found = []
-    for k, i in enumerate(left.tolist()):
-        others = right[k + 1 :] if same else right
-        if len(others):
-            x = lanes[others] ^ lanes[i]
-            if least:  # pairs short of the guaranteed matches go before they are verified
-                enough = _shared(x) >= least
-                others, x = others[enough], x[enough]
-            bits = np.bitwise_count(x).sum(axis=1)
-            near = np.flatnonzero(bits <= max_bits)
-            if len(near):
-                found.append((np.full(len(near), i), others[near], bits[near].astype(np.int64)))
-    if not found:
-        none = np.empty(0, np.int64)
-        return none, none, none
-    i, j, bits = (np.concatenate(x) for x in zip(*found, strict=True))
-    members = len(left) + (0 if same else len(right))
-    if members <= ALL_LINKS or len(i) < members:
-        return i, j, bits
-    parent = {x: x for x in {*i.tolist(), *j.tolist()}}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    order, keep = np.argsort(bits, kind="stable"), []
-    for k, x, y in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
-        a, b = root(x), root(y)
-        if a != b:
-            parent[b] = a
-            keep.append(k)
-            if len(keep) == len(parent) - 1:
-                break
-    return i[keep], j[keep], bits[keep]
+
+    def compare(i: int) -> np.ndarray:
+        x = lanes ^ lanes[i]
+        if not least:
+            return np.flatnonzero(np.bitwise_count(x).sum(axis=1) <= max_bits)
+        enough = np.flatnonzero(_shared(x) >= least)  # pairs short of the guaranteed matches go before they are verified
+        return enough[np.bitwise_count(x[enough]).sum(axis=1) <= max_bits]
+
+    part = merged_by(compare, label)
+    order = np.lexsort((label, part))
+    first = starts_of_runs(part[order])
+    lead = np.repeat(label[order][first], np.diff(np.append(first, len(order))))
+    return [*{(a, b) for a, b in zip(lead.tolist(), label[order].tolist(), strict=True) if a != b}]
 
 
 def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, least: int, order: np.ndarray | None = None) -> DataFrame:
-    """Edges (a, b, bits) between ids of distinct fingerprints ``(id, fp)`` that make the same components as all links do.
+    """Edges (a, b) between ids of distinct fingerprints ``(id, fp)`` that make the same components as all links do.
 
-    With ``order``, the positions are those of the fingerprint's bits in that order.
+    With a column label, members of equal label are taken as linked and edges are between labels. With ``order``, the positions
+    are those of the fingerprint's bits in that order.
     """
+    if "label" not in prints.columns:
+        prints = prints.withColumn("label", F.col("id"))
+    prints = prints.select("id", "label", "fp")
+    bare = prints.select("id", "fp")
     spark = prints.sparkSession
     sets = np.array(positions)
     n = partitions(spark)
@@ -223,7 +228,7 @@ def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, le
             yield emit()
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Postings with two members or more; a large one as pairs of blocks (part 0, 1 of a tile)."""
+        """Postings with two members or more; a large one as pairs of blocks."""
         held_key, held = None, []  # the last key's members so far
 
         def emit(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -232,7 +237,7 @@ def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, le
             each = np.repeat(size, size)
             small = (each > 1) & (each <= TILE)
             if small.any():
-                yield pa.record_batch({"key": keys[small], "tile": np.zeros(small.sum(), np.int64), "side": np.zeros(small.sum(), np.int32), "id": ids[small]})
+                yield pa.record_batch({"key": keys[small], "tile": np.zeros(small.sum(), np.int64), "id": ids[small]})
             for k in np.flatnonzero(size > TILE):
                 own = ids[first[k] : first[k] + size[k]]
                 cut = [own[i : i + TILE] for i in range(0, len(own), TILE)]
@@ -241,7 +246,7 @@ def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, le
                         y = cut[j]
                         n = len(x) + (len(y) if j < i else 0)
                         both = np.concatenate([x, y]) if j < i else x
-                        yield pa.record_batch({"key": np.full(n, keys[first[k]]), "tile": np.full(n, (i << 32) | j, np.int64), "side": np.repeat(np.array([0, 1], np.int32), [len(x), n - len(x)]), "id": both})
+                        yield pa.record_batch({"key": np.full(n, keys[first[k]]), "tile": np.full(n, (i << 32) | j, np.int64), "id": both})
 
         for batch in batches:
             keys, ids = longs(batch.column(0)), longs(batch.column(1))
@@ -276,36 +281,32 @@ def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, le
             rest = rows.slice(done) if done < len(key) else None
             if not done:
                 continue
-            ids, side = longs(rows.column("id").combine_chunks()), rows.column("side").to_numpy()
+            label = longs(rows.column("label").combine_chunks())
             fp = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint8).reshape(len(key), -1)
             ends = np.append(first[1:], len(key))
             keep = ends <= done
             first, ends = first[keep], ends[keep]
-            two = first[ends - first == 2]
+            two = first[(ends - first == 2)]
+            two = two[label[two] != label[two + 1]]
             x = fp.view(np.uint64)[two] ^ fp.view(np.uint64)[two + 1]
             enough = _shared(x) >= least
             two, x = two[enough], x[enough]
-            apart = np.bitwise_count(x).sum(axis=1).astype(np.int64)
-            ok = apart <= max_bits
-            pairs = [(ids[two[ok]], ids[two[ok] + 1], apart[ok])]
-            for s, e in zip(first.tolist(), ends.tolist(), strict=True):
-                if e - s > 2:
-                    own = np.arange(s, e)
-                    split = side[s:e] == 1
-                    a, b = (own[~split], own[split]) if split.any() else (own, own)
-                    i, j, bits = _forest(fp, a, b, max_bits, least, not split.any())
-                    pairs.append((ids[i], ids[j], bits))
-            a, b, bits = (np.concatenate(p) for p in zip(*pairs, strict=True))
-            yield pa.record_batch({"a": np.minimum(a, b), "b": np.maximum(a, b), "bits": bits})
+            two = two[np.bitwise_count(x).sum(axis=1) <= max_bits]
+            a, b = label[two], label[two + 1]
+            more = [e for s, t in zip(first.tolist(), ends.tolist(), strict=True) if t - s > 2 for e in _linked(fp[s:t], label[s:t], max_bits, least)]
+            own = np.array(more, np.int64).reshape(-1, 2)
+            a, b = np.append(a, own[:, 0]), np.append(b, own[:, 1])
+            edges = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.record_batch({"a": edges[:, 0], "b": edges[:, 1]})
 
     if order is None:
-        posted = prints.mapInArrow(frugal(post), "key long, id long").repartition(n, "key").sortWithinPartitions("key")
-        tiled = posted.mapInArrow(frugal(tiles), "key long, tile long, side int, id long")
+        posted = bare.mapInArrow(frugal(post), "key long, id long").repartition(n, "key").sortWithinPartitions("key")
+        tiled = posted.mapInArrow(frugal(tiles), "key long, tile long, id long")
     else:
-        posted = prints.mapInArrow(frugal(pack), "bucket long, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-        tiled = posted.mapInArrow(frugal(lambda batches: tiles(unpack(batches))), "key long, tile long, side int, id long")
+        posted = bare.mapInArrow(frugal(pack), "bucket long, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+        tiled = posted.mapInArrow(frugal(lambda batches: tiles(unpack(batches))), "key long, tile long, id long")
     full = tiled.join(prints, "id").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
-    return full.select("key", "tile", "side", "id", "fp").mapInArrow(frugal(verify), "a long, b long, bits long").where("a <> b").distinct()
+    return full.select("key", "tile", "label", "fp").mapInArrow(frugal(verify), "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -359,66 +360,155 @@ def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id",
 #: less (five deviations more; a similarity of 0.59 on average) are candidates, and their shingles decide. ``WIDE_ROUNDS`` of
 #: 21 tables each find 0.99 of the pairs at 0.8.
 WIDE_BITS, WIDE_ROUNDS, WIDE_MAX = 512, 20, 120
-#: Texts, and bytes of text, that are compared with each other in one go.
-BLOCK_TEXTS, BLOCK_SIZE = 512, 8 << 20
+#: Large components up to which a row for each is copied to every executor.
+LOCAL_COMPONENTS = 10_000
+#: Texts, and bytes of text, of a component that a task holds.
+BLOCK_TEXTS, BLOCK_SIZE = 2048, 8 << 20
+
+
+class Sets:
+    """The sets of shingles of some texts, and how large a part of them other sets share."""
+
+    def __init__(self, texts: list[bytes | None], width: int):
+        own = [np.unique(np.frombuffer(b"".join(shingles(t, width)), np.uint64)) for t in texts]
+        self.size = np.array([len(x) for x in own], np.int64)
+        self.known, self.place = np.unique(np.concatenate([*own, np.empty(0, np.uint64)]), return_inverse=True)
+        self.end = np.cumsum(self.size)
+        holder = np.repeat(np.arange(len(own)), self.size)
+        self.holders = holder[np.argsort(self.place, kind="stable")]
+        self.many = np.bincount(self.place, minlength=len(self.known))
+        self.start = np.cumsum(self.many) - self.many
+
+    def alike(self, place: np.ndarray, size: int, least: float) -> np.ndarray:
+        """Texts whose similarity with a set of ``size`` shingles, of which those at ``place`` are known here, is at least ``least``."""
+        n = self.many[place]
+        at = np.repeat(self.start[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.holders[at], minlength=len(self.size))
+        return np.flatnonzero((both >= least * (self.size + size - both)) & (both > 0)) if size else np.flatnonzero(self.size == 0)
+
+    def places(self, i: int) -> np.ndarray:
+        return self.place[self.end[i] - self.size[i] : self.end[i]]
+
+    def central(self) -> int:
+        """The text with the largest average support of its shingles by all texts."""
+        return int(np.argmax(np.add.reduceat(np.append(self.many[self.place], 0), np.minimum(self.end - self.size, len(self.place))) * (self.size > 0) / np.maximum(1, self.size)))
+
+    def asked(self, text: bytes | None, width: int) -> tuple[np.ndarray, int]:
+        own = np.unique(np.frombuffer(b"".join(shingles(text, width)), np.uint64))
+        at = np.minimum(np.searchsorted(self.known, own), max(0, len(self.known) - 1))
+        return (at[self.known[at] == own] if len(self.known) else np.empty(0, np.int64)), len(own)
 
 
 def alike(texts: list[bytes | None], width: int, least: float) -> list[tuple[int, int]]:
     """Links (i, j) that make the same components as all pairs of texts whose sets of shingles have the similarity ``least``."""
-    sets = [np.unique(np.frombuffer(b"".join(shingles(t, width)), np.uint64)) for t in texts]
-    size = np.array([len(x) for x in sets])
-    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    holders = owner[np.argsort(shingle, kind="stable")]
-    many = np.bincount(shingle)
-    start = np.cumsum(many) - many
-    parent, out = np.arange(len(sets)), []
-    for i, own in enumerate(np.split(shingle, np.cumsum(size)[:-1])):
-        n = many[own]
-        at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        both = np.bincount(holders[at], minlength=len(sets))[:i]
-        near = np.flatnonzero(both >= least * (size[:i] + size[i] - both)) if size[i] else np.flatnonzero(size[:i] == 0)
-        if len(near):
-            roots, first = np.unique(parent[near], return_index=True)
-            out += [(i, j) for j in near[first].tolist()]
-            parent[np.isin(parent, roots)] = roots[0]
-            parent[i] = roots[0]
-    return out
+    sets = Sets(texts, width)
+    centre, part = sets.central(), np.arange(len(texts))
+    part[sets.alike(sets.places(centre), int(sets.size[centre]), least)] = centre
+    part = merged_by(lambda i: sets.alike(sets.places(i), int(sets.size[i]), least), part)
+    order = np.argsort(part, kind="stable")
+    first = starts_of_runs(part[order])
+    lead = np.repeat(order[first], np.diff(np.append(first, len(order))))
+    return [(i, j) for i, j in zip(lead.tolist(), order.tolist(), strict=True) if i != j]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...], Iterator[tuple[int, bytes | None, int]]]]:
+    """Runs of equal (component, part) with their rows (id, text, role); columns component, part, role, id, text."""
+    rows = ((key, (doc, text, role)) for part, own in blocks(batches, "text") for key, role, doc, text in zip(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True), part.column(2).to_pylist(), part.column(3).to_pylist(), own, strict=True))
+    for key, run in groupby(rows, lambda r: r[0]):
+        yield key, (r for _, r in run)
 
 
 def alike_in_blocks(members: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Edges (a, b) between the nodes of ``members`` (node, component) whose texts in ``docs`` (doc_id, text) are alike.
+    """Edges (a, b) between the nodes of ``members`` (node, component, fp) whose texts in ``docs`` (doc_id, text) are alike.
 
-    All pairs of a component are compared. A large one is cut into parts that meet in pairs, each of a bounded size.
+    The edges make the same components as all pairs of alike texts of a component do. A component of few texts is one task's.
+    The texts of a large one are dealt to parts. All are compared with a central text, the one whose fingerprint is nearest to
+    the majority of all; those alike to it are linked through it, and the others are compared with every text of every part.
+    So a group of copies is sent twice, whatever its size; only texts that are not alike to the centre are sent to all parts.
     """
-    n = partitions(members.sparkSession)
+    spark = members.sparkSession
+    n = partitions(spark)
     texts = picked(docs, members.select(F.col("node").alias("doc_id"))).distinct()
-    rows = checkpoint(texts.join(members.withColumnRenamed("node", "doc_id"), "doc_id"))
-    sizes = rows.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_SIZE), F.lit(1)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.col("parts")).cast("int")
-    dealt = rows.join(sizes, "component").withColumn("part", part)
-    low, high = F.least("part", "other"), F.greatest("part", "other")
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("part")))
-    met = dealt.withColumn("other", F.explode(others)).select("component", (F.shiftleft(low.cast("long"), 32) + high).alias("tile"), "doc_id", "text")
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, held = None, [], []
-
-        def emit() -> Iterator[pa.RecordBatch]:
+    rows = checkpoint(texts.join(members.select(F.col("node").alias("doc_id"), "component"), "doc_id"))
+    sizes = checkpoint(rows.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_SIZE), F.lit(1)).cast("int").alias("parts")).where("parts > 1"))
+    dealt = rows.join(sizes if (few := small(sizes, LOCAL_COMPONENTS)) is None else few, "component", "left")
+    one = dealt.where("parts is null").select("component", F.lit(0).alias("part"), F.lit(0).alias("role"), F.col("doc_id").alias("id"), "text")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, run in _groups(batches):
+            ids, own, _ = zip(*run, strict=True)
             if len(ids) > 1:
-                found = alike(held, width, least)
+                found = alike(list(own), width, least)
                 yield pa.record_batch({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
-        for rows, own in blocks(batches, "text"):
-            for key, doc, text in zip(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True), rows.column(2).to_pylist(), own, strict=True):
-                if key != now:
-                    yield from emit()
-                    now, ids, held = key, [], []
+    def gathered(df: DataFrame) -> DataFrame:
+        return df.repartition(n, "component", "part").sortWithinPartitions("component", "part", "role")
+
+    edges = gathered(one).mapInArrow(frugal(within), "a long, b long")
+    if not sizes.take(1):
+        return edges.where("a <> b").distinct()
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of role 1 against those of role 0 of their part: (a, b), and (a, a) for a text of role 0 that none is alike to."""
+        for _, run in _groups(batches):
+            ids, own, first = [], [], None
+            for doc, text, role in run:
+                if role:
+                    first = (doc, text)
+                    break
                 ids.append(doc)
-                held.append(text)
-        yield from emit()
+                own.append(text)
+            if first is None or not ids:
+                continue
+            sets, held, met = Sets(own, width), np.array(ids), np.zeros(len(ids), bool)
+            for doc, text, _ in chain([(*first, 1)], run):
+                near = sets.alike(*sets.asked(text, width), least)
+                met[near] = True
+                yield pa.record_batch({"a": held[near], "b": np.full(len(near), doc)})
+            yield pa.record_batch({"a": held[~met], "b": held[~met]})
+
+    many = checkpoint(dealt.where("parts is not null").withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.col("parts")).cast("int")).select("component", "part", "parts", F.lit(0).alias("role"), F.col("doc_id").alias("id"), "text"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+
+    def against(asked: DataFrame) -> DataFrame:
+        sent = asked.select("component", every, F.lit(1).alias("role"), "id", "text")
+        return gathered(many.drop("parts").unionByName(sent)).mapInArrow(frugal(across), "a long, b long")
+
+    centres = central(members.join(F.broadcast(sizes) if few is not None else sizes, "component").select("node", "component", "fp"))
+    first = checkpoint(against(many.join(centres.select(F.col("node").alias("id")), "id", "left_semi")))
+    alone = first.where("a = b").select(F.col("a").alias("id")).distinct()
+    rest = against(many.join(alone, "id", "left_semi"))
+    return edges.unionByName(first).unionByName(rest).where("a <> b").distinct()
+
+
+def central(members: DataFrame) -> DataFrame:
+    """(node) of each component of ``members`` (node, component, fp): that whose fingerprint is nearest to the majority of bits."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            component, fp = longs(batch.column(0)), batch.column(1).to_pylist()
+            order = np.argsort(component, kind="stable")
+            first = starts_of_runs(component[order])
+            for s, e in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+                ones = np.unpackbits(np.frombuffer(b"".join([fp[i] for i in order[s:e]]), np.uint8).reshape(e - s, -1), axis=1).sum(axis=0)
+                yield pa.record_batch({"component": pa.array([component[order[s]]], pa.int64()), "n": pa.array([e - s], pa.int64()), "ones": pa.array([ones.astype("<i8").tobytes()])})
+
+    def majority(table: pa.Table) -> pa.Table:
+        ones = sum(np.frombuffer(x, "<i8") for x in table["ones"].to_pylist())
+        n = sum(table["n"].to_pylist())
+        return pa.table({"component": table["component"][:1], "centre": pa.array([np.packbits(2 * ones > n).tobytes()])})
+
+    sums = members.select("component", "fp").mapInArrow(frugal(count), "component long, n long, ones binary")
+    centres = checkpoint(sums.groupBy("component").applyInArrow(majority, "component long, centre binary"))
+    few = small(centres, LOCAL_COMPONENTS)
+
+    def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3)]
+            yield pa.record_batch({"component": batch.column(0), "node": batch.column(1), "apart": np.bitwise_count(x[0] ^ x[1]).sum(axis=1).astype(np.int64)})
 
-    return met.repartition(n, "component", "tile").sortWithinPartitions("component", "tile").mapInArrow(frugal(look), "a long, b long").where("a <> b").distinct()
+    met = members.join(centres if few is None else few, "component").select("component", "node", "fp", "centre")
+    return met.mapInArrow(frugal(distance), "component long, node long, apart long").groupBy("component").agg(F.min(F.struct("apart", "node")).alias("best")).select("best.node")
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -438,9 +528,15 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, least: float = 0.8, i
     nodes = checkpoint(prints.groupBy("words").agg(F.min("id").alias("id"), F.first("fp").alias("fp")).where("id is not null"))
     distinct = checkpoint(nodes.groupBy("fp").agg(F.min("id").alias("id")).select("id", "fp"))
     order, triples = spread_triples(WIDE_BITS, WIDE_ROUNDS)
-    near = links(distinct, triples, WIDE_MAX, 0, order).select("a", "b")
+    each = len(triples) // WIDE_ROUNDS
+    near = checkpoint(components(links(distinct, triples[:each], WIDE_MAX, 0, order)))
+    labelled = checkpoint(distinct.join(near, distinct.id == near.node, "left").select("id", "fp", F.coalesce("component", "id").alias("label")))
+    more = links(labelled, triples[each:], WIDE_MAX, 0, order)
     equal = nodes.join(distinct.withColumnRenamed("id", "a"), "fp").select("a", F.col("id").alias("b")).where("a <> b")
-    found = components(alike_in_blocks(checkpoint(components(near.unionByName(equal))), rows, width, least))
+    same = labelled.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
+    blocked = checkpoint(components(more.unionByName(same).unionByName(equal)))
+    members = checkpoint(blocked.join(nodes.select(F.col("id").alias("node"), "fp"), "node"))
+    found = components(alike_in_blocks(members, rows, width, least))
     owner = nodes.join(found, nodes.id == found.node, "left").select("words", F.coalesce("component", "id").alias("component_id"))
     return prints.join(owner, "words", "left").select(F.col("id").alias("doc_id"), "component_id")
 

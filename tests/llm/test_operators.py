@@ -320,7 +320,7 @@ def test_simhash_positions_and_tally():
     # The tally decides before the distance is looked at: pairs of three shared bytes are dropped whatever their distance.
     fp = np.array([[0] * 8, [0, 0, 0, 1, 1, 1, 1, 1]], np.uint8)
     at = np.arange(2)
-    assert len(simhash._forest(fp, at, at, 64, 5, True)[0]) == 0 and len(simhash._forest(fp, at, at, 64, 3, True)[0]) == 1
+    assert simhash._linked(fp, at, 64, 5) == [] and simhash._linked(fp, at, 64, 3) == [(0, 1)] and simhash._linked(fp, at * 0, 64, 3) == []
 
 
 def test_simhash_odd(spark, none):
@@ -361,8 +361,13 @@ def near_groups(spark, texts):
     return {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(df).collect()}
 
 
-def test_near_duplicates_in_a_crowd(spark):
-    """Variants around the threshold without a common original: every pair of similarity 0.8 is linked, whatever else is near."""
+@pytest.mark.parametrize("block", [simhash.BLOCK_TEXTS, 60])
+def test_near_duplicates_in_a_crowd(spark, monkeypatch, block):
+    """Variants around the threshold without a common original: every pair of similarity 0.8 is linked, whatever else is near.
+
+    In one block, and dealt to parts with a central text.
+    """
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
     rng = random.Random(5)
     base, texts = [f"w{k}" for k in range(300)], []
     for k in range(400):
@@ -386,6 +391,23 @@ def test_near_duplicates_in_a_crowd(spark):
     assert len(set(want.values())) > 20 and near_groups(spark, texts) == want
 
 
+def test_near_copies_of_one_text_leave_few_edges(spark, monkeypatch):
+    """A group of near copies costs edges in proportion to its size, not to its pairs, in every step that hands edges on."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 100)
+    rng, made = random.Random(15), []
+    base = [f"w{k}" for k in range(250)]
+    for k in range(700):
+        words = list(base)
+        for at in rng.sample(range(250), k % 5):
+            words[at] = f"c{k}x{at}"
+        made.append(" ".join(words))
+    counted, plain = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: (counted.append(edges.count()), plain(edges))[1])
+    got = near_groups(spark, made + [prose(rng, 200) for _ in range(50)])
+    assert {got[k] for k in range(700)} == {0} and all(got[k] == k for k in range(700, 750))
+    assert len(counted) == 3 and counted[0] < 25 * 700 and max(counted[1:]) < 5 * 700
+
+
 def test_near_duplicates_at_the_threshold(spark):
     """Of 600 pairs of a similarity from 0.8 to 0.81, 0.98 at least are found."""
     rng, texts = random.Random(6), []
