@@ -88,9 +88,24 @@ def snapshot(spark: SparkSession, input: str, output: str, only: str | None = No
     return sources.write(read(spark, input, **options), output, "npy", filter=keep)
 
 
-def merge(spark: SparkSession, base: str, patches: list[str], output: str, policy: str = "error", **options: Any) -> str:
-    """``base`` with the columns, layers and embeddings of the patches, in turn."""
+def merge(spark: SparkSession, base: str, patches: list[str], output: str, policy: str = "error", tags: dict[str, str] | None = None, **options: Any) -> str:
+    """``base`` with what the patches bring, in turn: a path, or ``path:slot,slot`` for some slots only, as in ``a.h5ad:obsm/X_pca``.
+
+    The record of the base, of each patch with its hash and slots, and of the tags goes into uns and beside the output.
+    """
+
+    def described(path: str, **more: Any) -> dict[str, Any]:
+        return {"path": path, **({"sha256": provenance.sha256_file(path)} if os.path.isfile(path) else {}), **more}
+
     data = read(spark, base, **options)
+    found: dict[str, Any] = {"base": described(base, n_obs=data.n_obs, n_vars=data.n_vars), "patches": [], "tags": dict(tags or {})}
     for p in patches:
-        data = merging.merge(data, read(spark, p, **options), policy)
-    return data.write(output, output_format(output))
+        path, _, names = (p, "", "") if os.path.exists(p) else p.rpartition(":")
+        patch, only = read(spark, path or names, **options), names.split(",") if path and names else None
+        data = merging.merge(data, patch, policy, only)
+        found["patches"].append(described(path or names, slots=merging.taken(patch, only)))
+    data = replace(data, uns=uns.merged(data.uns, {provenance.MERGE_KEY: found}))
+    data.write(output, output_format(output))
+    if os.path.exists(output):
+        provenance.write_sidecar(output, found)
+    return output

@@ -38,32 +38,40 @@ def bits_needed(value: Column) -> Column:
     return F.when(value == 0, 0).otherwise(F.length(F.bin(value))).cast("int")
 
 
-def _placed(stream: DataFrame) -> DataFrame:
-    return stream.withColumn("c", F.shiftright("k", 7)).withColumn("r", (F.col("k") % CHUNK).cast("int"))
+def chunked(stream: DataFrame) -> DataFrame:
+    """(c, vs): the values of each chunk in order; the one shuffle that a codec needs."""
+    entries = F.array_sort(F.collect_list(F.struct("k", "v")))
+    return stream.groupBy(F.shiftright("k", 7).alias("c")).agg(entries.alias("_e")).select("c", F.col("_e.v").alias("vs"))
 
 
-def with_previous(stream: DataFrame) -> DataFrame:
-    """Adds prev: the value at the position before, 0 at the start; only a chunk's last value crosses a chunk edge."""
-    s = _placed(stream)
-    inner = Window.partitionBy("c").orderBy("k")
-    carried = s.where(F.col("r") == CHUNK - 1).select((F.col("c") + 1).alias("c"), F.col("v").alias("_carry"))
-    s = s.withColumn("_lag", F.lag("v").over(inner)).join(carried, "c", "left")
-    return s.withColumn("prev", F.coalesce("_lag", F.when(F.col("r") == 0, F.col("_carry")), F.lit(0)).cast("long")).drop("_lag", "_carry")
+def with_before(chunks: DataFrame) -> DataFrame:
+    """Adds before: the last value of the chunk before, 0 for the first; a join of one row for each chunk."""
+    carried = chunks.select((F.col("c") + 1).alias("c"), F.element_at("vs", -1).alias("_carry"))
+    return chunks.join(carried, "c", "left").select("c", F.coalesce("_carry", F.lit(0)).cast("long").alias("before"), "vs")
+
+
+def _exploded(chunks: DataFrame, values: str) -> DataFrame:
+    """(k, c, r, u) from an array of each chunk."""
+    rows = chunks.select("c", F.posexplode(values).alias("r", "u"))
+    return rows.select((F.col("c") * CHUNK + F.col("r")).alias("k"), "c", "r", "u")
 
 
 def d1z(stream: DataFrame) -> DataFrame:
     """(k, c, r, u): zig-zagged deltas."""
-    return with_previous(stream).select("k", "c", "r", zigzag(F.col("v") - F.col("prev")).alias("u"))
+    chunks = with_before(chunked(stream))
+    delta = F.zip_with("vs", F.concat(F.array("before"), F.slice("vs", 1, F.size("vs") - 1)), lambda v, p: zigzag(v - p))
+    return _exploded(chunks.withColumn("us", delta), "us")
 
 
 def d1z_starts(stream: DataFrame) -> DataFrame:
     """(c, start): the value before each chunk."""
-    return with_previous(stream).where(F.col("r") == 0).select("c", F.col("prev").alias("start"))
+    return with_before(chunked(stream)).select("c", F.col("before").alias("start"))
 
 
 def frame(stream: DataFrame) -> DataFrame:
     """(k, c, r, u): values less one."""
-    return _placed(stream).select("k", "c", "r", shifted(F.col("v")).alias("u"))
+    placed = stream.withColumn("c", F.shiftright("k", 7)).withColumn("r", (F.col("k") % CHUNK).cast("int"))
+    return placed.select("k", "c", "r", shifted(F.col("v")).alias("u"))
 
 
 def widths(coded: DataFrame) -> DataFrame:
@@ -72,20 +80,19 @@ def widths(coded: DataFrame) -> DataFrame:
 
 
 def pack(coded: DataFrame) -> DataFrame:
-    """(c, b, pos, word): all 4 b words of each chunk, zero words included; chunks of width 0 have none."""
-    wide = widths(coded)
-    s = coded.join(wide, "c").where("b > 0")
-    lane, bit = F.col("r") % 4, F.floor(F.col("r") / 4).cast("int") * F.col("b")
-    s = s.withColumn("lane", lane).withColumn("off", (bit % 32).cast("int")).withColumn("w", F.floor(bit / 32).cast("int"))
-    low = F.expr("shiftleft(u, off)").bitwiseAND(F.lit(_MASK))
-    high = F.expr("shiftright(u, 32 - off)")
-    both = F.array(
-        F.struct((F.col("w") * 4 + F.col("lane")).alias("pos"), low.alias("word")),
-        F.struct(F.when(F.col("off") + F.col("b") > 32, (F.col("w") + 1) * 4 + F.col("lane")).alias("pos"), high.alias("word")),
-    )
-    words = s.select("c", "b", F.explode(both).alias("x")).select("c", "b", "x.pos", "x.word").where("pos is not null")
-    zero = wide.where("b > 0").select("c", "b", F.explode(F.expr("sequence(0, 4 * b - 1)")).alias("pos"), F.lit(0).cast("long").alias("word"))
-    return words.unionByName(zero).groupBy("c", "b", "pos").agg(F.expr("bit_or(word)").alias("word"))
+    """(c, b, pos, word): all 4 b words of each chunk, zero words included; chunks of width 0 have none.
+
+    The values of a chunk are gathered once. Word w of a lane ors the parts of the lane's values whose bits [j b, j b + b) meet
+    [32 w, 32 w + 32).
+    """
+    entries = F.array_sort(F.collect_list(F.struct("r", "u")))
+    chunks = coded.groupBy("c").agg(entries.alias("_e")).select("c", F.col("_e.u").alias("us")).withColumn("b", bits_needed(F.array_max("us"))).where("b > 0")
+    from_bit = "32 * cast(p div 4 as int)"
+    value = "coalesce(get(us, 4 * j + p % 4), 0L)"
+    part = f"if(j * b >= {from_bit}, shiftleft({value}, j * b - {from_bit}), shiftright({value}, {from_bit} - j * b)) & {_MASK}L"
+    values = f"sequence(cast({from_bit} div b as int), cast(least(31, ({from_bit} + 31) div b) as int))"
+    words = F.expr(f"transform(sequence(0, 4 * b - 1), p -> aggregate({values}, 0L, (a, j) -> a | ({part})))")
+    return chunks.select("c", "b", F.posexplode(words).alias("pos", "word"))
 
 
 def word_offsets(coded: DataFrame) -> DataFrame:
@@ -94,15 +101,13 @@ def word_offsets(coded: DataFrame) -> DataFrame:
 
 
 def unpack(packed: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(c, r, u) of all values; ``chunks`` has (c, b, count), width 0 gives zeros."""
-    per = packed.groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("pos", "word"))).alias("m"))
-    s = chunks.join(per, "c", "left").withColumn("r", F.explode(F.expr("sequence(0, count - 1)")))
-    bit = F.floor(F.col("r") / 4).cast("int") * F.col("b")
-    s = s.withColumn("off", (bit % 32).cast("int")).withColumn("at", (F.floor(bit / 32).cast("int") * 4 + F.col("r") % 4).cast("int"))
-    low = F.coalesce(F.expr("shiftright(try_element_at(m, at), off)"), F.lit(0))
-    high = F.coalesce(F.when(F.col("off") + F.col("b") > 32, F.expr("shiftleft(try_element_at(m, at + 4), 32 - off)")), F.lit(0))
-    u = low.bitwiseOR(high).bitwiseAND(F.expr("shiftleft(1L, b) - 1"))
-    return s.select("c", "r", F.when(F.col("b") == 0, F.lit(0)).otherwise(u).cast("long").alias("u"))
+    """(c, r, u) of all values; ``packed`` has all words of a chunk, ``chunks`` has (c, b, count), width 0 gives zeros."""
+    words = packed.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_w")).select("c", F.col("_w.word").alias("m"))
+    place, bit = "4 * cast(cast(r div 4 as int) * b div 32 as int) + r % 4", "cast(r div 4 as int) * b % 32"
+    low = f"shiftright(coalesce(get(m, {place}), 0L), {bit})"
+    high = f"if({bit} + b > 32, shiftleft(coalesce(get(m, {place} + 4), 0L), 32 - {bit}), 0L)"
+    values = F.expr(f"transform(sequence(0, count - 1), r -> if(b = 0, 0L, ({low} | {high}) & (shiftleft(1L, b) - 1)))")
+    return chunks.join(words, "c", "left").select("c", F.posexplode(values).alias("r", "u"))
 
 
 def undo_d1z(coded: DataFrame, starts: DataFrame) -> DataFrame:

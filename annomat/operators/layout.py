@@ -9,36 +9,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annomat.functions.casts import to_dtype
+from annomat.shared import checkpoint
 
-#: Ranges that a global order is cut into at most; only their bounds and totals are ever gathered.
+#: Ranges that a running total is cut into at most; only their totals are ever gathered in one place.
 RANGES = 1024
+_ROW = (1 << 33) - 1
 
 
-def _bucket(key: Column, bounds: list, low: int = 0) -> Column:
-    """How many bounds are at most the key, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(key < F.lit(bounds[mid]), _bucket(key, bounds[:mid], low)).otherwise(_bucket(key, bounds[mid + 1 :], low + mid + 1))
+def with_index(df: DataFrame, key: str | tuple[str, ...], name: str) -> DataFrame:
+    """Adds the 0-based rank of unique keys without a single-partition sort; the result is stored and evaluated once.
 
-
-def with_index(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Adds the 0-based rank of a unique numeric key without a single-partition sort.
-
-    The key's range is cut at approximate quantiles; ranks inside a range are added to the count of all rows below it.
+    Rows are range-partitioned, sorted and checkpointed; a row's rank is its place in its partition and the count of all
+    partitions before it. Only these counts, one for each partition, reach the driver.
     """
-    spark = df.sparkSession
-    n = min(RANGES, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    bounds = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    dealt = df.withColumn("_range", _bucket(F.col(key), bounds))
-    sizes = {r["_range"]: r["count"] for r in dealt.select("_range").groupBy("_range").count().collect()}
+    keys = (key,) if isinstance(key, str) else key
+    spark, names = df.sparkSession, df.columns
+    stored = checkpoint(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    placed = stored.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW)).alias("_row"))
     total, before = 0, []
-    for k in sorted(sizes):
-        before += [F.lit(k), F.lit(total).cast("long")]
-        total += sizes[k]
-    start = F.element_at(F.create_map(*before), F.col("_range")) if before else F.lit(0).cast("long")
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return dealt.withColumn(name, (start + rank).cast("long")).drop("_range")
+    for part, count in sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect()):
+        before.append((part, total))
+        total += count
+    starts = spark.createDataFrame(before, "_part int, _before long")  # a row for each partition
+    return placed.join(F.broadcast(starts), "_part").select(*[F.col(f"`{c}`") for c in names], (F.col("_before") + F.col("_row")).alias(name))
 
 
 def running_total(counts: DataFrame) -> DataFrame:
@@ -46,6 +39,7 @@ def running_total(counts: DataFrame) -> DataFrame:
 
     ``counts`` is (i, n) with dense i from 0. Totals of ranges of i are summed first; there are at most ``RANGES`` of them.
     """
+    counts = checkpoint(counts)  # read three times
     top = counts.agg(F.coalesce(F.max("i"), F.lit(-1)).alias("_top"))
     dealt = counts.crossJoin(F.broadcast(top)).withColumn("_g", F.floor(F.col("i") * RANGES / (F.col("_top") + 1)).cast("int"))
     totals = dealt.groupBy("_g").agg(F.sum("n").alias("_n"))
@@ -96,6 +90,11 @@ def ordered(x: DataFrame, major: str = "obs_idx", minor: str = "var_idx") -> Dat
     return x.repartitionByRange(major).sortWithinPartitions(major, minor)
 
 
+def stream(x: DataFrame, of: str) -> DataFrame:
+    """(k, v): the indices (``var_idx``) or values of X in row order, numbered from 0."""
+    return with_index(x.select("obs_idx", "var_idx", F.col(of).cast("long").alias("v")), ("obs_idx", "var_idx"), "k").select("k", "v")
+
+
 def slice_rows(x: DataFrame, start: int, stop: int) -> DataFrame:
     """Rows [start, stop), counted from 0 again. The range reaches the scan as a filter."""
     return x.where((F.col("obs_idx") >= start) & (F.col("obs_idx") < stop)).withColumn("obs_idx", F.col("obs_idx") - start)

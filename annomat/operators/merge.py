@@ -1,4 +1,4 @@
-"""Merging patches into a dataset: columns and layers for the same or fewer observations."""
+"""Merging patches into a dataset: columns, layers, embeddings and graphs for the same or fewer observations and variables."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from annomat.errors import InvalidFormatError
 from annomat.model import AnnotatedMatrix
 from annomat.operators import uns
+from annomat.operators.slots import SlotFilter
 
 _POLICIES = ("error", "skip", "overwrite")
 
@@ -44,24 +45,64 @@ def strangers(base: DataFrame, patch: DataFrame, on: str) -> DataFrame:
     return patch.join(base.select(on), on, "left_anti").select(on)
 
 
-def merge(base: AnnotatedMatrix, patch: AnnotatedMatrix, policy: str = "error") -> AnnotatedMatrix:
-    """``base`` with the obs and var columns, layers, embeddings and uns of ``patch``, whose ids must be a subset."""
+def _chosen(only: list[str] | None) -> SlotFilter:
+    """Slots named as ``layers/normalized`` or ``layers:normalized``; all without names."""
+    return SlotFilter.parse(",".join(x.strip().replace("/", ":", 1) for x in only) if only is not None else None)
+
+
+def merge(base: AnnotatedMatrix, patch: AnnotatedMatrix, policy: str = "error", only: list[str] | None = None) -> AnnotatedMatrix:
+    """``base`` with the obs and var columns, layers, embeddings, graphs and uns of ``patch``, or those that ``only`` names.
+
+    The patch's ids must be a subset of the base's; what it holds is moved to the base's rows and columns. X is always the
+    base's: a patch brings another matrix as a layer. A slot in both is an error, the base's (``skip``) or the patch's.
+    """
+    keep = _chosen(only)
     for slot in ("obs", "var"):
         if unknown := strangers(getattr(base, slot), getattr(patch, slot), f"{slot}_id").take(3):
             raise InvalidFormatError(f"ids of {slot} that the base lacks: {', '.join(str(r[0]) for r in unknown)}")
-    rows = patch.obs.select("obs_idx", "obs_id").join(base.obs.select(F.col("obs_idx").alias("_i"), "obs_id"), "obs_id").select("obs_idx", "_i")
-    cols = patch.var.select("var_idx", "var_id").join(base.var.select(F.col("var_idx").alias("_j"), "var_id"), "var_id").select("var_idx", "_j")
 
-    def take(slot: str) -> dict[str, DataFrame]:
-        own, new = getattr(base, slot), getattr(patch, slot)
+    def moved(slot: str, to: str) -> DataFrame:
+        """(old, to): where each of the patch's rows or columns lies in the base."""
+        idx, ident = f"{slot}_idx", f"{slot}_id"
+        there = getattr(base, slot).select(F.col(idx).alias(to), ident)
+        return getattr(patch, slot).select(F.col(idx).alias(f"{to}_old"), ident).join(there, ident).drop(ident)
+
+    def at(df: DataFrame, slot: str, column: str) -> DataFrame:
+        names = df.columns
+        out = df.join(moved(slot, "_to"), df[column] == F.col("_to_old"))
+        return out.select(*[F.col("_to").alias(c) if c == column else F.col(f"`{c}`") for c in names])
+
+    def take(slot: str, *axes: tuple[str, str]) -> dict[str, DataFrame]:
+        own = getattr(base, slot)
+        new = {k: d for k, d in getattr(patch, slot).items() if keep.includes(f"{slot}:{k}")}
         both = sorted(set(own) & set(new))
         if both and policy == "error":
             raise InvalidFormatError(f"{slot} in both: {', '.join(both)}")
-        return {k: d for k, d in new.items() if policy != "skip" or k not in own}
+        found = {}
+        for k, d in new.items():
+            if policy != "skip" or k not in own:
+                for which, column in axes:
+                    d = at(d, which, column)
+                found[k] = d
+        return own | found
+
+    def table(slot: str) -> DataFrame:
+        df, ident = getattr(patch, slot).drop(f"{slot}_idx"), f"{slot}_id"
+        return merged_columns(getattr(base, slot), df.select(ident, *[F.col(f"`{c}`") for c in df.columns if c != ident and keep.includes(f"{slot}:{c}")]), ident, policy)
 
-    layers = {k: d.join(rows, "obs_idx").join(cols, "var_idx").select(F.col("_i").alias("obs_idx"), F.col("_j").alias("var_idx"), "value") for k, d in take("layers").items()}
-    obsm = {k: d.join(rows, d.idx == rows.obs_idx).select(F.col("_i").alias("idx"), "vec") for k, d in take("obsm").items()}
+    layers = take("layers", ("obs", "obs_idx"), ("var", "var_idx"))
+    levels = {s: patch.levels.get(s, {}) | base.levels.get(s, {}) if policy == "skip" else base.levels.get(s, {}) | patch.levels.get(s, {}) for s in ("obs", "var")}
+    columns = {"obs": table("obs"), "var": table("var")}
     return replace(
-        base, obs=merged_columns(base.obs, patch.obs.drop("obs_idx"), "obs_id", policy), var=merged_columns(base.var, patch.var.drop("var_idx"), "var_id", policy),
-        layers=base.layers | layers, obsm=base.obsm | obsm, uns=uns.merged(base.uns, patch.uns), layer_dtypes=base.layer_dtypes | {k: patch.layer_dtypes.get(k, "f32") for k in layers},
+        base, **columns, layers=layers, obsm=take("obsm", ("obs", "idx")), varm=take("varm", ("var", "idx")), obsp=take("obsp", ("obs", "i"), ("obs", "j")), varp=take("varp", ("var", "i"), ("var", "j")),
+        uns=uns.merged(base.uns, {k: v for k, v in patch.uns.items() if keep.includes(f"uns:{k}")}), levels={s: {c: x for c, x in own.items() if c in columns[s].columns} for s, own in levels.items()},
+        layer_dtypes=base.layer_dtypes | {k: patch.layer_dtypes.get(k, "f32") for k in layers if layers[k] is not base.layers.get(k)},
     )
+
+
+def taken(patch: AnnotatedMatrix, only: list[str] | None) -> list[str]:
+    """The slots that a patch brings, as they are named in the record of a merge."""
+    keep = _chosen(only)
+    names = [(slot, c) for slot in ("obs", "var") for c in getattr(patch, slot).columns if c not in (f"{slot}_idx", f"{slot}_id")]
+    names += [(slot, k) for slot in ("layers", "obsm", "varm", "obsp", "varp", "uns") for k in getattr(patch, slot)]
+    return sorted(f"{slot}/{k}" for slot, k in names if keep.includes(f"{slot}:{k}"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from annomat import __version__
 
-UNS_KEY = "annomat_provenance"
+UNS_KEY, MERGE_KEY = "annomat_provenance", "annomat_merge"
 
 
 def sha256_file(path: str, block: int = 1 << 16) -> str:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annomat import sources
+from annomat import api, sources, streaming
+from annomat.errors import InvalidFormatError
 from annomat.functions import casts, codecs
+from annomat.model import AnnotatedMatrix
 from annomat.operators import columns, layout, profile, provenance, slots, uns, validate
+from annomat.operators import merge as merging
 from annomat.plans import fixtures
 from annomat.plans.fixtures import table
 from annomat.shared import shared_folder
@@ -72,12 +79,14 @@ def x_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {COO}, n AS (SELECT ob.i, count(coo.j) AS n FROM ob LEFT JOIN coo ON ob.i = coo.i GROUP BY ob.i) SELECT i + 1 AS pos, CAST(sum(n) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ptr FROM n UNION ALL SELECT 0, 0")
 def csr_indptr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.indptr(fixtures.counts(spark, sf_dir), fixtures.observations(spark, sf_dir), "obs_idx")
+    axes = fixtures.Axes(spark, sf_dir)
+    return layout.indptr(fixtures.counts(spark, sf_dir, axes), axes.obs, "obs_idx")
 
 
 @query(f"WITH {COO}, n AS (SELECT va.j, count(coo.i) AS n FROM va LEFT JOIN coo ON va.j = coo.j GROUP BY va.j) SELECT j + 1 AS pos, CAST(sum(n) OVER (ORDER BY j ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ptr FROM n UNION ALL SELECT 0, 0")
 def csc_indptr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.indptr(fixtures.counts(spark, sf_dir), fixtures.variables(spark, sf_dir), "var_idx")
+    axes = fixtures.Axes(spark, sf_dir)
+    return layout.indptr(fixtures.counts(spark, sf_dir, axes), axes.var, "var_idx")
 
 
 @query(f"WITH {COO} SELECT i AS obs_idx, list(j ORDER BY j) AS indices, list(v ORDER BY j) AS values FROM coo GROUP BY i")
@@ -103,7 +112,8 @@ def csr_slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {COO} SELECT ob.i // 1000 * 1000 AS row_offset, count(DISTINCT ob.i) AS nrows, count(coo.j) AS nnz, CAST(coalesce(sum(v), 0) AS BIGINT) AS total FROM ob LEFT JOIN coo ON ob.i = coo.i GROUP BY 1")
 def chunk_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.chunk_profile(fixtures.counts(spark, sf_dir), fixtures.observations(spark, sf_dir), 1000)
+    axes = fixtures.Axes(spark, sf_dir)
+    return layout.chunk_profile(fixtures.counts(spark, sf_dir, axes), axes.obs, 1000)
 
 
 @query("WITH e AS (SELECT vec_id, unnest(embedding) AS value, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS var_idx FROM embeddings) SELECT vec_id AS obs_idx, var_idx, value FROM e WHERE value <> 0")
@@ -123,12 +133,14 @@ def obsm_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {COO} SELECT ob.i AS idx, CAST(coalesce(sum(v), 0) AS BIGINT) AS total FROM ob LEFT JOIN coo ON ob.i = coo.i GROUP BY ob.i")
 def row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.sums(fixtures.counts(spark, sf_dir), fixtures.observations(spark, sf_dir), "obs_idx")
+    axes = fixtures.Axes(spark, sf_dir)
+    return layout.sums(fixtures.counts(spark, sf_dir, axes), axes.obs, "obs_idx")
 
 
 @query(f"WITH {COO} SELECT va.j AS idx, CAST(coalesce(sum(v), 0) AS BIGINT) AS total FROM va LEFT JOIN coo ON va.j = coo.j GROUP BY va.j")
 def col_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.sums(fixtures.counts(spark, sf_dir), fixtures.variables(spark, sf_dir), "var_idx")
+    axes = fixtures.Axes(spark, sf_dir)
+    return layout.sums(fixtures.counts(spark, sf_dir, axes), axes.var, "var_idx")
 
 
 @query(f"WITH {COO} SELECT count(*) AS nnz FROM coo")
@@ -206,11 +218,8 @@ def cast_u32_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, of: str) -> DataFrame:
-    """(k, v): indices or values of X in row order, numbered from row pointers and ranks inside rows."""
-    x = fixtures.counts(spark, sf_dir)
-    start = layout.indptr(x, fixtures.observations(spark, sf_dir), "obs_idx").select(F.col("pos").alias("obs_idx"), "ptr")
-    rows = layout.packed_rows(x).join(start, "obs_idx")
-    return rows.select("ptr", F.posexplode({"var_idx": "indices", "value": "values"}[of]).alias("at", "v")).select((F.col("ptr") + F.col("at")).alias("k"), "v")
+    """(k, v): indices or values of X in row order."""
+    return layout.stream(fixtures.counts(spark, sf_dir), of)
 
 
 @query(f"WITH {STREAM} SELECT k, c, r, CAST(z AS BIGINT) AS u FROM s")
@@ -363,7 +372,8 @@ def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {COO} SELECT ob.i // 1000 * 1000 AS row_offset, count(coo.j) >= 3900 AS enough FROM ob LEFT JOIN coo ON ob.i = coo.i GROUP BY 1")
 def qualifier_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = layout.chunk_profile(fixtures.counts(spark, sf_dir), fixtures.observations(spark, sf_dir), 1000)
+    axes = fixtures.Axes(spark, sf_dir)
+    chunks = layout.chunk_profile(fixtures.counts(spark, sf_dir, axes), axes.obs, 1000)
     return chunks.select("row_offset", validate.Qualifier.parse(">= 3900").condition(F.col("nnz")).alias("enough"))
 
 
@@ -459,3 +469,206 @@ def merge_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "documents").select("doc_id", "lang")
     patch = table(spark, sf_dir, "labels").select("doc_id", "quality", (F.col("toxic") == 1).alias("toxic"))
     return merged_columns(base, patch, "doc_id")
+
+
+# Whole datasets through files: every slot is compared
+
+#: Every cell of the dataset with all slots; ``{null}`` is what a null integer becomes.
+CELLS = COO + """,
+o1 AS (SELECT i, o_orderkey AS o, o_orderstatus AS status, o_totalprice AS total, o_orderpriority = '1-URGENT' AS urgent FROM orders JOIN ob ON o_orderkey = ob.o),
+p1 AS (SELECT j, p_partkey AS p, p_brand AS brand, p_size AS size FROM part JOIN va ON p_partkey = va.p),
+sizes AS (SELECT (SELECT count(*) FROM o1) AS n, (SELECT count(*) FROM p1) AS m),
+levels AS (SELECT status, row_number() OVER (ORDER BY status) - 1 AS k FROM (SELECT DISTINCT status FROM o1)),
+cells(slot, a, b, value) AS (
+  SELECT 'X', i, j, CAST(v * 100 AS VARCHAR) FROM coo UNION ALL SELECT 'layers/price_cents', i, j, CAST(c * 100 AS VARCHAR) FROM coo
+  UNION ALL SELECT 'obs/obs_id', i, 0, 'o' || o FROM o1 UNION ALL SELECT 'obs/status', i, 0, status FROM o1
+  UNION ALL SELECT 'obs/total', i, 0, CAST(CAST(round(total * 100) AS BIGINT) AS VARCHAR) FROM o1 UNION ALL SELECT 'obs/urgent', i, 0, CAST(urgent AS VARCHAR) FROM o1
+  UNION ALL SELECT 'obs/rank', i, 0, CAST(CASE WHEN status <> 'F' THEN CAST(floor(total) AS BIGINT) * 100 ELSE {null} END AS VARCHAR) FROM o1
+  UNION ALL SELECT 'var/var_id', j, 0, 'p' || p FROM p1 UNION ALL SELECT 'var/brand', j, 0, brand FROM p1 UNION ALL SELECT 'var/size', j, 0, CAST(size * 100 AS VARCHAR) FROM p1
+  UNION ALL SELECT 'obsm/X_pca', i, 0, CAST(CAST(round(total * 100) AS BIGINT) AS VARCHAR) FROM o1 UNION ALL SELECT 'obsm/X_pca', i, 1, CAST(i * 100 AS VARCHAR) FROM o1
+  UNION ALL SELECT 'obsm/X_pca', i, 2, CASE WHEN urgent THEN '100' ELSE '0' END FROM o1
+  UNION ALL SELECT 'varm/X_pca', j, 0, CAST(size * 100 AS VARCHAR) FROM p1 UNION ALL SELECT 'varm/X_pca', j, 1, CAST(j * 100 AS VARCHAR) FROM p1
+  UNION ALL SELECT 'obsp/knn', i, (i * 7 + 3) % n, CAST((i % 100 + 1) * 100 AS VARCHAR) FROM o1, sizes UNION ALL SELECT 'varp/near', j, (j * 7 + 3) % m, CAST((j % 100 + 1) * 100 AS VARCHAR) FROM p1, sizes
+  UNION ALL SELECT 'levels/obs/status', k, 0, status FROM levels
+  UNION ALL SELECT 'uns/origin', 0, 0, '"orders and parts"' UNION ALL SELECT 'uns/nested/n', 0, 0, '3' UNION ALL SELECT 'uns/nested/name', 0, 0, '"x"'
+)"""
+
+
+def _cells_sql(null: str = "0", where: str = "true") -> str:
+    return f"WITH {CELLS.replace('{null}', null)} SELECT slot, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, value FROM cells WHERE {where}"
+
+
+def _through(spark: SparkSession, sf_dir: str, format: str, name: str, **options: object) -> DataFrame:
+    path = fixtures.rich_dataset(spark, sf_dir).write(f"{_scratch(spark)}{name}", format, **options)
+    return fixtures.slot_cells(sources.read(spark, path))
+
+
+@query(_cells_sql("NULL"))
+def slots_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, sf_dir, "bundle", ".bundle")
+
+
+@query(_cells_sql())
+def slots_npy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, sf_dir, "npy", "-snapshot")
+
+
+@query(_cells_sql())
+def slots_h5ad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, sf_dir, "h5ad", ".h5ad")
+
+
+@query(_cells_sql())
+def slots_h5ad_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, sf_dir, "h5ad", ".h5ad", compression="gzip", chunk_size=3000)
+
+
+@query(_cells_sql(where="slot NOT LIKE 'varp/%'"))
+def slots_h5seurat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, sf_dir, "h5seurat", ".h5seurat", compat=True)
+
+
+@query(_cells_sql(where="slot NOT LIKE 'varp/%'"))
+def slots_h5seurat_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, sf_dir, "h5seurat", ".h5seurat", packed=True)
+
+
+@query(_cells_sql(where="slot IN ('X', 'obs/obs_id', 'var/var_id')"))
+def slots_bpcells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, sf_dir, "bpcells", ".bpcells")
+
+
+@query(_cells_sql(where="slot IN ('X', 'obs/obs_id', 'var/var_id')"))
+def slots_bpcells_unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, sf_dir, "bpcells", ".bpcells", packed=False)
+
+
+@query(f"WITH {CELLS.replace('{null}', '0')} SELECT slot, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, value FROM cells WHERE slot NOT LIKE 'varp/%' UNION ALL SELECT 'uns/annomat_provenance/n_obs', 0, 0, CAST(n AS VARCHAR) FROM sizes UNION ALL SELECT 'uns/annomat_provenance/n_vars', 0, 0, CAST(m AS VARCHAR) FROM sizes")
+def convert_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parquet to annotated-data file to Seurat-style file to snapshot, by the verb; what each step records of its source is left out but for the shape."""
+    at = _scratch(spark)
+    start = fixtures.rich_dataset(spark, sf_dir).write(f"{at}.bundle")
+    for out in (f"{at}.h5ad", f"{at}.h5seurat"):
+        start = api.convert(spark, start, out, dtype="u32")
+    return fixtures.slot_cells(api.read(spark, api.convert(spark, start, f"{at}-snapshot", dtype="u32", format="npy")), ("uns/annomat_provenance/tool", "uns/annomat_provenance/source", "uns/annomat_provenance/source_sha256"))
+
+
+@query(_cells_sql(where="slot IN ('X', 'obs/status', 'levels/obs/status', 'uns/origin', 'uns/nested/n', 'uns/nested/name')") + " UNION ALL SELECT 'obs/obs_id', CAST(i AS BIGINT), 0, CAST(i AS VARCHAR) FROM o1 UNION ALL SELECT 'var/var_id', CAST(j AS BIGINT), 0, CAST(j AS VARCHAR) FROM p1")
+def snapshot_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _scratch(spark)
+    start = fixtures.rich_dataset(spark, sf_dir).write(f"{at}.bundle")
+    return fixtures.slot_cells(api.read(spark, api.snapshot(spark, start, f"{at}-snapshot", only="X, obs:status, uns")))
+
+
+@query(_cells_sql(where="slot NOT LIKE 'layers/%' AND slot NOT LIKE 'obsp/%' AND slot NOT LIKE 'uns/%' AND slot NOT IN ('obs/rank', 'var/brand')"))
+def snapshot_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _scratch(spark)
+    start = fixtures.rich_dataset(spark, sf_dir).write(f"{at}.bundle")
+    return fixtures.slot_cells(api.read(spark, api.snapshot(spark, start, f"{at}-snapshot", exclude="layers, obsp, obs:rank, var:brand, uns")))
+
+
+_FORMS = (("a.bundle", "bundle"), ("a-snapshot", "npy"), ("a.bpcells", "bpcells"), ("a.h5ad", "h5ad"), ("a.h5seurat", "h5seurat"), ("b.dat", "h5ad"), ("c.dat", "h5seurat"))
+
+
+@query("SELECT t.*, (SELECT count(*) FROM nation) AS n_obs, (SELECT count(*) FROM region) AS n_vars, (SELECT count(*) FROM nation) AS nnz FROM (VALUES " + ", ".join(str(x) for x in _FORMS) + ") AS t(file, format)")
+def sniffed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats told by content, two of them in files whose names say nothing."""
+    at, data, out = _scratch(spark), fixtures.small_dataset(spark, sf_dir), []
+    os.makedirs(at)
+    for file, format in _FORMS:
+        back = sources.read(spark, data.write(f"{at}/{file}", format))
+        out.append((file, sources.detect(f"{at}/{file}"), back.n_obs, back.n_vars, back.x.count()))
+    return spark.createDataFrame(out, "file string, format string, n_obs long, n_vars long, nnz long")
+
+
+_TEXTS = (("500", "==", 500), (">= 1000", ">=", 1000), ("> 0", ">", 0), ("<= 50000", "<=", 50000), ("< 100", "<", 100), (" == 8000 ", "==", 8000), ("about 5", "error", 0), ("-3", "error", 0))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(str(x) for x in _TEXTS) + ") AS t(text, op, value)")
+def qualifier_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def parsed(text: str) -> tuple[str, str, int]:
+        try:
+            q = validate.Qualifier.parse(text)
+        except InvalidFormatError:
+            return text, "error", 0
+        return text, q.op, q.value
+
+    return spark.createDataFrame([parsed(t) for t, _, _ in _TEXTS], "text string, op string, value int")
+
+
+@query("SELECT (SELECT count(*) FROM nation) AS n_obs, (SELECT count(*) FROM region) AS n_vars, true AS source_hash, true AS output_hash, true AS dated, 'https://example.org/x' AS source_url")
+def prov_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _scratch(spark)
+    start = fixtures.small_dataset(spark, sf_dir).write(f"{at}.h5ad", "h5ad")
+    out = api.convert(spark, start, f"{at}.h5seurat", source_url="https://example.org/x")
+    with open(f"{out}.prov.json", encoding="utf-8") as f:
+        found = json.load(f)
+    same = [found["source_sha256"] == provenance.sha256_file(start), found["output_sha256"] == provenance.sha256_file(out), bool(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", found["converted_at"]))]
+    return spark.createDataFrame([(found["n_obs"], found["n_vars"], *same, found["source_url"])], "n_obs long, n_vars long, source_hash boolean, output_hash boolean, dated boolean, source_url string")
+
+
+@query(f"WITH {COO} SELECT i // 1000 * 1000 AS row_offset, count(*) AS nnz, CAST(sum(v) AS BIGINT) AS total FROM coo GROUP BY 1")
+def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running profile of X after all files of its Parquet table have arrived as a stream."""
+    path, name = f"{_scratch(spark)}.parquet", f"profile_{uuid.uuid4().hex}"
+    layout.ordered(fixtures.counts(spark, sf_dir)).write.parquet(path)
+    streaming.running_profile(streaming.chunks(spark, path), 1000).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT CAST(d0 AS INTEGER) AS d0, CAST(d1 AS INTEGER) AS d1, CAST(n AS INTEGER) AS n, d0 <> n AND d1 = n AS turned FROM range(1, 6) AS a(d0), range(1, 6) AS b(d1), range(1, 6) AS c(n)")
+def transposed_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = range(1, 6)
+    return spark.createDataFrame([(x, y, n, layout.stored_transposed(x, y, n)) for x in sizes for y in sizes for n in sizes], "d0 int, d1 int, n int, turned boolean")
+
+
+#: A patch of every third order and every second part, moved to the base's rows and columns.
+_PATCHED = f"""WITH {COO},
+o3 AS (SELECT i, CAST(row_number() OVER (ORDER BY i) - 1 AS BIGINT) AS q, lead(i) OVER (ORDER BY i) AS after FROM ob WHERE i % 3 = 0), p2 AS (SELECT j, lead(j) OVER (ORDER BY j) AS after FROM va WHERE j % 2 = 0),
+cells(slot, a, b, value) AS (
+  SELECT 'layers/third', i, j, CAST(v * 100 AS VARCHAR) FROM coo WHERE i % 3 = 0 AND j % 2 = 0
+  UNION ALL SELECT 'obs/score', ob.i, 0, CASE WHEN ob.i % 3 = 0 THEN CAST(ob.i * 50 AS VARCHAR) END FROM ob UNION ALL SELECT 'var/chosen', j, 0, CAST(j % 4 = 0 AS VARCHAR) FROM va
+  UNION ALL SELECT 'obsm/X_two', i, 0, CAST(i * 100 AS VARCHAR) FROM o3 UNION ALL SELECT 'obsm/X_two', i, 1, '100' FROM o3 UNION ALL SELECT 'varm/PCs', j, 0, CAST(j * 100 AS VARCHAR) FROM p2
+  UNION ALL SELECT 'obsp/ring', i, coalesce(after, 0), CAST(i * 100 AS VARCHAR) FROM o3 UNION ALL SELECT 'varp/ring', j, coalesce(after, 0), CAST(j * 100 AS VARCHAR) FROM p2 UNION ALL SELECT 'uns/third/of', 0, 0, '3'
+) SELECT slot, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, value FROM cells"""
+
+
+def _merged(spark: SparkSession, sf_dir: str, policy: str, only: list[str] | None = None) -> AnnotatedMatrix:
+    base = fixtures.dataset(spark, sf_dir)
+    return merging.merge(merging.merge(base, fixtures.patch_dataset(spark, sf_dir)), fixtures.patch_dataset(spark, sf_dir), policy, only)
+
+
+def _new_cells(data: AnnotatedMatrix) -> DataFrame:
+    """Cells of what the patch brought; a score that rows of the base lack is NaN, here null."""
+    data = replace(data, obs=data.obs.withColumn("score", F.when(~F.isnan("score"), F.col("score"))))
+    return fixtures.slot_cells(data).where("slot in ('layers/third', 'obs/score', 'var/chosen', 'obsm/X_two', 'varm/PCs', 'obsp/ring', 'varp/ring', 'uns/third/of')")
+
+
+@query(_PATCHED)
+def merge_slots_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A patch with every kind of slot, merged twice: the second time nothing is new."""
+    return _new_cells(_merged(spark, sf_dir, "skip"))
+
+
+@query(_PATCHED)
+def merge_slots_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _new_cells(_merged(spark, sf_dir, "overwrite"))
+
+
+@query(_PATCHED.replace("FROM cells", "FROM cells WHERE slot IN ('obsp/ring', 'varm/PCs')"))
+def merge_slots_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two slots of the patch alone."""
+    out = merging.merge(fixtures.dataset(spark, sf_dir), fixtures.patch_dataset(spark, sf_dir), only=["obsp/ring", "varm/PCs"])
+    return fixtures.slot_cells(out).where("slot like '%/ring' or slot like '%/PCs' or slot like '%/X_two' or slot like '%/third' or slot in ('obs/score', 'var/chosen', 'uns/third/of')")
+
+
+@query("SELECT 'error' AS policy, 'layers in both: third' AS message")
+def merge_slots_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patch = fixtures.patch_dataset(spark, sf_dir)
+    once = merging.merge(fixtures.dataset(spark, sf_dir), patch, only=["layers/third"])
+    try:
+        merging.merge(once, patch, only=["layers/third"])
+        message = "merged"
+    except InvalidFormatError as e:
+        message = str(e)
+    return spark.createDataFrame([("error", message)], "policy string, message string")
