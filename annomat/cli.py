@@ -47,7 +47,8 @@ def parser() -> argparse.ArgumentParser:
     either.add_argument("--exclude")
     m = verb("merge", "base", "output")
     m.add_argument("--patch", action="append", default=[])
-    m.add_argument("--policy", default="error", choices=("error", "skip", "overwrite"))
+    m.add_argument("--policy", "--on-conflict", default="error", choices=("error", "skip", "overwrite"))
+    m.add_argument("--tag", action="append", default=[], help="key=value for the record")
     return p
 
 
@@ -61,7 +62,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     elif args.verb == "snapshot":
         print(api.snapshot(spark, args.input, args.output, args.only, args.exclude, **where))
     elif args.verb == "merge":
-        print(api.merge(spark, args.base, args.patch, args.output, args.policy, **where))
+        print(api.merge(spark, args.base, args.patch, args.output, args.policy, dict(x.split("=", 1) for x in args.tag), **where))
     else:
         schema = Schema.load(args.schema) if args.schema else Schema()
         flags = {"obs": Qualifier(">=", args.min_obs)} if args.min_obs is not None else {}

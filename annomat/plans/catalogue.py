@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from annomat.operators import merge as merging
 from annomat.plans import fixtures
 from annomat.plans.fixtures import table
 from annomat.shared import shared_folder
+from annomat.sources import hdf5
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -672,3 +674,116 @@ def merge_slots_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     except InvalidFormatError as e:
         message = str(e)
     return spark.createDataFrame([("error", message)], "policy string, message string")
+
+
+# Files laid out by hand: what other programs store
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[int, str, int]], list[str]]:
+    """The 25 nations (key, name, region) and the 5 regions, which fit any place."""
+    nations = [tuple(r) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name", "n_regionkey").collect()]
+    return nations, [r[0] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").select("r_name").collect()]
+
+
+@query("""SELECT 'X' AS slot, CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS b, CAST((n_nationkey + 1) * 100 AS VARCHAR) AS value FROM nation
+UNION ALL SELECT 'layers/dense', n_nationkey, n_regionkey, CAST((n_nationkey + 1) * 100 AS VARCHAR) FROM nation
+UNION ALL SELECT 'obs/obs_id', n_nationkey, 0, n_name FROM nation UNION ALL SELECT 'obs/region', n_nationkey, 0, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'obs/maybe', n_nationkey, 0, CASE WHEN n_nationkey % 4 <> 0 THEN CAST(n_nationkey * 100 AS VARCHAR) END FROM nation UNION ALL SELECT 'obs/flag', n_nationkey, 0, CAST(n_nationkey % 2 = 1 AS VARCHAR) FROM nation
+UNION ALL SELECT 'var/var_id', r_regionkey, 0, r_name FROM region UNION ALL SELECT 'levels/obs/region', r_regionkey, 0, r_name FROM region
+UNION ALL SELECT 'obsm/X_t', n_nationkey, k, CAST((n_nationkey + k) * 100 AS VARCHAR) FROM nation, range(2) AS t(k)
+UNION ALL SELECT 'obs/odd', 0, 0, 'skipped'""")
+def h5ad_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense X and layer, categories, nullable integers, stored booleans, a turned embedding, a column of an unknown type."""
+    nations, regions = _nations(spark, sf_dir)
+    n, path = len(nations), f"{_scratch(spark)}.h5ad"
+    dense = np.zeros((n, len(regions)), "<f4")
+    for key, _, region in nations:
+        dense[key, region] = key + 1
+    with hdf5._h5().File(path, "w") as f:
+        f.attrs["encoding-type"] = "anndata"
+        f.create_dataset("X", data=dense)
+        f.create_dataset("layers/dense", data=dense.astype("<f8"))
+        obs, var = f.create_group("obs"), f.create_group("var")
+        obs.attrs["_index"], obs.attrs["column-order"] = "name", np.asarray(["region", "maybe", "flag", "odd"], object)
+        obs.create_dataset("name", data=np.asarray([x[1] for x in nations], object))
+        obs.create_dataset("region/codes", data=np.asarray([x[2] for x in nations], "i1"))
+        obs.create_dataset("region/categories", data=np.asarray(regions, object))
+        maybe = obs.create_group("maybe")
+        maybe.attrs["encoding-type"] = "nullable-integer"
+        maybe.create_dataset("values", data=np.arange(n, dtype="<i8"))
+        maybe.create_dataset("mask", data=np.arange(n) % 4 == 0)
+        obs.create_dataset("flag", data=np.arange(n) % 2 == 1)
+        obs.create_dataset("odd", data=np.zeros(n, "<c8"))
+        var.attrs["_index"] = "name"
+        var.create_dataset("name", data=np.asarray(regions, object))
+        f.create_dataset("obsm/X_t", data=np.arange(n)[None, :] + np.arange(2.0)[:, None])
+    back = sources.read(spark, path, chunk_size=7)
+    skipped = spark.createDataFrame([(x.replace(":", "/"), 0, 0, "skipped") for x in back.skipped], "slot string, a long, b long, value string")
+    return fixtures.slot_cells(back).unionByName(skipped)
+
+
+@query("""SELECT 'X' AS slot, CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS b, CAST((n_nationkey + 1) * 100 AS VARCHAR) AS value FROM nation
+UNION ALL SELECT 'obs/obs_id', n_nationkey, 0, n_name FROM nation UNION ALL SELECT 'obs/region', n_nationkey, 0, CAST(n_regionkey * 100 AS VARCHAR) FROM nation
+UNION ALL SELECT 'var/var_id', r_regionkey, 0, r_name FROM region UNION ALL SELECT 'obsm/X_u', n_nationkey, 0, CAST(n_nationkey * 100 AS VARCHAR) FROM nation""")
+def h5_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The internal layout: X by columns of variables x observations, its dtype in an attribute, numbers stored as doubles."""
+    nations, regions = _nations(spark, sf_dir)
+    path = f"{_scratch(spark)}.h5"
+    with hdf5._h5().File(path, "w") as f:
+        f.create_dataset("X/data", data=np.asarray([x[0] + 1.0 for x in nations])).attrs["dtype"] = "uint32"
+        f.create_dataset("X/indices", data=np.asarray([x[2] for x in nations], "<i4"))
+        f.create_dataset("X/indptr", data=np.arange(len(nations) + 1.0))
+        f.create_dataset("X/shape", data=np.asarray([len(regions), len(nations)], "<f8"))
+        f.create_dataset("obs/index", data=np.asarray([x[1] for x in nations], object))
+        f.create_dataset("obs/region", data=np.asarray([x[2] for x in nations], "<i4"))
+        f.create_dataset("var/index", data=np.asarray(regions, object))
+        f.create_dataset("obsm/X_u", data=np.asarray([[x[0]] for x in nations], "<f8"))
+    back = sources.read(spark, path, chunk_size=7)
+    assert (back.format, back.dtype) == ("h5", "u32")
+    return fixtures.slot_cells(back)
+
+
+@query("""SELECT 'X' AS slot, CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS b, CAST((n_nationkey + 1) * 100 AS VARCHAR) AS value FROM nation
+UNION ALL SELECT 'layers/data', n_nationkey, n_regionkey, CAST((n_nationkey + 1) * 50 AS VARCHAR) FROM nation
+UNION ALL SELECT 'obs/obs_id', n_nationkey, 0, n_name FROM nation UNION ALL SELECT 'obs/region', n_nationkey, 0, CASE WHEN n_regionkey > 0 THEN r_name END FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'obs/known', n_nationkey, 0, CASE n_nationkey % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'true' END FROM nation
+UNION ALL SELECT 'var/var_id', r_regionkey, 0, r_name FROM region UNION ALL SELECT 'levels/obs/region', r_regionkey - 1, 0, r_name FROM region WHERE r_regionkey > 0
+UNION ALL SELECT 'obsm/X_pca', n_nationkey, k, CAST((n_nationkey + k) * 100 AS VARCHAR) FROM nation, range(2) AS t(k)""")
+def h5seurat_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later layout: counts and data below layers, factors from 1 with missing ones, logicals with missing ones, a reduction."""
+    nations, regions = _nations(spark, sf_dir)
+    n, path = len(nations), f"{_scratch(spark)}.h5seurat"
+    with hdf5._h5().File(path, "w") as f:
+        f.attrs["active.assay"] = "RNA"
+        f.create_dataset("cell.names", data=np.asarray([x[1] for x in nations], object))
+        f.create_dataset("assays/RNA/features", data=np.asarray(regions, object))
+        for name, scale in (("counts", 1.0), ("data", 0.5)):
+            g = f.create_group(f"assays/RNA/layers/{name}")
+            g.attrs["dims"] = np.asarray([len(regions), n], "<i4")
+            g.create_dataset("data", data=np.asarray([(x[0] + 1) * scale for x in nations]))
+            g.create_dataset("indices", data=np.asarray([x[2] for x in nations], "<i4"))
+            g.create_dataset("indptr", data=np.arange(n + 1, dtype="<i4"))
+        meta = f.create_group("meta.data")
+        meta.attrs["logicals"] = np.asarray(["known"], object)
+        meta.create_dataset("known", data=np.asarray([x[0] % 3 for x in nations], "<i4"))
+        meta.create_dataset("region/levels", data=np.asarray(regions[1:], object))
+        meta.create_dataset("region/values", data=np.asarray([x[2] for x in nations], "<i4"))
+        f.create_dataset("reductions/PCA/cell.embeddings", data=np.arange(n)[None, :] + np.arange(2.0)[:, None])
+    return fixtures.slot_cells(sources.read(spark, path, chunk_size=7))
+
+
+@query(f"""WITH {COO}, t AS (SELECT (SELECT count(*) FROM ob) AS n, (SELECT count(*) FROM va) AS m, (SELECT count(*) FROM coo) AS z),
+l AS (SELECT string_agg(o_orderstatus, ', ' ORDER BY o_orderstatus) || ' (' || count(*) || ' levels)' AS x FROM (SELECT DISTINCT o_orderstatus FROM orders))
+SELECT 'shape' AS slot, '' AS key, n || ' obs x ' || m || ' vars' AS detail FROM t UNION ALL SELECT 'X', '', 'dtype u32' UNION ALL SELECT 'obs', 'status', 'categorical: ' || x FROM l
+UNION ALL SELECT * FROM (VALUES ('obs', 'total', 'float'), ('obs', 'urgent', 'bool'), ('obs', 'rank', 'int'), ('var', 'brand', 'string'), ('var', 'size', 'int'), ('uns', 'nested', 'dict(2 keys)'), ('uns', 'origin', 'orders and parts'))
+UNION ALL SELECT 'layers', 'price_cents', n || ' x ' || m || ', ' || z || ' stored, f64' FROM t UNION ALL SELECT 'obsm', 'X_pca', n || ' x 3, ' || 3 * n || ' stored, f64' FROM t UNION ALL SELECT 'varm', 'X_pca', m || ' x 2, ' || 2 * m || ' stored, f64' FROM t
+UNION ALL SELECT 'obsp', 'knn', n || ' x ' || n || ', ' || n || ' stored, f32' FROM t UNION ALL SELECT 'varp', 'near', m || ' x ' || m || ', ' || m || ' stored, f32' FROM t""")
+def inspect_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.described(fixtures.rich_dataset(spark, sf_dir))
+
+
+@query("SELECT CAST(k AS INTEGER) AS k, CASE WHEN k <= 60 THEN repeat('x', CAST(k AS INTEGER)) ELSE repeat('x', 57) || '...' END AS line FROM range(50, 70) AS t(k) UNION ALL SELECT * FROM (VALUES (1, 'array[3]'), (2, 'dict(1 keys)'), (3, 'null'), (4, 'true'), (5, '2.5'))")
+def uns_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = {1: [1, "a", None], 2: {"a": [1]}, 3: None, 4: True, 5: 2.5}
+    return spark.createDataFrame([(k, uns.summary("x" * k)) for k in range(50, 70)] + [(k, uns.summary(v)) for k, v in rest.items()], "k int, line string")
+

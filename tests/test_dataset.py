@@ -237,6 +237,27 @@ def test_merge(spark, data):
         merge.merge(data, stranger)
 
 
+def test_merge_verb(spark, data, tmp_path):
+    """Patches from files, one with the slots named; the record tells what came from where."""
+    base = data.write(str(tmp_path / "base.bundle"))
+    obs = spark.createDataFrame([(0, "c2", 7)], "obs_idx long, obs_id string, depth int")
+    var = spark.createDataFrame([(0, "g3", True)], "var_idx long, var_id string, chosen boolean")
+    x = spark.createDataFrame([(0, 0, 5.0)], "obs_idx long, var_idx long, value float")
+    edges = spark.createDataFrame([(0, 0, 2.0)], "i long, j long, value float")
+    vec = spark.createDataFrame([(0, [1.5])], "idx long, vec array<double>")
+    patch = AnnotatedMatrix(spark, 1, 1, "f32", x, obs, var, layers={"extra": x}, varm={"own": vec}, obsp={"g": edges}, varp={"h": edges})
+    path = patch.write(str(tmp_path / "p.h5ad"), "h5ad")
+    out = api.merge(spark, base, [f"{path}:varm/own,obsp/g,var/chosen"], str(tmp_path / "out.bundle"), tags={"stage": "one"})
+    back = api.read(spark, out)
+    assert rows(back.varm["own"]) == [[3, [1.5]]] and rows(back.obsp["g"], "i", "j", "value") == [[2, 2, 2.0]] and "extra" not in back.layers and "h" not in back.varp and "depth" not in back.obs.columns
+    assert {r["var_id"]: r["chosen"] for r in back.var.collect()}["g3"] is True
+    record = back.uns[provenance.MERGE_KEY]
+    assert record["patches"][0]["slots"] == ["obsp/g", "var/chosen", "varm/own"] and record["patches"][0]["sha256"] == provenance.sha256_file(path) and record["tags"] == {"stage": "one"}
+    assert json.load(open(f"{out}.prov.json"))["base"]["n_obs"] == 3
+    whole = merge.merge(data, patch)
+    assert rows(whole.varp["h"], "i", "j", "value") == [[3, 3, 2.0]] and "own" in whole.varm
+
+
 def test_slices(data):
     part = data.slice_obs(1, 3)
     assert part.shape == (2, 4) and rows(part.x, "obs_idx", "var_idx", "value") == [[0, 1, 3.0], [1, 0, 4.0], [1, 3, 5.0]]
