@@ -986,6 +986,124 @@ def test_pipeline(spark, small):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_classifier", "simhash_near_dedup", "substring_dedup", "packing"]
 
 
+def plain_languages(rows):
+    """(language, coverage) of each text with sets of n-grams: rows (text, lang)."""
+    from collections import Counter, defaultdict
+
+    def grams(text, n):
+        t = " ".join("".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split())
+        return [f" {t} "[i : i + n] for i in range(len(t) + 3 - n)] if t else []
+
+    rate = defaultdict(dict)
+    for lang in {x for _, x in rows if x is not None}:
+        for n in langid.LENGTHS:
+            counts = Counter(g for t, x in rows if x == lang for g in grams(t, n))
+            for g, k in counts.items():
+                rate[g][lang] = k / counts.total()
+    known = {g: {x for x, r in own.items() if r >= langid.SHARE * max(own.values())} for g, own in rate.items()}
+    out = []
+    for text, _ in rows:
+        own = [g for n in langid.LENGTHS for g in grams(text, n)]
+        hits = Counter(x for g in own for x in known.get(g, ()))
+        out.append((max(hits, key=lambda x: (hits[x], x)), max(hits.values()) / len(own)) if hits else (None, 0.0))
+    return out
+
+
+def test_languages_equal_plain(docs):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()] + [(9000, "qxqx zwzw " * 9, None), (9001, "12 34", None), (9002, "日本語 テキスト", None)]
+    df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.predictions(df, langid.train(df.selectExpr("doc_id key", "text", "lang").where("text is not null")), ["doc_id"]).collect()}
+    for (i, _, _), (lang, cover) in zip(rows, plain_languages([(t, x) for _, t, x in rows]), strict=True):
+        assert got[i]["coverage"] == pytest.approx(cover, abs=0.02) and (lang is None or cover < 0.05 or got[i]["lang_pred"] == lang)
+
+
+def plain_pipeline(spark, rows, labels):
+    """Texts by id after each of the first four stages: rows (doc_id, text, lang), labels (doc_id, quality, toxic)."""
+    out = []
+    judged = plain_languages([(t, x) for _, t, x in rows])
+    rows = [r for r, (lang, cover) in zip(rows, judged, strict=True) if lang is not None and cover >= 0.05]
+    out.append({i: t for i, t, _ in rows})
+
+    part = {r["id"]: r["part"] for r in spark.createDataFrame([(i,) for i, _, _ in rows], "id long").select("id", F.pmod(F.xxhash64("id"), F.lit(quality.CALIBRATE)).alias("part")).collect()}
+    trusted = {i for i, q, toxic in labels if q == 1 and not toxic and i in part}
+    order = quality.ORDER
+    p, memo = plain_kneser_ney([t for i, t, _ in rows if i in trusted and part[i]], order), {}
+    cost = {}
+    for i, t, _ in rows:
+        s = b"\x02" * (order - 1) + b" ".join(t.encode().split())
+        total = 0.0
+        for k in range(len(s) - order + 1):
+            g = s[k : k + order]
+            if g not in memo:
+                memo[g] = -math.log(p(g))
+            total += memo[g]
+        cost[i] = (total, len(s) - order + 1)
+    held = [(lang, *cost[i]) for i, _, lang in rows if i in trusted and not part[i] and cost[i][1]]
+    mean = lambda own: sum(c for _, c, _ in own) / sum(n for _, _, n in own)
+    means = {x: mean([h for h in held if h[0] == x]) for x in {h[0] for h in held}}
+    drawn = lambda lang, c, n: (c + quality.PRIOR * means.get(lang, mean(held))) / (n + quality.PRIOR)
+    limit = lambda own: float(np.quantile([drawn(*h) for h in own], quality.QUANTILE))
+    limits = {x: limit([h for h in held if h[0] == x]) for x in means}
+    rows = [r for r in rows if drawn(r[2], *cost[r[0]]) <= limits.get(r[2], limit(held)) + 1e-12]
+    out.append({i: t for i, t, _ in rows})
+
+    folded = [(i, fold(t).encode().split()) for i, t, _ in rows]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in folded}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    rows = [r for r in rows if root(r[0]) == r[0]]
+    out.append({i: t for i, t, _ in rows})
+
+    seen, texts = {}, {}
+    for i, t, _ in sorted(rows):
+        words = t.encode().split()
+        gone = [False] * len(words)
+        for k in range(len(words) - 19):
+            if seen.setdefault(tuple(words[k : k + 20]), (i, k)) != (i, k):
+                gone[k : k + 20] = [True] * 20
+        texts[i] = b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode() if any(gone) else t
+    return [*out, texts]
+
+
+def test_pipeline_equals_plain(spark, small, docs, tmp_path):
+    """All stages after each other against plain versions, with copies, near copies, junk, shared passages and odd rows planted."""
+    import corpus_pipeline
+
+    rng = random.Random(77)
+    own = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    rows, passage = [r for r in own if len(r[1]) < 8000], prose(rng, 60)
+    for k, (_, t, lang, source, _) in enumerate(rng.sample([r for r in rows if len(r[1].split()) > 150], 24)):
+        words = t.split()
+        words[rng.randrange(len(words))] = "changedword"
+        rows.append((5000 + k, t if k % 2 else " ".join(words), lang, source, len(t)))
+        rows.append((6000 + k, f"{prose(rng, 40)} {passage} {prose(rng, 40)}", "en", "s", 1))
+    rows += [(7000, None, "en", "s", 0), (7001, "", "en", "s", 0), (7002, "12 34 !!", None, "s", 8), (7003, "ZX!!QQ " * 300, "en", "s", 2100), (7004, "日本語 " * 50, None, "s", 200)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    want = plain_pipeline(spark, [(i, t, x) for i, t, x, _, _ in rows], [tuple(r) for r in labels.select("doc_id", "quality", "toxic").collect()])
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (name, stage), texts in zip(corpus_pipeline.STAGES, [*want, None], strict=True):
+        out = stage(spark, df, str(tmp_path))
+        if texts is None:
+            break
+        got = {r["doc_id"]: r["text"] for r in out.collect()}
+        assert got.keys() == texts.keys(), (name, got.keys() ^ texts.keys())
+        assert got == texts, name
+        df = spark.createDataFrame(out.collect(), out.schema)
+    check_packing(corpus_pipeline.run(spark, str(tmp_path)).collect(), want[-1], public_tokenizers.path("byte_bpe_50k.json"), 1024)
+    assert len(want[0]) > len(want[1]) > len(want[2]) and any(want[2][i] != t for i, t in want[3].items())
+
+
 def test_every_operator_has_a_query():
     names = set(catalogue.queries())
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and set(catalogue.oracle_sql()) <= names
