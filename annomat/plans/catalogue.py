@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import os
 import re
@@ -13,8 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annomat import api, sources, streaming
-from annomat.errors import InvalidFormatError
+from annomat import api, cli, sources, streaming
+from annomat.errors import AnnotatedMatrixError, InvalidFormatError, NotFoundError
 from annomat.functions import casts, codecs
 from annomat.model import AnnotatedMatrix
 from annomat.operators import columns, layout, profile, provenance, slots, uns, validate
@@ -22,7 +24,7 @@ from annomat.operators import merge as merging
 from annomat.plans import fixtures
 from annomat.plans.fixtures import table
 from annomat.shared import shared_folder
-from annomat.sources import hdf5
+from annomat.sources import hdf5, npy
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -787,3 +789,65 @@ def uns_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = {1: [1, "a", None], 2: {"a": [1]}, 3: None, 4: True, 5: 2.5}
     return spark.createDataFrame([(k, uns.summary("x" * k)) for k in range(50, 70)] + [(k, uns.summary(v)) for k, v in rest.items()], "k int, line string")
 
+
+# Verbs and errors
+
+
+@query("SELECT * FROM (VALUES ('convert', 0), ('inspect', 0), ('validate', 0), ('validate --min-obs', 1), ('validate --schema', 1), ('snapshot', 0), ('merge', 0), ('no file', 2)) AS t(verb, code)")
+def cli_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit codes of the command line: 0, 1 for a failed validation, 2 for an error."""
+    at = _scratch(spark)
+    start = fixtures.small_dataset(spark, sf_dir).write(f"{at}.bundle")
+    with open(f"{at}.json", "w", encoding="utf-8") as f:
+        json.dump({"obs": ">= 1", "layers": ["absent"]}, f)
+    asked = {
+        "convert": ["convert", start, f"{at}.h5ad"], "inspect": ["inspect", f"{at}.h5ad"], "validate": ["validate", start, "--has-layer", "spliced", "--dtype", "u32"], "validate --min-obs": ["validate", start, "--min-obs", "100", "--json"],
+        "validate --schema": ["validate", start, "--schema", f"{at}.json"], "snapshot": ["snapshot", start, f"{at}-snapshot", "--exclude", "layers"], "merge": ["merge", start, f"{at}-2.bundle", "--patch", f"{at}.h5ad:uns/origin", "--tag", "a=b", "--on-conflict", "overwrite"],
+        "no file": ["inspect", f"{at}.h5"],
+    }
+    codes = []
+    for name, words in asked.items():
+        with contextlib.redirect_stdout(io.StringIO()):
+            try:
+                codes.append((name, cli.run(spark, cli.parser().parse_args(words))))
+            except NotFoundError:
+                codes.append((name, 2))
+    return spark.createDataFrame(codes, "verb string, code int")
+
+
+@query("""SELECT 'passed' AS field, 'False' AS value UNION ALL SELECT 'obs', CASE WHEN (SELECT count(*) FROM nation) >= 20 THEN 'pass' ELSE 'fail' END UNION ALL SELECT 'layers', 'fail' UNION ALL SELECT 'x_dtype', 'pass'
+UNION ALL SELECT 'obs_index_unique', CASE WHEN (SELECT count(*) = count(DISTINCT n_name) FROM nation) THEN 'pass' ELSE 'fail' END""")
+def validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as JSON: whether all passed, and each check."""
+    schema = validate.Schema.of({"obs": ">= 20", "layers": ["spliced", "absent"], "x_dtype": "u32", "obs_index_unique": True})
+    found = json.loads(validate.run(fixtures.small_dataset(spark, sf_dir), schema).json("a", "b"))
+    return spark.createDataFrame([("passed", str(found["passed"])), *((c["name"], c["status"]) for c in found["checks"])], "field string, value string")
+
+
+@query("SELECT * FROM (VALUES ('no file', 'NotFoundError'), ('no format', 'InvalidFormatError'), ('packed version', 'UnsupportedVersionError'), ('array version', 'UnsupportedVersionError'), ('array type', 'DtypeMismatchError'), ('no field', 'MissingFieldError'), ('no layer', 'MissingFieldError'), ('both lists', 'InvalidFormatError'), ('dtype', 'ValueError'), ('qualifier', 'InvalidFormatError')) AS t(what, error)")
+def errors_raised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is raised for inputs that are wrong in one way each."""
+    at, data = _scratch(spark), fixtures.small_dataset(spark, sf_dir)
+    bundle, snapshot, packed = data.write(f"{at}.bundle"), data.write(f"{at}-a", "npy"), data.write(f"{at}.bpcells", "bpcells")
+    seurat = data.write(f"{at}.h5seurat", "h5seurat")
+    os.makedirs(f"{at}-empty")
+    with open(f"{packed}/version", "w") as f:
+        f.write("packed-uint-matrix-v9")
+    np.save(f"{at}-8.npy", np.arange(3.0))
+    with open(f"{at}-8.npy", "rb") as f, open(f"{at}-9.npy", "wb") as g:
+        g.write(f.read().replace(b"NUMPY\x01", b"NUMPY\x02", 1))
+    os.remove(f"{snapshot}/meta.json")
+    asked: dict[str, Callable[[], object]] = {
+        "no file": lambda: api.read(spark, f"{at}.none"), "no format": lambda: api.read(spark, f"{at}-empty"), "packed version": lambda: api.read(spark, packed), "array version": lambda: npy.load(f"{at}-9.npy"), "array type": lambda: npy.load(f"{at}-8.npy", "<f4"),
+        "no field": lambda: api.read(spark, snapshot, "npy"), "no layer": lambda: api.read(spark, seurat, layer="absent"), "both lists": lambda: api.snapshot(spark, bundle, f"{at}-b", only="X", exclude="X"), "dtype": lambda: api.convert(spark, bundle, f"{at}-c.bundle", dtype="f16"),
+        "qualifier": lambda: validate.Qualifier.parse("about"),
+    }
+    out = []
+    for what, verb in asked.items():
+        try:
+            verb()
+            out.append((what, "none"))
+        except (AnnotatedMatrixError, ValueError) as e:
+            out.append((what, type(e).__name__))
+    return spark.createDataFrame(out, "what string, error string")
+
