@@ -286,6 +286,13 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return many.join(whole, ["host", "salt"]).where(F.col("n") * F.col("n") >= F.col("pages")).select("host", "hash")
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One number for host and hash of each template."""
+    for batch in batches:
+        keys = [_mixed(_host_hash(host), h + (1 << 63)) for host, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.record_batch({"key": np.array(keys, np.uint64).view(np.int64)})
+
+
 def _with_hashes(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with the template hashes that each page holds in ``hashes``, met by (host, hash) and not by host."""
     key = {"_a": F.xxhash64("page_id", "url"), "_b": F.xxhash64("html")}
@@ -317,9 +324,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     found = checkpoint(templates(rows))
     known = None
     if found.count() <= local:
-        table = found.toArrow()
-        keys = [_mixed(_host_hash(host), h + (1 << 63)) for host, h in zip(table["host"].to_pylist(), table["hash"].to_pylist(), strict=True)]
-        known = rows.sparkSession.sparkContext.broadcast(np.sort(np.array(keys, np.uint64)))
+        keys = found.mapInArrow(frugal(_keys), "key long").toArrow()["key"].to_numpy().view(np.uint64)
+        known = rows.sparkSession.sparkContext.broadcast(np.sort(keys))
         rows = rows.withColumn("hashes", F.lit(None).cast("array<long>"))
     else:
         rows = _with_hashes(rows, found)
