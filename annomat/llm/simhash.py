@@ -31,6 +31,8 @@ from .common import blocks, checkpoint, frugal, longs, partitions, picked, small
 TILE = 1024
 #: Fingerprints up to which keys have three bytes.
 FEW_PRINTS = 1 << 28
+#: Edges (16 bytes each) whose components one task finds.
+LOCAL_EDGES = 500_000
 _LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 _MIX = 0x9E3779B97F4A7C15
 
@@ -309,13 +311,37 @@ def links(prints: DataFrame, positions: list[tuple[int, ...]], max_bits: int, le
     return full.select("key", "tile", "label", "fp").mapInArrow(frugal(verify), "a long, b long").where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and the smallest node that each can reach."""
+    node, end = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, low = end[: len(a)], end[len(a) :], np.arange(len(node))
+    while True:
+        least = np.minimum(low[a], low[b])
+        before = low.copy()
+        np.minimum.at(low, before[a], least)  # the roots of both ends take the lower one
+        np.minimum.at(low, before[b], least)
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+        if np.array_equal(low, before):
+            return node, node[low]
+
+
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge (a, b).
 
-    Alternating large-star and small-star steps; each round's edges are checkpointed and the rounds end when a count and
-    checksum no longer change. Only those two numbers reach the driver.
+    Up to ``local`` edges are one task's. Beyond, alternating large-star and small-star steps; each round's edges are
+    checkpointed and the rounds end when a count and checksum no longer change. Only those two numbers reach the driver.
     """
     now = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if now.limit(local + 1).count() <= local:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(longs(batch.column(0)), longs(batch.column(1))) for batch in batches]
+            if held:
+                node, low = joined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield pa.record_batch({"node": node, "component": low})
+
+        return now.coalesce(1).mapInArrow(frugal(run), "node long, component long")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -323,6 +323,28 @@ def test_simhash_positions_and_tally():
     assert simhash._linked(fp, at, 64, 5) == [] and simhash._linked(fp, at, 64, 3) == [(0, 1)] and simhash._linked(fp, at * 0, 64, 3) == []
 
 
+@pytest.mark.parametrize("local", [simhash.LOCAL_EDGES, 0])
+def test_components_equal_plain(spark, local):
+    """A long chain, a hub, rings and random edges, in one task and in rounds of stars."""
+    rng = random.Random(19)
+    edges = [(k + 1, k) for k in range(300)] + [(5000, 1000 + k) for k in range(200)] + [(2000 + k, 2000 + (k + 1) % 50) for k in range(50)] + [(rng.randrange(7000, 7400), rng.randrange(7000, 7400)) for _ in range(180)] + [(9, 9)]
+    rng.shuffle(edges)
+    parent = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long"), local).collect()
+    assert len(got) == len(parent) and {r["node"]: r["component"] for r in got} == {x: root(x) for x in parent}
+    assert simhash.components(spark.createDataFrame([], "a long, b long"), local).collect() == []
+
+
 def test_simhash_odd(spark, none):
     df = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "zz"), (7, None), (5, "")], "doc_id long, text string")
     got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.simhash_components(df).collect()}
