@@ -234,11 +234,11 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER, local_rows: i
     middle = every[0] / every[1] if every[1] else 0.0
     drawn = (F.col("nll") + PRIOR * F.coalesce("mean", F.lit(middle))) / (F.col("symbols") + PRIOR)
     held = held.join(F.broadcast(means), "lang", "left").withColumn("drawn", drawn)
-    held = checkpoint(held.select("lang", "drawn"))
-    limits = quantiles(held.select(F.col("lang").alias("group"), F.col("drawn").alias("v"))).withColumnRenamed("group", "lang")
-    whole = quantiles(held.select(F.lit("").alias("group"), F.col("drawn").alias("v"))).first()
+    groups = F.array(F.concat(F.lit("="), "lang"), F.lit("*"))  # its language, and all
+    limits = checkpoint(quantiles(checkpoint(held.select(F.explode(groups).alias("group"), F.col("drawn").alias("v")))))
+    whole = limits.where("group = '*'").first()
     other = float(whole["limit"]) if whole is not None else float("inf")
-    limits = checkpoint(limits)
+    limits = limits.where("group <> '*'").select(F.expr("substring(group, 2)").alias("lang"), "limit")
     out = found.join(F.broadcast(means.join(limits, "lang")), "lang", "left").withColumn("drawn", drawn).withColumn("limit", F.coalesce("limit", F.lit(other)))
     return out.select("doc_id", "lang", "symbols", F.exp("drawn").alias("perplexity"), F.exp("limit").alias("threshold"), (F.col("drawn") <= F.col("limit")).alias("keep"))
 
