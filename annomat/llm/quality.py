@@ -86,8 +86,7 @@ class KneserNey:
         now = checkpoint(highest)
         for k in range(order, 0, -1):
             self.counts[k] = now
-            ones = {r["n"]: r["k"] for r in now.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
-            self.discounts[k] = self._discount([ones.get(i, 0) for i in (1, 2, 3, 4)])
+            self.discounts[k] = self._discount(list(now.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()))
             d = self._of(F.col("n"), self.discounts[k])
             history = now.groupBy(F.shiftright("gram", 8).alias("history"))
             self.histories[k] = checkpoint(history.agg(F.sum("n").alias("total"), (F.sum(d) / F.sum("n")).alias("gamma")))

@@ -332,8 +332,8 @@ def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     Up to ``local`` edges are one task's. Beyond, alternating large-star and small-star steps; each round's edges are
     checkpointed and the rounds end when a count and checksum no longer change. Only those two numbers reach the driver.
     """
-    now = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    if now.limit(local + 1).count() <= local:
+    now = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    if now.count() <= local:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [(longs(batch.column(0)), longs(batch.column(1))) for batch in batches]
@@ -342,7 +342,7 @@ def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
                 yield pa.record_batch({"node": node, "component": low})
 
         return now.coalesce(1).mapInArrow(frugal(run), "node long, component long")
-    seen = None
+    now, seen = now.distinct(), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
