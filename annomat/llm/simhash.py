@@ -31,8 +31,8 @@ from .common import blocks, checkpoint, frugal, longs, partitions, picked, small
 TILE = 1024
 #: Fingerprints up to which keys have three bytes.
 FEW_PRINTS = 1 << 28
-#: Edges (16 bytes each) whose components one task finds.
-LOCAL_EDGES = 500_000
+#: Edges (16 bytes each) whose components one task finds; links that a task gathers before it joins what they link.
+LOCAL_EDGES, PAIRS = 500_000, 200_000
 _LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 _MIX = 0x9E3779B97F4A7C15
 
@@ -475,7 +475,12 @@ def alike_in_blocks(members: DataFrame, docs: DataFrame, width: int, least: floa
         return edges.where("a <> b").distinct()
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts of role 1 against those of role 0 of their part: (a, b), and (a, a) for a text of role 0 that none is alike to."""
+        """Texts of role 1 against those of role 0 of their part: stars of what they join, and (a, a) for a text of role 0 that none is alike to."""
+
+        def star(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            node, low = joined(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+            return low[low != node], node[low != node]
+
         for _, run in _groups(batches):
             ids, own, first = [], [], None
             for doc, text, role in run:
@@ -487,11 +492,18 @@ def alike_in_blocks(members: DataFrame, docs: DataFrame, width: int, least: floa
             if first is None or not ids:
                 continue
             sets, held, met = Sets(own, width), np.array(ids), np.zeros(len(ids), bool)
+            pairs, size, most = [], 0, PAIRS
             for doc, text, _ in chain([(*first, 1)], run):
                 near = sets.alike(*sets.asked(text, width), least)
                 met[near] = True
-                yield pa.record_batch({"a": held[near], "b": np.full(len(near), doc)})
-            yield pa.record_batch({"a": held[~met], "b": held[~met]})
+                pairs.append((held[near], np.full(len(near), doc)))
+                size += len(near)
+                if size > most:
+                    pairs = [star(pairs)]
+                    size = len(pairs[0][0])
+                    most = max(PAIRS, 2 * size)
+            a, b = star(pairs)
+            yield pa.record_batch({"a": np.append(a, held[~met]), "b": np.append(b, held[~met])})
 
     many = checkpoint(dealt.where("parts is not null").withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.col("parts")).cast("int")).select("component", "part", "parts", F.lit(0).alias("role"), F.col("doc_id").alias("id"), "text"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
