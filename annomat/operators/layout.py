@@ -80,6 +80,13 @@ def packed_rows(x: DataFrame, by: str = "obs_idx", along: str = "var_idx") -> Da
     return rows.select(by, F.col(f"e.{along}").alias("indices"), F.col("e.value").alias("values"))
 
 
+def row_blocks(x: DataFrame, size: int, by: str = "obs_idx", along: str = "var_idx") -> DataFrame:
+    """(by, part, indices, values): packed rows cut at multiples of ``size``, for rows or columns that are too long for one array."""
+    entries = F.array_sort(F.collect_list(F.struct(along, "value")))
+    rows = x.groupBy(by, F.floor(F.col(along) / size).cast("long").alias("part")).agg(entries.alias("e"))
+    return rows.select(by, "part", F.col(f"e.{along}").alias("indices"), F.col("e.value").alias("values"))
+
+
 def unpacked(rows: DataFrame, by: str = "obs_idx", along: str = "var_idx") -> DataFrame:
     pairs = rows.select(by, F.explode(F.arrays_zip("indices", "values")).alias("e"))
     return pairs.select(by, F.col("e.indices").alias(along), F.col("e.values").alias("value"))
@@ -124,11 +131,17 @@ def transposed(rows: DataFrame, index: str, vector: str) -> DataFrame:
 
 
 def dense_columns(rows: DataFrame, index: str, vector: str) -> DataFrame:
-    """(pos, vec): dense rows of the transpose as arrays in index order. Meant for the few components of an embedding."""
+    """(pos, vec): dense rows of the transpose as arrays in index order, each of all rows; :func:`column_blocks` cuts them."""
     cells = transposed(rows, index, vector).groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("e"))
     return cells.select("pos", F.col("e.value").alias("vec"))
 
 
+def column_blocks(rows: DataFrame, index: str, vector: str, size: int) -> DataFrame:
+    """(pos, part, vec): the same for ``size`` consecutive rows each."""
+    cells = transposed(rows, index, vector).groupBy("pos", F.floor(F.col("idx") / size).cast("long").alias("part"))
+    return cells.agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("e")).select("pos", "part", F.col("e.value").alias("vec"))
+
+
 def stored_transposed(d0: int, d1: int, n: int) -> bool:
     """Whether a dense matrix for n rows was stored the other way round; a square one is taken as it is."""
     return d0 != n and d1 == n

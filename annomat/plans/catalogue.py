@@ -103,6 +103,11 @@ def csc_cols_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.packed_rows(fixtures.counts(spark, sf_dir), "var_idx", "obs_idx")
 
 
+@query(f"WITH {COO} SELECT j AS var_idx, i // 1000 AS part, list(i ORDER BY i) AS indices, list(v ORDER BY i) AS values FROM coo GROUP BY 1, 2")
+def csc_cols_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.row_blocks(fixtures.counts(spark, sf_dir), 1000, "var_idx", "obs_idx")
+
+
 @query(f"WITH {COO} SELECT i AS obs_idx, j AS var_idx, v AS value FROM coo")
 def csc_to_csr(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_column = layout.packed_rows(fixtures.counts(spark, sf_dir), "var_idx", "obs_idx")
@@ -135,6 +140,11 @@ def obsm_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.dense_columns(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+@query("WITH e AS (SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, vec_id, unnest(embedding) AS value FROM embeddings) SELECT pos, vec_id // 100 AS part, list(value ORDER BY vec_id) AS vec FROM e GROUP BY 1, 2")
+def obsm_column_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.column_blocks(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 100)
+
+
 @query(f"WITH {COO} SELECT ob.i AS idx, CAST(coalesce(sum(v), 0) AS BIGINT) AS total FROM ob LEFT JOIN coo ON ob.i = coo.i GROUP BY ob.i")
 def row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     axes = fixtures.Axes(spark, sf_dir)
