@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,11 +196,16 @@ def quantiles(values: DataFrame, q: float = QUANTILE) -> DataFrame:
     few = small(ends, LOCAL_GROUPS)
     dealt = checkpoint(values.join(ends if few is None else few, "group").select("group", "v", "n", part.alias("part")))
     sizes = dealt.groupBy("group", "part", "n").agg(F.count("*").alias("size"))
-    up_to = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # RANGES rows at most
     place = (F.col("n") - 1) * F.lit(q)
     at = F.floor(place)
-    sizes = sizes.withColumn("before", F.sum("size").over(up_to) - F.col("size"))
-    held = sizes.where((F.col("before") <= at + 1) & (F.col("before") + F.col("size") > at)).select("group", "part", "before")
+    counts = sizes.groupBy("group", "n").agg(F.sort_array(F.collect_list(F.struct("part", "size"))).alias("sizes"))  # RANGES entries at most
+
+    def found(now: Column, x: Column) -> Column:
+        upto, here = now["before"] + x["size"], F.array(F.struct(x["part"].alias("part"), now["before"].alias("before")))
+        return F.struct(upto.alias("before"), F.when((now["before"] <= at + 1) & (upto > at), F.concat(now["held"], here)).otherwise(now["held"]).alias("held"))
+
+    none = F.struct(F.lit(0).cast("long").alias("before"), F.array().cast("array<struct<part:int,before:bigint>>").alias("held"))
+    held = counts.select("group", F.inline(F.aggregate("sizes", none, found)["held"]))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("group", "part").orderBy("v")) - 1
     held = checkpoint(held)  # three rows for each group at most
     near = dealt.join(held if few is None else F.broadcast(held), ["group", "part"]).select("group", "v", rank.alias("rank"), place.alias("place"), at.alias("at"))
