@@ -23,7 +23,7 @@ from annomat.operators import columns, layout, profile, provenance, slots, uns,
 from annomat.operators import merge as merging
 from annomat.plans import fixtures
 from annomat.plans.fixtures import table
-from annomat.shared import shared_folder
+from annomat.shared import mounted_folder
 from annomat.sources import hdf5, npy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -453,7 +453,7 @@ def obsp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A new path that driver and executors share."""
-    return f"{shared_folder(spark).removeprefix('file://')}/roundtrip-{uuid.uuid4().hex}"
+    return f"{mounted_folder(spark)}/roundtrip-{uuid.uuid4().hex}"
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str, format: str) -> DataFrame:

@@ -19,6 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="annomat-")
 
 
+def mounted_folder(spark: SparkSession) -> str:
+    """The same as a path that plain file operations reach, which layouts of single files need."""
+    path = shared_folder(spark).removeprefix("file://")
+    if "://" in path:
+        raise AnnotatedMatrixError(f"{path} can't be reached as a mounted folder; set spark.checkpoint.dir to one")
+    return path
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a copy in the shared folder, which the context keeps once it is set."""
     sc = df.sparkSession.sparkContext

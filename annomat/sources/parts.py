@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from annomat.functions import bitpack
 from annomat.functions.casts import spark_type, to_dtype
 from annomat.operators.layout import ordered
-from annomat.shared import shared_folder
+from annomat.shared import mounted_folder
 
 #: Bytes that the driver moves at once, and entries that a task packs.
 BLOCK, PACKED_ENTRIES = 8 << 20, 1 << 20
@@ -43,7 +43,7 @@ class Pieces:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.pieces = spark, []
-        self.folder = f"{shared_folder(spark).removeprefix('file://')}/parts-{uuid.uuid4().hex}"
+        self.folder = f"{mounted_folder(spark)}/parts-{uuid.uuid4().hex}"
         os.makedirs(self.folder)
 
     def __enter__(self) -> Pieces:
@@ -76,7 +76,11 @@ class Pieces:
                     f.close()
             yield pa.record_batch({"part": pa.array([part], pa.int64()), "stem": [stem], "rows": pa.array([n], pa.int64()), "first": pa.array([first], pa.int64()), "last": pa.array([last], pa.int64())})
 
-        found = rows.mapInArrow(run, "part long, stem string, rows long, first long, last long").where("rows > 0").collect()
+        try:
+            found = rows.mapInArrow(run, "part long, stem string, rows long, first long, last long").where("rows > 0").collect()
+        except BaseException:
+            self.__exit__()
+            raise
         self.pieces = [Piece(r["stem"], r["rows"], r["first"], r["last"]) for r in sorted(found, key=lambda r: r["part"])]
         return self
 

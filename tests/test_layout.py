@@ -1,3 +1,4 @@
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
@@ -79,3 +80,23 @@ def test_cells_are_summed_before_the_join(spark):
     obs = spark.createDataFrame([("a", 0), ("b", 1)], "key string, idx long")
     var = spark.createDataFrame([("x", 0), ("y", 1)], "key string, idx long")
     assert rows(layout.triples(facts, obs, var, "o", "v", F.col("n")), "obs_idx", "var_idx", "value") == [[0, 0, 3], [1, 1, 5]]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from annomat import shared
+    from annomat.errors import AnnotatedMatrixError
+
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert shared.shared_folder(spark) == named and shared.mounted_folder(spark) == named
+
+    class Session:
+        def __init__(self, master, folder=None):
+            self.sparkContext, self.conf = type("C", (), {"master": master})(), type("D", (), {"get": staticmethod(lambda *_: folder)})()
+
+    assert "annomat-" in shared.shared_folder(Session("local[4]"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(AnnotatedMatrixError):
+            shared.shared_folder(Session(master))
+    with pytest.raises(AnnotatedMatrixError):
+        shared.mounted_folder(Session("yarn", "hdfs://host/tmp"))
+    assert shared.mounted_folder(Session("yarn", "file:///mnt/x")) == "/mnt/x"
