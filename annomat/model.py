@@ -22,7 +22,8 @@ class AnnotatedMatrix:
 
     x and each layer are (obs_idx, var_idx, value); obs and var are (obs_idx | var_idx, obs_id | var_id, columns ...); each
     obsm and varm entry is (idx, vec); each obsp and varp entry is an edge list (i, j, value); uns is a JSON tree. ``levels``
-    holds the categories of categorical columns as {"obs": {column: [...]}, "var": {...}}; the columns hold the labels.
+    holds the categories of categorical columns as {"obs": {column: [...]}, "var": {...}}; the columns hold the labels. ``in_order``
+    says that the partitions of every slot are ranges of rows one after the other, as files are read; sinks check it.
     """
 
     spark: SparkSession
@@ -42,6 +43,7 @@ class AnnotatedMatrix:
     layer_dtypes: dict[str, str] = field(default_factory=dict)
     skipped: tuple[str, ...] = ()
     format: str = "memory"
+    in_order: bool = False
 
     def __post_init__(self):
         spark_type(self.dtype)

@@ -51,15 +51,15 @@ def running_total(counts: DataFrame) -> DataFrame:
     return zero.unionByName(ends)
 
 
-def triples(facts: DataFrame, obs: DataFrame, var: DataFrame, obs_key: str, var_key: str, value: Column) -> DataFrame:
-    """(obs_idx, var_idx, value) from a fact table: values of one cell are summed before the indexes are attached.
+def triples(facts: DataFrame, obs: DataFrame, var: DataFrame, obs_key: str, var_key: str, value: Column, **more: Column) -> DataFrame:
+    """(obs_idx, var_idx, value, ``more``) from a fact table: values of one cell are summed before the indexes are attached.
 
     ``obs`` and ``var`` have (key, idx). Catalyst broadcasts whichever is small.
     """
-    cells = facts.groupBy(F.col(obs_key).alias("_o"), F.col(var_key).alias("_v")).agg(F.sum(value).alias("value"))
+    cells = facts.groupBy(F.col(obs_key).alias("_o"), F.col(var_key).alias("_v")).agg(F.sum(value).alias("value"), *[F.sum(v).alias(name) for name, v in more.items()])
     o = obs.select(F.col("key").alias("_o"), F.col("idx").alias("obs_idx"))
     v = var.select(F.col("key").alias("_v"), F.col("idx").alias("var_idx"))
-    return cells.join(v, "_v").join(o, "_o").select("obs_idx", "var_idx", "value")
+    return cells.join(v, "_v").join(o, "_o").select("obs_idx", "var_idx", "value", *more)
 
 
 def entries_per(x: DataFrame, axis: DataFrame, on: str) -> DataFrame:

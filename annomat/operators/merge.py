@@ -94,7 +94,7 @@ def merge(base: AnnotatedMatrix, patch: AnnotatedMatrix, policy: str = "error",
     levels = {s: patch.levels.get(s, {}) | base.levels.get(s, {}) if policy == "skip" else base.levels.get(s, {}) | patch.levels.get(s, {}) for s in ("obs", "var")}
     columns = {"obs": table("obs"), "var": table("var")}
     return replace(
-        base, **columns, layers=layers, obsm=take("obsm", ("obs", "idx")), varm=take("varm", ("var", "idx")), obsp=take("obsp", ("obs", "i"), ("obs", "j")), varp=take("varp", ("var", "i"), ("var", "j")),
+        base, in_order=False, **columns, layers=layers, obsm=take("obsm", ("obs", "idx")), varm=take("varm", ("var", "idx")), obsp=take("obsp", ("obs", "i"), ("obs", "j")), varp=take("varp", ("var", "i"), ("var", "j")),
         uns=uns.merged(base.uns, {k: v for k, v in patch.uns.items() if keep.includes(f"uns:{k}")}), levels={s: {c: x for c, x in own.items() if c in columns[s].columns} for s, own in levels.items()},
         layer_dtypes=base.layer_dtypes | {k: patch.layer_dtypes.get(k, "f32") for k in layers if layers[k] is not base.layers.get(k)},
     )

@@ -7,6 +7,7 @@ import io
 import json
 import os
 import re
+import shutil
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -456,6 +457,11 @@ def _scratch(spark: SparkSession) -> str:
     return f"{mounted_folder(spark)}/roundtrip-{uuid.uuid4().hex}"
 
 
+def _remove(path: str) -> None:
+    """Removes a dataset in the scratch folder that nothing reads any more."""
+    shutil.rmtree(path) if os.path.isdir(path) else os.remove(path)
+
+
 def _roundtrip(spark: SparkSession, sf_dir: str, format: str) -> DataFrame:
     path = fixtures.dataset(spark, sf_dir).write(_scratch(spark), format)
     return sources.read(spark, path, format).x
@@ -563,8 +569,11 @@ def convert_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _scratch(spark)
     start = fixtures.rich_dataset(spark, sf_dir).write(f"{at}.bundle")
     for out in (f"{at}.h5ad", f"{at}.h5seurat"):
-        start = api.convert(spark, start, out, dtype="u32")
-    return fixtures.slot_cells(api.read(spark, api.convert(spark, start, f"{at}-snapshot", dtype="u32", format="npy")), ("uns/annomat_provenance/tool", "uns/annomat_provenance/source", "uns/annomat_provenance/source_sha256"))
+        before, start = start, api.convert(spark, start, out, dtype="u32")
+        _remove(before)
+    last = api.convert(spark, start, f"{at}-snapshot", dtype="u32", format="npy")
+    _remove(start)
+    return fixtures.slot_cells(api.read(spark, last), ("uns/annomat_provenance/tool", "uns/annomat_provenance/source", "uns/annomat_provenance/source_sha256"))
 
 
 @query(_cells_sql(where="slot IN ('X', 'obs/status', 'levels/obs/status', 'uns/origin', 'uns/nested/n', 'uns/nested/name')") + " UNION ALL SELECT 'obs/obs_id', CAST(i AS BIGINT), 0, CAST(i AS VARCHAR) FROM o1 UNION ALL SELECT 'var/var_id', CAST(j AS BIGINT), 0, CAST(j AS VARCHAR) FROM p1")

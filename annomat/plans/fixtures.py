@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annomat.functions.casts import rounded
 from annomat.model import AnnotatedMatrix
 from annomat.operators import uns
 from annomat.operators.layout import triples, with_index
+from annomat.shared import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +60,15 @@ def cell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset(spark: SparkSession, sf_dir: str) -> AnnotatedMatrix:
     """The whole dataset; X is u32, the layer holds cents as f64."""
     orders, parts = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
-    axes = Axes(spark, sf_dir)
-    o, v = axes.obs, axes.var
-    obs = orders.join(o, orders.o_orderkey == o.key).select(F.col("idx").alias("obs_idx"), F.concat(F.lit("o"), F.col("key").cast("string")).alias("obs_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
-    var = parts.join(v, parts.p_partkey == v.key).select(F.col("idx").alias("var_idx"), F.concat(F.lit("p"), F.col("key").cast("string")).alias("var_id"), F.col("p_brand").alias("brand"), F.col("p_size").cast("int").alias("size"))
+    o = with_index(orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent")), "key", "idx")
+    v = with_index(parts.select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("brand"), F.col("p_size").cast("int").alias("size")), "key", "idx")
+    obs = o.select(F.col("idx").alias("obs_idx"), F.concat(F.lit("o"), F.col("key").cast("string")).alias("obs_id"), "status", "total", "urgent")
+    var = v.select(F.col("idx").alias("var_idx"), F.concat(F.lit("p"), F.col("key").cast("string")).alias("var_id"), "brand", "size")
     levels = {"obs": {"status": [r[0] for r in obs.select("status").distinct().orderBy("status").collect()]}, "var": {}}
-    layer = cents(spark, sf_dir, axes).withColumn("value", F.col("value").cast("double"))
-    return AnnotatedMatrix(spark, orders.count(), parts.count(), "u32", counts(spark, sf_dir, axes), obs, var, layers={"price_cents": layer}, layer_dtypes={"price_cents": "f64"}, levels=levels, uns={"origin": "orders and parts"}, format="memory")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    both = stored(triples(lines, o, v, "l_orderkey", "l_partkey", F.col("l_quantity"), cents=rounded(F.col("l_extendedprice") * 100)))
+    x, layer = both.select("obs_idx", "var_idx", F.col("value").cast("long").alias("value")), both.select("obs_idx", "var_idx", F.col("cents").cast("double").alias("value"))
+    return AnnotatedMatrix(spark, orders.count(), parts.count(), "u32", x, obs, var, layers={"price_cents": layer}, layer_dtypes={"price_cents": "f64"}, levels=levels, uns={"origin": "orders and parts"}, format="memory")
 
 
 def rich_dataset(spark: SparkSession, sf_dir: str) -> AnnotatedMatrix:
@@ -82,15 +86,14 @@ def rich_dataset(spark: SparkSession, sf_dir: str) -> AnnotatedMatrix:
 
 def slot_cells(data: AnnotatedMatrix, skip: tuple[str, ...] = ()) -> DataFrame:
     """(slot, a, b, value): every cell of every slot as text, numbers as whole ones: for comparing whole datasets."""
-    whole = lambda v: F.round(F.col(v) * 100).cast("long").cast("string")
+    whole = lambda v: rounded(F.col(v) * 100).cast("string")
     rows = lambda df, slot, a, b, v: df.select(F.lit(slot).alias("slot"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), v.alias("value"))
     out = [rows(data.x, "X", "obs_idx", "var_idx", whole("value"))] + [rows(d, f"layers/{k}", "obs_idx", "var_idx", whole("value")) for k, d in data.layers.items()]
     for slot in ("obs", "var"):
-        df = getattr(data, slot).withColumn("_zero", F.lit(0))
-        for c, kind in df.dtypes:
-            if c not in (f"{slot}_idx", "_zero"):
-                value = whole(c) if kind in ("int", "double", "float", "bigint") else F.col(f"`{c}`").cast("string")
-                out.append(rows(df, f"{slot}/{c}", f"{slot}_idx", "_zero", value))
+        df = getattr(data, slot)
+        values = {c: whole(f"`{c}`") if kind in ("int", "double", "float", "bigint") else F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if c != f"{slot}_idx"}
+        cells = F.explode(F.array(*[F.struct(F.lit(f"{slot}/{c}").alias("slot"), v.alias("value")) for c, v in values.items()]))  # one pass over the table
+        out.append(df.select(F.col(f"{slot}_idx").cast("long").alias("a"), cells.alias("c")).select("c.slot", "a", F.lit(0).cast("long").alias("b"), "c.value"))
     for slot in ("obsm", "varm"):
         for k, d in getattr(data, slot).items():
             out.append(rows(d.select("idx", F.posexplode("vec").alias("pos", "v")), f"{slot}/{k}", "idx", "pos", whole("v")))

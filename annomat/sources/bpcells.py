@@ -18,7 +18,6 @@ from annomat.errors import InvalidFormatError, MissingFieldError, UnsupportedVer
 from annomat.functions import bitpack
 from annomat.functions.casts import spark_type
 from annomat.model import AnnotatedMatrix
-from annomat.operators.layout import ordered
 from annomat.sources.chunks import CHUNK_SIZE, Lines, RangeReader, Rows, chosen, lines, option, pushdown, triples
 from annomat.sources.parts import Pieces, SparseRows, offsets
 
@@ -139,7 +138,7 @@ def read(spark: SparkSession, path: str, chunk_size: int = CHUNK_SIZE, **_: Any)
     spark.dataSource.register(BpcellsSource)
     head = Directory(path)
     load = lambda slot: spark.read.format("bpcells").option("slot", slot).option("chunk_size", chunk_size).option("pushdown", pushdown(spark)).load(path)
-    return AnnotatedMatrix(spark, head.n_obs, head.n_vars, head.dtype, load("X"), load("obs"), load("var"), format="bpcells")
+    return AnnotatedMatrix(spark, head.n_obs, head.n_vars, head.dtype, load("X"), load("obs"), load("var"), format="bpcells", in_order=True)
 
 
 def stored_dtype(dtype: str) -> str:
@@ -159,7 +158,7 @@ def write(data: AnnotatedMatrix, path: str, packed: bool = True, **_: Any) -> st
             for block in blocks:
                 f.write(block if isinstance(block, bytes) else block.astype(kind).tobytes())
 
-    with SparseRows(data.x, data.n_obs, dtype, _BODY[dtype]) as rows:
+    with SparseRows(data.x, data.n_obs, dtype, _BODY[dtype], in_order=data.in_order) as rows:
         put("idxptr", rows.pointers(), "<u8")
         if not (packed and integers):
             put("val", rows.stream("data"), _BODY[dtype])
@@ -176,7 +175,7 @@ def write(data: AnnotatedMatrix, path: str, packed: bool = True, **_: Any) -> st
     put("shape", [np.array([data.n_vars, data.n_obs])], "<u4")
     for file, df, axis_name in (("col_names", data.obs, "obs"), ("row_names", data.var, "var")):
         with Pieces(data.spark) as ids, open(f"{path}/{file}", "wb") as f:
-            for block in ids.spill(ordered(df.select(f"{axis_name}_idx", f"{axis_name}_id"), f"{axis_name}_idx", f"{axis_name}_idx"), lambda batch: {"id": lines(batch.column(1), "ids", blank=False)}).stream("id"):
+            for block in ids.sorted(df.select(f"{axis_name}_idx", f"{axis_name}_id"), lambda batch: {"id": lines(batch.column(1), "ids", blank=False)}, in_order=data.in_order).stream("id"):
                 f.write(block)
     kind = {"u32": "uint", "f32": "float", "f64": "double"}[dtype]
     for name, text in (("storage_order", "col"), ("version", f"{'packed' if packed else 'unpacked'}-{kind}-matrix-v2")):

@@ -28,12 +28,12 @@ def _text(spark: SparkSession, path: str) -> str:
 
 def write(data: AnnotatedMatrix, path: str, mode: str = "overwrite", **_: Any) -> str:
     def rows(df: DataFrame, at: str, sort: list[str], keys: tuple[str, ...] = ()) -> None:
-        out = df.repartitionByRange(*keys, sort[0]).sortWithinPartitions(*keys, *sort).write.mode(mode)
+        out = df.sortWithinPartitions(*keys, *sort).write.mode(mode)
         (out.partitionBy(*keys) if keys else out).parquet(f"{path}/{at}")
 
-    rows(data.x, "X", ["obs_idx", "var_idx"])
-    rows(data.obs, "obs", ["obs_idx"])
-    rows(data.var, "var", ["var_idx"])
+    rows(data.x.repartitionByRange("obs_idx"), "X", ["obs_idx", "var_idx"])
+    rows(data.obs.repartitionByRange("obs_idx"), "obs", ["obs_idx"])
+    rows(data.var.repartitionByRange("var_idx"), "var", ["var_idx"])
     dtypes: dict[str, dict[str, str]] = {}
     for slot, sort in (("layers", ["obs_idx", "var_idx"]), ("obsp", ["i", "j"]), ("varp", ["i", "j"]), ("obsm", ["idx"]), ("varm", ["idx"])):
         entries: dict[str, DataFrame] = getattr(data, slot)
@@ -42,7 +42,10 @@ def write(data: AnnotatedMatrix, path: str, mode: str = "overwrite", **_: Any) -
             groups.setdefault(entries[key].select(*sort, entries[key].columns[-1]).schema.simpleString(), []).append(key)
         dtypes[slot] = {key: f"{slot}-{n}" for n, (_, keys) in enumerate(groups.items()) for key in keys}
         for n, keys in enumerate(groups.values()):
-            both = reduce(DataFrame.unionByName, [entries[k].withColumn("key", F.lit(k)) for k in keys])
+            if len(keys) == 1:  # ranges of rows alone cost far less than those of text and rows
+                both = entries[keys[0]].repartitionByRange(sort[0]).withColumn("key", F.lit(keys[0]))
+            else:
+                both = reduce(DataFrame.unionByName, [entries[k].withColumn("key", F.lit(k)) for k in keys]).repartitionByRange("key", sort[0])
             rows(both, f"{slot}-{n}", sort, ("key",))
     head = {
         "version": VERSION, "n_obs": data.n_obs, "n_vars": data.n_vars, "dtype": data.dtype, "slots": dtypes, "layer_dtypes": data.layer_dtypes,

@@ -13,6 +13,8 @@ from annomat.errors import InvalidFormatError
 
 #: Rows in a partition unless the option ``chunk_size`` says otherwise; bytes of a text file looked through at once.
 CHUNK_SIZE, _BLOCK = 5000, 16 << 20
+#: Entries that a task reads, several chunks one after the other, once there are chunks for so many tasks.
+TASK_ENTRIES, TASKS = 1 << 20, 16
 ARROW = {"f32": pa.float32(), "f64": pa.float64(), "i32": pa.int32(), "u32": pa.int64()}
 
 
@@ -25,18 +27,21 @@ class Rows(InputPartition):
 
 
 class RangeReader(DataSourceReader):
-    """Partitions of at most ``chunk`` rows; ``rows_of`` yields what the rows of one hold."""
+    """Partitions of a chunk of rows each, of many chunks partitions of several; ``rows_of`` yields what the rows of a chunk hold, ``each`` entries a row."""
 
-    def __init__(self, n: int, chunk: int, column: str | None):
+    def __init__(self, n: int, chunk: int, column: str | None, each: float = 1.0):
         if chunk < 1:
             raise ValueError("chunk_size must be at least 1")
-        self.start, self.stop, self.chunk, self.column = 0, n, chunk, column
+        self.start, self.stop, self.chunk, self.column, self.each = 0, n, chunk, column, each
 
     def partitions(self) -> list[InputPartition]:
-        return [Rows(a, min(a + self.chunk, self.stop)) for a in range(self.start, self.stop, self.chunk)] or [Rows(0, 0)]
+        chunks = -(-(self.stop - self.start) // self.chunk)
+        step = self.chunk * max(1, min(chunks // TASKS, int(TASK_ENTRIES / (self.chunk * max(self.each, 1.0)))))
+        return [Rows(a, min(a + step, self.stop)) for a in range(self.start, self.stop, step)] or [Rows(0, 0)]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        return self.rows_of(partition) if partition.start < partition.stop else iter(())
+        for a in range(partition.start, partition.stop, self.chunk):
+            yield from self.rows_of(Rows(a, min(a + self.chunk, partition.stop)))
 
     def pushing(self) -> DataSourceReader:
         """The same reader taking filters; Spark allows that only where ``spark.sql.python.filterPushdown.enabled`` is set."""

@@ -10,7 +10,8 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from contextlib import ExitStack
+from contextlib import ExitStack, closing
+from functools import partial
 from typing import Any
 
 import numpy as np
@@ -24,12 +25,12 @@ from annomat.functions import bitpack
 from annomat.functions.casts import false_for_null, nan_for_null, spark_type, to_dtype
 from annomat.model import AnnotatedMatrix
 from annomat.operators.columns import code_width
-from annomat.operators.layout import ordered, stored_transposed
+from annomat.operators.layout import stored_transposed
 from annomat.operators.profile import column_kinds
 from annomat.operators.uns import strict
 from annomat.sources import bpcells
 from annomat.sources.chunks import CHUNK_SIZE, RangeReader, Rows, chosen, option, pushdown, triples
-from annomat.sources.parts import Pieces, SparseRows, counted, numbers, offsets
+from annomat.sources.parts import Pieces, SparseRows, ahead, counted, numbers, offsets, vectors
 
 #: Elements of a chunk of the arrays that are written.
 CHUNK = 65_536
@@ -76,8 +77,12 @@ def _dtype(kind: np.dtype) -> str:
 class _Spot:
     """Where a sparse or dense matrix lies: kind csr (pointers along rows that are read), dense, or packed."""
 
-    def __init__(self, path: str, group: str, kind: str, shape: tuple[int, int], dtype: str):
-        self.path, self.group, self.kind, self.shape, self.dtype = path, group, kind, shape, dtype
+    def __init__(self, path: str, group: str, kind: str, shape: tuple[int, int], dtype: str, nnz: int | None = None):
+        self.path, self.group, self.kind, self.shape, self.dtype, self.nnz = path, group, kind, shape, dtype, nnz
+
+    def each(self) -> float:
+        """Entries a row on average."""
+        return self.shape[1] if self.nnz is None else self.nnz / max(1, self.shape[0])
 
     def rows(self, a: int, b: int, names: tuple[str, str]) -> pa.RecordBatch:
         with _h5().File(self.path, "r") as f:
@@ -128,7 +133,7 @@ class _Table:
     def rows(self, a: int, b: int) -> pa.RecordBatch:
         with _h5().File(self.path, "r") as f:
             ids = [_text(x) for x in f[self.ids][a:b].tolist()] if self.ids else [str(i) for i in range(a, b)]
-            arrays = [pa.array(range(a, b), pa.int64()), pa.array(ids, pa.string()), *(self._column(f, c, a, b) for c in self.columns)]
+            arrays = [pa.array(np.arange(a, b, dtype=np.int64)), pa.array(ids, pa.string()), *(self._column(f, c, a, b) for c in self.columns)]
         return pa.RecordBatch.from_arrays(arrays, names=[f"{self.prefix}_idx", f"{self.prefix}_id", *(c["name"] for c in self.columns)])
 
     @staticmethod
@@ -162,7 +167,7 @@ class _Block:
             block = np.asarray(d[:, a:b]).T if self.turned else np.asarray(d[a:b])
         flat = pa.array(np.ascontiguousarray(block, np.float64).ravel())
         vec = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1, dtype=np.int32) * block.shape[1]), flat)
-        return pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), vec], names=["idx", "vec"])
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(a, b, dtype=np.int64)), vec], names=["idx", "vec"])
 
 
 class Hdf5Source(DataSource):
@@ -194,7 +199,7 @@ class Hdf5Source(DataSource):
 class _Reader(RangeReader):
     def __init__(self, spot: _Spot | _Table | _Block, chunk: int, names: tuple[str, str]):
         column = names[0] if isinstance(spot, _Spot) else f"{spot.prefix}_idx" if isinstance(spot, _Table) else "idx"
-        super().__init__(spot.shape[0], chunk, column)
+        super().__init__(spot.shape[0], chunk, column, spot.each() if isinstance(spot, _Spot) else spot.shape[1])
         self.spot, self.names = spot, names
 
     def rows_of(self, partition: Rows) -> Iterator[pa.RecordBatch]:
@@ -271,7 +276,7 @@ def _sparse_spot(path: str, name: str, g: Any, dtype: str | None = None) -> _Spo
     n, m = (int(x) for x in g.attrs["shape"])
     if len(g["indptr"]) != n + 1:
         raise InvalidFormatError(f"{name} has {len(g['indptr'])} pointers for {n} rows")
-    return _Spot(path, name, "csr", (n, m), dtype or _dtype(g["data"].dtype))
+    return _Spot(path, name, "csr", (n, m), dtype or _dtype(g["data"].dtype), len(g["data"]))
 
 
 def _read_h5ad(spark: SparkSession, path: str, chunk: int) -> AnnotatedMatrix:
@@ -294,7 +299,7 @@ def _read_h5ad(spark: SparkSession, path: str, chunk: int) -> AnnotatedMatrix:
     return AnnotatedMatrix(
         spark, n, m, x.dtype, _frame(spark, x, chunk), _frame(spark, obs, chunk), _frame(spark, var, chunk), layers={k: _frame(spark, s, chunk) for k, s in layers.items()}, layer_dtypes={k: s.dtype for k, s in layers.items()},
         **{slot: {k: _frame(spark, s, chunk, "i,j") for k, s in own.items()} for slot, own in graphs.items()}, **{slot: {k: _frame(spark, s, chunk) for k, s in own.items()} for slot, own in vectors.items()},
-        uns=uns, levels={"obs": obs_levels, "var": var_levels}, skipped=tuple(skipped), format="h5ad",
+        uns=uns, levels={"obs": obs_levels, "var": var_levels}, skipped=tuple(skipped), format="h5ad", in_order=True,
     )
 
 
@@ -307,8 +312,8 @@ def _seurat_spot(path: str, f: Any, name: str, n: int, m: int) -> _Spot | None:
         return None
     if "idxptr" in g:
         version = _text(np.asarray(g.attrs.get("version", b"packed-uint-matrix-v2")).ravel()[0])
-        return _Spot(path, name, "packed", (n, m), "u32" if "uint" in version else "f32" if "float" in version else "f64")
-    return _Spot(path, name, "csr", (n, m), _dtype(g["data"].dtype)) if "indptr" in g else None
+        return _Spot(path, name, "packed", (n, m), "u32" if "uint" in version else "f32" if "float" in version else "f64", int(np.asarray(g["idxptr"][n:]).sum()))
+    return _Spot(path, name, "csr", (n, m), _dtype(g["data"].dtype), len(g["data"])) if "indptr" in g else None
 
 
 def _seurat_table(path: str, f: Any, at: str, prefix: str, ids: str, skipped: list[str]) -> tuple[_Table, dict[str, list[str]]]:
@@ -363,7 +368,7 @@ def _read_h5seurat(spark: SparkSession, path: str, chunk: int, assay: str, layer
     return AnnotatedMatrix(
         spark, n, m, x.dtype, _frame(spark, x, chunk), _frame(spark, obs, chunk), _frame(spark, var, chunk), layers={k: _frame(spark, s, chunk) for k, s in layers.items()}, layer_dtypes={k: s.dtype for k, s in layers.items()},
         obsp={k: _frame(spark, s, chunk, "i,j") for k, s in graphs.items()}, obsm={k: _frame(spark, s, chunk) for k, s in obsm.items()}, varm={k: _frame(spark, s, chunk) for k, s in varm.items()},
-        uns=uns, levels={"obs": obs_levels, "var": var_levels}, skipped=tuple(skipped), format="h5seurat",
+        uns=uns, levels={"obs": obs_levels, "var": var_levels}, skipped=tuple(skipped), format="h5seurat", in_order=True,
     )
 
 
@@ -372,14 +377,14 @@ def _read_h5(spark: SparkSession, path: str, chunk: int) -> AnnotatedMatrix:
     with _h5().File(path, "r") as f:
         m, n = (int(x) for x in f["X/shape"][()])
         declared = {"float32": "f32", "float64": "f64", "int32": "i32", "uint32": "u32"}.get(_text(f["X/data"].attrs.get("dtype", "")))
-        x = _Spot(path, "X", "csr", (n, m), declared or _dtype(f["X/data"].dtype))
+        x = _Spot(path, "X", "csr", (n, m), declared or _dtype(f["X/data"].dtype), len(f["X/data"]))
         tables = []
         for prefix, size in (("obs", n), ("var", m)):
             g = f[prefix]
             columns = [found for c in g if c != "index" and (found := _plain(c, f"{prefix}/{c}", g[c])) is not None]
             tables.append(_Table(path, prefix, size, f"{prefix}/index" if "index" in g else None, columns))
         obsm = {k: _block(path, f"obsm/{k}", f["obsm"][k], n) for k in f.get("obsm", {})}
-    return AnnotatedMatrix(spark, n, m, x.dtype, _frame(spark, x, chunk), *(_frame(spark, t, chunk) for t in tables), obsm={k: _frame(spark, s, chunk) for k, s in obsm.items()}, format="h5")
+    return AnnotatedMatrix(spark, n, m, x.dtype, _frame(spark, x, chunk), *(_frame(spark, t, chunk) for t in tables), obsm={k: _frame(spark, s, chunk) for k, s in obsm.items()}, format="h5", in_order=True)
 
 
 def read(spark: SparkSession, path: str, format: str | None = None, chunk_size: int = CHUNK_SIZE, assay: str = "RNA", layer: str = "counts", **_: Any) -> AnnotatedMatrix:
@@ -412,21 +417,26 @@ class _Sink:
                 d.resize((at + len(own),))
                 d[at:] = own
 
-    def texts(self, g: Any, name: str, blocks: Iterator[list[str]]) -> None:
-        self.append(g, name, _h5().string_dtype(), blocks)
-
-    def sparse(self, g: Any, x: DataFrame, n: int, dtype: str, names: tuple[str, str]) -> None:
-        kind = {"f32": "<f4", "f64": "<f8", "i32": "<i4", "u32": "<u4"}[dtype]
-        with SparseRows(x, n, dtype, kind, names) as rows:
-            self.append(g, "data", kind, rows.stream("data"))
+    def texts(self, g: Any, name: str, rows: Pieces, stream: str = "id") -> None:
+        d = g.create_dataset(name, shape=(0,), maxshape=(None,), dtype=_h5().string_dtype(), **self.how)
+        for size, raw in rows.texts(stream):
+            at = d.shape[0]
+            d.resize((at + len(size),))
+            if hasattr(d, "add_texts"):
+                d.add_texts(size, raw)
+            else:
+                d[at:] = np.asarray([raw[e - s : e].decode() for s, e in zip(size.tolist(), np.cumsum(size).tolist(), strict=True)], object)
+
+    def sparse(self, g: Any, rows: SparseRows) -> None:
+        with rows:
+            self.append(g, "data", rows.kind, rows.stream("data"))
             self.append(g, "indices", "<i4", rows.stream("index"))
             self.append(g, "indptr", "<i8", rows.pointers())
 
-    def packed(self, g: Any, x: DataFrame, n: int, m: int, dtype: str, names: tuple[str, str], ids: tuple[Pieces, Pieces]) -> None:
-        """Rows of x as a packed group: one stream of 128-value chunks over all rows, as its readers expect."""
-        dtype = bpcells.stored_dtype(dtype)
-        kind, integers = {"u32": "<u4", "f32": "<f4", "f64": "<f8"}[dtype], dtype == "u32"
-        with SparseRows(x, n, dtype, kind, names) as rows, rows.packed(integers) as chunks:
+    def packed(self, g: Any, rows: SparseRows, chunks: Pieces, m: int, ids: tuple[Pieces, Pieces]) -> None:
+        """Rows as a packed group: one stream of 128-value chunks over all rows, as its readers expect."""
+        n, kind, integers = rows.n, rows.kind, rows.kind == "<u4"
+        with rows, chunks:
             self.append(g, "idxptr", "<u8", rows.pointers())
             if not integers:
                 self.append(g, "val", kind, rows.stream("data"))
@@ -439,15 +449,27 @@ class _Sink:
         g.create_dataset("shape", data=np.asarray([m, n], "<u4"))
         g.create_dataset("storage_order", data=np.asarray(["col"], object))
         for name, own in zip(("row_names", "col_names"), ids, strict=True):
-            self.texts(g, name, own.texts("id"))
-        g.attrs["version"] = np.asarray([f"packed-{ {'u32': 'uint', 'f32': 'float', 'f64': 'double'}[dtype]}-matrix-v2"], object)
+            self.texts(g, name, own)
+        g.attrs["version"] = np.asarray([f"packed-{ {'<u4': 'uint', '<f4': 'float', '<f8': 'double'}[kind]}-matrix-v2"], object)
+
+
+_KINDS = {"f32": "<f4", "f64": "<f8", "i32": "<i4", "u32": "<u4"}
+
+
+def _packed(x: DataFrame, n: int, dtype: str, names: tuple[str, str], in_order: bool) -> tuple[SparseRows, Pieces]:
+    """Pieces of a sparse matrix and of its packed chunks."""
+    rows = SparseRows(x, n, bpcells.stored_dtype(dtype), _KINDS[bpcells.stored_dtype(dtype)], names, in_order)
+    try:
+        return rows, rows.packed(rows.kind == "<u4")
+    except BaseException:
+        rows.__exit__()
+        raise
 
 
-def _vectors(df: DataFrame) -> tuple[Pieces, int]:
-    """The pieces of a table of row vectors, and how long these are."""
-    width = df.agg(F.max(F.size("vec"))).first()[0] or 0
-    rows = ordered(df.select(F.col("idx").cast("long").alias("idx"), F.col("vec").cast("array<double>").alias("vec")), "idx", "idx")
-    return Pieces(df.sparkSession).spill(rows, lambda batch: {"vec": numbers(batch.column(1).flatten(), "<f8")}), width
+def _tables(data: AnnotatedMatrix) -> list[Any]:
+    """Jobs that write the pieces of the metadata tables and of the row vectors by key."""
+    jobs = [partial(_metadata, getattr(data, slot), slot, data.levels.get(slot, {}), data.in_order) for slot in ("obs", "var")]
+    return jobs + [partial(vectors, getattr(data, slot)[key], data.in_order) for slot in ("obsm", "varm") for key in sorted(getattr(data, slot))]
 
 
 def _component(rows: Pieces, width: int, k: int) -> np.ndarray:
@@ -467,7 +489,7 @@ def _put_json(g: Any, tree: dict[str, Any]) -> None:
             g.create_dataset(k, data=np.asarray(v, object) if isinstance(v, list) and v and isinstance(v[0], str) else v)
 
 
-def _metadata(df: DataFrame, slot: str, levels: dict[str, list[str]]) -> tuple[list[tuple[str, str]], Pieces]:
+def _metadata(df: DataFrame, slot: str, levels: dict[str, list[str]], in_order: bool) -> tuple[list[tuple[str, str]], Pieces]:
     """(column, kind) of a metadata table, and its pieces: streams ``id`` and a number for each column; categories as codes, -1 for none."""
     kinds = column_kinds(df, (f"{slot}_idx", f"{slot}_id"), levels)
     columns = [F.col(f"{slot}_idx").cast("long").alias("_idx"), F.col(f"{slot}_id").alias("_id")]
@@ -484,7 +506,7 @@ def _metadata(df: DataFrame, slot: str, levels: dict[str, list[str]]) -> tuple[l
         own = {str(k): counted(batch.column(k + 2)) if kind == "string" else numbers(batch.column(k + 2), _STORED[kind]) for k, (_, kind) in enumerate(kinds)}
         return {"id": counted(batch.column(1)), **own}
 
-    return kinds, Pieces(df.sparkSession).spill(ordered(df.select(*columns), "_idx", "_idx"), encode)
+    return kinds, Pieces(df.sparkSession).sorted(df.select(*columns), encode, in_order=in_order)
 
 
 _STORED = {"int": "<i4", "float": "<f8", "bool": "u1", "categorical": "<i4"}
@@ -496,17 +518,21 @@ def _codes(rows: Pieces, k: int, kind: str, base: int = 0) -> Iterator[np.ndarra
 
 
 def _write_h5ad(data: AnnotatedMatrix, path: str, dtype: str, chunk: int, compression: str | None) -> None:
-    with _h5().File(path, "w") as f:
+    entries = [("X", data.x, data.shape, dtype, ("obs_idx", "var_idx"))]
+    entries += [(f"layers/{k}", d, data.shape, data.layer_dtypes.get(k, "f32"), ("obs_idx", "var_idx")) for k, d in data.layers.items()]
+    entries += [(f"{slot}/{k}", d, (size, size), "f32", ("i", "j")) for slot, size in (("obsp", data.n_obs), ("varp", data.n_vars)) for k, d in getattr(data, slot).items()]
+    jobs = _tables(data) + [partial(SparseRows, df, shape[0], kind, _KINDS[kind], names, data.in_order) for _, df, shape, kind, names in entries]
+    with _h5().File(path, "w") as f, closing(ahead(jobs)) as found:
         sink = _Sink(f, chunk, compression)
         f.attrs["encoding-type"], f.attrs["encoding-version"] = "anndata", "0.1.0"
         for slot in ("obs", "var"):
             known = data.levels.get(slot, {})
-            kinds, rows = _metadata(getattr(data, slot), slot, known)
+            kinds, rows = next(found)
             with rows:
                 g = f.create_group(slot)
                 g.attrs["encoding-type"], g.attrs["encoding-version"], g.attrs["_index"] = "dataframe", "0.2.0", "index"
                 g.attrs["column-order"] = np.asarray([c for c, _ in kinds], object)
-                sink.texts(g, "index", rows.texts("id"))
+                sink.texts(g, "index", rows)
                 for k, (c, kind) in enumerate(kinds):
                     if kind == "categorical":
                         h = g.create_group(c)
@@ -515,13 +541,13 @@ def _write_h5ad(data: AnnotatedMatrix, path: str, dtype: str, chunk: int, compre
                         sink.append(h, "codes", width, _codes(rows, k, width))
                         h.create_dataset("categories", data=np.asarray(known[c], object))
                     elif kind == "string":
-                        sink.texts(g, c, rows.texts(str(k)))
+                        sink.texts(g, c, rows, str(k))
                     else:
                         sink.append(g, c, _STORED[kind], rows.stream(str(k)))
         for slot in ("obsm", "varm"):
             g = f.create_group(slot)
             for key in sorted(getattr(data, slot)):
-                rows, width = _vectors(getattr(data, slot)[key])
+                rows, width = next(found)
                 with rows:
                     d = g.create_dataset(key, shape=(0, width), maxshape=(None, width), dtype="<f8", chunks=(max(1, chunk // max(1, width)), max(1, width)))
                     for p in rows.pieces if width else ():
@@ -530,18 +556,19 @@ def _write_h5ad(data: AnnotatedMatrix, path: str, dtype: str, chunk: int, compre
                         d.resize((at + len(own), width))
                         d[at:] = own
         _put_json(f.create_group("uns"), strict(data.uns))
-        entries = [("X", data.x, data.shape, dtype, ("obs_idx", "var_idx"))]
-        entries += [(f"layers/{k}", d, data.shape, data.layer_dtypes.get(k, "f32"), ("obs_idx", "var_idx")) for k, d in data.layers.items()]
-        entries += [(f"{slot}/{k}", d, (size, size), "f32", ("i", "j")) for slot, size in (("obsp", data.n_obs), ("varp", data.n_vars)) for k, d in getattr(data, slot).items()]
-        for name, df, shape, kind, names in entries:
+        for name, _, shape, *_ in entries:
             g = f.create_group(name)
             g.attrs["encoding-type"], g.attrs["encoding-version"], g.attrs["shape"] = "csr_matrix", "0.1.0", np.asarray(shape, "<i8")
-            sink.sparse(g, df, shape[0], kind, names)
+            sink.sparse(g, next(found))
 
 
 def _write_h5seurat(data: AnnotatedMatrix, path: str, assay: str, x_slot: str, project: str, compat: bool, packed: bool, chunk: int) -> None:
     ids: dict[str, Pieces] = {}
-    with _h5().File(path, "w") as f, ExitStack() as kept:
+    entries = [(f"assays/{assay}/{x_slot}", data.x, data.n_vars, ("obs_idx", "var_idx"), data.dtype)]
+    entries += [(f"assays/{assay}/{k}", d, data.n_vars, ("obs_idx", "var_idx"), data.layer_dtypes.get(k, "f32")) for k, d in data.layers.items() if k != x_slot]
+    entries += [(f"graphs/{k}", d, data.n_obs, ("i", "j"), "f32") for k, d in data.obsp.items()]
+    jobs = _tables(data) + [partial(_packed, df, data.n_obs, kind, names, data.in_order) if packed else partial(SparseRows, df, data.n_obs, "f64", "<f8", names, data.in_order) for _, df, _, names, kind in entries]
+    with _h5().File(path, "w") as f, ExitStack() as kept, closing(ahead(jobs)) as found:
         sink = _Sink(f, chunk)
         if compat:
             f.attrs["project"], f.attrs["version"] = project, "3.1.5.9900"
@@ -553,9 +580,9 @@ def _write_h5seurat(data: AnnotatedMatrix, path: str, assay: str, x_slot: str, p
             base.attrs["key"] = f"{assay.lower()}_"
         for slot, at in (("obs", "meta.data"), ("var", f"assays/{assay}/meta.features")):
             known = data.levels.get(slot, {})
-            kinds, rows = _metadata(getattr(data, slot), slot, known)
+            kinds, rows = next(found)
             ids[slot] = kept.enter_context(rows)
-            sink.texts(f if slot == "obs" else base, "cell.names" if slot == "obs" else "features", rows.texts("id"))
+            sink.texts(f if slot == "obs" else base, "cell.names" if slot == "obs" else "features", rows)
             g = f.create_group(at)
             g.attrs["colnames"] = np.asarray([c for c, _ in kinds], object)
             g.attrs["logicals"] = np.asarray([c for c, k in kinds if k == "bool"], object)
@@ -565,31 +592,27 @@ def _write_h5seurat(data: AnnotatedMatrix, path: str, assay: str, x_slot: str, p
                     h.create_dataset("levels", data=np.asarray(known[c], object))
                     sink.append(h, "values", "<i4", _codes(rows, k, "<i4", 1))
                 elif kind == "string":
-                    sink.texts(g, c, rows.texts(str(k)))
+                    sink.texts(g, c, rows, str(k))
                 elif kind == "bool":
                     sink.append(g, c, "<i4", (np.frombuffer(x, "u1").astype("<i4") for x in rows.stream(str(k))))
                 else:
                     sink.append(g, c, _STORED[kind], rows.stream(str(k)))
         for slot, name, size in (("obsm", "cell.embeddings", data.n_obs), ("varm", "feature.loadings", data.n_vars)):
             for key in sorted(getattr(data, slot)):
-                rows, width = _vectors(getattr(data, slot)[key])
+                rows, width = next(found)
                 with rows:
                     g = f.require_group(f"reductions/{key.removeprefix('X_')}")
-                    d = g.create_dataset(name, shape=(0, size), maxshape=(None, size), dtype="<f8", chunks=(1, max(1, size)))
+                    d = g.create_dataset(name, shape=(width, size), dtype="<f8")  # contiguous, so that any rows are read alone
                     for k in range(width):  # a component at a time, as they are stored one after the other
-                        d.resize((k + 1, size))
-                        d[k:] = _component(rows, width, k)[None, :]
+                        d[k : k + 1] = _component(rows, width, k)[None, :]
         _put_json(f.create_group("misc"), data.uns)
-        entries = [(f"assays/{assay}/{x_slot}", data.x, data.n_vars, ("obs_idx", "var_idx"), data.dtype)]
-        entries += [(f"assays/{assay}/{k}", d, data.n_vars, ("obs_idx", "var_idx"), data.layer_dtypes.get(k, "f32")) for k, d in data.layers.items() if k != x_slot]
-        entries += [(f"graphs/{k}", d, data.n_obs, ("i", "j"), "f32") for k, d in data.obsp.items()]
-        for name, df, m, names, dtype in entries:
+        for name, _, m, *_ in entries:
             g = f.create_group(name)
             if packed:
-                sink.packed(g, df, data.n_obs, m, dtype, names, (ids["obs" if name.startswith("graphs/") else "var"], ids["obs"]))
+                sink.packed(g, *next(found), m, (ids["obs" if name.startswith("graphs/") else "var"], ids["obs"]))
                 continue
             g.attrs["dims"] = np.asarray([m, data.n_obs], "<i8")
-            sink.sparse(g, df, data.n_obs, "f64", names)
+            sink.sparse(g, next(found))
 
 
 def write(

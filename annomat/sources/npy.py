@@ -16,11 +16,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from annomat.errors import DtypeMismatchError, InvalidFormatError, MissingFieldError, UnsupportedVersionError
 from annomat.functions.casts import false_for_null, nan_for_null, spark_type, to_dtype
 from annomat.model import AnnotatedMatrix
-from annomat.operators.layout import ordered
 from annomat.operators.profile import column_kinds
 from annomat.operators.slots import SlotFilter
 from annomat.sources.chunks import CHUNK_SIZE, Lines, RangeReader, Rows, chosen, lines, option, pushdown, triples
-from annomat.sources.parts import Pieces, SparseRows, numbers
+from annomat.sources.parts import Pieces, SparseRows, numbers, vectors
 
 # The manifest's keys, file names and type names are fixed by the format.
 _DESCR = {"f32": "<f4", "f64": "<f8", "i32": "<i4", "u32": "<u4"}
@@ -95,7 +94,9 @@ class _Reader(RangeReader):
         self.path, self.slot, self.key, self.meta = path, slot, key, _manifest(path)
         n = self.meta["n_vars"] if slot in ("var", "varm", "varp") else self.meta["n_obs"]
         column = {"X": "obs_idx", "layers": "obs_idx", "obs": "obs_idx", "var": "var_idx", "obsp": "i", "varp": "i"}.get(slot, "idx")
-        super().__init__(0 if slot == "X" and not self.meta.get("X") else n, chunk, column)
+        own = self.meta.get("X") if slot == "X" else self.meta[slot][key] if key else None
+        each = own.get("nnz", n) / max(1, n) if own and slot in ("X", *_SPARSE) else own["shape"][1] if own else len(self.meta.get(slot, []))
+        super().__init__(0 if slot == "X" and not self.meta.get("X") else n, chunk, column, each)
         files = []
         if slot in ("obs", "var"):
             files = [f"{path}/{slot}/{c['name']}_strings.txt" for c in self.meta.get(slot, []) if c["kind"] == "string"]
@@ -116,11 +117,11 @@ class _Reader(RangeReader):
         elif self.slot in ("obsm", "varm"):
             rows = np.asarray(load(f"{at}/{self.key}.npy", "<f8", 2)[a:b])
             vec = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float64())) if rows.shape[1] else pa.array([[]] * len(rows), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), vec], names=["idx", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b, dtype=np.int64)), vec], names=["idx", "vec"])
         else:
             index = f"{self.path}/{self.slot}_index.txt"
             ids = self.lines[index].read(a, b) if index in self.lines else [str(i) for i in range(a, b)]
-            names, arrays = [f"{self.slot}_idx", f"{self.slot}_id"], [pa.array(range(a, b), pa.int64()), pa.array(ids, pa.string())]
+            names, arrays = [f"{self.slot}_idx", f"{self.slot}_id"], [pa.array(np.arange(a, b, dtype=np.int64)), pa.array(ids, pa.string())]
             for c in self.meta.get(self.slot, []):
                 names.append(c["name"])
                 stem = f"{at}/{c['name']}"
@@ -149,7 +150,7 @@ def read(spark: SparkSession, path: str, chunk_size: int = CHUNK_SIZE, **_: Any)
             uns = json.load(f)
     return AnnotatedMatrix(
         spark, meta["n_obs"], meta["n_vars"], (meta.get("X") or {"dtype": "f32"})["dtype"], get("X"), get("obs"), get("var"), uns=uns, levels=levels,
-        layer_dtypes={k: v["dtype"] for k, v in meta.get("layers", {}).items()}, format="npy", **slots,
+        layer_dtypes={k: v["dtype"] for k, v in meta.get("layers", {}).items()}, format="npy", in_order=True, **slots,
     )
 
 
@@ -167,16 +168,16 @@ def _put(path: str, descr: str, blocks: Iterable[np.ndarray | bytes], tail: tupl
     return n
 
 
-def _sparse(x: DataFrame, n: int, m: int, dtype: str, at: str, names: tuple[str, str]) -> dict[str, Any]:
+def _sparse(x: DataFrame, n: int, m: int, dtype: str, at: str, names: tuple[str, str], in_order: bool) -> dict[str, Any]:
     os.makedirs(at, exist_ok=True)
-    with SparseRows(x, n, dtype, _DESCR[dtype], names) as rows:
+    with SparseRows(x, n, dtype, _DESCR[dtype], names, in_order) as rows:
         _put(f"{at}/data.npy", _DESCR[dtype], rows.stream("data"))
         _put(f"{at}/indices.npy", "<u4", rows.stream("index"))
         _put(f"{at}/indptr.npy", "<u8", rows.pointers())
         return {"shape": [n, m], "nnz": rows.rows, "dtype": dtype}
 
 
-def _table(df: DataFrame, slot: str, known: dict[str, list[str]], kinds: list[tuple[str, str]], with_ids: bool, path: str) -> None:
+def _table(df: DataFrame, slot: str, known: dict[str, list[str]], kinds: list[tuple[str, str]], with_ids: bool, path: str, in_order: bool) -> None:
     """The files of a metadata table: executors write the columns of their rows, which are joined here."""
     idx, ident = f"{slot}_idx", f"{slot}_id"
     columns = [F.col(idx).cast("long").alias("_idx"), F.col(ident).alias("_id")]
@@ -199,7 +200,7 @@ def _table(df: DataFrame, slot: str, known: dict[str, list[str]], kinds: list[tu
         return out
 
     with Pieces(df.sparkSession) as rows:
-        rows.spill(ordered(df.select(*columns), "_idx", "_idx"), encode)
+        rows.sorted(df.select(*columns), encode, in_order=in_order)
         for k, (c, kind) in enumerate(kinds):
             stem = f"{path}/{slot}/{c}"
             if kind == "categorical":
@@ -221,14 +222,14 @@ def write(data: AnnotatedMatrix, path: str, only: str | None = None, exclude: st
     n, m = data.n_obs, data.n_vars
     meta: dict[str, Any] = {"format_version": "0.1", "n_obs": n, "n_vars": m}
     if keep.includes("X"):
-        meta["X"] = _sparse(data.x, n, m, data.dtype, f"{path}/X", ("obs_idx", "var_idx"))
+        meta["X"] = _sparse(data.x, n, m, data.dtype, f"{path}/X", ("obs_idx", "var_idx"), data.in_order)
     for slot, df, size in (("obs", data.obs, n), ("var", data.var, m)):
         os.makedirs(f"{path}/{slot}", exist_ok=True)
         known = data.levels.get(slot, {})
         kinds = [(c, k) for c, k in column_kinds(df, (f"{slot}_idx", f"{slot}_id"), known) if keep.includes(f"{slot}:{c}")]
         with_ids = keep.includes(f"{slot}_index")
         if kinds or with_ids:
-            _table(df, slot, known, kinds, with_ids, path)
+            _table(df, slot, known, kinds, with_ids, path, data.in_order)
         if with_ids:
             meta[f"{slot}_index"] = {"n": size}
         meta[slot] = [{"name": c, "kind": k, "shape": [size], **({"n_levels": len(known[c])} if k == "categorical" else {})} for c, k in kinds]
@@ -236,9 +237,8 @@ def write(data: AnnotatedMatrix, path: str, only: str | None = None, exclude: st
         for key, df in getattr(data, slot).items():
             if keep.includes(f"{slot}:{key}"):
                 os.makedirs(f"{path}/{slot}", exist_ok=True)
-                width = df.agg(F.max(F.size("vec"))).first()[0] or 0
-                with Pieces(data.spark) as rows:
-                    rows.spill(ordered(df.select(F.col("idx").cast("long").alias("idx"), F.col("vec").cast("array<double>").alias("vec")), "idx", "idx"), lambda batch: {"vec": numbers(batch.column(1).flatten(), "<f8")})
+                rows, width = vectors(df, data.in_order)
+                with rows:
                     _put(f"{path}/{slot}/{key}.npy", "<f8", rows.stream("vec"), (width,))
                 meta.setdefault(slot, {})[key] = {"shape": [size, width], "dtype": "f64"}
     for slot, size, other in (("layers", n, m), ("obsp", n, n), ("varp", m, m)):
@@ -246,7 +246,7 @@ def write(data: AnnotatedMatrix, path: str, only: str | None = None, exclude: st
             if keep.includes(f"{slot}:{key}"):
                 names = ("obs_idx", "var_idx") if slot == "layers" else ("i", "j")
                 dtype = data.layer_dtypes.get(key, "f32") if slot == "layers" else "f32"
-                meta.setdefault(slot, {})[key] = _sparse(df, size, other, dtype, f"{path}/{slot}/{key}", names)
+                meta.setdefault(slot, {})[key] = _sparse(df, size, other, dtype, f"{path}/{slot}/{key}", names, data.in_order)
     if keep.includes("uns") and data.uns:
         with open(f"{path}/uns.json", "w", encoding="utf-8") as f:
             json.dump(data.uns, f, indent=2)

@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 import shutil
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annomat.errors import InvalidFormatError
 from annomat.functions import bitpack
 from annomat.functions.casts import spark_type, to_dtype
 from annomat.operators.layout import ordered
@@ -30,12 +32,21 @@ BLOCK, PACKED_ENTRIES = 8 << 20, 1 << 20
 
 @dataclass(frozen=True)
 class Piece:
-    """Files ``{stem}.{stream}`` of the rows with keys ``first`` to ``last``."""
+    """Files ``{stem}.{stream}`` of the rows with keys ``first`` to ``last``, and whether these came in order."""
 
     stem: str
     rows: int
     first: int
     last: int
+    ascending: bool
+
+
+def _ascends(batch: pa.RecordBatch, by: int, before: list[int] | None) -> bool:
+    """Whether the first ``by`` columns, one or two, never fall, nor below those of the row before the batch."""
+    major, minor = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, by - 1))
+    if before is not None and [major[0], minor[0]][:by] < before:
+        return False
+    return not np.any((major[1:] < major[:-1]) | (major[1:] == major[:-1]) & (minor[1:] < minor[:-1]))
 
 
 class Pieces:
@@ -52,20 +63,34 @@ class Pieces:
     def __exit__(self, *_: object) -> None:
         shutil.rmtree(self.folder, ignore_errors=True)
 
-    def spill(self, rows: DataFrame, encode: Callable[[pa.RecordBatch], dict[str, bytes]]) -> Pieces:
-        """One pass over ``rows``, in order, whose first column is the key: each batch adds to the streams of its piece."""
+    def sorted(self, rows: DataFrame, encode: Callable[[pa.RecordBatch], dict[str, bytes]], by: int = 1, in_order: bool = False) -> Pieces:
+        """:meth:`spill` in the order of the first ``by`` columns. Rows said to be ``in_order`` are taken as they come, without a sort or a
+        shuffle, unless they turn out not to be.
+        """
+        if in_order:
+            kept = self.spill(rows, encode, by).pieces
+            if all(p.ascending for p in kept) and all(p.last < q.first for p, q in zip(kept, kept[1:])):
+                return self
+            for name in os.listdir(self.folder):
+                os.remove(f"{self.folder}/{name}")
+        return self.spill(ordered(rows, rows.columns[0], rows.columns[by - 1]), encode, by)
+
+    def spill(self, rows: DataFrame, encode: Callable[[pa.RecordBatch], dict[str, bytes]], by: int = 1) -> Pieces:
+        """One pass over ``rows``, as they come, whose first column is the key: each batch adds to the streams of its piece."""
         folder = self.folder
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = TaskContext.get().partitionId()
             stem, files = f"{folder}/{part}-{uuid.uuid4().hex}", {}
             n = first = last = 0
+            ascending, before = True, None
             try:
                 for batch in batches:
                     if not batch.num_rows:
                         continue
+                    ascending, before = ascending and _ascends(batch, by, before), [batch.column(k)[-1].as_py() for k in range(by)]
                     first = batch.column(0)[0].as_py() if not n else first
-                    last = batch.column(0)[-1].as_py()
+                    last = before[0]
                     n += batch.num_rows
                     for name, raw in encode(batch).items():
                         if name not in files:
@@ -74,14 +99,14 @@ class Pieces:
             finally:
                 for f in files.values():
                     f.close()
-            yield pa.record_batch({"part": pa.array([part], pa.int64()), "stem": [stem], "rows": pa.array([n], pa.int64()), "first": pa.array([first], pa.int64()), "last": pa.array([last], pa.int64())})
+            yield pa.record_batch({"part": pa.array([part], pa.int64()), "stem": [stem], "rows": pa.array([n], pa.int64()), "first": pa.array([first], pa.int64()), "last": pa.array([last], pa.int64()), "ascending": [ascending]})
 
         try:
-            found = rows.mapInArrow(run, "part long, stem string, rows long, first long, last long").where("rows > 0").collect()
+            found = rows.mapInArrow(run, "part long, stem string, rows long, first long, last long, ascending boolean").where("rows > 0").collect()
         except BaseException:
             self.__exit__()
             raise
-        self.pieces = [Piece(r["stem"], r["rows"], r["first"], r["last"]) for r in sorted(found, key=lambda r: r["part"])]
+        self.pieces = [Piece(r["stem"], r["rows"], r["first"], r["last"], r["ascending"]) for r in sorted(found, key=lambda r: r["part"])]
         return self
 
     @property
@@ -98,30 +123,49 @@ class Pieces:
     def whole(self, name: str) -> bytes:
         return b"".join(self.stream(name))
 
-    def texts(self, name: str) -> Iterator[list[str]]:
-        """Strings of a stream written by :func:`counted`, some at a time."""
+    def texts(self, name: str) -> Iterator[tuple[np.ndarray, bytes]]:
+        """Sizes and bytes of the strings of a stream written by :func:`counted`, some at a time."""
         for p in self.pieces:
             with open(f"{p.stem}.{name}", "rb") as f:
                 while head := f.read(8):
-                    size = np.frombuffer(f.read(4 * int.from_bytes(head, "little")), "<u4")
-                    raw, ends = f.read(int(size.sum())), np.cumsum(size.astype(np.int64))
-                    yield [raw[e - s : e].decode() for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
+                    size = np.frombuffer(f.read(4 * int.from_bytes(head, "little")), "<u4").astype(np.int64)
+                    yield size, f.read(int(size.sum()))
 
 
 def counted(column: pa.Array) -> bytes:
     """A batch of strings, none null, with their sizes before them."""
-    raw = [x.encode() for x in column.to_pylist()]
-    return len(raw).to_bytes(8, "little") + np.fromiter(map(len, raw), "<u4", len(raw)).tobytes() + b"".join(raw)
+    own = column.cast(pa.large_string())
+    at = np.frombuffer(own.buffers()[1], "<i8")[own.offset : own.offset + len(own) + 1]
+    raw = memoryview(own.buffers()[2] or b"")[int(at[0]) : int(at[-1])]
+    return len(own).to_bytes(8, "little") + np.diff(at).astype("<u4").tobytes() + bytes(raw)
 
 
 def numbers(column: pa.Array, kind: str) -> bytes:
     return np.asarray(column.to_numpy(zero_copy_only=False)).astype(kind).tobytes()
 
 
+def ahead(jobs: list[Callable[[], Any]]) -> Generator[Any, None, None]:
+    """The results of jobs, in turn."""
+    for job in jobs:
+        yield job()
+
+
+def vectors(df: DataFrame, in_order: bool = False) -> tuple[Pieces, int]:
+    """The pieces of a table of row vectors, stream ``vec``, and how long these are."""
+    own = df.select(F.col("idx").cast("long").alias("idx"), F.col("vec").cast("array<double>").alias("vec"))
+    rows = Pieces(df.sparkSession).sorted(own, lambda batch: {"vec": numbers(batch.column(1).flatten(), "<f8")}, in_order=in_order)
+    sizes = [os.path.getsize(f"{p.stem}.vec") // 8 for p in rows.pieces]
+    width = sizes[0] // rows.pieces[0].rows if sizes else 0
+    if any(size != p.rows * width for size, p in zip(sizes, rows.pieces, strict=True)):
+        rows.__exit__()
+        raise InvalidFormatError("row vectors differ in length")
+    return rows, width
+
+
 class SparseRows(Pieces):
     """A sparse matrix in row order: streams ``data`` and ``index``, and for each row met its number and entries in ``count``."""
 
-    def __init__(self, x: DataFrame, n: int, dtype: str, kind: str, names: tuple[str, str] = ("obs_idx", "var_idx")):
+    def __init__(self, x: DataFrame, n: int, dtype: str, kind: str, names: tuple[str, str] = ("obs_idx", "var_idx"), in_order: bool = False):
         super().__init__(x.sparkSession)
         self.n, self.kind = n, kind
 
@@ -131,7 +175,7 @@ class SparseRows(Pieces):
 
         missing = F.lit(float("nan") if kind[1] == "f" else 0).cast(spark_type(dtype))  # a stored matrix has no nulls
         cast = x.select(F.col(names[0]).cast("long").alias(names[0]), names[1], F.coalesce(to_dtype(F.col("value"), dtype), missing).alias("value"))
-        self.spill(ordered(cast, *names), encode)
+        self.sorted(cast, encode, 2, in_order)
 
     def pointers(self) -> Iterator[np.ndarray]:
         """Row pointers, n + 1 of them, some at a time; rows without entries repeat theirs."""
